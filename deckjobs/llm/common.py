@@ -70,7 +70,7 @@ class Words:
     SPACE = np.zeros(256, bool)
     SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], hashed: bool = True):
         joined = b"\n".join(texts) + b"\n"
         self.data = data = np.frombuffer(joined, np.uint8)
         gap = self.SPACE[data]
@@ -79,7 +79,8 @@ class Words:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.offset = np.concatenate([[0], np.cumsum(lengths + 1)])
         self.doc = np.searchsorted(self.offset, self.start, "right") - 1
-        self.hash = self.span_hash(data, self.start, self.end)
+        if hashed:
+            self.hash = self.span_hash(data, self.start, self.end)
 
     @staticmethod
     def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
