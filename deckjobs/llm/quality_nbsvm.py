@@ -173,14 +173,15 @@ def _margin(f: np.ndarray, ratio: np.ndarray, w: np.ndarray) -> float:
     return float(w[f] @ x / norm + w[-1])
 
 
-def train(rows: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> dict[str, np.ndarray]:
-    """Fit on rows(doc_id, text, label); at most ``max_train_rows`` of them, chosen by a hash of the id.
+def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> dict[str, np.ndarray]:
+    """Fit on docs(doc_id, text) and labels(doc_id, label); at most ``max_train_rows`` labels, chosen by a hash of the id.
 
-    The features are made by all tasks; the descent, which is sequential, runs in one task
-    over that bounded sample. The model has at most 2**18 weights.
+    The chosen ids, of bounded number, are sent to the documents, which are not shuffled.
+    Their features are made by all tasks; the descent, which is sequential, runs in one
+    task over that bounded sample. The model has at most 2**18 weights.
     """
-    ids = rows.where("label is not null").select("doc_id", F.xxhash64("doc_id").alias("order")).orderBy("order", "doc_id").limit(max_train_rows)
-    train_rows = rows.where("label is not null").select("doc_id", F.col("label").cast("int").alias("label"), "text").join(F.broadcast(ids), "doc_id")
+    ids = labels.where("label is not null and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("order")).orderBy("order", "doc_id", "label").limit(max_train_rows)
+    train_rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     features = train_rows.select("label", "order", "text").mapInArrow(_feature_rows, "label int, order long, features array<int>")
     model = keep(features).repartition(1).mapInArrow(_fit, "at long, weight double, ratio double")
     got = model.toPandas()

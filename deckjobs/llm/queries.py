@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid_ftrl, quality_nbsvm, toxicity_gbt
+from . import chat_windows, decontam_edit, langid_ftrl, quality_nbsvm, simhash_cover, spm_codec, token_store, toxicity_gbt
 from .common import fold
 
 
@@ -17,8 +17,7 @@ def op1_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; labels of fold 2 of 4 are held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    learn = docs.join(labels, "doc_id").where(fold(F.col("doc_id"), 4) != 2)
-    scored = quality_nbsvm.score(docs, quality_nbsvm.train(learn))
+    scored = quality_nbsvm.score(docs, quality_nbsvm.train(docs, labels.where(fold(F.col("doc_id"), 4) != 2)))
     held = fold(F.col("doc_id"), 4) == 2
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality_nbsvm.THRESHOLD).cast("int").alias("predicted"))
 
@@ -39,5 +38,84 @@ def op9_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity_gbt.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_nbsvm, op5_langid_ftrl, op9_toxicity_gbt)}
-ORACLE_SQL: dict[str, str] = {}
+def tokenizer_path(name: str) -> str:
+    """Where the tokenizer files of this machine are; the operators take a path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+ESCAPE_PROBE = r"\### Assistant: </turn> ok"
+
+
+def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every conversation, read back from its formatted windows; conversation -7 probes the escapes."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(ESCAPE_PROBE).alias("text"))
+    return chat_windows.digests(chat_windows.windows(turns.unionByName(probe)))
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every document's ids, read back from the store's files."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_store.digests(token_store.stored(docs, tokenizer_path("word_bpe_49k.json"), end_id=2))
+
+
+def op10_decontam_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items that it holds within their error budget."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam_edit.marked(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op3_simhash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash_cover.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_spm_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of what they decode to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spm_codec.round_trip(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
+OP7_SQL = r"""
+WITH all_turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM all_turns
+), sized AS (
+  SELECT *, n = 1 AND role = 'system' AS sys, (length(text) + 3) // 4 + 2 AS tokens,
+    16 + length(role) + length(text)
+      + length(role || text) * 3 - length(replace(replace(replace(role || text, '\', ''), '<', ''), '>', '')) * 3
+      - (length(role || text) - length(replace(replace(replace(role || text, '\', ''), '<', ''), '>', ''))) * 2 AS chars
+  FROM numbered
+), summed AS (
+  SELECT *, greatest((768 - max(CASE WHEN sys THEN tokens ELSE 0 END) OVER c) // 2, 1) AS cell_size,
+    sum(CASE WHEN sys THEN 0 ELSE tokens END) OVER c AS total, CASE WHEN sys THEN 0 ELSE tokens END AS own,
+    max(CASE WHEN sys THEN chars ELSE 0 END) OVER c AS sys_chars
+  FROM sized WINDOW c AS (PARTITION BY conv_id ORDER BY n)
+), celled AS (
+  SELECT *, (greatest(total, 1) - 1) // cell_size AS cell, own > cell_size AS large FROM summed
+), begun AS (
+  SELECT *, coalesce(cell <> lag(cell) OVER c OR large OR lag(large) OVER c, true) AS begins
+  FROM celled WINDOW c AS (PARTITION BY conv_id ORDER BY n)
+), spanned AS (
+  SELECT *, sum(begins::int) OVER (PARTITION BY conv_id ORDER BY n) AS span FROM begun
+), ended AS (
+  SELECT *, row_number() OVER b AS from_end, sum(tokens) OVER b AS to_end, max(span) OVER (PARTITION BY conv_id) AS last_span
+  FROM spanned WINDOW b AS (PARTITION BY conv_id, span ORDER BY n DESC)
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(chars) + coalesce(sum(chars) FILTER (from_end <= 2 AND to_end <= 256 AND NOT sys AND span < last_span), 0)
+    + coalesce(sum(sys_chars) FILTER (begins AND span > 1), 0))::bigint AS formatted_chars
+FROM ended GROUP BY conv_id
+"""
+
+QUERIES = {f.__name__: f for f in (op1_quality_nbsvm, op3_simhash_cover, op4_spm_codec, op5_langid_ftrl, op7_chat_windows, op8_token_store, op9_toxicity_gbt, op10_decontam_edit)}
+ORACLE_SQL: dict[str, str] = {"op7_chat_windows": OP7_SQL}

@@ -84,17 +84,20 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n1), pa.array(n0)], ["term", "n1", "n0"])
 
 
-def learn_lexicon(rows: DataFrame, max_rows: int = MAX_LEXICON_ROWS, size: int = LEXICON_SIZE) -> dict[int, float]:
-    """Hash of a term -> its log odds, from rows(doc_id, text, label); at most ``size`` entries."""
-    ids = rows.select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+def learn_lexicon(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LEXICON_ROWS, size: int = LEXICON_SIZE) -> dict[int, float]:
+    """Hash of a term -> its log odds, from docs(doc_id, text) and labels(doc_id, label); at most ``size`` entries.
+
+    At most ``max_rows`` labels, chosen by a hash of the id, are sent to the documents.
+    """
+    ids = labels.select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     total = ids.groupBy().agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0")).first()
     n1, n0 = total["n1"] or 0, total["n0"] or 0
     if not n1 or not n0:
         return {}
     odds = F.log((F.col("n1") + 0.1) / F.lit(n1 + 0.2)) - F.log((F.col("n0") + 0.1) / F.lit(n0 + 0.2))
     found = (
-        rows.select("doc_id", "label", "text")
-        .join(F.broadcast(ids.select("doc_id")), "doc_id")
+        docs.select("doc_id", "text")
+        .join(F.broadcast(ids), "doc_id")
         .select("label", "text")
         .mapInArrow(_term_counts, "term long, n1 long, n0 long")
         .where("n1 > 0 or n0 > 0")
@@ -186,7 +189,7 @@ def train_and_score(docs: DataFrame, labelled: DataFrame, trees: int = 20, depth
     labelled = labelled.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(8))
     labelled = keep(labelled.withColumn("part", part))
-    lexicon = learn_lexicon(docs.select("doc_id", "text").join(labelled.where("part < 4"), "doc_id"))
+    lexicon = learn_lexicon(docs, labelled.where("part < 4"))
     table = keep(features(docs, lexicon))
     vectors = table.withColumn("features", array_to_vector("features"))
     use = vectors.join(labelled.where("part >= 4"), "doc_id").select("features", F.col("label").cast("double").alias("label"), "part").coalesce(shuffle_width(spark))
