@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import keep
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Count and two sums of hashes: equal for equal sets of edges."""
+    h = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first())
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``links(a, b)`` -> ``(node, root)`` for every node that has a link; root is the least node reachable.
 
@@ -17,6 +23,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     worst) and each is written to shared storage. Self links and repeats are ignored.
     """
     edges = keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    mark = _mark(edges)
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -26,11 +33,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(down, "u").select(
             F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         ).select("e.u", "e.v").where("u <> v").distinct()
-        new = keep(small)
-        changed = new.exceptAll(edges).limit(1).count() or edges.exceptAll(new).limit(1).count()
-        edges = new
-        if not changed:
+        edges = keep(small)
+        now = _mark(edges)
+        if now == mark:
             break
+        mark = now
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
