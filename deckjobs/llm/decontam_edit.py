@@ -172,7 +172,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, columns: tuple[str, ...] = ("d
     several blocks are merged row by row as the passes are chained.
     """
     spark = docs.sparkSession
-    base = docs.select(*columns, "text").withColumn("_items", F.expr("cast(array() as array<bigint>)"))
+    base = docs.select(*dict.fromkeys([*columns, "text"])).withColumn("_items", F.expr("cast(array() as array<bigint>)"))
     for block in blocks_of(benchmark, min_chars, block_chars):
         sent = spark.sparkContext.broadcast(block)
 

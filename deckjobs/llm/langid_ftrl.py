@@ -196,4 +196,4 @@ def predict(docs: DataFrame, model: dict, columns: tuple[str, ...] = ("doc_id",)
                 p.append(float(e[best] / e.sum()))
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(lang, pa.string()), pa.array(p, pa.float64())], [*columns, "lang_pred", "score"])
 
-    return docs.select(*columns, "text").mapInArrow(predicted, schema)
+    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(predicted, schema)

@@ -208,4 +208,4 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], columns: tuple[str, ...
             p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(p)], [*columns, "score"])
 
-    return docs.select(*columns, "text").mapInArrow(scored, schema)
+    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(scored, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, decontam_edit, langid_ftrl, quality_nbsvm, simhash_cover, spm_codec, token_store, toxicity_gbt
+from . import bwt_dedup, chat_windows, decontam_edit, fingerprint_cws, langid_ftrl, quality_nbsvm, simhash_cover, spm_codec, token_store, toxicity_gbt
 from .common import fold
 
 
@@ -48,6 +48,11 @@ def tokenizer_path(name: str) -> str:
 ESCAPE_PROBE = r"\### Assistant: </turn> ok"
 
 
+def op6_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings that an earlier one has."""
+    return bwt_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every conversation, read back from its formatted windows; conversation -7 probes the escapes."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -68,6 +73,11 @@ def op10_decontam_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam_edit.marked(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op2_fingerprint_cws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    return fingerprint_cws.with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_simhash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash_cover.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -117,5 +127,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM ended GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_nbsvm, op3_simhash_cover, op4_spm_codec, op5_langid_ftrl, op7_chat_windows, op8_token_store, op9_toxicity_gbt, op10_decontam_edit)}
+QUERIES = {f.__name__: f for f in (op1_quality_nbsvm, op2_fingerprint_cws, op3_simhash_cover, op4_spm_codec, op5_langid_ftrl, op6_bwt_dedup, op7_chat_windows, op8_token_store, op9_toxicity_gbt, op10_decontam_edit)}
 ORACLE_SQL: dict[str, str] = {"op7_chat_windows": OP7_SQL}

@@ -175,7 +175,7 @@ def features(docs: DataFrame, lexicon: dict[int, float], columns: tuple[str, ...
             ends = np.arange(len(texts) + 1, dtype=np.int32) * len(FEATURES)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))], [*columns, "features"])
 
-    return docs.select(*columns, "text").mapInArrow(made, schema)
+    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(made, schema)
 
 
 def train_and_score(docs: DataFrame, labelled: DataFrame, trees: int = 20, depth: int = 3) -> DataFrame:
