@@ -105,8 +105,7 @@ class Matcher:
                 b = end + 1 - length - offset + len(item) + k
                 own = spans.setdefault(item_id, [])
                 if own and a <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], b)
-                    own[-1][2] += 1
+                    own[-1] = [min(own[-1][0], a), max(own[-1][1], b), own[-1][2] + 1]
                 else:
                     own.append([a, b, 1])
         for item_id, own in spans.items():
