@@ -7,8 +7,8 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-#: Distinct chunks that one Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+#: Distinct chunks that one Python worker remembers; later ones are coded once for each call.
+REMEMBERED = 600_000
 
 
 def binary_array(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -35,9 +35,6 @@ class ChunkCoder:
 
     def __init__(self, code: Callable[[list[bytes]], list], limit: int = REMEMBERED):
         self.code, self.limit = code, limit
-        self._clear()
-
-    def _clear(self) -> None:
         self.slot: dict[bytes, int] = {}
         self.first = np.zeros(1024, np.int64)
         self.length = np.zeros(1024, np.int64)
@@ -66,11 +63,15 @@ class ChunkCoder:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         coded = chunks.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.slot) + len(distinct) > self.limit:
-            self._clear()
         new = [c for c in distinct if c not in self.slot]
+        before, used = len(self.slot), self.used
         if new:
             self._add(new)
         slots = np.fromiter((self.slot[c] for c in distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         length = self.length[slots]
-        return gathered(self.pool, self.first[slots], length), length
+        out = gathered(self.pool, self.first[slots], length)
+        if before >= self.limit:
+            for c in new:
+                del self.slot[c]
+            self.used = used
+        return out, length

@@ -50,34 +50,68 @@ def word_coder(path: str) -> ChunkCoder:
     return _coders[path]
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id and ``ids``, the little-endian 32-bit ids of the whole text and the end id."""
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[33:127] = ~_LETTER[33:127]
+_SIGN[39] = False
+
+
+def parts_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Parts of the words that the tokenizer codes alike alone or together, and the text of each.
+
+    It drops white space, lower-cases, and ends a token between an ASCII letter or digit
+    and an ASCII sign, but for apostrophes. Texts that may hold the name of a special token
+    are only cut at white space.
+    """
+    plain = not any(b"<|" in t for t in texts)
+    words = Words([t.lower() for t in texts] if plain else texts, hashed=False)
+    start, end, data = words.start, words.end, words.data
+    if plain and len(start):
+        letter, sign = _LETTER[data], _SIGN[data]
+        inner = np.flatnonzero((letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])) + 1
+        start, end = np.sort(np.concatenate([start, inner])), np.sort(np.concatenate([end, inner]))
+    return binary_array(data, start, end), np.searchsorted(words.offset, start, "right") - 1
+
+
+def id_type(tokenizer: str) -> str:
+    """Little-endian unsigned integers wide enough for the tokenizer's ids."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataFrame:
+    """doc_id and ``ids``, the ids of the whole text and the end id as integers of type ``kind``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_coder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
+        end, width = np.array([end_id], kind).tobytes(), np.dtype(kind).itemsize
         for batch in batches:
             texts = list(text_bytes(batch["text"]))
             out = []
             for a, b in pieces_of(texts, 1 << 21):
-                words = Words(texts[a:b], hashed=False)
-                ids, n = coder.ids(binary_array(words.data, words.start, words.end))
-                ends = np.cumsum(np.bincount(words.doc, n, b - a).astype(np.int64))
-                raw = ids.astype("<u4").tobytes()
-                out += [raw[4 * x : 4 * y] + end for x, y in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
+                parts, doc = parts_of(texts[a:b])
+                ids, n = coder.ids(parts)
+                ends = np.cumsum(np.bincount(doc, n, b - a).astype(np.int64))
+                raw = ids.astype(kind).tobytes()
+                out += [raw[width * x : width * y] + end for x, y in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        n = np.bincount(np.frombuffer(b"".join(text_bytes(batch["ids"])), "<u4").astype(np.int64), minlength=len(total))
-        n[: len(total)] += total
-        total = n
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
+def _counts(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            n = np.bincount(np.frombuffer(b"".join(text_bytes(batch["ids"])), kind), minlength=len(total))
+            n[: len(total)] += total
+            total = n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
+
+    return run
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -111,8 +145,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     table of the vocabulary's size), dealt out by ranges of doc_id and packed by partition.
     """
     spark = docs.sparkSession
-    ids = keep(encoded(docs, tokenizer, end_id))
-    counts = ids.mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    kind = id_type(tokenizer)
+    width = np.dtype(kind).itemsize
+    ids = keep(encoded(docs, tokenizer, end_id, kind))
+    counts = ids.mapInArrow(_counts(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     order = counts.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy()
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(order)], "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
     rank = np.zeros(int(order.max()) + 1 if len(order) else 0, np.uint32)
@@ -126,16 +162,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            values = sent.value[np.frombuffer(b"".join(held), "<u4")]
+            values = sent.value[np.frombuffer(b"".join(held), kind)]
             control, data = pack(values)
-            row = {"shard": [shard], "block": [block], "start": [start], "n_ids": [len(values)], "doc_ids": [names], "lengths": [[len(x) // 4 for x in held]], "control": [control], "data": [data]}
+            row = {"shard": [shard], "block": [block], "start": [start], "n_ids": [len(values)], "doc_ids": [names], "lengths": [[len(x) // width for x in held]], "control": [control], "data": [data]}
             return pa.RecordBatch.from_pydict(row, schema)
 
         for batch in batches:
             for name, one in zip(batch["doc_id"].to_pylist(), text_bytes(batch["ids"]), strict=True):
                 names.append(name)
                 held.append(one)
-                size += len(one) // 4
+                size += len(one) // width
                 if size >= BLOCK_IDS:
                     yield flush()
                     start, block, names, held, size = start + size, block + 1, [], [], 0
