@@ -3,9 +3,10 @@
 The model file is read here: pieces with scores, and the normaliser with its compiled
 character map. Normalisation takes the longest prefix of the rest of the text that the map
 knows (else one character), and records for every byte it writes the byte of the source it
-comes from. The normalised text is cut where a space mark follows another character, which
-no piece of the model spans, and each distinct part is coded once by merging the adjacent
-pair of best score until none is left. Every piece is then projected onto the source bytes.
+comes from. The normalised text is cut where a space mark follows another character, and
+between ASCII characters that are neighbours in no piece of the model, since nothing is
+merged there; each distinct part is coded once by merging the adjacent pair of best score
+until none is left. Every piece is then projected onto the source bytes.
 
 Defined results: null counts as empty, empty texts have no ids; equal texts have equal
 results; an empty table gives an empty result; other columns of the input are not read.
@@ -129,6 +130,12 @@ class Model:
         self.map = CharacterMap(norm["map"])
         if any("▁" in p.lstrip("▁") for p in self.ids):
             raise ValueError("a piece of this model spans a space")
+        #: ASCII neighbours that some piece has; between others nothing is ever merged
+        self.joins = np.zeros((128, 128), bool)
+        for p in self.ids:
+            for a, b in zip(p[:-1], p[1:], strict=True):
+                if a < "\x80" and b < "\x80":
+                    self.joins[ord(a), ord(b)] = True
 
     def normalized(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the normalised text, and for each the source byte it comes from (one more entry: the end)."""
@@ -236,7 +243,7 @@ def _decoder(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def encode_batch(texts: list[bytes], path: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def encode_batch(texts: list[bytes], path: str, with_spans: bool = True) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Ids of every text, and for each id the source bytes it covers as pairs (begin, end)."""
     model, coder = loaded(path)
     ids_out: list[np.ndarray] = []
@@ -252,6 +259,8 @@ def encode_batch(texts: list[bytes], path: str) -> tuple[list[np.ndarray], list[
         after[3:] = mark[:-3]
         begin = mark & ~after
         begin[(doc_end - length)[length > 0]] = True
+        ascii_pair = (data[:-1] < 128) & (data[1:] < 128)
+        begin[1 : len(data)] |= ascii_pair & ~model.joins[data[:-1] & 127, data[1:] & 127]
         start = np.flatnonzero(begin[: len(data)])
         end = np.append(start[1:], len(data)) if len(start) else start
         flat, n = coder.ids(binary_array(data, start, end))
@@ -264,8 +273,10 @@ def encode_batch(texts: list[bytes], path: str) -> tuple[list[np.ndarray], list[
             if not length[k]:
                 i = j = 0
             base = doc_end[k] - length[k]
-            stop = place[i:j] - base
             ids_out.append(ids[i:j])
+            if not with_spans:
+                continue
+            stop = place[i:j] - base
             spans_out.append(np.stack([source[stop - size[i:j]], source[stop]], axis=1) if j > i else np.zeros((0, 2), np.int64))
     return ids_out, spans_out
 
@@ -292,16 +303,15 @@ def round_trip(docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _decoder(path)
         for batch in batches:
-            ids, _ = encode_batch(list(text_bytes(batch["text"])), path)
-            lists = [x.tolist() for x in ids]
-            decoded = [decoder.decode(x) if x else "" for x in lists]
-            out = [
-                pa.array([len(x) for x in lists], pa.int64()),
-                pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in lists], pa.string()),
-                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
-            ]
-            if with_text:
-                out.append(pa.array(decoded, pa.string()))
+            texts = list(text_bytes(batch["text"]))
+            rows: list[tuple] = []
+            for a, b in pieces_of(texts, 1 << 20):
+                for x in encode_batch(texts[a:b], path, with_spans=False)[0]:
+                    ids = x.tolist()
+                    text = decoder.decode(ids) if ids else ""
+                    rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), text if with_text else None))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            out = [pa.array(c, k) for c, k in zip(cols[: 3 + with_text], [pa.int64(), pa.string(), pa.string(), pa.string()], strict=False)]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), *out], schema.fieldNames())
 
     return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, schema)
