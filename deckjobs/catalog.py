@@ -2,5 +2,778 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .functions import metrics, text
+from .functions import patterns as P
+from .operators import cues, freeform, glyphs, outline, rtf, sections, styles
+from .oracle import CAPS_OK, both, capitalized, cut, group, lit, matches, reference, sql, units, verse
+from .sources import fixtures as fx
+from .streaming.jobs import session_expiry as sessions
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = sql(oracle)
+        return f
+
+    return add
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    return outline.trim_blank_lines(fx.outline_lines(spark, sf))
+
+
+def _entries(spark: SparkSession, sf: str) -> DataFrame:
+    return outline.entries(fx.outline_lines(spark, sf))
+
+
+def _inked(spark: SparkSession, sf: str) -> DataFrame:
+    g = glyphs.font_flags(glyphs.glyph_clean(fx.doc_glyphs(spark, sf)))
+    x = glyphs.glyph_color_join(g, fx.paints(fx.doc_glyphs(spark, sf)))
+    return glyphs.ink_class(glyphs.page_background_join(x, glyphs.page_background(fx.fills(spark, sf), fx.page_boxes(spark, sf))))
+
+
+def _rows(spark: SparkSession, sf: str) -> DataFrame:
+    return glyphs.row_order(glyphs.baseline_rows(_inked(spark, sf)))
+
+
+def _plain_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return glyphs.row_order(glyphs.baseline_rows(glyphs.glyph_clean(fx.doc_glyphs(spark, sf))))
+
+
+def _kept(spark: SparkSession, sf: str) -> DataFrame:
+    return glyphs.drop_superscript_digits(_rows(spark, sf))
+
+
+def _slides(spark: SparkSession, sf: str) -> DataFrame:
+    return sections.slides(fx.doc_runs(spark, sf))
+
+
+def _cues(spark: SparkSession, sf: str) -> DataFrame:
+    return cues.cue_numbering(cues.cue_expand(_entries(spark, sf), default_copies=True, disable_copies=True))
+
+
+# ---- sources, sinks, rejects ----
+
+
+@query("SELECT doc_id, line_no, line FROM doc_lines")
+def src_lines(spark, sf):
+    from .sources.tables import src_lines as read
+
+    return read(fx.documents(spark, sf))
+
+
+@query("SELECT doc_id, page, count(*) AS n, sum(size)::double AS sizes, count(DISTINCT font) AS fonts, max(seq) AS last_seq FROM glyphs GROUP BY doc_id, page")
+def src_glyphs(spark, sf):
+    return fx.doc_glyphs(spark, sf).groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.sum("size").alias("sizes"), F.count_distinct("font").alias("fonts"), F.max("seq").alias("last_seq"))
+
+
+@query("SELECT d.doc_id, CASE WHEN regexp_matches(coalesce(d.text, ''), '^\\s*$') THEN 'no text found' ELSE 'no labels found' END AS reason FROM documents d WHERE NOT EXISTS (SELECT 1 FROM entries e WHERE e.doc_id = d.doc_id)")
+def quarantine(spark, sf):
+    return outline.quarantine(fx.documents(spark, sf), _entries(spark, sf))[1]
+
+
+_DECK = "SELECT doc_id, count(*) AS n_cues, string_agg(name, '|' ORDER BY cue_no) AS names, string_agg(sha256(doc_id || '|' || cue_no), '' ORDER BY cue_no) AS ids FROM numbered GROUP BY doc_id"
+
+
+@query(_DECK)
+def sink_presentations(spark, sf):
+    names = fx.jobs(spark, sf).select("doc_id", "name")
+    d = cues.presentations(_cues(spark, sf), names)
+    return d.select("doc_id", F.size("cues").cast("long").alias("n_cues"), F.array_join(F.transform("cues", lambda c: c["name"]), "|").alias("names"), F.array_join("cue_ids", "").alias("ids"))
+
+
+@query("SELECT doc_id, (cue_no - 1)::int AS idx, name, role, enabled FROM numbered")
+def src_cues(spark, sf):
+    d = cues.presentations(_cues(spark, sf), fx.jobs(spark, sf).select("doc_id", "name"))
+    return cues.src_cues(d).select("doc_id", "idx", "name", "role", "enabled")
+
+
+def _style_store(spark, sf):
+    """Styles of documents' jobs, written as style files and read again."""
+    import uuid
+
+    from .sources.tables import sink_styles as write
+    from .sources.tables import src_styles as read
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp"
+    path = f"{root.rstrip('/')}/deckjobs-styles-{uuid.uuid4().hex}"
+    of = fx.documents(spark, sf).select(F.concat_ws("-", "source", "lang").alias("name"), F.when(F.col("lang") == "en", "prompts").when(F.col("lang") == "fr", "other").otherwise("slides").alias("kind"), "doc_id")
+    rows = of.select("name", "kind", F.create_map(F.lit("body"), F.encode(F.concat(F.lit("cue "), F.col("doc_id")), "UTF-8")).alias("templates"), F.struct(F.lit("#FFFFFF").alias("regular_color"), F.lit(None).cast("string").alias("emphasis_color"), (F.col("doc_id") % 2 == 0).alias("force_caps_off"), F.lit(None).cast("boolean").alias("highlight_bold"), F.lit(None).cast("int").alias("scripture_max_lines")).alias("settings"), "doc_id")
+    write(rows, path, "doc_id")
+    return read(spark, path)
+
+
+_STORE = "SELECT source || '-' || lang AS name, CASE lang WHEN 'en' THEN 'prompts' ELSE 'slides' END AS kind, 'cue ' || max(doc_id) AS body, max(doc_id) % 2 = 0 AS caps_off FROM documents WHERE lang <> 'fr' GROUP BY source, lang"
+
+
+@query(_STORE)
+def src_styles(spark, sf):
+    return _style_store(spark, sf).select("name", "kind", F.decode(F.col("templates")["body"], "UTF-8").alias("body"), F.col("settings.force_caps_off").alias("caps_off"))
+
+
+@query("SELECT kind, count(*) AS n FROM (" + _STORE + ") GROUP BY kind")
+def sink_styles(spark, sf):
+    return _style_store(spark, sf).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+# ---- projections, filters, predicates ----
+
+
+@query("SELECT doc_id, line_no, line FROM clean_lines")
+def trim_blank_lines(spark, sf):
+    return _lines(spark, sf)
+
+
+@query("SELECT doc_id, line_no, kind IS NOT NULL AS is_label FROM kinds")
+def is_label_line(spark, sf):
+    return outline.is_label_line(_lines(spark, sf)).select("doc_id", "line_no", "is_label")
+
+
+@query("SELECT doc_id, page, count(*) AS n, sum(length(s)) AS chars FROM glyphs WHERE s NOT IN ('', chr(10), chr(13)) GROUP BY doc_id, page")
+def glyph_clean(spark, sf):
+    return glyphs.glyph_clean(fx.doc_glyphs(spark, sf)).groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("chars"))
+
+
+@query("SELECT doc_id, length(x) AS n, length(replace(replace(replace(x, 'ﬁ', 'fi'), 'ﬀ', 'ff'), 'ﬆ', 'st')) AS expanded FROM (SELECT doc_id, replace(replace(replace(text, 'fi', 'ﬁ'), 'ff', 'ﬀ'), 'st', 'ﬆ') AS x FROM documents)")
+def expand_ligatures(spark, sf):
+    tied = F.replace(F.replace(F.replace("text", F.lit("fi"), F.lit("ﬁ")), F.lit("ff"), F.lit("ﬀ")), F.lit("st"), F.lit("ﬆ"))
+    return fx.documents(spark, sf).select("doc_id", tied.alias("x")).select("doc_id", F.length("x").alias("n"), F.length(text.expand_ligatures(F.col("x"))).alias("expanded"))
+
+
+@query("SELECT doc_id, count(*) FILTER (font LIKE '%Heavy%') AS bold, count(*) FILTER (font LIKE '%Oblique%') AS italic FROM glyphs GROUP BY doc_id")
+def font_flags(spark, sf):
+    return glyphs.font_flags(fx.doc_glyphs(spark, sf)).groupBy("doc_id").agg(F.count_if("bold").alias("bold"), F.count_if("italic").alias("italic"))
+
+
+@query("SELECT doc_id, page, (sum(c[1] * 1024))::bigint AS r, (sum(c[2] * 1024))::bigint AS g, (sum(c[3] * 1024))::bigint AS b FROM fresh GROUP BY doc_id, page")
+def color_to_rgb(spark, sf):
+    x = fx.paints(fx.doc_glyphs(spark, sf)).withColumn("c", text.rgb(F.col("comps")))
+    return x.groupBy("doc_id", "page").agg(*(F.sum(F.col(f"c.{k}") * 1024).cast("long").alias(k) for k in "rgb"))
+
+
+@query("SELECT doc_id, color, highlight, count(*) AS n FROM colored GROUP BY doc_id, color, highlight")
+def ink_class(spark, sf):
+    return _inked(spark, sf).groupBy("doc_id", "color", "highlight").agg(F.count("*").alias("n"))
+
+
+@query("SELECT hex, count(*) AS n FROM (SELECT printf('#%02X%02X%02X', floor(c[1] * 255 + 0.5)::int, floor(c[2] * 255 + 0.5)::int, floor(c[3] * 255 + 0.5)::int) AS hex FROM fresh) GROUP BY hex")
+def hex_color(spark, sf):
+    x = fx.paints(fx.doc_glyphs(spark, sf)).select(text.hex_color(text.rgb(F.col("comps"))).alias("hex"))
+    return x.groupBy("hex").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, page, line_no, count(*) AS n FROM kept_rows GROUP BY doc_id, page, line_no")
+def drop_superscript_digits(spark, sf):
+    return glyphs.drop_superscript_digits(_plain_rows(spark, sf)).groupBy("doc_id", "page", "line_no").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, line_no, isize::double AS size, body FROM kept_lines")
+def drop_small_print(spark, sf):
+    return freeform.drop_small_print(fx.geo_lines(spark, sf)).select("doc_id", "line_no", "size", "body")
+
+
+@query("SELECT doc_id, pos, label, CASE WHEN lower(label) LIKE 'point%' OR lower(label) LIKE 'subpoint%' THEN 'point' ELSE 'keyword' END AS role FROM entries WHERE kind = 'point'")
+def role_for_point(spark, sf):
+    return _entries(spark, sf).where("kind = 'point'").select("doc_id", "pos", "label", outline.role_for_point(F.col("label")).alias("role"))
+
+
+@query("SELECT j.doc_id, s.regular_color, s.emphasis_color, s.force_caps_off, s.highlight_bold, s.scripture_max_lines FROM jobs j JOIN settled s ON s.name = j.style")
+def settings_defaults(spark, sf):
+    s = styles.settings_defaults(fx.styles(spark)).withColumnRenamed("name", "style")
+    return fx.jobs(spark, sf).join(s, "style").select("doc_id", "regular_color", "emphasis_color", "force_caps_off", "highlight_bold", "scripture_max_lines")
+
+
+@query("SELECT doc_id, CASE WHEN colors = '' THEN 'auto' ELSE colors END AS colors, CASE WHEN max_lines <= 0 THEN 7 ELSE max_lines END AS max_lines, CASE WHEN trim(name) = '' THEN 'My Message' ELSE name END AS name, CASE WHEN box_width > 0 THEN box_width::double ELSE 1920.0 END AS box_width, CASE WHEN box_width > 0 THEN 50.0 ELSE 135.0 END AS box_size FROM jobs")
+def job_defaults(spark, sf):
+    return styles.job_defaults(fx.jobs(spark, sf)).select("doc_id", "colors", "max_lines", "name", "box_width", "box_size")
+
+
+@query("SELECT doc_id, colors = 'pdf' OR (colors <> 'style' AND mode = 'prompts') AS keep FROM jobs")
+def pdf_colors_policy(spark, sf):
+    return fx.jobs(spark, sf).select("doc_id", styles.pdf_colors_policy(F.col("colors"), F.col("mode") == "prompts").alias("keep"))
+
+
+@query("SELECT s.name AS name, count(j.doc_id) AS n_jobs FROM styles s LEFT JOIN jobs j ON j.style = s.name WHERE s.kind = 'slides' GROUP BY s.name")
+def kind_filter(spark, sf):
+    return styles.kind_filter(fx.styles(spark), "slides").join(fx.jobs(spark, sf).select("doc_id", F.col("style").alias("name")), "name", "left").groupBy("name").agg(F.count("doc_id").alias("n_jobs"))
+
+
+@query("SELECT doc_id, name, trim(name) NOT IN ('', '.', '..') AND NOT regexp_matches(name, '[/\\\\:*?\"<>|]') AS ok FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '../' || lang WHEN 1 THEN source || ':' || lang WHEN 2 THEN '..' ELSE source END AS name FROM documents)")
+def valid_style_name(spark, sf):
+    i = F.col("doc_id") % 4
+    name = F.when(i == 0, F.concat(F.lit("../"), "lang")).when(i == 1, F.concat("source", F.lit(":"), "lang")).when(i == 2, "..").otherwise(F.col("source"))
+    return fx.documents(spark, sf).select("doc_id", name.alias("name")).withColumn("ok", text.valid_style_name(F.col("name")))
+
+
+_REVIEW = f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS idx, CASE kind WHEN 'title' THEN 'Title' WHEN 'point' THEN label WHEN 'scripture' THEN 'Scripture' WHEN 'image' THEN 'Image (add manually)' ELSE 'Back to ' || ref END AS kind,
+CASE kind WHEN 'scripture' THEN reference || ': ' || {cut('verse', 100)} WHEN 'backto' THEN CASE WHEN trigger = '' THEN '(same slide again)' ELSE trigger END ELSE text END AS text, kind = 'image' AS image FROM entries"""
+
+
+@query(_REVIEW)
+def review_rows(spark, sf):
+    return outline.review_rows(_entries(spark, sf))
+
+
+# ---- joins ----
+
+
+@query("SELECT doc_id, page, count(ink) AS inked, (sum(list_max(ink) * 1024))::bigint AS brightness FROM inked GROUP BY doc_id, page")
+def glyph_color_join(spark, sf):
+    g = fx.doc_glyphs(spark, sf)
+    x = glyphs.glyph_color_join(glyphs.glyph_clean(g), fx.paints(g))
+    return x.groupBy("doc_id", "page").agg(F.count("ink").alias("inked"), F.sum(text.brightness(F.col("ink")) * 1024).cast("long").alias("brightness"))
+
+
+@query("SELECT doc_id, page, (doc_id + page) % 2 = 0 AS dark_page, count(*) AS n FROM glyphs GROUP BY doc_id, page")
+def page_background_join(spark, sf):
+    x = glyphs.page_background_join(fx.doc_glyphs(spark, sf), glyphs.page_background(fx.fills(spark, sf), fx.page_boxes(spark, sf)))
+    return x.groupBy("doc_id", "page", "dark_page").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT doc_id, page, CASE WHEN (doc_id + page) % 2 = 0 THEN 0.25 ELSE 1.0 END::double AS grey FROM geo_lines")
+def page_background(spark, sf):
+    return glyphs.page_background(fx.fills(spark, sf), fx.page_boxes(spark, sf)).select("doc_id", "page", F.col("background.r").alias("grey"))
+
+
+def _geometry(spark):
+    s = styles.settings_defaults(fx.styles(spark)).select(F.col("name").alias("style"), "force_caps_off", F.explode("roles").alias("role"))
+    width = F.when(F.col("role") == "scripture", 1440.0).otherwise(1800.0)
+    return s.select("style", "role", "force_caps_off", F.lit("ALL_CAPS").alias("caps"), width.alias("box_w"), F.lit(300.0).alias("box_h"), F.lit(600.0).alias("box_y"), F.lit(20.0).alias("margin_l"), F.lit(20.0).alias("margin_r"), F.lit(8.0).alias("margin_t"), F.lit(8.0).alias("margin_b"), F.lit(50.0).alias("font_size"), F.lit(0.0).alias("line_height_multiple"), F.lit(1080.0).alias("slide_h"))
+
+
+@query("SELECT count(*) AS n, role, width FROM (SELECT n.role, CASE n.role WHEN 'scripture' THEN 1400.0 ELSE 1760.0 END::double AS width FROM numbered n JOIN jobs j USING (doc_id) JOIN (SELECT name, unnest(roles) AS role FROM styles) s ON s.name = CASE WHEN j.doc_id % 2 = 0 THEN 'Torn' ELSE 'Deck' END AND s.role = n.role) GROUP BY role, width")
+def role_template_join(spark, sf):
+    c = _cues(spark, sf).withColumn("style", F.when(F.col("doc_id") % 2 == 0, "Torn").otherwise("Deck"))
+    good, _ = styles.role_template_join(c, _geometry(spark))
+    return good.groupBy("role", (F.col("box_w") - F.col("margin_l") - F.col("margin_r")).alias("width")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT n.doc_id, n.cue_no, l.uuid AS look_uuid, CASE WHEN l.uuid IS NULL THEN 1 ELSE 2 END AS n_actions FROM numbered n LEFT JOIN (SELECT * FROM looks WHERE uuid <> '' AND style = 'Deck') l ON l.role = n.look_role")
+def role_look_join(spark, sf):
+    return styles.role_look_join(_cues(spark, sf).withColumn("style", F.lit("Deck")), fx.looks(spark)).select("doc_id", "cue_no", "look_uuid", "n_actions")
+
+
+@query("SELECT j.doc_id, j.mode, j.style, CASE WHEN s.name IS NULL THEN 'no such style' WHEN s.kind <> j.mode THEN 'style is of kind ' || s.kind WHEN s.name = 'Torn' THEN 'missing templates: keyword, scripture' END AS reason FROM jobs j LEFT JOIN styles s ON s.name = j.style")
+def style_job_join(spark, sf):
+    return styles.style_job_join(fx.jobs(spark, sf), fx.styles(spark))
+
+
+@query("SELECT doc_id, pos, kind, source_pos FROM asof_entries")
+def backto_asof(spark, sf):
+    return outline.backto_asof(_entries(spark, sf)).select("doc_id", "pos", "kind", "source_pos")
+
+
+@query("SELECT doc_id, pos, 'Back to ' || ref AS warning FROM asof_entries WHERE kind = 'backto' AND source_pos IS NULL")
+def backto_unresolved(spark, sf):
+    return outline.backto_unresolved(_entries(spark, sf))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM slide_runs)")
+def marker_fallback(spark, sf):
+    return sections.marker_fallback(fx.documents(spark, sf), _slides(spark, sf))
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS idx, kind FROM (" + _REVIEW + ") WHERE NOT (doc_id % 5 = 0 AND idx IN (1, 3))")
+def remove_rows(spark, sf):
+    return outline.remove_rows(outline.review_rows(_entries(spark, sf)), fx.removals(spark, sf)).select("doc_id", "idx", "kind")
+
+
+@query("SELECT DISTINCT source || '-' || lang AS name FROM documents WHERE lang <> 'en' AND source <> 'src1'")
+def seed_styles(spark, sf):
+    names = fx.documents(spark, sf).select(F.concat_ws("-", "source", "lang").alias("name"), "lang", "source")
+    defaults = names.select("name").distinct()
+    return styles.seed_styles(defaults, names.where("source = 'src1'").distinct(), names.where("lang = 'en'").distinct(), True, [])
+
+
+@query(f"SELECT doc_id, page, sum(units)::bigint AS total, max(units) AS widest FROM chars GROUP BY doc_id, page")
+def char_width_join(spark, sf):
+    chars = fx.geo_lines(spark, sf).select("doc_id", "page", F.explode(F.split("text", "")).alias("s")).where("s <> ''")
+    return chars.withColumn("u", fx.char_units(F.col("s"))).groupBy("doc_id", "page").agg(F.sum("u").alias("total"), F.max("u").alias("widest"))
+
+
+# ---- aggregates ----
+
+
+@query("SELECT doc_id, page, line_no, min(x) FILTER (trim(s) <> '') AS x0, max(x + w) FILTER (trim(s) <> '') AS x1, arg_min(y, ord) AS y, max(size) FILTER (trim(s) <> '')::double AS size FROM kept_rows GROUP BY doc_id, page, line_no HAVING count(*) FILTER (trim(s) <> '') > 0")
+def line_extents(spark, sf):
+    return glyphs.line_extents(glyphs.drop_superscript_digits(_plain_rows(spark, sf)))
+
+
+@query("SELECT doc_id, body FROM bodies")
+def body_size(spark, sf):
+    return freeform.body_size(fx.geo_lines(spark, sf))
+
+
+@query("SELECT doc_id, body, bytes FROM bodies")
+def mode_top1(spark, sf):
+    return freeform.mode_top1(fx.geo_lines(spark, sf))
+
+
+@query("SELECT doc_id, gap FROM gaps")
+def line_gap(spark, sf):
+    return freeform.line_gap(freeform.drop_small_print(fx.geo_lines(spark, sf)))
+
+
+@query("SELECT doc_id, col AS column_ FROM columns_of")
+def column_width(spark, sf):
+    return freeform.column_width(freeform.drop_small_print(fx.geo_lines(spark, sf))).withColumnRenamed("column", "column_")
+
+
+@query("SELECT doc_id, block, n, has_lower, wide, heading_only, flowing FROM stats")
+def block_stats(spark, sf):
+    return freeform.block_stats(freeform.layout_blocks(freeform.drop_small_print(fx.geo_lines(spark, sf))))
+
+
+@query("SELECT doc_id, page, line_no, string_agg(CASE WHEN run_no > 0 AND space_before THEN ' ' ELSE '' END || text, '' ORDER BY run_no) AS text FROM runs GROUP BY doc_id, page, line_no")
+def line_text(spark, sf):
+    return glyphs.line_text(glyphs.run_merge(glyphs.glyph_runs(_kept(spark, sf))))
+
+
+@query("SELECT doc_id, slide_no, string_agg(line, ' ' ORDER BY line_no) AS text FROM slide_lines GROUP BY doc_id, slide_no")
+def slide_text(spark, sf):
+    return sections.slide_text(_slides(spark, sf))
+
+
+@query("SELECT * FROM runs")
+def run_merge(spark, sf):
+    return glyphs.run_merge(glyphs.glyph_runs(_kept(spark, sf)))
+
+
+@query()
+def measure_lines(spark, sf):
+    return freeform.measure_lines(fx.geo_lines(spark, sf))
+
+
+def _styled(spark, sf, keep=True):
+    s = _slides(spark, sf).withColumns({"keep_colors": F.lit(keep) & (F.col("doc_id") % 2 == 0), "highlight_bold": F.lit(True), "regular_color": F.when(F.col("doc_id") % 3 == 0, "#fae333").otherwise("#FFFFFF"), "emphasis_color": F.lit("#FFFF00")})
+    return rtf.run_style(s)
+
+
+_PALETTE = """SELECT doc_id, slide_no, upper AS upper_, hex, base + row_number() OVER (PARTITION BY doc_id, slide_no ORDER BY line_no, run_no, k) - 1 AS at FROM (
+SELECT doc_id, slide_no, upper(h) AS upper, arg_min(h, (line_no, run_no, k)) AS hex, min(line_no) AS line_0, min((line_no, run_no, k))[1] AS line_no, min((line_no, run_no, k))[2] AS run_no, min((line_no, run_no, k))[3] AS k, 1 AS base FROM (
+SELECT doc_id, slide_no, line_no, run_no, unnest(range(len(u))) AS k, unnest(u) AS h, CASE WHEN doc_id % 3 = 0 THEN '#FAE333' ELSE '#FFFFFF' END AS regular FROM (
+SELECT *, CASE WHEN highlight THEN ['#000000', '#FFFFFF'] WHEN color <> '' THEN [color] ELSE []::varchar[] END AS u FROM slide_runs WHERE doc_id % 2 = 0)) WHERE upper(h) <> regular GROUP BY doc_id, slide_no, upper(h))"""
+
+
+@query(_PALETTE)
+def color_palette(spark, sf):
+    return rtf.color_palette(_styled(spark, sf)).withColumnRenamed("upper", "upper_")
+
+
+@query("""SELECT doc_id, u.unrecognized, b.unresolved, i.skipped_images FROM (SELECT doc_id, string_agg(line, '; ' ORDER BY line_no) AS unrecognized FROM taken WHERE NOT taken GROUP BY doc_id) u
+FULL JOIN (SELECT doc_id, string_agg('Back to ' || ref, '; ' ORDER BY pos) AS unresolved FROM asof_entries WHERE kind = 'backto' AND source_pos IS NULL GROUP BY doc_id) b USING (doc_id)
+FULL JOIN (SELECT doc_id, string_agg(text, '; ' ORDER BY pos) AS skipped_images FROM entries WHERE kind = 'image' GROUP BY doc_id) i USING (doc_id)""")
+def doc_warnings(spark, sf):
+    return outline.doc_warnings(fx.outline_lines(spark, sf), _entries(spark, sf))
+
+
+@query("SELECT doc_id, count(*) AS n_entries, count(*) FILTER (kind = 'title') AS n_title, count(*) FILTER (kind = 'point') AS n_point, count(*) FILTER (kind = 'scripture') AS n_scripture, count(*) FILTER (kind = 'image') AS n_image, count(*) FILTER (kind = 'backto') AS n_backto FROM entries GROUP BY doc_id")
+def corpus_profile(spark, sf):
+    return outline.corpus_profile(_entries(spark, sf))
+
+
+@query(f"SELECT doc_id, idx, CASE WHEN said = '' THEN '(no text)' ELSE {cut('said', 120)} END AS preview, 2 AS n_elements FROM (SELECT doc_id, (cue_no - 1)::int AS idx, array_to_string(list_filter([trim(regexp_replace(name, '\\s+', ' ', 'g')), trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))], lambda t: t <> ''), ' | ') AS said FROM numbered)")
+def cue_preview(spark, sf):
+    c = _cues(spark, sf).select("doc_id", (F.col("cue_no") - 1).alias("idx"), F.array("name", F.coalesce("text", F.lit(""))).alias("elements"))
+    return cues.cue_preview(c)
+
+
+# ---- windows ----
+
+
+@query("SELECT doc_id, page, line_no, max(anchor) AS anchor, count(*) AS n FROM rows_of GROUP BY doc_id, page, line_no")
+def baseline_rows(spark, sf):
+    return glyphs.baseline_rows(glyphs.glyph_clean(fx.doc_glyphs(spark, sf))).groupBy("doc_id", "page", "line_no").agg(F.max("anchor").alias("anchor"), F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, page, line_no, sha256(string_agg(s, '' ORDER BY ord)) AS digest FROM rows_of GROUP BY doc_id, page, line_no")
+def row_order(spark, sf):
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "s"))), lambda g: g["s"]), "")
+    return _plain_rows(spark, sf).groupBy("doc_id", "page", "line_no").agg(F.sha2(joined, 256).alias("digest"))
+
+
+@query("SELECT doc_id, page, line_no, max(run_no)::bigint AS last_run, count(*) FILTER (spaced) AS spaces FROM run_glyphs GROUP BY doc_id, page, line_no")
+def glyph_runs(spark, sf):
+    return glyphs.glyph_runs(_kept(spark, sf)).groupBy("doc_id", "page", "line_no").agg(F.max("run_no").alias("last_run"), F.count_if("pending").alias("spaces"))
+
+
+@query("SELECT doc_id, section, count(*) AS n FROM sectioned GROUP BY doc_id, section")
+def marker_sections(spark, sf):
+    return sections.marker_sections(fx.doc_runs(spark, sf)).groupBy("doc_id", "section").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT doc_id, section, slide_no FROM slide_runs")
+def renumber_slides(spark, sf):
+    return sections.renumber_slides(sections.marker_sections(fx.doc_runs(spark, sf))).select("doc_id", "section", "slide_no").distinct()
+
+
+@query("SELECT doc_id, slide_no, count(*) FILTER (NOT space_before) AS unspaced FROM slide_runs GROUP BY doc_id, slide_no")
+def reset_leading_space(spark, sf):
+    return _slides(spark, sf).groupBy("doc_id", "slide_no").agg(F.count_if(~F.col("space_before")).alias("unspaced"))
+
+
+@query("SELECT doc_id, line_no, block FROM blocks")
+def layout_blocks(spark, sf):
+    return freeform.layout_blocks(freeform.drop_small_print(fx.geo_lines(spark, sf))).select("doc_id", "line_no", "block")
+
+
+@query()
+def heading_attach(spark, sf):
+    return freeform.freeform_slides(fx.geo_lines(spark, sf)).select("doc_id", "slide_no", F.size("lines").alias("n_lines"))
+
+
+@query("SELECT doc_id, line_no, island::bigint AS island, starts FROM islands")
+def outline_islands(spark, sf):
+    return outline.outline_islands(fx.outline_lines(spark, sf)).select("doc_id", "line_no", "island", "starts")
+
+
+@query("SELECT doc_id, line_no, forced FROM marked")
+def scripture_marker(spark, sf):
+    return outline.scripture_marker(_lines(spark, sf)).select("doc_id", "line_no", "forced")
+
+
+@query("SELECT doc_id, line_no, island_kind, taken FROM taken")
+def image_island(spark, sf):
+    return outline.image_island(outline.outline_islands(fx.outline_lines(spark, sf))).select("doc_id", "line_no", "island_kind", "taken")
+
+
+@query("SELECT doc_id, pos, part_no, copy_no, cue_no FROM numbered")
+def cue_numbering(spark, sf):
+    return _cues(spark, sf).select("doc_id", "pos", "part_no", "copy_no", "cue_no")
+
+
+def _changes(spark, sf):
+    s = _styled(spark, sf)
+    c = rtf.run_colors(s, rtf.color_palette(s))
+    n = rtf.color_palette(s).groupBy("doc_id", "slide_no").agg(F.count("*").alias("more"))
+    x = c.join(n, ["doc_id", "slide_no"], "left").withColumn("clear", F.when(F.col("keep_colors"), 2).otherwise(3) + F.coalesce("more", F.lit(0)))
+    return rtf.rtf_state_diff(x.withColumn("style_italic", F.col("doc_id") % 4 == 1))
+
+
+_STYLED = """SELECT r.*, CASE WHEN r.doc_id % 2 = 0 THEN CASE WHEN highlight THEN '#000000' ELSE upper(color) END WHEN bold THEN '*' ELSE '' END AS want, r.doc_id % 2 = 0 AS keep, r.doc_id % 4 = 1 AS si, (CASE WHEN r.doc_id % 3 = 0 THEN '#FAE333' ELSE '#FFFFFF' END) AS regular FROM slide_runs r"""
+_COLORED = f"""SELECT s.*, CASE WHEN want = '' OR want = regular THEN 0 WHEN want = '*' THEN 1 ELSE p.at END AS color_at, CASE WHEN keep AND highlight THEN 1 + CASE WHEN regular = '#FFFFFF' THEN 0 ELSE w.at END ELSE CASE WHEN keep THEN 2 ELSE 3 END + coalesce(m.n, 0) END AS mark, CASE WHEN keep THEN 2 ELSE 3 END + coalesce(m.n, 0) AS clear, si OR (keep AND italic) AS slant
+FROM ({_STYLED}) s LEFT JOIN ({_PALETTE}) p ON p.doc_id = s.doc_id AND p.slide_no = s.slide_no AND p.upper_ = want LEFT JOIN ({_PALETTE}) w ON w.doc_id = s.doc_id AND w.slide_no = s.slide_no AND w.upper_ = '#FFFFFF' LEFT JOIN (SELECT doc_id, slide_no, count(*) AS n FROM ({_PALETTE}) GROUP BY doc_id, slide_no) m ON m.doc_id = s.doc_id AND m.slide_no = s.slide_no"""
+_CONTROL = f"""SELECT *, CASE WHEN coalesce(lag(color_at) OVER l, -1) <> color_at THEN '\\cf' || (color_at + 1) ELSE '' END || CASE WHEN coalesce(lag(slant) OVER l, si) <> slant THEN CASE WHEN slant THEN '\\i' ELSE '\\i0' END ELSE '' END || CASE WHEN coalesce(lag(mark) OVER l, clear) <> mark THEN '\\highlight' || mark || '\\cb' || mark ELSE '' END AS control FROM ({_COLORED}) WINDOW l AS (PARTITION BY doc_id, slide_no, line_no ORDER BY run_no)"""
+
+
+@query(f"SELECT doc_id, slide_no, line_no, run_no, control FROM ({_CONTROL})")
+def rtf_state_diff(spark, sf):
+    return _changes(spark, sf).select("doc_id", "slide_no", "line_no", "run_no", "control")
+
+
+# ---- sorts, limits ----
+
+
+@query("SELECT doc_id, page, line_no, max(place) AS last_place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, line_no, ord) AS place FROM rows_of) GROUP BY doc_id, page, line_no")
+def reading_order(spark, sf):
+    return glyphs.reading_order(glyphs.glyph_clean(fx.doc_glyphs(spark, sf))).groupBy("doc_id", "page", "line_no").agg(F.max("place").alias("last_place"))
+
+
+@query("SELECT place, name, array_to_string(list_sort(roles), ',') AS roles, (SELECT count(*) FROM jobs j WHERE j.style = s.name) AS n_jobs FROM (SELECT *, row_number() OVER (ORDER BY name) AS place FROM styles WHERE name <> 'bad/name') s")
+def styles_sorted(spark, sf):
+    n = fx.jobs(spark, sf).groupBy(F.col("style").alias("name")).agg(F.count("*").alias("n_jobs"))
+    return styles.styles_sorted(fx.styles(spark)).join(n, "name", "left").select("place", "name", F.array_join("roles", ",").alias("roles"), F.coalesce("n_jobs", F.lit(0)).alias("n_jobs"))
+
+
+@query("SELECT j.doc_id, (row_number() OVER (PARTITION BY j.doc_id ORDER BY role) - 1)::int AS place, role FROM jobs j JOIN (SELECT name, unnest(roles) AS role FROM styles) s ON s.name = j.style")
+def roles_sorted(spark, sf):
+    return fx.jobs(spark, sf).join(styles.roles_sorted(fx.styles(spark)).withColumnRenamed("name", "style"), "style").select("doc_id", "place", "role")
+
+
+@query(f"SELECT doc_id, {cut('text', 160)} AS short FROM documents")
+def truncate_text(spark, sf):
+    return fx.documents(spark, sf).select("doc_id", text.truncate_text(F.col("text"), 160).alias("short"))
+
+
+@query("SELECT doc_id, (cue_no - 1)::int AS idx, name AS slide, CASE WHEN look_role = 'backto' THEN 'Default' END AS look FROM numbered")
+def first_per_group(spark, sf):
+    act = lambda k, v: F.struct(F.lit(k).alias("kind"), v.alias("value"))
+    look = F.when(F.col("look_role") == "backto", F.array(act("look", F.lit("Default")), act("look", F.lit("second"))))
+    c = _cues(spark, sf).select("doc_id", (F.col("cue_no") - 1).alias("idx"), F.concat(F.array(act("other", F.lit("x")), act("slide", F.col("name"))), F.coalesce(look, F.array(act("none", F.lit("y")))), F.array(act("slide", F.lit("later")))).alias("actions"))
+    return cues.first_per_group(c)
+
+
+# ---- set operations ----
+
+
+@query("SELECT way, count(*) AS n FROM (SELECT 'marker' AS way, doc_id FROM slide_runs UNION ALL SELECT 'freeform', doc_id FROM doc_runs WHERE doc_id NOT IN (SELECT doc_id FROM slide_runs)) GROUP BY way")
+def prompts_union(spark, sf):
+    s = _slides(spark, sf)
+    rest = fx.doc_runs(spark, sf).join(sections.marker_fallback(fx.documents(spark, sf), s), "doc_id", "left_semi")
+    return sections.prompts_union(s.select("doc_id"), rest.select("doc_id")).groupBy("way").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CASE style WHEN 'Torn' THEN 'keyword,scripture' ELSE '' END AS missing FROM jobs WHERE style <> 'None'")
+def missing_roles(spark, sf):
+    m = styles.missing_roles(fx.styles(spark)).withColumnRenamed("name", "style")
+    return fx.jobs(spark, sf).join(m, "style").select("doc_id", F.array_join("missing", ",").alias("missing"))
+
+
+@query("SELECT doc_id, CASE style WHEN 'Torn' THEN 'point,keyword,scripture,backto' WHEN 'Deck' THEN 'scripture' ELSE 'body,backto' END AS missing FROM jobs WHERE style <> 'None'")
+def missing_looks(spark, sf):
+    m = styles.missing_looks(fx.styles(spark), fx.looks(spark)).withColumnRenamed("name", "style")
+    return fx.jobs(spark, sf).join(m, "style").select("doc_id", F.array_join("missing", ",").alias("missing"))
+
+
+@query("SELECT DISTINCT source || '-' || lang AS name FROM documents WHERE lang = 'en' OR source = 'src1' ORDER BY name")
+def offered_union(spark, sf):
+    names = fx.documents(spark, sf).select(F.concat_ws("-", "source", "lang").alias("name"), "lang", "source")
+    return styles.offered_union(names.where("lang = 'en'"), names.where("source = 'src1'"))
+
+
+@query("SELECT doc_id, pos, part_no, copy_no, role, look_role, name, text, source_pos, enabled FROM cues")
+def cue_expand(spark, sf):
+    return cues.cue_expand(_entries(spark, sf), default_copies=True, disable_copies=True)
+
+
+# ---- scalar functions ----
+
+
+def _rx(name: str, pattern: str, n: int, test: str | None = None) -> None:
+    cols = ", ".join(f"{group('line', pattern, i)} AS g{i}" for i in range(1, n + 1))
+
+    @query(f"SELECT doc_id, line_no, {cols} FROM clean_lines WHERE {test or matches('line', pattern)}")
+    def f(spark, sf):
+        line = F.col("line")
+        ok = line.rlike(pattern) if not test else line.rlike(P.CAPS) & ~F.regexp_extract(line, P.CAPS, 1).isin(*P.CAPS_EXCLUDED)
+        return _lines(spark, sf).where(ok).select("doc_id", "line_no", *(F.regexp_extract("line", pattern, i).alias(f"g{i}") for i in range(1, n + 1)))
+
+    QUERIES[name] = QUERIES.pop("f")
+    ORACLE_SQL[name] = ORACLE_SQL.pop("f")
+
+
+for _name, _pattern, _n, _test in (("rx_title", P.TITLE, 1, None), ("rx_image", P.IMAGE, 1, None), ("rx_quote", P.QUOTE, 2, None), ("rx_point", P.POINT, 4, None), ("rx_caps_label", P.CAPS, 3, CAPS_OK), ("rx_scripture", P.SCRIPTURE, 3, None)):
+    _rx(_name, _pattern, _n, _test)
+
+
+@query("SELECT doc_id, pos, ref, trigger FROM entries WHERE kind = 'backto'")
+def rx_backto(spark, sf):
+    return _entries(spark, sf).where("kind = 'backto'").select("doc_id", "pos", "ref", "trigger")
+
+
+@query(f"SELECT doc_id, line_no, {reference('line')} AS reference FROM clean_lines WHERE {matches('line', P.SCRIPTURE)}")
+def scripture_ref(spark, sf):
+    return _lines(spark, sf).where(F.col("line").rlike(P.SCRIPTURE)).select("doc_id", "line_no", outline.scripture_ref(F.col("line")).alias("reference"))
+
+
+@query(f"SELECT doc_id, line_no, {verse('x')} AS verse FROM (SELECT doc_id, line_no, CASE line_no % 3 WHEN 0 THEN '16 ' WHEN 1 THEN '–' ELSE ' 28-30  ' END || line AS x FROM doc_lines)")
+def clean_verse(spark, sf):
+    x = F.concat(F.when(F.col("line_no") % 3 == 0, "16 ").when(F.col("line_no") % 3 == 1, "–").otherwise(" 28-30  "), "line")
+    return fx.doc_lines(spark, sf).select("doc_id", "line_no", text.clean_verse(x).alias("verse"))
+
+
+@query("SELECT doc_id, line_no, trim(trim(trim('  “' || line || '’\" '), '\"“”''‘’')) AS bare FROM doc_lines")
+def unquote(spark, sf):
+    return fx.doc_lines(spark, sf).select("doc_id", "line_no", text.unquote(F.concat(F.lit("  “"), "line", F.lit("’\" "))).alias("bare"))
+
+
+@query(f"SELECT doc_id, {capitalized('source')} || {capitalized('upper(lang)')} AS label FROM documents")
+def capitalize_label(spark, sf):
+    return fx.documents(spark, sf).select("doc_id", F.concat(text.capitalize_label(F.col("source")), text.capitalize_label(F.upper("lang"))).alias("label"))
+
+
+@query("SELECT doc_id, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS digest FROM documents")
+def collapse_ws(spark, sf):
+    return fx.documents(spark, sf).select("doc_id", F.sha2(text.collapse_ws(F.col("text")), 256).alias("digest"))
+
+
+@query(f"SELECT doc_id, line_no, {units('line')} / 1000.0::double * 20.0::double AS width FROM doc_lines")
+def text_width(spark, sf):
+    return fx.doc_lines(spark, sf).select("doc_id", "line_no", metrics.text_width(F.col("line"), F.lit(20.0)).alias("width"))
+
+
+@query()
+def wrap_lines(spark, sf):
+    caps = F.col("doc_id") % 2 == 0
+    return fx.doc_lines(spark, sf).select("doc_id", "line_no", metrics.wrap_lines("line", F.lit(1920.0), F.lit(135.0), caps).alias("lines"))
+
+
+_UNITS = "SELECT *, coalesce(sum(CASE WHEN regexp_matches(text, '[.!?;][\"''”’)\\]]*$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line_no ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS unit FROM doc_runs"
+
+
+@query(f"SELECT doc_id, line_no, unit, count(*) AS n FROM ({_UNITS}) GROUP BY doc_id, line_no, unit")
+def sentence_units(spark, sf):
+    return freeform.sentence_units(fx.doc_runs(spark, sf)).groupBy("doc_id", "line_no", "unit").agg(F.count("*").alias("n"))
+
+
+@query()
+def verse_units(spark, sf):
+    @F.pandas_udf("array<string>")
+    def units_of(t):
+        return t.map(metrics.verse_units)
+
+    return fx.doc_lines(spark, sf).select("doc_id", "line_no", F.explode(units_of("line")).alias("unit"))
+
+
+def _split(spark, sf):
+    boxes = cues.text_box(_geometry(spark)).where("style = 'Deck' and role = 'scripture'")
+    found = _entries(spark, sf).where("kind = 'scripture'").withColumn("style", F.lit("Deck"))
+    return cues.verse_parts(found, boxes, F.lit(5))
+
+
+@query()
+def split_verse(spark, sf):
+    return _split(spark, sf)
+
+
+def _cut(spark, sf):
+    return freeform.split_blocks(freeform.layout_blocks(freeform.drop_small_print(fx.geo_lines(spark, sf))))
+
+
+@query()
+def split_paragraph(spark, sf):
+    return _cut(spark, sf).where("flowing").select("doc_id", "block", F.size("slides").alias("n_slides"))
+
+
+@query()
+def split_lines(spark, sf):
+    return _cut(spark, sf).where("not flowing and not heading_only").select("doc_id", "block", F.size("slides").alias("n_slides"))
+
+
+@query()
+def split_words(spark, sf):
+    return _cut(spark, sf).select("doc_id", "block", F.posexplode("slides").alias("part", "s")).select("doc_id", "block", "part", F.aggregate("s", F.lit(0), lambda a, line: a + F.size(line)).alias("n_runs"))
+
+
+@query()
+def pack_balanced(spark, sf):
+    return _split(spark, sf).groupBy("doc_id", "pos").agg(F.count("*").alias("n_parts"))
+
+
+@query("SELECT j.doc_id, s.role, CASE s.role WHEN 'scripture' THEN 1400.0 ELSE 1760.0 END::double AS width, 50.0::double AS font_size, coalesce(NOT s.caps_off, false) AS all_caps FROM jobs j JOIN (SELECT name, force_caps_off AS caps_off, unnest(roles) AS role FROM settled) s ON s.name = j.style")
+def text_box(spark, sf):
+    return fx.jobs(spark, sf).join(cues.text_box(_geometry(spark)), "style").select("doc_id", "role", "width", "font_size", "all_caps")
+
+
+_H = "least(n * 50.0 * 1.15 * 1.0 + 8.0 + 8.0 + 15.0, 1080.0 - 90.0)"
+_SC = "SELECT doc_id, pos, 1 + length(coalesce(verse, '')) // 60 AS n, CASE WHEN pos % 2 = 0 THEN 400.0 ELSE 950.0 END AS r FROM entries WHERE kind = 'scripture'"
+
+
+@query(f"SELECT doc_id, pos, round(vh * 1000)::bigint AS verse_h, round((vy + dy) * 1000)::bigint AS verse_y, round((r + dy) * 1000)::bigint AS ref_y FROM (SELECT *, (1080.0 - (greatest(vy + vh, r + 90.0) - least(vy, r))) / 2 - least(vy, r) AS dy FROM (SELECT *, CASE WHEN 600.0 < r THEN 600.0 + 300.0 - vh ELSE 600.0 END AS vy FROM (SELECT doc_id, pos, r, ({_H})::double AS vh FROM ({_SC}))))")
+def center_vertically(spark, sf):
+    g = _geometry(spark).where("style = 'Deck' and role = 'scripture'").drop("style", "role", "force_caps_off", "caps")
+    s = _entries(spark, sf).where("kind = 'scripture'").select("doc_id", "pos", (1 + F.floor(F.length(F.coalesce("verse", F.lit(""))) / 60)).alias("verse_lines"), F.when(F.col("pos") % 2 == 0, 400.0).otherwise(950.0).alias("ref_y0"), F.lit(90.0).alias("ref_h"))
+    c = cues.center_vertically(s.join(F.broadcast(g)))
+    return c.select("doc_id", "pos", *(F.round(F.col(k) * 1000).cast("long").alias(k) for k in ("verse_h", "verse_y", "ref_y")))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN source ELSE 'red' END AS color FROM documents")
+def label_color(spark, sf):
+    return fx.documents(spark, sf).select("doc_id", cues.label_color((F.col("doc_id") % 3).cast("double"), F.col("source"), "red").alias("color"))
+
+
+@query("SELECT doc_id, length(text)::int AS end_, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS n FROM documents WHERE text IS NOT NULL")
+def fit_custom_attributes(spark, sf):
+    a = lambda s, e, c: F.struct(F.lit(s).alias("start"), F.lit(e).alias("end"), c.alias("capitalization"))
+    caps = F.when(F.col("doc_id") % 2 == 0, "ALL_CAPS").otherwise("NONE")
+    given = F.array(a(0, 5, F.lit("ALL_CAPS")), a(0, 9, caps), a(3, 9, F.lit("ALL_CAPS")))
+    x = fx.documents(spark, sf).where("text is not null").select("doc_id", "text", cues.fit_custom_attributes(given, F.col("text")).alias("fit"))
+    return x.select("doc_id", F.coalesce(F.get("fit", F.lit(0))["end"], text.utf16_length(F.col("text"))).alias("end_"), F.size("fit").alias("n"))
+
+
+@query("SELECT hex, CASE WHEN regexp_matches(hex, '^#?[0-9A-Fa-f]{6}$') THEN ('0x' || substr(ltrim(hex, '#'), 1, 2))::int * 65536 + ('0x' || substr(ltrim(hex, '#'), 3, 2))::int * 256 + ('0x' || substr(ltrim(hex, '#'), 5, 2))::int END AS rgb FROM (SELECT DISTINCT color AS hex FROM doc_runs)")
+def hex_to_rgb(spark, sf):
+    v = text.hex_to_rgb(F.col("hex"))
+    return fx.doc_runs(spark, sf).select(F.col("color").alias("hex")).distinct().select("hex", (v["r"] * 65536 + v["g"] * 256 + v["b"]).alias("rgb"))
+
+
+@query("SELECT doc_id, line_no, array_to_string(list_transform(string_split(replace(replace(replace(line, '\\', '\\\\'), '{', '\\{'), '}', '\\}'), ''), lambda c: CASE WHEN unicode(c) < 128 THEN c ELSE '\\u' || (CASE WHEN unicode(c) >= 32768 THEN unicode(c) - 65536 ELSE unicode(c) END) || ' ?' END), '') AS rtf FROM doc_lines WHERE line <> ''")
+def rtf_escape(spark, sf):
+    return fx.doc_lines(spark, sf).where("line <> ''").select("doc_id", "line_no", text.rtf_escape(F.col("line")).alias("rtf"))
+
+
+def _built(spark, sf):
+    s = _styled(spark, sf)
+    first = s.groupBy("doc_id", "slide_no").agg(F.max(F.struct("keep_colors", "regular_color", "emphasis_color")).alias("c"))
+    more = rtf.color_palette(s).groupBy("doc_id", "slide_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "hex"))), lambda r: r["hex"]).alias("more"))
+    start = F.when(F.col("c.keep_colors"), F.array(F.col("c.regular_color"))).otherwise(F.array("c.regular_color", "c.emphasis_color"))
+    fonts = first.join(more, ["doc_id", "slide_no"], "left").select("doc_id", "slide_no", F.concat(start, F.coalesce("more", F.expr("cast(array() as array<string>)"))).alias("colors"), F.lit("Arial-BoldMT").alias("font_name"), F.lit(90.0).alias("size"), F.lit(True).alias("bold"), (F.col("doc_id") % 4 == 1).alias("italic"), F.lit(0.9).alias("line_height"), F.lit(0.0).alias("spacing"), F.lit(1920.0).alias("box_width"))
+    return rtf.rtf_build(_changes(spark, sf), fonts)
+
+
+@query()
+def rtf_build(spark, sf):
+    return _built(spark, sf)
+
+
+@query("SELECT doc_id, slide_no, trim(regexp_replace(string_agg(line, ' ' ORDER BY line_no), '\\s+', ' ', 'g')) AS text FROM slide_lines GROUP BY doc_id, slide_no")
+def rtf_plain(spark, sf):
+    return _built(spark, sf).select("doc_id", "slide_no", rtf.rtf_plain("rtf").alias("text"))
+
+
+@query(f"SELECT doc_id, slide_no, line_no, run_no, color_at::int AS color_at, CASE WHEN keep AND highlight THEN mark ELSE 0 END::int AS highlight_at FROM ({_COLORED})")
+def run_style(spark, sf):
+    s = _styled(spark, sf)
+    return rtf.run_colors(s, rtf.color_palette(s)).select("doc_id", "slide_no", "line_no", "run_no", "color_at", "highlight_at")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Presentation' ELSE source || '-' || lang || '-x' END || '.pro' AS file FROM documents")
+def safe_file_name(spark, sf):
+    name = F.when(F.col("doc_id") % 7 == 0, "  ").otherwise(F.concat(F.lit(" "), "source", F.lit("/"), "lang", F.lit(':x?"*<> ')))
+    return fx.documents(spark, sf).select("doc_id", text.safe_file_name(name).alias("file"))
+
+
+# ---- style learning ----
+
+
+def _captured(spark, sf):
+    d = fx.documents(spark, sf).select("doc_id", "source", "lang")
+    role = F.element_at(F.array(*map(F.lit, ("title", "point", "keyword", "scripture", "backto"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    picks = d.select(F.col("source").alias("style"), role.alias("role"), "doc_id", (F.col("doc_id") % 3).cast("int").alias("idx"), F.col("doc_id").alias("pick_seq"))
+    c = _cues(spark, sf).select("doc_id", (F.col("cue_no") - 1).alias("idx"), "name", (F.col("role") != "keyword").alias("has_slide"), F.when(F.col("look_role") == "backto", "Default").alias("look_name"))
+    return styles.capture_roles(picks, c)
+
+
+_CAPTURED = "SELECT style, role, arg_max(doc_id, doc_id) AS doc_id, arg_max(idx, doc_id) AS idx, arg_max(name, doc_id) AS cue, arg_max(CASE WHEN look_role = 'backto' THEN 'Default' ELSE '' END, doc_id) AS look FROM (SELECT d.source AS style, ['title', 'point', 'keyword', 'scripture', 'backto'][d.doc_id % 5 + 1] AS role, d.doc_id, (d.doc_id % 3)::int AS idx, n.name, n.look_role, n.role AS cue_role FROM documents d JOIN numbered n ON n.doc_id = d.doc_id AND n.cue_no - 1 = d.doc_id % 3) WHERE role = 'backto' OR cue_role <> 'keyword' GROUP BY style, role"
+
+
+@query(_CAPTURED)
+def capture_roles(spark, sf):
+    return _captured(spark, sf).select("style", "role", "doc_id", "idx", "cue", F.coalesce("look_name", F.lit("")).alias("look"))
+
+
+@query(f"""SELECT f.style, 'slides' AS kind, coalesce(array_to_string(c.roles, ','), '') AS roles, CASE WHEN len(m) > 0 THEN 'missing templates: ' || array_to_string(m, ', ') WHEN f.n % 2 = 0 THEN 'name exists' END AS reason FROM (SELECT source AS style, substr(source, 4)::int AS n FROM documents GROUP BY source) f
+LEFT JOIN (SELECT style, list_sort(list(role)) AS roles, list_filter(['title', 'point', 'keyword', 'scripture'], lambda r: NOT list_contains(list(role), r)) AS m FROM ({_CAPTURED}) GROUP BY style) c ON c.style = f.style""")
+def style_assemble(spark, sf):
+    forms = fx.documents(spark, sf).select(F.col("source").alias("style")).distinct().select("style", F.lit("slides").alias("kind"), F.lit(False).alias("overwrite"))
+    existing = forms.where("cast(substr(style, 4) as int) % 2 = 0").select(F.col("style").alias("name"))
+    return styles.style_assemble(_captured(spark, sf), forms, existing).select("style", "kind", F.array_join("roles", ",").alias("roles"), "reason")
+
+
+# ---- streams ----
+
+
+@query("""SELECT token, min(ts) AS first_touch, max(ts) AS last_touch, count(*) AS n_touches FROM (SELECT *, sum(new) OVER (PARTITION BY token ORDER BY ts) AS session FROM (SELECT user_id::varchar AS token, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY token, session""")
+def session_expiry(spark, sf):
+    return sessions(fx.touches(spark, sf))
+
+
+@query("SELECT doc_id, count(*) AS n_entries FROM entries GROUP BY doc_id")
+def incremental_convert(spark, sf):
+    """The stream job run over the documents now there, its output read back."""
+    import uuid
+
+    from .streaming.jobs import incremental_convert as convert
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp"
+    at = f"{root.rstrip('/')}/deckjobs-stream-{uuid.uuid4().hex}"
+    docs = fx.documents(spark, sf).select("doc_id", "text")
+    docs.write.parquet(f"{at}/in")
+
+    def job(batch: DataFrame) -> DataFrame:
+        batch.write.mode("overwrite").parquet(f"{at}/now/documents.parquet")
+        return outline.corpus_profile(_entries(spark, f"{at}/now")).select("doc_id", "n_entries")
+
+    convert(spark, f"{at}/in", docs.schema, f"{at}/state", job, f"{at}/out").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("doc_id", "n_entries")

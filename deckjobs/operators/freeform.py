@@ -6,7 +6,10 @@ line_no). Statistics of a document are plain aggregates joined back by doc_id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -103,15 +106,16 @@ def split_blocks(blocks: DataFrame, width: float = BOX_WIDTH, size: float = BOX_
     """
     x = blocks_as_runs(blocks).join(block_stats(blocks), ["doc_id", "block"])
 
-    @F.pandas_udf(f"array<{RUNS}>")
-    def cut(lines: pd.Series, flowing: pd.Series, heading: pd.Series) -> pd.Series:
-        out = []
-        for block, f, h in zip(lines, flowing, heading, strict=True):
-            rows = [[dict(r) for r in line] for line in block]
-            out.append([[metrics.led(r) for r in rows]] if h and not f else metrics.split_block(rows, f, width, size, False, most))
-        return pd.Series(out)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slides = []
+            for block, f, h in zip(batch["lines"].to_pylist(), batch["flowing"].to_pylist(), batch["heading_only"].to_pylist(), strict=True):
+                slides.append([[metrics.led(r) for r in block]] if h and not f else metrics.split_block(block, f, width, size, False, most))
+            keep = ["doc_id", "block", "flowing", "heading_only"]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(slides, pa.list_(pa.list_(pa.list_(run))))], [*keep, "slides"])
 
-    return x.withColumn("slides", cut("lines", "flowing", "heading_only")).drop("lines")
+    run = pa.struct([("text", pa.string()), ("space_before", pa.bool_())])
+    return x.select("doc_id", "block", "flowing", "heading_only", "lines").mapInArrow(cut, f"doc_id long, block long, flowing boolean, heading_only boolean, slides array<{RUNS}>")
 
 
 def heading_attach(cut: DataFrame, width: float = BOX_WIDTH, size: float = BOX_SIZE, most: int = MAX_LINES) -> DataFrame:

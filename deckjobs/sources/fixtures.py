@@ -132,3 +132,39 @@ def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def removals(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir).where("doc_id % 5 = 0")
     return d.select("doc_id", F.explode(F.array(F.lit(1), F.lit(3), F.lit(100000))).alias("idx"))
+
+
+def styles(spark: SparkSession) -> DataFrame:
+    """A few style profiles, some with gaps to fill."""
+    rows = [
+        ("Plain", "prompts", ["body"], "#FFFFFF", "#FFFF00", True, True, 5),
+        ("Loud", "prompts", ["body"], "#FAE333", "#FF0000", False, True, 0),
+        ("Quiet", "prompts", ["body"], "  ", None, None, None, None),
+        ("Deck", "slides", ["title", "point", "keyword", "scripture"], "#FFFFFF", "", None, False, 4),
+        ("Torn", "slides", ["title", "point"], "", "#00FF00", True, True, -1),
+        ("bad/name", "slides", [], None, None, None, None, None),
+    ]
+    from ..schemas import STYLES
+
+    return spark.createDataFrame(rows, STYLES)
+
+
+def looks(spark: SparkSession) -> DataFrame:
+    rows = [("Deck", "title", "u1", "Title L3"), ("Deck", "keyword", "u1", "Title L3"), ("Deck", "point", "u2", "Points L3"), ("Deck", "scripture", "", "Verse L3"), ("Deck", "backto", "u4", "Default"), ("Torn", "title", "u5", "Other")]
+    return spark.createDataFrame(rows, "style string, role string, uuid string, look_name string")
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversion job for each document, with gaps to fill."""
+    i = F.col("doc_id")
+    names = F.array(*map(F.lit, ("Plain", "Deck", "Loud", "Torn", "None")))
+    return documents(spark, sf_dir).select(
+        "doc_id",
+        F.when(i % 3 == 0, "").when(i % 3 == 1, "pdf").otherwise("style").alias("colors"),
+        (i % 4 - 1).cast("int").alias("max_lines"),
+        F.when(i % 5 == 0, " ").otherwise(F.concat_ws(" ", "source", "lang")).alias("name"),
+        F.when(i % 2 == 0, 1440.0).otherwise(0.0).alias("box_width"),
+        F.lit(50.0).alias("box_size"),
+        F.when(i % 2 == 0, "prompts").otherwise("slides").alias("mode"),
+        F.element_at(names, (i % 5 + 1).cast("int")).alias("style"),
+    )
