@@ -19,7 +19,10 @@ from ..functions import metrics
 SMALL_PRINT, HEADING, BLOCK_GAP, WIDE = 0.8, 1.2, 1.5, 0.75
 MAX_LINES = 7
 BOX_WIDTH, BOX_SIZE = 1920.0, 135.0
-_DOC = W.partitionBy("doc_id").orderBy("page", "line_no")
+
+
+def _doc():
+    return W.partitionBy("doc_id").orderBy("page", "line_no")
 
 
 def body_size(lines: DataFrame) -> DataFrame:
@@ -62,8 +65,8 @@ def layout_blocks(kept: DataFrame) -> DataFrame:
     """Kept lines with ``block`` (from 1): a new page, a wide gap, or a heading after other text begins one."""
     heading = F.col("size") > HEADING * F.col("body")
     x = kept.join(line_gap(kept), "doc_id").withColumn("heading", heading)
-    new = (F.col("page") != F.lag("page").over(_DOC)) | (F.lag("y").over(_DOC) - F.col("y") > BLOCK_GAP * F.col("gap")) | (F.col("heading") & ~F.lag("heading").over(_DOC))
-    return x.withColumn("block", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(_DOC.rowsBetween(W.unboundedPreceding, 0)))
+    new = (F.col("page") != F.lag("page").over(_doc())) | (F.lag("y").over(_doc()) - F.col("y") > BLOCK_GAP * F.col("gap")) | (F.col("heading") & ~F.lag("heading").over(_doc()))
+    return x.withColumn("block", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(_doc().rowsBetween(W.unboundedPreceding, 0)))
 
 
 def block_stats(blocks: DataFrame) -> DataFrame:

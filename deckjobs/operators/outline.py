@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.text import capitalize_label, clean_verse, trim_spaces, truncate_text, unquote
 
-_DOC = W.partitionBy("doc_id").orderBy("line_no")
+def _doc():
+    return W.partitionBy("doc_id").orderBy("line_no")
+
 
 
 def trim_blank_lines(lines: DataFrame) -> DataFrame:
@@ -45,14 +47,14 @@ def scripture_marker(lines: DataFrame) -> DataFrame:
     """Kinds of lines; the line after a bare ``Scripture:`` is ``forced``, a reference whatever it looks like, and bare lines go."""
     x = lines.withColumn("kind", line_kind(F.col("line")))
     marker = F.coalesce(F.col("kind") == "marker", F.lit(False))
-    x = x.withColumn("forced", F.coalesce(F.lag(marker).over(_DOC), F.lit(False)) & ~marker)
+    x = x.withColumn("forced", F.coalesce(F.lag(marker).over(_doc()), F.lit(False)) & ~marker)
     return x.withColumn("starts", (F.col("kind").isNotNull() & ~marker) | F.col("forced"))
 
 
 def outline_islands(lines: DataFrame) -> DataFrame:
     """Lines with the label they belong to (``island``, from 1); lines before the first label and bare markers are gone."""
     x = scripture_marker(trim_blank_lines(lines))
-    x = x.withColumn("island", F.sum(F.col("starts").cast("int")).over(_DOC.rowsBetween(W.unboundedPreceding, 0)))
+    x = x.withColumn("island", F.sum(F.col("starts").cast("int")).over(_doc().rowsBetween(W.unboundedPreceding, 0)))
     return x.where((F.col("island") > 0) & (F.coalesce(F.col("kind"), F.lit("")) != "marker"))
 
 
