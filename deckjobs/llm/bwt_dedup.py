@@ -11,12 +11,12 @@ with a smaller id. All strings of that length in all documents take part:
 2. Runs with such keys are cut out (the text under the run is a segment) and equal segments
    are reduced to one, with the least and greatest id.
 3. Distinct segments meet by key. In a task they are taken in shards; the suffixes of each
-   shard are sorted once, giving its Burrows-Wheeler transform. The transforms are merged
-   by interleave refinement: from the order of all suffixes by their first h symbols
-   follows that by h + 1, by dealing every suffix's preceding symbol in order. The step at
-   which two neighbours part is their common prefix plus one; the intervals left after 50
-   steps are the strings that repeat, and the least id in an interval is where they start
-   first. No suffix is sorted again.
+   shard that begin at a key's substring are sorted once. The sorted shards are merged, and
+   the order of all suffixes that begin further left follows by interleave refinement:
+   dealing every suffix's preceding symbol (the Burrows-Wheeler column) in order gives the
+   order of the suffixes one symbol longer. Common prefixes of the merged order and the
+   blocks of the refinement give the intervals of strings that repeat, and the least id in
+   an interval is where they start first. No suffix is sorted again.
 4. Each run takes the result of its segment; the bytes to go are joined to their document.
 
 A key with more than ``crowd`` distinct segments is not held in one task: its segments are
@@ -42,8 +42,8 @@ from .common import LAST_ID, keep, mixed, pieces_of, shuffle_width, text_bytes
 
 LENGTH = 50
 GRAM = 16
-#: Symbols of a shard, and of all shards that are merged at once.
-SHARD, MERGED = 1 << 17, 1 << 20
+#: Suffixes of a shard, and symbols of all shards that are merged at once.
+SHARD, MERGED = 1 << 14, 1 << 22
 #: Distinct segments of one key that a task holds.
 CROWD = 20_000
 #: Most bits of the set of shared keys: 64 MB.
@@ -59,6 +59,15 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - step)], x[width - step :]) if step < width else x
 
 
+def gram_hash(eight: np.ndarray) -> np.ndarray:
+    """Hash of the 16 bytes at every place, from the 8 bytes at every place."""
+    h = eight[:-8] * _C1 + eight[8:] * _C2
+    h ^= h >> np.uint64(32)
+    h *= _C2
+    h ^= h >> np.uint64(29)
+    return h
+
+
 def key_runs(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(text index, first start, number of starts, key) of all runs of strings with one key."""
     for a, b in pieces_of(texts, 1 << 17):
@@ -68,11 +77,7 @@ def key_runs(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndar
         if n < length:
             continue
         eight = np.ndarray((n - 7,), "<u8", joined, strides=(1,))
-        h = eight[:-8] * _C1 + eight[8:] * _C2
-        h ^= h >> np.uint64(32)
-        h *= _C2
-        h ^= h >> np.uint64(29)
-        least = _sliding_min(h, length - GRAM + 1)
+        least = _sliding_min(gram_hash(eight), length - GRAM + 1)
         begin = np.cumsum(size) - size
         room = np.maximum(size - length + 1, 0)
         edge = np.zeros(n + 1, np.int32)
@@ -169,10 +174,18 @@ def segment_id(segment: bytes) -> bytes:
 
 
 def _occurrences(shared, bits: int, length: int, whole: bool):
-    """Runs whose key is in the set: with the segment itself, or with its id, document and start."""
+    """Runs whose key is in the set: each segment of the task once, or every run with its segment's id, document and start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = shared.value
+        held: dict[bytes, tuple[int, int, int]] = {}
+
+        def flushed() -> pa.RecordBatch:
+            keys, low, high = zip(*held.values(), strict=True)
+            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(list(held), pa.binary()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["key", "segment", "low", "high"])
+            held.clear()
+            return out
+
         for batch in batches:
             texts, ids = list(text_bytes(batch["text"])), batch["id"].to_numpy()
             tags: dict[int, int] = {}
@@ -184,111 +197,114 @@ def _occurrences(shared, bits: int, length: int, whole: bool):
                 doc, start, count, key = doc[some], start[some], count[some], key[some]
                 cut = [texts[d][s : s + c + length - 1] for d, s, c in zip(doc.tolist(), start.tolist(), count.tolist(), strict=True)]
                 if whole:
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cut, pa.binary()), pa.array(ids[doc])], ["key", "segment", "id"])
+                    for k, x, i in zip(key.view(np.int64).tolist(), cut, ids[doc].tolist(), strict=True):
+                        old = held.get(x)
+                        held[x] = (k, i, i) if old is None else (k, min(old[1], i), max(old[2], i))
+                    if len(held) > 200_000:
+                        yield flushed()
                 else:
                     for d in np.unique(doc).tolist():
                         if d not in tags:
                             tags[d] = int(np.uint64(xxhash.xxh64_intdigest(texts[d], 42)).astype(np.int64))
                     tag = np.fromiter((tags[d] for d in doc.tolist()), np.int64, len(doc))
                     yield pa.RecordBatch.from_arrays([pa.array([segment_id(x) for x in cut], pa.binary()), pa.array(ids[doc]), pa.array(tag), pa.array(start.astype(np.int32))], ["segment_id", "id", "tag", "start"])
+        if held:
+            yield flushed()
 
     return run
 
 
-def sorted_suffixes(symbols: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of strings in a row, each ended by symbol 0; ``rest`` is a suffix's length without it.
+def sorted_shard(anchored: np.ndarray) -> np.ndarray:
+    """Order of a shard's anchored suffixes (rows of ``LENGTH`` bytes); sorted here once."""
+    return np.argsort(anchored, kind="stable")
+
+
+def merged_order(shards: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Joint order of sorted shards (their rows one after the other), and common prefixes of neighbours.
+
+    The stable sort finds the sorted shards as runs and only merges them.
+    """
+    rows = np.concatenate(shards)
+    order = np.argsort(rows, kind="stable")
+    symbols = rows.view(np.uint8).reshape(len(rows), -1)[order]
+    differ = symbols[1:] != symbols[:-1]
+    common = np.where(differ.any(1), differ.argmax(1), symbols.shape[1])
+    return order, np.append(0, common)
+
 
-    Prefix doubling from eight symbols; equal suffixes are in order of their strings.
+def refined(order: np.ndarray, block: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One step of interleave refinement: the order and blocks of the suffixes one symbol longer to the left.
+
+    ``order`` lists the suffixes, those of one block in a row; ``symbols`` are what stands
+    before each in that order (the transform). Dealing them by symbol, in order, sorts the
+    longer suffixes; they stay in one block if both symbol and block were the same. What
+    is left alone in its block repeats nowhere and goes.
     """
-    n = len(symbols)
-    padded = np.concatenate([symbols, np.zeros(8, np.uint8)]).tobytes()
-    first = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.uint64)
-    first &= np.where(rest >= 8, ~np.uint64(0), ~(~np.uint64(0) >> (np.uint64(8) * np.minimum(rest, 7).astype(np.uint64))))
-    done, known = 8, first
-    while True:
-        order = np.argsort(known, kind="stable")
-        s = known[order]
-        new = np.append(False, s[1:] != s[:-1])
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(new).astype(np.uint64)
-        if done >= rest.max(initial=0) or int(new.sum()) + 1 == n:
-            return order
-        further = np.zeros(n, np.uint64)
-        long = np.flatnonzero(rest > done)
-        further[long] = rank[long + done] + np.uint64(1)
-        known = rank << np.uint64(32) | further
-        done *= 2
-
-
-def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merge the transforms of shards -> (interleave, common): source of each suffix in the joint order,
-    and the length of its common prefix with the one before, up to ``depth``.
-
-    A transform holds the symbol before each suffix in the shard's order; 0 ends a string, and
-    the suffixes that are only an end come first, one for each string.
+    deal = np.argsort(symbols, kind="stable")
+    order, block, symbols = order[deal], block[deal], symbols[deal]
+    new = np.append(True, (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1]))
+    return without_single(order, new)
+
+
+def without_single(order: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes that share their block with another, and their blocks; ``new`` marks where blocks begin."""
+    alone = new & np.append(new[1:], True)
+    return order[~alone], np.cumsum(new, dtype=np.int32)[~alone]
+
+
+def first_ids(segments: list[bytes], keys: np.ndarray, ids: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+    """For every string of ``length`` bytes in each segment, the least id of a segment that has it.
+
+    Equal strings hold the gram of their key at the same place, so suffixes are anchored
+    there: sorted once by shard from the anchor on, merged, then extended to the left by
+    refinement. A string that begins i symbols before its anchor is the interval of the
+    order by the first ``length`` - i symbols after i steps.
     """
-    symbols = np.concatenate(transforms)
-    n = len(symbols)
-    ends = [int((t == 0).sum()) for t in transforms]
-    head = np.repeat(np.arange(len(transforms), dtype=np.uint8), ends)
-    interleave = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
-    block = np.zeros(n, np.int32)
-    common = np.full(n, depth, np.int16)
-    common[0] = 0
-    merged = np.empty(n, np.uint8)
-    for h in range(1, depth + 1):
-        merged[np.argsort(interleave, kind="stable")] = symbols
-        inner = np.flatnonzero(merged)
-        deal = inner[np.argsort(merged[inner], kind="stable")]
-        dealt, before = merged[deal], block[deal]
-        parts = np.empty(n, bool)
-        parts[: len(head)] = True
-        parts[len(head)] = True
-        parts[len(head) + 1 :] = (dealt[1:] != dealt[:-1]) | (before[1:] != before[:-1])
-        interleave = np.concatenate([head, interleave[deal]])
-        block = np.cumsum(parts, dtype=np.int32)
-        common[parts & (common == depth)] = h - 1
-        if block[-1] == n:
-            break
-    return interleave, common
-
-
-def first_ids(segments: list[bytes], ids: np.ndarray, depth: int = LENGTH) -> list[np.ndarray]:
-    """For every string of ``depth`` bytes in each segment, the least id of a segment that has it."""
-    shards, held, size = [], [], 0
-    for i, s in enumerate(segments):
-        if held and size + len(s) > SHARD and len(shards) < 254:
-            shards.append(held)
-            held, size = [], 0
-        held.append(i)
-        size += len(s) + 1
-    shards.append(held)
-    transforms, places, base = [], [], 0
-    for shard in shards:
-        text = b"\0".join(segments[i] for i in shard) + b"\0"
-        symbols = np.frombuffer(text, np.uint8)
-        length = np.fromiter((len(segments[i]) for i in shard), np.int64, len(shard))
-        stop = np.cumsum(length + 1) - 1
-        rest = np.repeat(stop, length + 1) - np.arange(len(symbols))
-        # bytes of UTF-8 never reach 255: one more leaves 0 for the end
-        symbols = symbols + np.uint8(1)
-        symbols[stop] = 0
-        order = sorted_suffixes(symbols, rest)
-        before = np.where(order > 0, symbols[order - 1], 0).astype(np.uint8)
-        transforms.append(before)
-        places.append(order + base)
-        base += len(symbols)
-    interleave, common = merge_transforms(transforms, depth)
-    place = np.empty(base, np.int64)
-    place[np.argsort(interleave, kind="stable")] = np.concatenate(places)
-    length = np.fromiter(map(len, segments), np.int64, len(segments))
-    owner = np.repeat(np.arange(len(segments)), length + 1)
-    begins = np.flatnonzero(common < depth)
-    least = np.minimum.reduceat(ids[owner[place]], begins)
-    first = np.empty(base, np.int64)
-    first[place] = np.repeat(least, np.diff(np.append(begins, base)))
-    offset = np.cumsum(length + 1) - length - 1
-    return [first[o : o + max(n - depth + 1, 0)] for o, n in zip(offset, length, strict=True)]
+    size = np.fromiter(map(len, segments), np.int64, len(segments))
+    begin = np.cumsum(size) - size
+    joined = b"".join(segments) + bytes(length)
+    text = np.frombuffer(joined, np.uint8)
+    eight = np.ndarray((len(joined) - 7,), "<u8", joined, strides=(1,))
+    h = mixed(gram_hash(eight))[: len(text) - length]
+    owner = np.repeat(np.arange(len(segments)), size)
+    inside = np.arange(len(owner)) - begin[owner]
+    at = np.flatnonzero((h == keys[owner]) & (inside + GRAM <= size[owner]))
+    seg, place = owner[at], inside[at]
+    starts = size[seg] - length + 1
+    before = np.where(np.append(False, seg[1:] == seg[:-1]), np.append(0, place[:-1]) + 1, 0)
+    far = np.minimum(place - before, length - GRAM)
+    near = np.maximum(place - (starts - 1), 0)
+    some = far >= near
+    at, seg, place, far, near = at[some], seg[some], place[some], far[some], near[some]
+    windows = np.ndarray((len(text) - length + 1,), f"S{length}", joined, strides=(1,))
+    shards, orders = [], []
+    for a in range(0, len(at), SHARD):
+        rows = windows[at[a : a + SHARD]]
+        order = sorted_shard(rows)
+        shards.append(rows[order])
+        orders.append(order + a)
+    first = [np.full(max(n - length + 1, 0), i, np.int64) for n, i in zip(size, ids, strict=True)]
+    if not shards:
+        return first
+    flat = np.concatenate(first)
+    flat_begin = np.cumsum(np.maximum(size - length + 1, 0)) - np.maximum(size - length + 1, 0)
+    joint, common = merged_order(shards)
+    joint = np.concatenate(orders)[joint]
+    # a suffix near the end of its segment goes on in the next one: too short for any deeper order
+    for i in range(length - GRAM + 1):
+        new = common < length - i
+        use = (far[joint] >= i) & (near[joint] <= i)
+        block = np.cumsum(new, dtype=np.int32)[use]
+        order, block = without_single(joint[use], np.append(True, block[1:] != block[:-1])) if len(block) else (joint[:0], block)
+        for t in range(1, i + 1):
+            if not len(order):
+                break
+            order, block = refined(order, block, text[at[order] - t])
+        if len(order):
+            begins = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            least = np.minimum.reduceat(ids[seg[order]], begins)
+            flat[flat_begin[seg[order]] + place[order] - i] = np.repeat(least, np.diff(np.append(begins, len(order))))
+    return np.split(flat, flat_begin[1:])
 
 
 def _runs_of(first: np.ndarray) -> tuple[list[int], list[int], list[int]]:
@@ -304,6 +320,7 @@ def _solved(length: int, crowd: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         batch_segments: list[bytes] = []
+        batch_keys: list[int] = []
         batch_ids: list[int] = []
         batch_last: list[int] = []
         size = 0
@@ -321,6 +338,7 @@ def _solved(length: int, crowd: int):
             else:
                 for segment, low, high in group:
                     batch_segments.append(segment)
+                    batch_keys.append(group_key)
                     batch_ids.append(low)
                     batch_last.append(high)
                     size += len(segment) + 1
@@ -329,10 +347,11 @@ def _solved(length: int, crowd: int):
         def solve() -> None:
             nonlocal size
             if batch_segments:
-                for segment, last, first in zip(batch_segments, batch_last, first_ids(batch_segments, np.array(batch_ids, np.int64), length), strict=True):
+                for segment, last, first in zip(batch_segments, batch_last, first_ids(batch_segments, np.array(batch_keys, np.int64).view(np.uint64), np.array(batch_ids, np.int64), length), strict=True):
                     if (first < last).any():
                         out.append((segment_id(segment), *_runs_of(first), None, None, None))
             batch_segments.clear()
+            batch_keys.clear()
             batch_ids.clear()
             batch_last.clear()
             size = 0
@@ -381,9 +400,9 @@ def first_occurrences(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD)
     spark = docs.sparkSession
     on, bits = shared_keys(docs, length)
     shared = spark.sparkContext.broadcast(on)
-    segments = docs.select("id", "text").mapInArrow(_occurrences(shared, bits, length, True), "key long, segment binary, id long")
-    distinct = segments.groupBy("key", "segment").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    by_key = distinct.repartition(4 * shuffle_width(spark), "key").sortWithinPartitions("key")
+    segments = docs.select("id", "text").mapInArrow(_occurrences(shared, bits, length, True), "key long, segment binary, low long, high long")
+    by_key = segments.repartition(4 * shuffle_width(spark), "key")
+    by_key = by_key.groupBy("key", "segment").agg(F.min("low").alias("low"), F.max("high").alias("high")).sortWithinPartitions("key")
     solved = by_key.mapInArrow(_solved(length, crowd), "segment_id binary, froms array<int>, tos array<int>, firsts array<long>, segment binary, id long, last long")
     solved = keep(solved)
     known = solved.where("segment is null").select("segment_id", "froms", "tos", "firsts")
