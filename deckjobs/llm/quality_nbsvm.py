@@ -62,13 +62,14 @@ def indicator_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         shape = some(upper) | some(lower) << np.uint64(1) | some(digit) << np.uint64(2) | some(wide) << np.uint64(3)
         shape |= upper[raw.start].astype(np.uint64) << np.uint64(4) | same << np.uint64(5) | lone << np.uint64(6)
         shape = mixed(shape | first << np.uint64(8) | before << np.uint64(16) | last << np.uint64(24))
-        two = np.where(d[1:] == d[:-1], mixed(shape[:-1] * np.uint64(31) + shape[1:]), 0)
-        three = np.where(d[2:] == d[:-2], mixed((shape[:-2] * np.uint64(31) + shape[1:-1]) * np.uint64(31) + shape[2:]), 0)
+        in_two, in_three = d[1:] == d[:-1], d[2:] == d[:-2]
+        two = (shape[:-1] * np.uint64(31) + shape[1:])[in_two]
+        three = ((shape[:-2] * np.uint64(31) + shape[1:-1]) * np.uint64(31) + shape[2:])[in_three]
         count = np.bincount(d, minlength=b - a)
         kinds, index = np.unique(shape, return_inverse=True)
         cells, n = np.unique(d * len(kinds) + index, return_counts=True)
         share = n / count[cells // len(kinds)]
-        parts = [(d, low.hash + np.uint64(1)), (d, shape + np.uint64(2)), (d[1:], two), (d[2:], three)]
+        parts = [(d, low.hash + np.uint64(1)), (d, shape + np.uint64(2)), (d[1:][in_two], mixed(two)), (d[2:][in_three], mixed(three))]
         parts += [(cells[share > s] // len(kinds), mixed(kinds[cells[share > s] % len(kinds)] + np.uint64(3 + i))) for i, s in enumerate(_SHARES)]
         key = np.unique(np.concatenate([(x.astype(np.uint64) << np.uint64(BITS)) | (mixed(h) >> np.uint64(64 - BITS)) for x, h in parts]))
         docs.append((key >> np.uint64(BITS)).astype(np.int64) + a)
