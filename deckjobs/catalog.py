@@ -777,3 +777,37 @@ def incremental_convert(spark, sf):
 
     convert(spark, f"{at}/in", docs.schema, f"{at}/state", job, f"{at}/out").awaitTermination()
     return spark.read.parquet(f"{at}/out").select("doc_id", "n_entries")
+
+
+# ---- workloads ----
+
+
+@query("SELECT j.doc_id, s.role, CASE s.role WHEN 'scripture' THEN 1400.0 END::double AS width FROM jobs j JOIN (SELECT name, unnest(roles) AS role FROM styles) s ON s.name = j.style WHERE s.role = 'scripture'")
+def scripture_box(spark, sf):
+    return fx.jobs(spark, sf).join(cues.text_box(_geometry(spark)).where("role = 'scripture'"), "style").select("doc_id", "role", "width")
+
+
+@query()
+def workload_outline(spark, sf):
+    from .plans import pipelines
+
+    jobs = fx.jobs(spark, sf).select("doc_id", F.lit("Deck").alias("style"))
+    styled, _ = pipelines.outline_decks(fx.outline_lines(spark, sf), jobs, _geometry(spark), fx.looks(spark), default_copies=True, center_scriptures=True)
+    return styled.groupBy("doc_id").agg(F.count("*").alias("n_cues"), F.sum("n_actions").alias("n_actions"), F.max("cue_no").alias("last_cue"))
+
+
+@query()
+def workload_marker(spark, sf):
+    from .plans import pipelines
+
+    g = fx.doc_glyphs(spark, sf, marked=True)
+    s = pipelines.marker_slides(g, fx.paints(g.where("seq div 1000000 % 3 <> 0")), fx.fills(spark, sf), fx.page_boxes(spark, sf))
+    return s.groupBy("doc_id").agg(F.count_distinct("slide_no").alias("n_slides"), F.count("*").alias("n_runs"))
+
+
+@query()
+def workload_freeform(spark, sf):
+    from .plans import pipelines
+
+    s = pipelines.freeform_decks(fx.doc_glyphs(spark, sf), fx.documents(spark, sf).where("lang = 'en'"))
+    return s.groupBy("doc_id").agg(F.count("*").alias("n_slides"), F.sum(F.size("lines")).alias("n_lines"))

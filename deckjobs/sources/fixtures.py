@@ -57,13 +57,17 @@ def doc_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumns({"bold": bold, "italic": (r + d) % 11 == 0, "color": color, "highlight": (r + d) % 17 == 0, "space_before": r > 0})
 
 
-def geo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with page, size, y, x0 and x1 (points) and their width in thousandths of a point."""
+def geo_lines(spark: SparkSession, sf_dir: str, marked: bool = False) -> DataFrame:
+    """Lines with page, size, y, x0 and x1 (points) and their width in thousandths of a point.
+
+    ``marked``: every third line of a page begins with a slide marker.
+    """
     n = F.col("line_no")
     at = n % 20
     size = F.when(n % 10 == 0, 28).when(n % 17 == 16, 12).otherwise(20)
     y = 800 - 27 * at - 27 * F.floor(at / 4)
-    x = doc_lines(spark, sf_dir).select("doc_id", (1 + F.floor(n / 20)).cast("int").alias("page"), "line_no", F.col("line").alias("text"), size.alias("size"), y.cast("double").alias("y"))
+    line = F.when(at % 3 == 0, F.concat(F.lit("SLIDE "), n.cast("string"), F.lit(": "), "line")).otherwise(F.col("line")) if marked else F.col("line")
+    x = doc_lines(spark, sf_dir).select("doc_id", (1 + F.floor(n / 20)).cast("int").alias("page"), "line_no", line.alias("text"), size.alias("size"), y.cast("double").alias("y"))
     x = x.withColumn("width_milli", text_units(F.col("text")) * F.col("size")).withColumn("size", F.col("size").cast("double"))
     return x.withColumns({"x0": F.lit(57.0), "x1": 57.0 + F.col("width_milli") / 1000.0})
 
@@ -76,12 +80,12 @@ def char_units(c: Column) -> Column:
     return out
 
 
-def doc_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def doc_glyphs(spark: SparkSession, sf_dir: str, marked: bool = False) -> DataFrame:
     """One row for each character: doc_id, page, seq, s, font, size, x, y, w; ``src_line`` says where it is from."""
     from pyspark.sql import Window as W
 
     n, pos = F.col("line_no"), F.col("pos")
-    x = geo_lines(spark, sf_dir).select("doc_id", "page", "line_no", "size", "y", F.posexplode(F.split("text", "")).alias("pos", "s")).where("s <> ''")
+    x = geo_lines(spark, sf_dir, marked).select("doc_id", "page", "line_no", "size", "y", F.posexplode(F.split("text", "")).alias("pos", "s")).where("s <> ''")
     x = x.withColumn("units", char_units(F.col("s")))
     before = F.sum("units").over(W.partitionBy("doc_id", "line_no").orderBy("pos")) - F.col("units")
     x = x.withColumn("before", before).where(~((n % 4 == 3) & (F.col("s") == " ")))
