@@ -13,6 +13,7 @@ from .functions import patterns as P
 from .operators import cues, freeform, glyphs, outline, rtf, sections, styles
 from .oracle import CAPS_OK, both, capitalized, cut, group, lit, matches, reference, sql, units, verse
 from .sources import fixtures as fx
+from .sources.shared import shared_folder
 from .streaming.jobs import session_expiry as sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,13 +102,10 @@ def src_cues(spark, sf):
 
 def _style_store(spark, sf):
     """Styles of documents' jobs, written as style files and read again."""
-    import uuid
-
     from .sources.tables import sink_styles as write
     from .sources.tables import src_styles as read
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp"
-    path = f"{root.rstrip('/')}/deckjobs-styles-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "styles")
     of = fx.documents(spark, sf).select(F.concat_ws("-", "source", "lang").alias("name"), F.when(F.col("lang") == "en", "prompts").when(F.col("lang") == "fr", "other").otherwise("slides").alias("kind"), "doc_id")
     rows = of.select("name", "kind", F.create_map(F.lit("body"), F.encode(F.concat(F.lit("cue "), F.col("doc_id")), "UTF-8")).alias("templates"), F.struct(F.lit("#FFFFFF").alias("regular_color"), F.lit(None).cast("string").alias("emphasis_color"), (F.col("doc_id") % 2 == 0).alias("force_caps_off"), F.lit(None).cast("boolean").alias("highlight_bold"), F.lit(None).cast("int").alias("scripture_max_lines")).alias("settings"), "doc_id")
     write(rows, path, "doc_id")
@@ -762,12 +760,9 @@ def session_expiry(spark, sf):
 @query("SELECT doc_id, count(*) AS n_entries FROM entries GROUP BY doc_id")
 def incremental_convert(spark, sf):
     """The stream job run over the documents now there, its output read back."""
-    import uuid
-
     from .streaming.jobs import incremental_convert as convert
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp"
-    at = f"{root.rstrip('/')}/deckjobs-stream-{uuid.uuid4().hex}"
+    at = shared_folder(spark, "stream")
     docs = fx.documents(spark, sf).select("doc_id", "text")
     docs.write.parquet(f"{at}/in")
 
