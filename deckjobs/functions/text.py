@@ -73,8 +73,8 @@ def brightness(c: Column) -> Column:
 
 
 def hex_color(c: Column) -> Column:
-    byte = lambda x: F.floor(F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0)) * 255 + 0.5).cast("int")
-    return F.format_string("#%02X%02X%02X", byte(c["r"]), byte(c["g"]), byte(c["b"]))
+    byte = lambda x: F.lpad(F.hex(F.floor(F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0)) * 255 + 0.5)), 2, "0")
+    return F.concat(F.lit("#"), byte(c["r"]), byte(c["g"]), byte(c["b"]))
 
 
 def hex_to_rgb(c: Column) -> Column:

@@ -1,5 +1,8 @@
 """Positioned glyphs -> rows of a page -> runs of one format -> lines.
 
+Joins with tables that have a row for each glyph or height are hinted to merge: they are as
+large as the glyphs, which Spark's estimate from the size of a source does not show.
+
 Input rows are (doc_id, page, seq, s, font, size, x, y, w). All windows are by page, which
 bounds them; only the fold over a page's distinct heights is sequential, and it runs over
 tens of values.
@@ -43,8 +46,10 @@ def quantised(c: Column) -> Column:
 def glyph_color_join(glyphs: DataFrame, paints: DataFrame) -> DataFrame:
     """Glyphs with ``ink``, the colour painted last at their place, or null. One row for each place before the join."""
     fresh = paints.select(*PAGE, quantised(F.col("x")).alias("kx"), quantised(F.col("y")).alias("ky"), "seq", rgb(F.col("comps")).alias("c")).where("c is not null")
-    last = fresh.groupBy(*PAGE, "kx", "ky").agg(F.max_by("c", "seq").alias("ink"))
-    return glyphs.withColumn("kx", quantised(F.col("x"))).withColumn("ky", quantised(F.col("y"))).join(last, [*PAGE, "kx", "ky"], "left").drop("kx", "ky")
+    # one plain number each, so that the aggregate can hash and needs no sort
+    last = fresh.groupBy(*PAGE, "kx", "ky").agg(*(F.max_by(f"c.{k}", "seq").alias(k) for k in "rgb"))
+    last = last.select(*PAGE, "kx", "ky", F.struct("r", "g", "b").alias("ink"))
+    return glyphs.withColumn("kx", quantised(F.col("x"))).withColumn("ky", quantised(F.col("y"))).join(last.hint("merge"), [*PAGE, "kx", "ky"], "left").drop("kx", "ky")
 
 
 def page_background(fills: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -87,7 +92,7 @@ def page_rows(glyphs: DataFrame, tolerance: float = Y_TOLERANCE) -> DataFrame:
 
 def baseline_rows(glyphs: DataFrame, tolerance: float = Y_TOLERANCE) -> DataFrame:
     """Glyphs with ``anchor`` and ``line_no`` (from 1, top to bottom) of their row."""
-    return glyphs.join(page_rows(glyphs, tolerance), [*PAGE, "y"])
+    return glyphs.join(page_rows(glyphs, tolerance).hint("merge"), [*PAGE, "y"])
 
 
 def row_order(rows: DataFrame) -> DataFrame:

@@ -111,7 +111,8 @@ def paints(glyphs: DataFrame) -> DataFrame:
     s = F.col("seq")
     quarter = lambda k: ((s + k) % 5).cast("double") * 0.25
     comps = F.when(s % 3 == 0, F.array(quarter(0))).when(s % 3 == 1, F.array(quarter(0), quarter(1), quarter(3))).otherwise(F.array(quarter(0), quarter(2), quarter(1), quarter(4)))
-    first = glyphs.where(s % 4 != 3).select("doc_id", "page", "seq", "x", "y", comps.alias("comps"))
+    # exploded as one value, so that its expression is evaluated once and not wherever it is used
+    first = glyphs.where(s % 4 != 3).select("doc_id", "page", "seq", "x", "y", F.explode(F.array(comps)).alias("comps"))
     again = glyphs.where(s % 50 == 0).select("doc_id", "page", (s + 100000000).alias("seq"), "x", "y", F.array(F.lit(0.5)).alias("comps"))
     return first.unionByName(again)
 
