@@ -35,7 +35,7 @@ def scratch(spark: SparkSession) -> str:
 def keep(df: DataFrame) -> DataFrame:
     """Write a table to shared storage and read it again: cuts the lineage, survives lost executors."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -180,7 +180,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
 
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())])
     in_order = ids.repartitionByRange(shuffle_width(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    in_order.mapInArrow(packed, "shard int, block int, start long, n_ids long, doc_ids array<long>, lengths array<long>, control binary, data binary").write.parquet(f"{path}/blocks")
+    in_order.mapInArrow(packed, "shard int, block int, start long, n_ids long, doc_ids array<long>, lengths array<long>, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
     sizes = spark.read.parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()
     first, rows = 0, []
     for r in sizes:
