@@ -173,8 +173,23 @@ def segment_id(segment: bytes) -> bytes:
     return xxhash.xxh3_128_digest(segment)
 
 
-def _occurrences(shared, bits: int, length: int, whole: bool):
-    """Runs whose key is in the set: each segment of the task once, or every run with its segment's id, document and start."""
+_WORD = 1 << 15
+
+
+def known_segments(known: DataFrame) -> tuple[np.ndarray, int]:
+    """The bit set of the segment ids in ``known``, of about 16 bits each up to ``MOST_BITS``; never loses one."""
+    n = known.count()
+    bits = min(max((16 * n).bit_length(), 16), MOST_BITS)
+    place = F.shiftrightunsigned(F.xxhash64("segment_id"), 64 - bits)
+    words = known.groupBy(F.shiftright(place, 15).alias("word")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(_WORD - 1))).alias("on"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in words.toLocalIterator():
+        out[r["word"] * (_WORD // 8) : (r["word"] + 1) * (_WORD // 8)] = np.frombuffer(r["on"], np.uint8)
+    return out, bits
+
+
+def _occurrences(shared, bits: int, length: int, whole: bool, wanted=None, wanted_bits: int = 0):
+    """Runs whose key is in the set: each segment of the task once, or the runs of wanted segments with document and start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = shared.value
@@ -203,11 +218,18 @@ def _occurrences(shared, bits: int, length: int, whole: bool):
                     if len(held) > 200_000:
                         yield flushed()
                 else:
+                    names = [segment_id(x) for x in cut]
+                    slot = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in names), np.uint64, len(names)) >> np.uint64(64 - wanted_bits)
+                    slot = slot.astype(np.int64)
+                    some = np.flatnonzero((wanted.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+                    if not len(some):
+                        continue
+                    doc, start, names = doc[some], start[some], [names[i] for i in some.tolist()]
                     for d in np.unique(doc).tolist():
                         if d not in tags:
                             tags[d] = int(np.uint64(xxhash.xxh64_intdigest(texts[d], 42)).astype(np.int64))
                     tag = np.fromiter((tags[d] for d in doc.tolist()), np.int64, len(doc))
-                    yield pa.RecordBatch.from_arrays([pa.array([segment_id(x) for x in cut], pa.binary()), pa.array(ids[doc]), pa.array(tag), pa.array(start.astype(np.int32))], ["segment_id", "id", "tag", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(ids[doc]), pa.array(tag), pa.array(start.astype(np.int32))], ["segment_id", "id", "tag", "start"])
         if held:
             yield flushed()
 
@@ -411,7 +433,9 @@ def first_occurrences(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD)
         first = single.groupBy("string").agg(F.min("id").alias("first"))
         found = single.join(first, "string").where("first < last").groupBy("segment_id").agg(F.sort_array(F.collect_list(F.struct("at", "first"))).alias("x"))
         known = known.unionByName(found.select("segment_id", F.expr("transform(x, y -> y.at) froms"), F.expr("transform(x, y -> y.at + 1) tos"), F.expr("transform(x, y -> y.first) firsts")))
-    runs = docs.select("id", "text").mapInArrow(_occurrences(shared, bits, length, False), "segment_id binary, id long, tag long, start int")
+    named, named_bits = known_segments(known)
+    wanted = spark.sparkContext.broadcast(named)
+    runs = docs.select("id", "text").mapInArrow(_occurrences(shared, bits, length, False, wanted, named_bits), "segment_id binary, id long, tag long, start int")
     spans = F.expr(f"filter(transform(arrays_zip(froms, tos, firsts), x -> struct(x.firsts as first, start + x.froms as a, start + x.tos + {length - 1} as b)), x -> x.first < id)")
     return runs.join(known, "segment_id").select("id", "tag", F.transform(spans, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))).alias("spans")).where("size(spans) > 0")
 
