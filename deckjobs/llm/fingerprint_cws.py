@@ -51,16 +51,18 @@ def sample(term: Column, log_weight: Column, j: int) -> Column:
 
 
 def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """texts(keys..., text) -> keys..., fingerprint: 8 hex digits a sample.
+    """texts(keys..., words array, as_value boolean) -> keys..., fingerprint: 8 hex digits a sample; value.
 
     Keys may repeat an outer partitioning of ``texts``; then neither the counts of words
-    nor the minima need a shuffle.
+    nor the minima need a shuffle. A row with ``as_value`` carries a number, written as its
+    only word, through the same aggregates, and gets it back as ``value``.
     """
-    words = texts.select(*keys, F.explode(F.split("text", "[ \n]")).alias("word"))
-    counts = words.groupBy(*keys, F.xxhash64("word").alias("term")).agg(F.log(F.count("*").cast("double")).alias("log_weight"))
-    least = counts.groupBy(*keys).agg(*(F.min(sample(F.col("term"), F.col("log_weight"), j)).alias(f"s{j}") for j in range(samples)))
+    words = texts.select(*keys, "as_value", F.explode("words").alias("word"))
+    term = F.when(F.col("as_value"), F.col("word").try_cast("bigint")).otherwise(F.xxhash64("word"))
+    counts = words.groupBy(*keys, term.alias("term")).agg(F.log(F.count("*").cast("double")).alias("log_weight"))
+    least = counts.groupBy(*keys).agg(F.min("term").alias("value"), *(F.min(sample(F.col("term"), F.col("log_weight"), j)).alias(f"s{j}") for j in range(samples)))
     digits = [F.lpad(F.hex(F.col(f"s{j}").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0") for j in range(samples)]
-    return least.select(*keys, F.lower(F.concat(*digits)).alias("fingerprint"))
+    return least.select(*keys, F.lower(F.concat(*digits)).alias("fingerprint"), "value")
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -89,10 +91,13 @@ def with_next(d: DataFrame, order: DataFrame) -> DataFrame:
     the same range. The first documents of the ranges, one in ``CHUNK`` of dense ids, go to
     the range before them.
     """
-    firsts = d.join(order.withColumnRenamed("chunk", "c"), (F.col("chunk") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    firsts = firsts.groupBy("target").agg(F.min("text").alias("first_text"))
     own = W.partitionBy("chunk").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    dealt = d.repartition(4 * shuffle_width(d.sparkSession), "chunk").withColumn("n", F.row_number().over(own)).withColumn("following", F.lead("text").over(own))
+    spread = d.repartition(4 * shuffle_width(d.sparkSession), "chunk")
+    # on the chunk alone, hashing the small side, so that the spread texts are used as they lie
+    heads = order.withColumnRenamed("chunk", "c").hint("shuffle_hash")
+    firsts = spread.join(heads, (F.col("chunk") == F.col("c")) & F.coalesce(F.col("doc_id") - F.col("first_id") == 0, F.col("doc_id").isNull()))
+    firsts = firsts.groupBy("target").agg(F.min("text").alias("first_text"))
+    dealt = spread.withColumn("n", F.row_number().over(own)).withColumn("following", F.lead("text").over(own))
     got = dealt.join(firsts, dealt["chunk"] == firsts["target"], "left")
     return got.select("chunk", "n", "doc_id", "text", F.coalesce("following", "first_text").alias("next_text"))
 
@@ -110,11 +115,18 @@ def with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     quarter = F.floor(length / 4).cast("int")
     edited = F.concat(F.left("text", length - quarter), F.left("next_text", quarter))
     t = with_next(d, order).select("chunk", "n", "doc_id", "text", edited.alias("edited"))
-    meta = t.select("chunk", "n", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    both = F.explode(F.array(F.struct(F.lit(0).alias("side"), "text"), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text"))))
-    signed = signatures(t.select("chunk", "n", both.alias("of")).select("chunk", "n", "of.side", "of.text"), ["chunk", "n", "side"], samples)
-    pair = signed.groupBy("chunk", "n").agg(F.max(F.when(F.col("side") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("side") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
-    rows = keep(meta.join(pair, ["chunk", "n"]))
+    sha = F.sha2("edited", 256)
+    quarters = [F.conv(F.substring("sha", 16 * k + 1, 16), 16, -10) for k in range(4)]
+    numbers = [F.col("doc_id").cast("string"), F.length("text").cast("string"), *quarters]
+    side = lambda k, w, v: F.struct(F.lit(k).alias("side"), w.alias("words"), F.lit(v).alias("as_value"))
+    words = lambda c: F.split(c, "[ \n]")
+    sides = [side(0, words("text"), False), side(1, words("edited"), False), *(side(2 + k, F.array(x), True) for k, x in enumerate(numbers))]
+    dealt = t.withColumn("sha", sha).select("chunk", "n", F.explode(F.array(*sides)).alias("of")).select("chunk", "n", "of.*")
+    signed = signatures(dealt, ["chunk", "n", "side"], samples)
+    of = lambda k, c: F.max(F.when(F.col("side") == k, F.col(c)))
+    rows = signed.groupBy("chunk", "n").agg(of(0, "fingerprint").alias("fingerprint"), of(1, "fingerprint").alias("edited_fingerprint"), of(2, "value").alias("doc_id"), of(3, "value").alias("n_chars"), *(of(4 + k, "value").alias(f"q{k}") for k in range(4)))
+    hexed = F.concat(*(F.lpad(F.hex(f"q{k}"), 16, "0") for k in range(4)))
+    rows = keep(rows.withColumn("edited_sha256", F.lower(hexed)))
     firsts = rows.where("n = 1").join(order.select("chunk", "target"), "chunk").select("target", F.col("fingerprint").alias("first"))
     following = F.lead("fingerprint").over(W.partitionBy("chunk").orderBy("n"))
     out = rows.withColumn("following", following).join(firsts, F.col("chunk") == F.col("target"), "left")
