@@ -6,28 +6,32 @@ once by an Aho-Corasick automaton; around each hit Myers' bit-parallel distance
 whether the whole item occurs within its budget.
 
 Texts and items are compared lower-cased, with runs of white space as one space. The budget
-is ``error_rate`` of the item's length, rounded down. Items are sent to the tasks in blocks
-of bounded size (``BLOCK_CHARS``), one pass over the documents for each block, whatever
-the size of the benchmark.
-
-Defined results: null or empty documents match nothing; null or blank items, and items of
-fewer than ``min_chars`` characters after clean-up, are not searched for; repeated items
-are found under the smallest item_id; repeated documents all get their rows; empty tables
-give empty or unmarked results; other columns are not read.
+is ``error_rate`` of the item's length, rounded down; items too short for one edit are
+searched for as they are. Items are sent to the tasks in blocks of bounded size
+(``BLOCK_CHARS``), one pass over the documents for each block and one block at a time,
+whatever the size of the benchmark.
+
+Defined results: null or empty documents match nothing; null or blank items are not searched
+for, and all others are; several texts under one item_id are all searched for; a repeated
+text is found under its smallest item_id; an item without an id is searched for too, and
+stands as null, last, among the items found; repeated documents all get their rows; empty
+tables give empty or unmarked results; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import keep
 
 ERROR_RATE = 0.05
-MIN_CHARS = 20
 BLOCK_CHARS = 4_000_000
 
 
@@ -73,19 +77,19 @@ def myers_ends(masks: dict[str, int], m: int, text: str, k: int) -> tuple[int, i
 
 
 class Matcher:
-    """All pieces of a block of items in one automaton."""
+    """All pieces of a block of items in one automaton; items are known by their place in the block."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
-        self.items = {}
+    def __init__(self, texts: list[str], error_rate: float):
+        self.items: list[tuple[str, int, dict[str, int]]] = []
         where: dict[str, list[tuple[int, int]]] = {}
-        for item_id, text in items:
+        for n, text in enumerate(texts):
             k = budget_of(text, error_rate)
             masks: dict[str, int] = {}
             for i, c in enumerate(text):
                 masks[c] = masks.get(c, 0) | 1 << i
-            self.items[item_id] = (text, k, masks)
+            self.items.append((text, k, masks))
             for offset, piece in pieces(text, k):
-                where.setdefault(piece, []).append((item_id, offset))
+                where.setdefault(piece, []).append((n, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, places in where.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -93,23 +97,23 @@ class Matcher:
             self.automaton.make_automaton()
 
     def matches(self, text: str) -> dict[int, tuple[int, int, int]]:
-        """item_id -> (distance, end, number of pieces hit) of the items within their budget."""
+        """Item -> (distance, end, number of pieces hit) of the items within their budget."""
         found: dict[int, tuple[int, int, int]] = {}
         if not self.items or not text:
             return found
         spans: dict[int, list[list[int]]] = {}
         for end, (length, places) in self.automaton.iter(text):
-            for item_id, offset in places:
-                item, k, _ = self.items[item_id]
+            for n, offset in places:
+                item, k, _ = self.items[n]
                 a = max(end + 1 - length - offset - k, 0)
                 b = end + 1 - length - offset + len(item) + k
-                own = spans.setdefault(item_id, [])
+                own = spans.setdefault(n, [])
                 if own and a <= own[-1][1]:
                     own[-1] = [min(own[-1][0], a), max(own[-1][1], b), own[-1][2] + 1]
                 else:
                     own.append([a, b, 1])
-        for item_id, own in spans.items():
-            item, k, masks = self.items[item_id]
+        for n, own in spans.items():
+            item, k, masks = self.items[n]
             hits = sum(x[2] for x in own)
             best, at = k + 1, -1
             for a, b, _ in own:
@@ -118,71 +122,108 @@ class Matcher:
                 if d < best:
                     best, at = d, a + e
             if best <= k:
-                found[item_id] = (best, at, hits)
+                found[n] = (best, at, hits)
         return found
 
 
-def blocks_of(benchmark: DataFrame, min_chars: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """Cleaned, distinct items in blocks of bounded size, streamed through the driver one block at a time."""
+Block = tuple[list[int | None], list[str]]
+
+
+def blocks_of(benchmark: DataFrame, block_chars: int) -> Iterator[Block]:
+    """Ids and cleaned texts of the items in blocks of bounded size, streamed through the driver one block at a time."""
     spaces = F.trim(F.regexp_replace("text", r"\s+", " "))
     items = benchmark.where("text is not null").groupBy(F.lower(spaces).alias("text")).agg(F.min("item_id").alias("item_id"))
-    block: list[tuple[int, str]] = []
+    ids: list[int | None] = []
+    texts: list[str] = []
     size = 0
-    for r in items.where(F.length("text") >= min_chars).orderBy("item_id", "text").toLocalIterator():
+    for r in items.orderBy(F.col("item_id").asc_nulls_last(), "text").toLocalIterator():
         text = clean(r["text"])
-        if block and size + len(text) > block_chars:
-            yield block
-            block, size = [], 0
-        block.append((r["item_id"], text))
+        if not text:
+            continue
+        if texts and size + len(text) > block_chars:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+        ids.append(r["item_id"])
+        texts.append(text)
         size += len(text)
-    if block:
-        yield block
+    if texts:
+        yield ids, texts
+
 
+def _in_order(ids: set[int | None]) -> list[int | None]:
+    return sorted(ids, key=lambda i: (i is None, i or 0))
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs(doc_id, text) x benchmark(item_id, text) -> rows (doc_id, item_id, distance, budget, match_end, pieces_hit), one for each document and item it holds."""
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs(doc_id, text) x benchmark(item_id, text) -> rows (doc_id, item_id, distance, budget, match_end, pieces_hit), one for each document and text of an item it holds."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, distance int, budget int, match_end int, pieces_hit int"
 
-    def search(block: list[tuple[int, str]]) -> DataFrame:
+    def search(block: Block) -> DataFrame:
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, error_rate)
+            ids, texts = sent.value
+            matcher = Matcher(texts, error_rate)
             for batch in batches:
                 rows = [
-                    (doc, item, d, matcher.items[item][1], end, hits)
+                    (doc, ids[n], d, matcher.items[n][1], end, hits)
                     for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)
-                    for item, (d, end, hits) in matcher.matches(clean(text)).items()
+                    for n, (d, end, hits) in matcher.matches(clean(text)).items()
                 ]
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 4, strict=True)], ["doc_id", "item_id", "distance", "budget", "match_end", "pieces_hit"])
 
-        return docs.select("doc_id", "text").mapInArrow(run, schema)
+        found = keep(docs.select("doc_id", "text").mapInArrow(run, schema))
+        sent.destroy()
+        return found
 
-    found = [search(b) for b in blocks_of(benchmark, min_chars, block_chars)]
+    found = [search(b) for b in blocks_of(benchmark, block_chars)]
     return reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, columns: tuple[str, ...] = ("doc_id",), error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def _found_in(sent, error_rate: float, names: list[str], only_hits: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Columns ``names`` of documents with ``items``; ``only_hits``: of documents that hold an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts = sent.value
+        matcher = Matcher(texts, error_rate)
+        for batch in batches:
+            items = pa.array([_in_order({ids[n] for n in matcher.matches(clean(t))}) for t in batch["text"].to_pylist()], pa.list_(pa.int64()))
+            out = pa.RecordBatch.from_arrays([*(batch[c] for c in names), items], [*names, "items"])
+            yield out.filter(pa.array([len(x) > 0 for x in items])) if only_hits else out
+
+    return run
+
+
+def marked(docs: DataFrame, benchmark: DataFrame, columns: tuple[str, ...] = ("doc_id",), error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``columns`` of docs with ``items`` (ids of the items held, ascending), ``n_items`` and ``contaminated``.
 
-    One pass over the documents for each block of items, without a shuffle; the marks of
-    several blocks are merged row by row as the passes are chained.
+    A benchmark of one block takes one pass over the documents, without a shuffle. For more
+    blocks the documents are written once with a row number; each block's pass keeps only
+    the rows it hits, and these are joined back, so that one block is in memory at a time.
     """
     spark = docs.sparkSession
-    base = docs.select(*dict.fromkeys([*columns, "text"])).withColumn("_items", F.expr("cast(array() as array<bigint>)"))
-    for block in blocks_of(benchmark, min_chars, block_chars):
+    blocks = blocks_of(benchmark, block_chars)
+    block, following = next(blocks, None), next(blocks, None)
+    names = list(columns)
+    empty = F.expr("cast(array() as array<bigint>)")
+    if block is None:
+        out = docs.select(*names).withColumn("items", empty)
+    elif following is None:
         sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, error_rate)
-            for batch in batches:
-                old = batch["_items"].to_pylist()
-                new = [sorted({*o, *matcher.matches(clean(t))}) for o, t in zip(old, batch["text"].to_pylist(), strict=True)]
-                keep = [batch[c] for c in batch.schema.names if c != "_items"]
-                yield pa.RecordBatch.from_arrays([*keep, pa.array(new, pa.list_(pa.int64()))], [*[c for c in batch.schema.names if c != "_items"], "_items"])
-
-        base = base.mapInArrow(run, base.schema)
-    out = base.select(*columns, F.col("_items").alias("items"))
+        schema = docs.select(*names).schema.add("items", T.ArrayType(T.LongType()))
+        out = docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(_found_in(sent, error_rate, names, False), schema)
+    else:
+        rows = keep(docs.select(*dict.fromkeys([*names, "text"])).withColumn("_row", F.monotonically_increasing_id()))
+        hits = None
+        while block is not None:
+            sent = spark.sparkContext.broadcast(block)
+            found = keep(rows.select("_row", "text").mapInArrow(_found_in(sent, error_rate, ["_row"], True), "_row long, items array<long>"))
+            sent.destroy()
+            hits = found if hits is None else hits.union(found)
+            block, following = following, next(blocks, None)
+        split = F.struct(F.col("item").isNull().alias("none"), F.col("item").alias("id"))
+        held = hits.select("_row", F.explode("items").alias("item")).groupBy("_row").agg(F.transform(F.sort_array(F.collect_set(split)), lambda x: x["id"]).alias("items"))
+        out = rows.join(held, "_row", "left").select(*names, F.coalesce("items", empty).alias("items"))
     return out.withColumn("n_items", F.size("items")).withColumn("contaminated", F.size("items") > 0)

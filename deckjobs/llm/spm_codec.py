@@ -63,13 +63,22 @@ class CharacterMap:
         n = struct.unpack_from("<I", blob)[0] if blob else 0
         self.units = np.frombuffer(blob, "<u4", n // 4, 4).tolist() if blob else []
         self.texts = blob[4 + n :]
+        #: bytes with which some known text begins; elsewhere there is nothing to look up
+        self.begins = np.zeros(256, bool)
+        if self.units:
+            root = self._base(self.units[0])
+            for b in range(1, 256):
+                self.begins[b] = root ^ b < len(self.units) and self.units[root ^ b] & 0x800000FF == b
+
+    @staticmethod
+    def _base(unit: int) -> int:
+        return (unit >> 10) << ((unit & 512) >> 6)
 
     def longest_prefix(self, text: bytes, at: int) -> tuple[int, bytes] | None:
         """Length of the longest known prefix of text[at:] and what replaces it."""
         if not self.units:
             return None
-        found, unit = None, self.units[0]
-        node = (unit >> 10) << ((unit & 512) >> 6)
+        found, node = None, self._base(self.units[0])
         for i in range(at, len(text)):
             node ^= text[i]
             if node >= len(self.units):
@@ -77,7 +86,7 @@ class CharacterMap:
             unit = self.units[node]
             if unit & 0x800000FF != text[i]:
                 break
-            node ^= (unit >> 10) << ((unit & 512) >> 6)
+            node ^= self._base(unit)
             if unit & 256:
                 found = (i + 1 - at, self.units[node] & 0x7FFFFFFF)
         if found is None:
@@ -137,54 +146,38 @@ class Model:
                 if a < "\x80" and b < "\x80":
                     self.joins[ord(a), ord(b)] = True
 
-    def normalized(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of the normalised text, and for each the source byte it comes from (one more entry: the end)."""
-        if not text:
-            return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-        if not self.map.units and not self.squeeze:
-            return self._spaces_marked(text)
-        out, source, i, n = bytearray(), [], 0, len(text)
-
-        def take(at: int) -> tuple[int, bytes]:
-            known = self.map.longest_prefix(text, at)
+    def _replaced(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The text with the longest known prefixes replaced, and for each byte the source byte it comes from."""
+        raw, source = np.frombuffer(text, np.uint8), np.arange(len(text))
+        out, origin, at = [], [], 0
+        for i in np.flatnonzero(self.map.begins[raw]).tolist():
+            known = self.map.longest_prefix(text, i) if i >= at else None
             if known:
-                return known
-            size = 1 if text[at] < 128 else 2 if text[at] < 224 else 3 if text[at] < 240 else 4
-            return size, text[at : at + size]
-
-        spaces = self.squeeze
-        while self.squeeze and i < n:
-            size, new = take(i)
-            if new.strip(b" "):
-                break
-            i += size
-        if i < n and self.prefix:
-            out += MARK
-            source += [i] * 3
-        space_before = spaces
-        while i < n:
-            size, new = take(i)
-            for k, c in enumerate(new):
-                if c == 32:
-                    if not (self.squeeze and space_before):
-                        out += MARK
-                        source += [i] * 3
-                    space_before = True
-                else:
-                    out.append(c)
-                    source.append(i if len(new) != size else i + k)
-                    space_before = False
-            i += size
-        if self.squeeze:
-            while out.endswith(MARK):
-                del out[-3:], source[-3:]
-        return np.frombuffer(bytes(out), np.uint8), np.array([*source, n], np.int64)
+                size, new = known
+                out += [raw[at:i], np.frombuffer(new, np.uint8)]
+                origin += [source[at:i], source[i : i + size] if len(new) == size else np.full(len(new), i)]
+                at = i + size
+        return np.concatenate([*out, raw[at:]]), np.concatenate([*origin, source[at:]])
 
-    def _spaces_marked(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        raw = np.frombuffer(text, np.uint8)
-        size = np.where(raw == 32, 3, 1)
-        source = np.concatenate([np.zeros(3 * self.prefix, np.int64), np.repeat(np.arange(len(raw)), size), [len(raw)]])
-        return np.frombuffer((MARK if self.prefix else b"") + text.replace(b" ", MARK), np.uint8), source
+    def normalized(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the normalised text, and for each the source byte it comes from (one more entry: the end).
+
+        Known prefixes are replaced, spaces squeezed if the model says so, and what spaces
+        are left become marks.
+        """
+        out, source = self._replaced(text)
+        space = out == 32
+        if self.squeeze:
+            kept = ~(space & np.append(True, space[:-1])) if len(space) else space
+            out, source, space = out[kept], source[kept], space[kept]
+        size = np.where(space, len(MARK), 1)
+        data, source = out.tobytes().replace(b" ", MARK), np.repeat(source, size)
+        if self.prefix and data:
+            data, source = MARK + data, np.concatenate([np.repeat(source[:1], len(MARK)), source])
+        if self.squeeze:
+            while data.endswith(MARK):
+                data, source = data[: -len(MARK)], source[: -len(MARK)]
+        return np.frombuffer(data, np.uint8), np.append(source, len(text))
 
     def merged(self, part: str) -> list[tuple[str, int]]:
         """Pieces of a part of the text: best score first, then leftmost, until no pair is a piece."""
@@ -243,7 +236,7 @@ def _decoder(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def encode_batch(texts: list[bytes], path: str, with_spans: bool = True) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def encode_batch(texts: list[bytes], path: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Ids of every text, and for each id the source bytes it covers as pairs (begin, end)."""
     model, coder = loaded(path)
     ids_out: list[np.ndarray] = []
@@ -274,8 +267,6 @@ def encode_batch(texts: list[bytes], path: str, with_spans: bool = True) -> tupl
                 i = j = 0
             base = doc_end[k] - length[k]
             ids_out.append(ids[i:j])
-            if not with_spans:
-                continue
             stop = place[i:j] - base
             spans_out.append(np.stack([source[stop - size[i:j]], source[stop]], axis=1) if j > i else np.zeros((0, 2), np.int64))
     return ids_out, spans_out
@@ -295,8 +286,15 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
-    """``columns`` of docs, n_tokens, ids_sha256 and decoded_sha256 (with_text: also ``decoded``), in one pass."""
-    schema = docs.select(*columns).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    """``columns`` of docs, n_tokens, ids_sha256, decoded_sha256, n_covered and spans_sha256 (with_text: also ``decoded``), in one pass.
+
+    ``n_covered`` is the number of source bytes under the spans of the pieces, ``spans_sha256``
+    of their begins and ends, in turn, as little-endian 64-bit integers.
+    """
+    added = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "n_covered": pa.int64(), "spans_sha256": pa.string()}
+    schema = docs.select(*columns).schema
+    for name, kind in added.items():
+        schema = schema.add(name, "long" if kind == pa.int64() else "string")
     if with_text:
         schema = schema.add("decoded", "string")
 
@@ -306,12 +304,12 @@ def round_trip(docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id",
             texts = list(text_bytes(batch["text"]))
             rows: list[tuple] = []
             for a, b in pieces_of(texts, 1 << 20):
-                for x in encode_batch(texts[a:b], path, with_spans=False)[0]:
+                for x, spans in zip(*encode_batch(texts[a:b], path), strict=True):
                     ids = x.tolist()
                     text = decoder.decode(ids) if ids else ""
-                    rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), text if with_text else None))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            out = [pa.array(c, k) for c, k in zip(cols[: 3 + with_text], [pa.int64(), pa.string(), pa.string(), pa.string()], strict=False)]
+                    rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), int((spans[:, 1] - spans[:, 0]).sum()), hashlib.sha256(spans.astype("<i8").tobytes()).hexdigest(), text))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            out = [pa.array(c, k) for c, k in zip(cols[: 5 + with_text], [*added.values(), pa.string()], strict=False)]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), *out], schema.fieldNames())
 
     return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, schema)

@@ -246,6 +246,11 @@ def test_sentencepiece(spark, odd_rows):
         assert len(x) == len(s) and (s[1:, 0] == s[:-1, 1]).all() and (not len(s) or (s[0, 0] == 0 and s[-1, 1] == len(raw)))
     got = spm_codec.round_trip(table(spark, odd_rows), path).collect()
     assert Counter((r.doc_id, r.n_tokens, r.decoded_sha256) for r in got) == Counter((i, len(lib.encode(t or "")), hashlib.sha256(lib.decode(lib.encode(t or "")).encode()).hexdigest()) for i, t in odd_rows)
+    for r in got:
+        assert r.n_covered == len(({i: t for i, t in odd_rows}[r.doc_id] or "").encode()) or r.doc_id in (None, 200, 7)
+    digest = {r.doc_id: r.spans_sha256 for r in got}
+    ids, (own,) = spm_codec.encode_batch([odd_rows[41][1].encode()], path)
+    assert digest[odd_rows[41][0]] == hashlib.sha256(own.astype("<i8").tobytes()).hexdigest()
     assert spm_codec.encode(table(spark, odd_rows), path).count() == len(odd_rows)
 
 
@@ -277,13 +282,40 @@ def compiled(rules: dict[bytes, bytes]) -> bytes:
     return len(units).__mul__(4).to_bytes(4, "little") + np.array(units, "<u4").tobytes() + texts
 
 
-def test_longest_prefix_normalisation_keeps_offsets():
+def normalised_by_characters(model, rules, text):
+    """Longest rule or one character at a time, with its place; then spaces, one by one."""
+    units, i = [], 0
+    while i < len(text):
+        size = max((n for n in range(1, 5) if i + n <= len(text) and text[i : i + n] in rules), default=0)
+        if size:
+            new = rules[text[i : i + size]]
+            units += [(c, i + k if len(new) == size else i) for k, c in enumerate(new)]
+        else:
+            size = 1
+            units.append((text[i], i))
+        i += size
+    if model.squeeze:
+        units = [u for k, u in enumerate(units) if u[0] != 32 or (k and units[k - 1][0] != 32)]
+        while units and units[-1][0] == 32:
+            units.pop()
+    out = [(c, at) for c, at in units[:1] if units for c in spm_codec.MARK] if model.prefix else []
+    for u, at in units:
+        out += [(c, at) for c in spm_codec.MARK] if u == 32 else [(u, at)]
+    return bytes(c for c, _ in out), [at for _, at in out] + [len(text)]
+
+
+@pytest.mark.parametrize("rules", [{}, {b"a": b"x", b"ab": b"yy", "é".encode(): b"e", b"zz": b"", b"q": b" "}])
+def test_longest_prefix_normalisation_keeps_offsets(rules):
+    """One path for every model: with and without a character map, with and without squeezing."""
     model = spm_codec.Model(tokenizer_path("piece_bpe_32k.model"))
-    model.map = spm_codec.CharacterMap(compiled({b"a": b"x", b"ab": b"yy", "é".encode(): b"e"}))
-    out, source = model.normalized("abaé b".encode())
-    assert bytes(out).decode() == "▁yyxe▁b" and source.tolist() == [0, 0, 0, 0, 1, 2, 3, 5, 5, 5, 6, 7]
-    model.squeeze = True
-    assert bytes(model.normalized(b"  b   b ")[0]).decode() == "▁b▁b"
+    model.map = spm_codec.CharacterMap(compiled(rules) if rules else b"")
+    rng = random.Random(12)
+    texts = ["abaé b", "  b   b ", "", " ", "zz", "q"] + ["".join(rng.choice("abzq é日 ") for _ in range(rng.randint(0, 25))) for _ in range(400)]
+    for model.prefix in (True, False):
+        for model.squeeze in (False, True):
+            for t in texts:
+                out, source = model.normalized(t.encode())
+                assert (bytes(out), source.tolist()) == normalised_by_characters(model, rules, t.encode())
 
 
 def edit_distance_inside(item, text):
@@ -321,6 +353,24 @@ def test_decontamination(spark):
     assert decontam_edit.marked(table(spark, []), bench).count() == 0 and decontam_edit.marked(table(spark, rows), bench.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("block", [4_000_000, 30])
+def test_short_items_shared_ids_and_items_without_one(spark, block):
+    """No item is left out for its length or its id."""
+    items = [(1, "abc"), (2, "Two Words"), (3, "nineteen characters"), (4, "one text of an item id that has two"), (4, "and the other text under that id"), (None, "an item without any id at all"), (None, "seen"), (5, "abc"), (6, " \u2003"), (7, "zebra")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = [(1, "x ABC y"), (2, "two  words, and abc"), (3, "... nineteen\ncharacters"), (4, "say: one text of an item id that has two"), (4, "and the other text under that id"), (None, "an item without any id at all, seen with abc"), (8, "nothing here"), (9, None)]
+    want = Counter()
+    for i, t in rows:
+        c = decontam_edit.clean(t)
+        held = {j for j, x in items if decontam_edit.clean(x) and edit_distance_inside(decontam_edit.clean(x), c) <= decontam_edit.budget_of(decontam_edit.clean(x), decontam_edit.ERROR_RATE)} - {5}
+        want[(i, tuple(sorted(held, key=lambda j: (j is None, j or 0))))] += 1
+    got = decontam_edit.marked(table(spark, rows), bench, block_chars=block).collect()
+    assert Counter((r.doc_id, tuple(r["items"])) for r in got) == want and want[(None, (1, None))] == 1
+    assert [r.n_items for r in got if r.doc_id == 4] == [1, 1] and all(r.contaminated == bool(r["items"]) for r in got)
+    pairs = decontam_edit.contaminated(table(spark, rows), bench, block_chars=block)
+    assert pairs.where("doc_id is null and item_id is null").count() == 2
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5), (2001, 2000), (2000, 2001)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
