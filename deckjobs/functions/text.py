@@ -11,6 +11,15 @@ from .patterns import LEADING_VERSE_NUMBER, QUOTE_MARKS, SPACE
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 
 
+# fixed values: the characters that are white space
+SPACES = "\t\n\v\f\r \u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def is_blank(c: Column) -> Column:
+    """Nothing but white space of any kind."""
+    return F.translate(c, SPACES, "") == ""
+
+
 def trim_spaces(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(F.regexp_replace(c, f"^{SPACE}+", ""), f"{SPACE}+\\z", "")
@@ -56,7 +65,7 @@ def safe_file_name(c: Column, suffix: str = ".pro") -> Column:
 
 
 def valid_style_name(c: Column) -> Column:
-    return F.coalesce(~F.trim(c).isin("", ".", "..") & ~c.rlike(r'[/\\:*?"<>|]'), F.lit(False))
+    return F.coalesce(~trim_spaces(c).isin("", ".", "..") & ~c.rlike(r'[/\\:*?"<>|]'), F.lit(False))
 
 
 def rgb(comps: Column) -> Column:
