@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from .functions import metrics, text
 from .functions import patterns as P
 from .operators import cues, freeform, glyphs, outline, rtf, sections, styles
-from .oracle import CAPS_OK, both, capitalized, cut, group, lit, matches, reference, sql, units, verse
+from .oracle import CAPS_OK, SEEN, both, capitalized, cut, group, lit, matches, reference, sql, units, verse, wrapped
 from .sources import fixtures as fx
-from .sources.shared import shared_folder
+from .sources.shared import keep_dealt, shared_folder
 from .streaming.jobs import session_expiry as sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,18 +38,23 @@ def _entries(spark: SparkSession, sf: str) -> DataFrame:
     return outline.entries(fx.outline_lines(spark, sf))
 
 
+def _clean(spark: SparkSession, sf: str) -> DataFrame:
+    return glyphs.glyph_clean(fx.doc_glyphs(spark, sf))
+
+
 def _inked(spark: SparkSession, sf: str) -> DataFrame:
-    g = glyphs.font_flags(glyphs.glyph_clean(fx.doc_glyphs(spark, sf)))
+    keep_dealt(spark)
+    g = glyphs.font_flags(_clean(spark, sf))
     x = glyphs.glyph_color_join(g, fx.paints(fx.doc_glyphs(spark, sf)))
     return glyphs.ink_class(glyphs.page_background_join(x, glyphs.page_background(fx.fills(spark, sf), fx.page_boxes(spark, sf))))
 
 
 def _rows(spark: SparkSession, sf: str) -> DataFrame:
-    return glyphs.row_order(glyphs.baseline_rows(_inked(spark, sf)))
+    return glyphs.row_order(glyphs.baseline_rows(_inked(spark, sf), heights=_clean(spark, sf)))
 
 
 def _plain_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return glyphs.row_order(glyphs.baseline_rows(glyphs.glyph_clean(fx.doc_glyphs(spark, sf))))
+    return glyphs.row_order(glyphs.baseline_rows(_clean(spark, sf)))
 
 
 def _kept(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,7 +81,15 @@ def src_lines(spark, sf):
 
 @query("SELECT doc_id, page, count(*) AS n, sum(size)::double AS sizes, count(DISTINCT font) AS fonts, max(seq) AS last_seq FROM glyphs GROUP BY doc_id, page")
 def src_glyphs(spark, sf):
-    return fx.doc_glyphs(spark, sf).groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.sum("size").alias("sizes"), F.count_distinct("font").alias("fonts"), F.max("seq").alias("last_seq"))
+    """The glyphs written as a table, some also without their page, and read again."""
+    from .sources.tables import src_glyphs as read
+
+    path = shared_folder(spark, "glyphs")
+    g = fx.doc_glyphs(spark, sf)
+    columns = ["doc_id", "page", "seq", "s", "font", "size", "x", "y", "w"]
+    g.select(*columns).write.parquet(f"{path}/placed")
+    g.where("seq % 1000 = 0").withColumn("page", F.lit(None).cast("int")).select(*columns).write.parquet(f"{path}/lost")
+    return read(spark, f"{path}/*").groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.sum("size").alias("sizes"), F.count_distinct("font").alias("fonts"), F.max("seq").alias("last_seq"))
 
 
 @query("SELECT d.doc_id, CASE WHEN regexp_matches(coalesce(d.text, ''), '^\\s*$') THEN 'no text found' ELSE 'no labels found' END AS reason FROM documents d WHERE NOT EXISTS (SELECT 1 FROM entries e WHERE e.doc_id = d.doc_id)")
@@ -89,8 +102,12 @@ _DECK = "SELECT doc_id, count(*) AS n_cues, string_agg(name, '|' ORDER BY cue_no
 
 @query(_DECK)
 def sink_presentations(spark, sf):
-    names = fx.jobs(spark, sf).select("doc_id", "name")
-    d = cues.presentations(_cues(spark, sf), names)
+    """Presentations written, and read again from their files."""
+    from .sources.tables import sink_presentations as write
+
+    path = shared_folder(spark, "decks")
+    write(cues.presentations(_cues(spark, sf), fx.jobs(spark, sf).select("doc_id", "name")), path)
+    d = spark.read.parquet(path)
     return d.select("doc_id", F.size("cues").cast("long").alias("n_cues"), F.array_join(F.transform("cues", lambda c: c["name"]), "|").alias("names"), F.array_join("cue_ids", "").alias("ids"))
 
 
@@ -138,7 +155,7 @@ def is_label_line(spark, sf):
     return outline.is_label_line(_lines(spark, sf)).select("doc_id", "line_no", "is_label")
 
 
-@query("SELECT doc_id, page, count(*) AS n, sum(length(s)) AS chars FROM glyphs WHERE s NOT IN ('', chr(10), chr(13)) GROUP BY doc_id, page")
+@query("SELECT doc_id, page, count(*) AS n, sum(length(s)) AS chars FROM clean_glyphs GROUP BY doc_id, page")
 def glyph_clean(spark, sf):
     return glyphs.glyph_clean(fx.doc_glyphs(spark, sf)).groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("chars"))
 
@@ -149,7 +166,7 @@ def expand_ligatures(spark, sf):
     return fx.documents(spark, sf).select("doc_id", tied.alias("x")).select("doc_id", F.length("x").alias("n"), F.length(text.expand_ligatures(F.col("x"))).alias("expanded"))
 
 
-@query("SELECT doc_id, count(*) FILTER (font LIKE '%Heavy%') AS bold, count(*) FILTER (font LIKE '%Oblique%') AS italic FROM glyphs GROUP BY doc_id")
+@query("SELECT doc_id, count(*) FILTER (font LIKE '%Heavy%' OR font LIKE '%Black%' OR font LIKE '%Bold%') AS bold, count(*) FILTER (font LIKE '%Oblique%' OR font LIKE '%Italic%') AS italic FROM glyphs GROUP BY doc_id")
 def font_flags(spark, sf):
     return glyphs.font_flags(fx.doc_glyphs(spark, sf)).groupBy("doc_id").agg(F.count_if("bold").alias("bold"), F.count_if("italic").alias("italic"))
 
@@ -247,7 +264,7 @@ def page_background(spark, sf):
 def _geometry(spark):
     s = styles.settings_defaults(fx.styles(spark)).select(F.col("name").alias("style"), "force_caps_off", F.explode("roles").alias("role"))
     width = F.when(F.col("role") == "scripture", 1440.0).otherwise(1800.0)
-    return s.select("style", "role", "force_caps_off", F.lit("ALL_CAPS").alias("caps"), width.alias("box_w"), F.lit(300.0).alias("box_h"), F.lit(600.0).alias("box_y"), F.lit(20.0).alias("margin_l"), F.lit(20.0).alias("margin_r"), F.lit(8.0).alias("margin_t"), F.lit(8.0).alias("margin_b"), F.lit(50.0).alias("font_size"), F.lit(0.0).alias("line_height_multiple"), F.lit(1080.0).alias("slide_h"))
+    return s.select("style", "role", "force_caps_off", F.lit("ALL_CAPS").alias("caps"), width.alias("box_w"), F.lit(300.0).alias("box_h"), F.lit(600.0).alias("box_y"), F.lit(20.0).alias("margin_l"), F.lit(20.0).alias("margin_r"), F.lit(8.0).alias("margin_t"), F.lit(8.0).alias("margin_b"), F.lit(50.0).alias("font_size"), F.lit(0.0).alias("line_height_multiple"), F.lit(1080.0).alias("slide_h"), F.lit(500.0).alias("ref_y0"), F.lit(90.0).alias("ref_h"))
 
 
 @query("SELECT count(*) AS n, role, width FROM (SELECT n.role, CASE n.role WHEN 'scripture' THEN 1400.0 ELSE 1760.0 END::double AS width FROM numbered n JOIN jobs j USING (doc_id) JOIN (SELECT name, unnest(roles) AS role FROM styles) s ON s.name = CASE WHEN j.doc_id % 2 = 0 THEN 'Torn' ELSE 'Deck' END AND s.role = n.role) GROUP BY role, width")
@@ -303,7 +320,7 @@ def char_width_join(spark, sf):
 # ---- aggregates ----
 
 
-@query("SELECT doc_id, page, line_no, min(x) FILTER (trim(s) <> '') AS x0, max(x + w) FILTER (trim(s) <> '') AS x1, arg_min(y, ord) AS y, max(size) FILTER (trim(s) <> '')::double AS size FROM kept_rows GROUP BY doc_id, page, line_no HAVING count(*) FILTER (trim(s) <> '') > 0")
+@query(f"SELECT doc_id, page, line_no, min(x) FILTER ({SEEN}) AS x0, max(x + w) FILTER ({SEEN}) AS x1, arg_min(y, ord) AS y, max(size) FILTER ({SEEN})::double AS size FROM kept_rows GROUP BY doc_id, page, line_no HAVING count(*) FILTER ({SEEN}) > 0")
 def line_extents(spark, sf):
     return glyphs.line_extents(glyphs.drop_superscript_digits(_plain_rows(spark, sf)))
 
@@ -335,7 +352,7 @@ def block_stats(spark, sf):
 
 @query("SELECT doc_id, page, line_no, string_agg(CASE WHEN run_no > 0 AND space_before THEN ' ' ELSE '' END || text, '' ORDER BY run_no) AS text FROM runs GROUP BY doc_id, page, line_no")
 def line_text(spark, sf):
-    return glyphs.line_text(glyphs.run_merge(glyphs.glyph_runs(_kept(spark, sf))))
+    return glyphs.lines_of(_inked(spark, sf), heights=_clean(spark, sf)).select("doc_id", "page", "line_no", "text")
 
 
 @query("SELECT doc_id, slide_no, string_agg(line, ' ' ORDER BY line_no) AS text FROM slide_lines GROUP BY doc_id, slide_no")
@@ -345,10 +362,10 @@ def slide_text(spark, sf):
 
 @query("SELECT * FROM runs")
 def run_merge(spark, sf):
-    return glyphs.run_merge(glyphs.glyph_runs(_kept(spark, sf)))
+    return glyphs.run_merge(glyphs.glyph_runs(_kept(spark, sf))).drop("x0", "x1", "y", "size")
 
 
-@query()
+@query(f"SELECT doc_id, page, sum({wrapped('text', 1920.0, 135.0)})::bigint AS wrapped FROM geo_lines GROUP BY doc_id, page")
 def measure_lines(spark, sf):
     return freeform.measure_lines(fx.geo_lines(spark, sf))
 
@@ -358,13 +375,7 @@ def _styled(spark, sf, keep=True):
     return rtf.run_style(s)
 
 
-_PALETTE = """SELECT doc_id, slide_no, upper AS upper_, hex, base + row_number() OVER (PARTITION BY doc_id, slide_no ORDER BY line_no, run_no, k) - 1 AS at FROM (
-SELECT doc_id, slide_no, upper(h) AS upper, arg_min(h, (line_no, run_no, k)) AS hex, min(line_no) AS line_0, min((line_no, run_no, k))[1] AS line_no, min((line_no, run_no, k))[2] AS run_no, min((line_no, run_no, k))[3] AS k, 1 AS base FROM (
-SELECT doc_id, slide_no, line_no, run_no, unnest(range(len(u))) AS k, unnest(u) AS h, CASE WHEN doc_id % 3 = 0 THEN '#FAE333' ELSE '#FFFFFF' END AS regular FROM (
-SELECT *, CASE WHEN highlight THEN ['#000000', '#FFFFFF'] WHEN color <> '' THEN [color] ELSE []::varchar[] END AS u FROM slide_runs WHERE doc_id % 2 = 0)) WHERE upper(h) <> regular GROUP BY doc_id, slide_no, upper(h))"""
-
-
-@query(_PALETTE)
+@query("SELECT doc_id, slide_no, upper AS upper_, hex, \"at\" FROM palette")
 def color_palette(spark, sf):
     return rtf.color_palette(_styled(spark, sf)).withColumnRenamed("upper", "upper_")
 
@@ -428,7 +439,8 @@ def layout_blocks(spark, sf):
 
 @query()
 def heading_attach(spark, sf):
-    return freeform.freeform_slides(fx.geo_lines(spark, sf)).select("doc_id", "slide_no", F.size("lines").alias("n_lines"))
+    slides = freeform.freeform_slides(fx.geo_lines(spark, sf))
+    return slides.select("doc_id", "slide_no", F.array_join(freeform.line_texts(F.col("lines")), "\n").alias("text"))
 
 
 @query("SELECT doc_id, line_no, island::bigint AS island, starts FROM islands")
@@ -459,10 +471,7 @@ def _changes(spark, sf):
     return rtf.rtf_state_diff(x.withColumn("style_italic", F.col("doc_id") % 4 == 1))
 
 
-_STYLED = """SELECT r.*, CASE WHEN r.doc_id % 2 = 0 THEN CASE WHEN highlight THEN '#000000' ELSE upper(color) END WHEN bold THEN '*' ELSE '' END AS want, r.doc_id % 2 = 0 AS keep, r.doc_id % 4 = 1 AS si, (CASE WHEN r.doc_id % 3 = 0 THEN '#FAE333' ELSE '#FFFFFF' END) AS regular FROM slide_runs r"""
-_COLORED = f"""SELECT s.*, CASE WHEN want = '' OR want = regular THEN 0 WHEN want = '*' THEN 1 ELSE p.at END AS color_at, CASE WHEN keep AND highlight THEN 1 + CASE WHEN regular = '#FFFFFF' THEN 0 ELSE w.at END ELSE CASE WHEN keep THEN 2 ELSE 3 END + coalesce(m.n, 0) END AS mark, CASE WHEN keep THEN 2 ELSE 3 END + coalesce(m.n, 0) AS clear, si OR (keep AND italic) AS slant
-FROM ({_STYLED}) s LEFT JOIN ({_PALETTE}) p ON p.doc_id = s.doc_id AND p.slide_no = s.slide_no AND p.upper_ = want LEFT JOIN ({_PALETTE}) w ON w.doc_id = s.doc_id AND w.slide_no = s.slide_no AND w.upper_ = '#FFFFFF' LEFT JOIN (SELECT doc_id, slide_no, count(*) AS n FROM ({_PALETTE}) GROUP BY doc_id, slide_no) m ON m.doc_id = s.doc_id AND m.slide_no = s.slide_no"""
-_CONTROL = f"""SELECT *, CASE WHEN coalesce(lag(color_at) OVER l, -1) <> color_at THEN '\\cf' || (color_at + 1) ELSE '' END || CASE WHEN coalesce(lag(slant) OVER l, si) <> slant THEN CASE WHEN slant THEN '\\i' ELSE '\\i0' END ELSE '' END || CASE WHEN coalesce(lag(mark) OVER l, clear) <> mark THEN '\\highlight' || mark || '\\cb' || mark ELSE '' END AS control FROM ({_COLORED}) WINDOW l AS (PARTITION BY doc_id, slide_no, line_no ORDER BY run_no)"""
+_CONTROL = f"""SELECT *, CASE WHEN coalesce(lag(color_at) OVER l, -1) <> color_at THEN '\\cf' || (color_at + 1) ELSE '' END || CASE WHEN coalesce(lag(slant) OVER l, si) <> slant THEN CASE WHEN slant THEN '\\i' ELSE '\\i0' END ELSE '' END || CASE WHEN coalesce(lag(mark) OVER l, clear) <> mark THEN '\\highlight' || mark || '\\cb' || mark ELSE '' END AS control FROM colored_runs WINDOW l AS (PARTITION BY doc_id, slide_no, line_no ORDER BY run_no)"""
 
 
 @query(f"SELECT doc_id, slide_no, line_no, run_no, control FROM ({_CONTROL})")
@@ -591,7 +600,7 @@ def text_width(spark, sf):
     return fx.doc_lines(spark, sf).select("doc_id", "line_no", metrics.text_width(F.col("line"), F.lit(20.0)).alias("width"))
 
 
-@query()
+@query(f"SELECT doc_id, line_no, ({wrapped('line', 1920.0, 135.0, 'doc_id % 2 = 0')})::int AS lines FROM doc_lines")
 def wrap_lines(spark, sf):
     caps = F.col("doc_id") % 2 == 0
     return fx.doc_lines(spark, sf).select("doc_id", "line_no", metrics.wrap_lines("line", F.lit(1920.0), F.lit(135.0), caps).alias("lines"))
@@ -605,13 +614,9 @@ def sentence_units(spark, sf):
     return freeform.sentence_units(fx.doc_runs(spark, sf)).groupBy("doc_id", "line_no", "unit").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT doc_id, line_no, unit::int AS unit, text FROM verse_sentences")
 def verse_units(spark, sf):
-    @F.pandas_udf("array<string>")
-    def units_of(t):
-        return t.map(metrics.verse_units)
-
-    return fx.doc_lines(spark, sf).select("doc_id", "line_no", F.explode(units_of("line")).alias("unit"))
+    return fx.doc_lines(spark, sf).select("doc_id", "line_no", F.posexplode(metrics.sentence_parts("line")).alias("unit", "text"))
 
 
 def _split(spark, sf):
@@ -629,24 +634,33 @@ def _cut(spark, sf):
     return freeform.split_blocks(freeform.layout_blocks(freeform.drop_small_print(fx.geo_lines(spark, sf))))
 
 
+def _parts(cut: DataFrame) -> DataFrame:
+    return cut.select("doc_id", "block", F.posexplode("slides").alias("part", "lines")).select("doc_id", "block", "part", F.array_join(freeform.line_texts(F.col("lines")), "\n").alias("text"))
+
+
 @query()
 def split_paragraph(spark, sf):
-    return _cut(spark, sf).where("flowing").select("doc_id", "block", F.size("slides").alias("n_slides"))
+    return _parts(_cut(spark, sf).where("flowing"))
 
 
 @query()
 def split_lines(spark, sf):
-    return _cut(spark, sf).where("not flowing and not heading_only").select("doc_id", "block", F.size("slides").alias("n_slides"))
+    return _parts(_cut(spark, sf).where("not flowing and not heading_only"))
 
 
 @query()
 def split_words(spark, sf):
-    return _cut(spark, sf).select("doc_id", "block", F.posexplode("slides").alias("part", "s")).select("doc_id", "block", "part", F.aggregate("s", F.lit(0), lambda a, line: a + F.size(line)).alias("n_runs"))
+    """Lines as blocks of their own in a narrow box: what no sentence end cuts, words do."""
+    lone = freeform.layout_blocks(freeform.drop_small_print(fx.geo_lines(spark, sf))).withColumns({"block": F.col("line_no"), "heading": F.lit(False)})
+    return _parts(freeform.split_blocks(lone, width=900.0, most=2))
 
 
 @query()
 def pack_balanced(spark, sf):
-    return _split(spark, sf).groupBy("doc_id", "pos").agg(F.count("*").alias("n_parts"))
+    """Verses of a document together, as text in the scripture box."""
+    boxes = cues.text_box(_geometry(spark)).where("style = 'Deck' and role = 'scripture'")
+    whole = _entries(spark, sf).where("kind = 'scripture'").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "verse"))), lambda r: r["verse"]), " ").alias("verse"))
+    return cues.verse_parts(whole.withColumns({"pos": F.lit(0), "style": F.lit("Deck")}), boxes, F.lit(4))
 
 
 @query("SELECT j.doc_id, s.role, CASE s.role WHEN 'scripture' THEN 1400.0 ELSE 1760.0 END::double AS width, 50.0::double AS font_size, coalesce(NOT s.caps_off, false) AS all_caps FROM jobs j JOIN (SELECT name, force_caps_off AS caps_off, unnest(roles) AS role FROM settled) s ON s.name = j.style")
@@ -660,7 +674,7 @@ _SC = "SELECT doc_id, pos, 1 + length(coalesce(verse, '')) // 60 AS n, CASE WHEN
 
 @query(f"SELECT doc_id, pos, round(vh * 1000)::bigint AS verse_h, round((vy + dy) * 1000)::bigint AS verse_y, round((r + dy) * 1000)::bigint AS ref_y FROM (SELECT *, (1080.0 - (greatest(vy + vh, r + 90.0) - least(vy, r))) / 2 - least(vy, r) AS dy FROM (SELECT *, CASE WHEN 600.0 < r THEN 600.0 + 300.0 - vh ELSE 600.0 END AS vy FROM (SELECT doc_id, pos, r, ({_H})::double AS vh FROM ({_SC}))))")
 def center_vertically(spark, sf):
-    g = _geometry(spark).where("style = 'Deck' and role = 'scripture'").drop("style", "role", "force_caps_off", "caps")
+    g = _geometry(spark).where("style = 'Deck' and role = 'scripture'").drop("style", "role", "force_caps_off", "caps", "ref_y0", "ref_h")
     s = _entries(spark, sf).where("kind = 'scripture'").select("doc_id", "pos", (1 + F.floor(F.length(F.coalesce("verse", F.lit(""))) / 60)).alias("verse_lines"), F.when(F.col("pos") % 2 == 0, 400.0).otherwise(950.0).alias("ref_y0"), F.lit(90.0).alias("ref_h"))
     c = cues.center_vertically(s.join(F.broadcast(g)))
     return c.select("doc_id", "pos", *(F.round(F.col(k) * 1000).cast("long").alias(k) for k in ("verse_h", "verse_y", "ref_y")))
@@ -710,7 +724,7 @@ def rtf_plain(spark, sf):
     return _built(spark, sf).select("doc_id", "slide_no", rtf.rtf_plain("rtf").alias("text"))
 
 
-@query(f"SELECT doc_id, slide_no, line_no, run_no, color_at::int AS color_at, CASE WHEN keep AND highlight THEN mark ELSE 0 END::int AS highlight_at FROM ({_COLORED})")
+@query(f"SELECT doc_id, slide_no, line_no, run_no, color_at::int AS color_at, CASE WHEN keep AND highlight THEN mark ELSE 0 END::int AS highlight_at FROM colored_runs")
 def run_style(spark, sf):
     s = _styled(spark, sf)
     return rtf.run_colors(s, rtf.color_palette(s)).select("doc_id", "slide_no", "line_no", "run_no", "color_at", "highlight_at")
@@ -782,27 +796,40 @@ def scripture_box(spark, sf):
     return fx.jobs(spark, sf).join(cues.text_box(_geometry(spark)).where("role = 'scripture'"), "style").select("doc_id", "role", "width")
 
 
-@query()
+_WORK_CUES = """SELECT n.doc_id, count(*) FILTER (part_no = 0) AS n_first_parts, string_agg(n.name, '|' ORDER BY cue_no) FILTER (part_no = 0) AS names FROM numbered n GROUP BY n.doc_id"""
+
+
+@query(_WORK_CUES)
 def workload_outline(spark, sf):
+    """Outlines to styled cues with rich text; verses split to the limit of their style. Names and order of the cues."""
     from .plans import pipelines
 
-    jobs = fx.jobs(spark, sf).select("doc_id", F.lit("Deck").alias("style"))
-    styled, _ = pipelines.outline_decks(fx.outline_lines(spark, sf), jobs, _geometry(spark), fx.looks(spark), default_copies=True, center_scriptures=True)
-    return styled.groupBy("doc_id").agg(F.count("*").alias("n_cues"), F.sum("n_actions").alias("n_actions"), F.max("cue_no").alias("last_cue"))
+    made = pipelines.outline_decks(fx.outline_lines(spark, sf), _jobs_of_deck(spark, sf), fx.styles(spark), _geometry(spark), fx.looks(spark), default_copies=True, center_scriptures=True)
+    first = made.cues.where("part_no = 0 and rtf like '{%'")
+    names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cue_no", "name"))), lambda r: r["name"]), "|")
+    return first.groupBy("doc_id").agg(F.count("*").alias("n_first_parts"), names.alias("names"))
 
 
-@query()
-def workload_marker(spark, sf):
+def _jobs_of_deck(spark, sf):
+    return fx.jobs(spark, sf).select("doc_id", F.lit("Deck").alias("style"))
+
+
+def _prompts(spark, sf):
     from .plans import pipelines
 
+    keep_dealt(spark)
     g = fx.doc_glyphs(spark, sf, marked=True)
-    s = pipelines.marker_slides(g, fx.paints(g.where("seq div 1000000 % 3 <> 0")), fx.fills(spark, sf), fx.page_boxes(spark, sf))
-    return s.groupBy("doc_id").agg(F.count_distinct("slide_no").alias("n_slides"), F.count("*").alias("n_runs"))
+    jobs = fx.jobs(spark, sf).withColumns({"style": F.when(F.col("doc_id") % 2 == 0, "Plain").otherwise("Loud"), "colors": F.when(F.col("doc_id") % 4 == 0, "style").otherwise("")})
+    return pipelines.prompt_decks(g, fx.paints(g, marked=True), fx.fills(spark, sf), fx.page_boxes(spark, sf), fx.documents(spark, sf), jobs, fx.styles(spark))
 
 
 @query()
-def workload_freeform(spark, sf):
-    from .plans import pipelines
+def workload_marker(spark, sf):
+    """Documents with slide markers, glyphs to rich text."""
+    return _prompts(spark, sf).where("way = 'marker'").select("doc_id", "slide_no", rtf.rtf_plain("rtf").alias("text"), F.sha2("rtf", 256).alias("digest"))
 
-    s = pipelines.freeform_decks(fx.doc_glyphs(spark, sf), fx.documents(spark, sf).where("lang = 'en'"))
-    return s.groupBy("doc_id").agg(F.count("*").alias("n_slides"), F.sum(F.size("lines")).alias("n_lines"))
+
+@query()
+def workload_freeform(spark, sf):
+    """Documents without slide markers, glyphs to rich text that keeps the source's colours."""
+    return _prompts(spark, sf).where("way = 'freeform'").select("doc_id", "slide_no", rtf.rtf_plain("rtf").alias("text"), F.sha2("rtf", 256).alias("digest"))

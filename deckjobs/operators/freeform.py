@@ -1,60 +1,72 @@
 """Free-form notes: lines with geometry -> blocks by layout -> slides.
 
-Input rows are (doc_id, page, line_no, text, x0, x1, y, size); document order is (page,
-line_no). Statistics of a document are plain aggregates joined back by doc_id.
+Input rows are (doc_id, page, line_no, text, x0, x1, y, size), and optionally ``runs``, the
+formatted runs of the line; document order is (page, line_no). Everything about a document
+is a window over its lines, and a block is one aggregate of them, so that the chain deals
+the lines out once, by document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import metrics
+from ..sources.shared import dealt
 
 SMALL_PRINT, HEADING, BLOCK_GAP, WIDE = 0.8, 1.2, 1.5, 0.75
 MAX_LINES = 7
 BOX_WIDTH, BOX_SIZE = 1920.0, 135.0
+FORMATS = {"bold": "boolean", "italic": "boolean", "color": "string", "highlight": "boolean"}
 
 
 def _doc():
     return W.partitionBy("doc_id").orderBy("page", "line_no")
 
 
+def _whole():
+    return W.partitionBy("doc_id")
+
+
+def _half() -> Column:
+    return F.floor(F.col("size") * 2 + 0.5) / 2.0
+
+
 def body_size(lines: DataFrame) -> DataFrame:
     """doc_id, body: the size (to half a point) that carries most bytes of text; of equals the smaller."""
-    half = F.floor(F.col("size") * 2 + 0.5) / 2.0
-    weight = lines.groupBy("doc_id", half.alias("half")).agg(F.sum(F.octet_length("text")).alias("bytes"))
-    return weight.groupBy("doc_id").agg(F.max_by("half", F.struct("bytes", -F.col("half"))).alias("body"))
+    return mode_top1(lines).select("doc_id", "body")
 
 
 def mode_top1(lines: DataFrame) -> DataFrame:
     """doc_id, body, bytes: the same with its weight."""
-    half = F.floor(F.col("size") * 2 + 0.5) / 2.0
-    weight = lines.groupBy("doc_id", half.alias("half")).agg(F.sum(F.octet_length("text")).alias("bytes"))
+    weight = lines.groupBy("doc_id", _half().alias("half")).agg(F.sum(F.octet_length("text")).alias("bytes"))
     best = F.max(F.struct("bytes", (-F.col("half")).alias("minus"))).alias("b")
     return weight.groupBy("doc_id").agg(best).select("doc_id", (-F.col("b.minus")).alias("body"), F.col("b.bytes").alias("bytes"))
 
 
 def drop_small_print(lines: DataFrame) -> DataFrame:
-    """Lines of at least 0.8 of the body size, with ``body``."""
-    return lines.join(body_size(lines), "doc_id").where(F.col("size") >= SMALL_PRINT * F.col("body"))
+    """Lines of at least 0.8 of the body size, with ``body``; dealt out by document."""
+    x = dealt(lines, "doc_id").withColumn("_half", _half())
+    x = x.withColumn("_bytes", F.sum(F.octet_length("text")).over(W.partitionBy("doc_id", "_half")))
+    x = x.withColumn("body", F.max_by("_half", F.struct("_bytes", -F.col("_half"))).over(_whole()))
+    return x.where(F.col("size") >= SMALL_PRINT * F.col("body")).drop("_half", "_bytes")
+
+
+def with_gap(kept: DataFrame) -> DataFrame:
+    """Adds ``gap``: lower quartile (element n div 4) of the positive distances between lines of a page, else 1.2 sizes of the first line."""
+    x = kept.withColumn("_g", F.lag("y").over(W.partitionBy("doc_id", "page").orderBy("line_no")) - F.col("y"))
+    x = x.withColumn("_g", F.when(F.col("_g") > 0, F.col("_g")))
+    x = x.withColumn("_r", F.row_number().over(_whole().orderBy(F.col("_g").asc_nulls_last())) - 1)
+    at = F.max(F.when(F.col("_r") == F.col("_n"), F.col("_g"))).over(_whole())
+    first = F.min_by("size", F.struct("page", "line_no")).over(_whole())
+    x = x.withColumn("_n", F.floor(F.count("_g").over(_whole()) / 4))
+    return x.withColumn("gap", F.coalesce(at, 1.2 * first)).drop("_g", "_r", "_n")
 
 
 def line_gap(kept: DataFrame) -> DataFrame:
-    """doc_id, gap: lower quartile (element n div 4) of the positive distances between lines of a page, else 1.2 sizes."""
-    page = W.partitionBy("doc_id", "page").orderBy("line_no")
-    x = kept.withColumn("g", F.lag("y").over(page) - F.col("y"))
-    n = F.count(F.when(F.col("g") > 0, 1)).alias("n")
-    of_doc = x.groupBy("doc_id").agg(n, F.min_by("size", F.struct("page", "line_no")).alias("first_size"))
-    w = W.partitionBy("doc_id").orderBy("g")
-    ranked = x.where("g > 0").withColumn("r", F.row_number().over(w) - 1)
-    at = ranked.join(of_doc, "doc_id").where("r = n div 4").select("doc_id", F.col("g").alias("quartile"))
-    return of_doc.join(at, "doc_id", "left").select("doc_id", F.coalesce("quartile", 1.2 * F.col("first_size")).alias("gap"))
+    return with_gap(kept).groupBy("doc_id").agg(F.max("gap").alias("gap"))
 
 
 def column_width(kept: DataFrame) -> DataFrame:
@@ -63,19 +75,51 @@ def column_width(kept: DataFrame) -> DataFrame:
 
 def layout_blocks(kept: DataFrame) -> DataFrame:
     """Kept lines with ``block`` (from 1): a new page, a wide gap, or a heading after other text begins one."""
-    heading = F.col("size") > HEADING * F.col("body")
-    x = kept.join(line_gap(kept), "doc_id").withColumn("heading", heading)
+    x = with_gap(kept).withColumn("heading", F.col("size") > HEADING * F.col("body"))
     new = (F.col("page") != F.lag("page").over(_doc())) | (F.lag("y").over(_doc()) - F.col("y") > BLOCK_GAP * F.col("gap")) | (F.col("heading") & ~F.lag("heading").over(_doc()))
     return x.withColumn("block", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(_doc().rowsBetween(W.unboundedPreceding, 0)))
 
 
+def runs_of(lines: DataFrame) -> Column:
+    """The runs of a line with their formats; of a line without runs, its words as plain ones. The first has a space before it."""
+    if "runs" in lines.columns:
+        given, text, formats = F.col("runs"), (lambda r: r["text"]), (lambda r: [r[c].alias(c) for c in FORMATS])
+        spaced = lambda r: r["space_before"]
+    else:
+        plain = {"boolean": F.lit(False), "string": F.lit("")}
+        given, text, formats = F.filter(F.split("text", r"[\s\x{85}\p{Z}]+"), lambda w: w != ""), (lambda w: w), (lambda w: [plain[t].alias(c) for c, t in FORMATS.items()])
+        spaced = lambda w: F.lit(True)
+    return F.transform(given, lambda r, i: F.struct(text(r).alias("text"), *formats(r), ((i == 0) | spaced(r)).alias("space_before")))
+
+
+def gathered(blocks: DataFrame) -> DataFrame:
+    """doc_id, block, runs, ends (of its lines), n, has_lower, wide, heading_only, flowing: one row a block.
+
+    A line is wide if it fills most of the widest line; the last of a block does not count.
+    A block of several lines, most of them wide, that is not all capitals is flowing text.
+    """
+    x = blocks.withColumn("_column", F.max(F.col("x1") - F.col("x0")).over(_whole()))
+    item = F.struct("page", "line_no", runs_of(blocks).alias("runs"), (F.col("x1") - F.col("x0") >= WIDE * F.col("_column")).alias("wide"), F.col("text").rlike(r"\p{Ll}").alias("lower"), "heading")
+    g = x.groupBy("doc_id", "block").agg(F.sort_array(F.collect_list(item)).alias("l"))
+    of = lambda name: F.transform("l", lambda x: x[name])
+    size = F.size("l")
+    ends = F.aggregate(of("runs"), F.expr("cast(array() as array<int>)"), lambda acc, r: F.array_append(acc, F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + F.size(r)))
+    y = g.select(
+        "doc_id",
+        "block",
+        F.flatten(of("runs")).alias("runs"),
+        F.when(size > 0, ends).alias("ends"),
+        size.cast("long").alias("n"),
+        F.exists(of("lower"), lambda b: b).alias("has_lower"),
+        F.size(F.filter(F.slice(of("wide"), F.lit(1), size - 1), lambda b: b)).cast("long").alias("wide"),
+        F.forall(of("heading"), lambda b: b).alias("heading_only"),
+    )
+    return y.withColumn("flowing", (F.col("n") >= 2) & F.col("has_lower") & (3 * F.col("wide") >= 2 * (F.col("n") - 1)))
+
+
 def block_stats(blocks: DataFrame) -> DataFrame:
     """doc_id, block, n, has_lower, wide, heading_only, flowing."""
-    x = blocks.join(column_width(blocks), "doc_id")
-    last = F.lead("line_no").over(W.partitionBy("doc_id", "block").orderBy("page", "line_no")).isNull()
-    x = x.withColumn("is_wide", ~last & (F.col("x1") - F.col("x0") >= WIDE * F.col("column")))
-    g = x.groupBy("doc_id", "block").agg(F.count("*").alias("n"), F.max(F.col("text").rlike(r"\p{Ll}")).alias("has_lower"), F.sum(F.col("is_wide").cast("int")).alias("wide"), F.min("heading").alias("heading_only"))
-    return g.withColumn("flowing", (F.col("n") >= 2) & F.col("has_lower") & (3 * F.col("wide") >= 2 * (F.col("n") - 1)))
+    return gathered(blocks).drop("runs", "ends")
 
 
 def measure_lines(lines: DataFrame, width: float = BOX_WIDTH, size: float = BOX_SIZE) -> DataFrame:
@@ -92,51 +136,44 @@ def sentence_units(runs: DataFrame) -> DataFrame:
     return runs.withColumn("_e", ends.cast("int")).withColumn("unit", F.coalesce(F.sum("_e").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_e")
 
 
-RUNS = "array<array<struct<text:string,space_before:boolean>>>"
-
-
-def blocks_as_runs(blocks: DataFrame) -> DataFrame:
-    """doc_id, block, lines: the words of each line as runs (without formats of their own)."""
-    words = F.transform(F.filter(F.split("text", r"[\s\x{85}\p{Z}]+"), lambda w: w != ""), lambda w, i: F.struct(w.alias("text"), (i > 0).alias("space_before")))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("page", "line_no", words.alias("runs")))), lambda r: r["runs"])
-    return blocks.groupBy("doc_id", "block").agg(ordered.alias("lines"))
+CUT = "struct<slides: array<array<struct<first: int, end: int>>>, need: int>"
 
 
 def split_blocks(blocks: DataFrame, width: float = BOX_WIDTH, size: float = BOX_SIZE, most: int = MAX_LINES) -> DataFrame:
-    """doc_id, block, flowing, heading_only, slides (array of slides of lines of runs): blocks cut to at most ``most`` lines.
+    """doc_id, block, flowing, heading_only, need, slides (array of slides of lines of runs): blocks cut to at most ``most`` lines.
 
-    A block is one row, so the cutting needs no grouping; blocks that are headings stay whole.
+    A block is one row, so the cutting needs no grouping. Only texts go to Python, and ranges
+    of runs come back; formats stay where they are. Blocks that are headings stay whole.
+    ``need`` is the number of lines that the first slide takes.
     """
-    x = blocks_as_runs(blocks).join(block_stats(blocks), ["doc_id", "block"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slides = []
-            for block, f, h in zip(batch["lines"].to_pylist(), batch["flowing"].to_pylist(), batch["heading_only"].to_pylist(), strict=True):
-                slides.append([[metrics.led(r) for r in block]] if h and not f else metrics.split_block(block, f, width, size, False, most))
-            keep = ["doc_id", "block", "flowing", "heading_only"]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(slides, pa.list_(pa.list_(pa.list_(run))))], [*keep, "slides"])
-
-    run = pa.struct([("text", pa.string()), ("space_before", pa.bool_())])
-    return x.select("doc_id", "block", "flowing", "heading_only", "lines").mapInArrow(cut, f"doc_id long, block long, flowing boolean, heading_only boolean, slides array<{RUNS}>")
-
-
-def heading_attach(cut: DataFrame, width: float = BOX_WIDTH, size: float = BOX_SIZE, most: int = MAX_LINES) -> DataFrame:
+    box = metrics.Box(width, size)
+    span = pa.list_(pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))
+
+    @F.arrow_udf(CUT)
+    def cut(texts: pa.Array, spaced: pa.Array, ends: pa.Array, flowing: pa.Array, whole: pa.Array) -> pa.Array:
+        slides, need = [], []
+        for t, s, e, f, h in zip(*(x.to_pylist() for x in (texts, spaced, ends, flowing, whole)), strict=True):
+            words = metrics.Words(t, s, e, box)
+            made = [words.lines] if h else metrics.split_block(words, f, most)
+            slides.append([[dict(zip(("first", "end"), words.runs(*line), strict=True)) for line in slide] for slide in made])
+            need.append(sum(words.count(*line) for line in made[0]))
+        return pa.StructArray.from_arrays([pa.array(slides, span), pa.array(need, pa.int32())], ["slides", "need"])
+
+    of = lambda name: F.transform("runs", lambda r: r[name])
+    x = gathered(blocks).withColumn("_cut", cut(of("text"), of("space_before"), "ends", "flowing", F.col("heading_only") & ~F.col("flowing")))
+    line = lambda at: F.transform(F.slice("runs", at["first"] + 1, at["end"] - at["first"]), lambda r, i: r.withField("space_before", (i > 0) & r["space_before"]))
+    slides = F.transform(F.col("_cut.slides"), lambda slide: F.transform(slide, line))
+    return x.select("doc_id", "block", "flowing", "heading_only", F.col("_cut.need").alias("need"), slides.alias("slides"))
+
+
+def heading_attach(cut: DataFrame, most: int = MAX_LINES) -> DataFrame:
     """doc_id, slide_no, lines: blocks' slides in order, a lone heading set above the next block's first slide if it fits.
 
     A heading waits only for the next block: followed by another heading, or by nothing, it
     is a slide of its own.
     """
     w = W.partitionBy("doc_id").orderBy("block")
-    lone = F.col("heading_only") & ~F.col("flowing")
-    texts = F.transform(F.element_at("slides", 1), lambda line: F.array_join(F.transform(line, lambda r, i: F.concat(F.when((i > 0) & r["space_before"], " ").otherwise(""), r["text"])), ""))
-    x = cut.withColumn("lone", lone).withColumn("first_texts", texts)
-
-    @F.pandas_udf("int")
-    def lines_needed(t: pd.Series) -> pd.Series:
-        return pd.Series([sum(metrics.line_count(s, width, size, False) for s in some) for some in t], dtype="int32")
-
-    x = x.withColumn("need", lines_needed("first_texts"))
+    x = cut.withColumn("lone", F.col("heading_only") & ~F.col("flowing"))
     before = F.lag(F.struct("lone", "need", F.element_at("slides", 1).alias("lines"))).over(w)
     x = x.withColumn("_b", before).withColumn("takes", F.coalesce(F.col("_b.lone") & ~F.col("lone") & (F.col("_b.need") + F.col("need") <= most), F.lit(False)))
     x = x.withColumn("given", F.coalesce(F.lead("takes").over(w), F.lit(False)) & F.col("lone"))
@@ -147,4 +184,16 @@ def heading_attach(cut: DataFrame, width: float = BOX_WIDTH, size: float = BOX_S
 
 
 def freeform_slides(lines: DataFrame, width: float = BOX_WIDTH, size: float = BOX_SIZE, most: int = MAX_LINES) -> DataFrame:
-    return heading_attach(split_blocks(layout_blocks(drop_small_print(lines)), width, size, most), width, size, most)
+    return heading_attach(split_blocks(layout_blocks(drop_small_print(lines)), width, size, most), most)
+
+
+def slide_runs(slides: DataFrame) -> DataFrame:
+    """heading_attach's rows as runs: doc_id, slide_no, page (1), line_no, run_no, text, formats, space_before."""
+    lines = slides.select("doc_id", "slide_no", F.posexplode("lines").alias("line_no", "r"))
+    runs = lines.select("doc_id", "slide_no", F.lit(1).alias("page"), "line_no", F.posexplode("r").alias("run_no", "r"))
+    return runs.select("doc_id", "slide_no", "page", "line_no", "run_no", "r.*")
+
+
+def line_texts(lines: Column) -> Column:
+    """Texts of a slide's lines of runs."""
+    return F.transform(lines, lambda line: F.array_join(F.transform(line, lambda r, i: F.concat(F.when((i > 0) & r["space_before"], " ").otherwise(""), r["text"])), ""))

@@ -1,20 +1,21 @@
 """Positioned glyphs -> rows of a page -> runs of one format -> lines.
 
-Joins with tables that have a row for each glyph or height are hinted to merge: they are as
-large as the glyphs, which Spark's estimate from the size of a source does not show.
+Input rows are (doc_id, page, seq, s, font, size, x, y, w). All windows, aggregates and joins
+are by page or by what lies within one, so glyphs dealt out by (doc_id, page) are not dealt
+out again; the rows of a page come as one small map for each page. Only the fold over a page's distinct heights is
+sequential, and it runs over tens of values.
 
-Input rows are (doc_id, page, seq, s, font, size, x, y, w). All windows are by page, which
-bounds them; only the fold over a page's distinct heights is sequential, and it runs over
-tens of values.
+A glyph is blank if it is white space of any kind, a no-break space or tab included.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import brightness, expand_ligatures, hex_color, rgb
+from ..functions.text import SPACES, brightness, expand_ligatures, hex_color, is_blank, rgb
+from ..sources.shared import dealt, keep_dealt
 
 Y_TOLERANCE = 3.0
 GAP = 3.0
@@ -23,6 +24,7 @@ DARK_INK = 0.3
 DARK_PAGE = 0.5
 COVERAGE = 0.9
 PAGE = ["doc_id", "page"]
+FORMATS = ("bold", "italic", "color", "highlight")
 ROW = [*PAGE, "line_no"]
 
 
@@ -43,13 +45,25 @@ def quantised(c: Column) -> Column:
     return (F.signum(c) * F.floor(F.abs(c) * 100 + 0.5)).cast("long")
 
 
+def by_page(spark: SparkSession, *inputs: DataFrame) -> list[DataFrame]:
+    """Inputs dealt out by page; the session is told to keep to that in joins on further keys."""
+    keep_dealt(spark)
+    return [dealt(x, *PAGE) for x in inputs]
+
+
 def glyph_color_join(glyphs: DataFrame, paints: DataFrame) -> DataFrame:
-    """Glyphs with ``ink``, the colour painted last at their place, or null. One row for each place before the join."""
-    fresh = paints.select(*PAGE, quantised(F.col("x")).alias("kx"), quantised(F.col("y")).alias("ky"), "seq", rgb(F.col("comps")).alias("c")).where("c is not null")
+    """Glyphs with ``ink``, the colour painted last at their place, or null.
+
+    One row for each place before the join, which is hinted to merge: there are as many
+    places as glyphs. With both sides dealt by page neither is dealt again (``by_page``).
+    """
+    place = {"_kx": quantised(F.col("x")), "_ky": quantised(F.col("y"))}
+    color = rgb(F.col("comps"))
+    fresh = paints.where(color.isNotNull()).select(*PAGE, *(c.alias(k) for k, c in place.items()), "seq", color.alias("c"))
     # one plain number each, so that the aggregate can hash and needs no sort
-    last = fresh.groupBy(*PAGE, "kx", "ky").agg(*(F.max_by(f"c.{k}", "seq").alias(k) for k in "rgb"))
-    last = last.select(*PAGE, "kx", "ky", F.struct("r", "g", "b").alias("ink"))
-    return glyphs.withColumn("kx", quantised(F.col("x"))).withColumn("ky", quantised(F.col("y"))).join(last.hint("merge"), [*PAGE, "kx", "ky"], "left").drop("kx", "ky")
+    last = fresh.groupBy(*PAGE, *place).agg(*(F.max_by(f"c.{k}", "seq").alias(k) for k in "rgb"))
+    last = last.select(*PAGE, *place, F.struct("r", "g", "b").alias("ink"))
+    return glyphs.withColumns(place).join(last.hint("merge"), [*PAGE, *place], "left").drop(*place)
 
 
 def page_background(fills: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -72,55 +86,71 @@ def ink_class(glyphs: DataFrame) -> DataFrame:
     return glyphs.withColumn("color", color).withColumn("highlight", F.coalesce((bright < DARK_INK) & F.col("dark_page"), F.lit(False)))
 
 
+def _row_maps(glyphs: DataFrame, tolerance: float) -> DataFrame:
+    """doc_id, page, rows: for each distinct height of a page the anchor and number of its row."""
+    heights = glyphs.groupBy(*PAGE).agg(F.sort_array(F.collect_set("y"), asc=False).alias("ys"))
+    zero = F.expr("cast(struct(null as anchor, 0 as row, array() as rows) as struct<anchor:double,row:int,rows:array<struct<y:double,at:struct<anchor:double,row:int>>>>)")
+
+    def step(acc: Column, y: Column) -> Column:
+        new = acc["anchor"].isNull() | (acc["anchor"] - y > tolerance)
+        anchor = F.when(new, y).otherwise(acc["anchor"])
+        row = acc["row"] + new.cast("int")
+        at = F.struct(anchor.alias("anchor"), row.alias("row"))
+        return F.struct(anchor.alias("anchor"), row.alias("row"), F.array_append(acc["rows"], F.struct(y.alias("y"), at.alias("at"))).alias("rows"))
+
+    return heights.select(*PAGE, F.map_from_entries(F.aggregate("ys", zero, step)["rows"]).alias("_rows"))
+
+
 def page_rows(glyphs: DataFrame, tolerance: float = Y_TOLERANCE) -> DataFrame:
     """doc_id, page, y, anchor, line_no: each distinct height of a page and the row it is in.
 
     A height joins the current row if it is within the tolerance of the row's first height,
     from the top, so a drifting baseline begins a new row.
     """
-    heights = glyphs.groupBy(*PAGE).agg(F.sort_array(F.collect_set("y"), asc=False).alias("ys"))
-    zero = F.expr("cast(struct(null as anchor, 0 as row, array() as rows) as struct<anchor:double,row:int,rows:array<struct<y:double,anchor:double,row:int>>>)")
+    return _row_maps(glyphs, tolerance).select(*PAGE, F.explode("_rows").alias("y", "at")).select(*PAGE, "y", "at.anchor", F.col("at.row").alias("line_no"))
 
-    def step(acc: Column, y: Column) -> Column:
-        new = acc["anchor"].isNull() | (acc["anchor"] - y > tolerance)
-        anchor = F.when(new, y).otherwise(acc["anchor"])
-        row = acc["row"] + new.cast("int")
-        return F.struct(anchor.alias("anchor"), row.alias("row"), F.array_append(acc["rows"], F.struct(y.alias("y"), anchor.alias("anchor"), row.alias("row"))).alias("rows"))
 
-    return heights.select(*PAGE, F.explode(F.aggregate("ys", zero, step)["rows"]).alias("r")).select(*PAGE, "r.y", "r.anchor", F.col("r.row").alias("line_no"))
+def baseline_rows(glyphs: DataFrame, tolerance: float = Y_TOLERANCE, heights: DataFrame | None = None) -> DataFrame:
+    """Glyphs with ``anchor`` and ``line_no`` (from 1, top to bottom) of their row.
+
+    ``heights`` are the glyphs before anything was joined to them (default: the same), of
+    which only places are read. A map for each page is a hundredth of its glyphs.
+    """
+    maps = _row_maps(glyphs if heights is None else heights, tolerance)
+    x = glyphs.join(maps.hint("shuffle_hash"), PAGE).withColumn("_at", F.col("_rows")[F.col("y")])
+    return x.withColumns({"anchor": F.col("_at.anchor"), "line_no": F.col("_at.row")}).drop("_rows", "_at")
 
 
-def baseline_rows(glyphs: DataFrame, tolerance: float = Y_TOLERANCE) -> DataFrame:
-    """Glyphs with ``anchor`` and ``line_no`` (from 1, top to bottom) of their row."""
-    return glyphs.join(page_rows(glyphs, tolerance).hint("merge"), [*PAGE, "y"])
+def _in_row() -> W:
+    """Glyphs of a row in reading order: by x if the row has widths, else as they were drawn."""
+    return W.partitionBy(*ROW).orderBy(F.when(F.col("has_width"), F.col("x")), "seq")
 
 
 def row_order(rows: DataFrame) -> DataFrame:
     """Adds ``has_width`` and ``ord``: by x then seq if any visible glyph of the row has a width, else by seq."""
-    row = W.partitionBy(*ROW)
-    x = rows.withColumn("has_width", F.max((F.trim("s") != "") & (F.col("w") > 0)).over(row))
-    order = W.partitionBy(*ROW).orderBy(F.when(F.col("has_width"), F.col("x")), "seq")
-    return x.withColumn("ord", F.row_number().over(order))
+    x = rows.withColumn("has_width", F.max(~is_blank(F.col("s")) & (F.col("w") > 0)).over(W.partitionBy(*ROW)))
+    return x.withColumn("ord", F.row_number().over(_in_row()))
 
 
 def drop_superscript_digits(rows: DataFrame, ratio: float = SUPERSCRIPT) -> DataFrame:
     """Without the digits that are smaller than ``ratio`` of their row's largest visible glyph."""
-    largest = F.max(F.when(F.trim("s") != "", F.col("size"))).over(W.partitionBy(*ROW))
+    largest = F.max(F.when(~is_blank(F.col("s")), F.col("size"))).over(W.partitionBy(*ROW))
     x = rows.withColumn("_largest", largest)
-    return x.where(~F.coalesce((F.col("size") < ratio * F.col("_largest")) & F.trim("s").rlike(r"(?d)^[0-9]+\z"), F.lit(False))).drop("_largest")
+    digits = F.translate("s", SPACES, "").rlike(r"(?d)^[0-9]+\z")
+    return x.where(~F.coalesce((F.col("size") < ratio * F.col("_largest")) & digits, F.lit(False))).drop("_largest")
 
 
 def glyph_runs(rows: DataFrame, gap: float = GAP) -> DataFrame:
-    """Visible glyphs with ``run_no`` (from 0) and ``pending``, whether a space stands before them.
+    """Visible glyphs with ``run_no`` (from 0), ``pending``, whether a space stands before them, and ``row_y``, the height of their row's first glyph.
 
     A run ends where a space is pending (a blank glyph or a wide gap) or the format changes.
     """
-    w = W.partitionBy(*ROW).orderBy("ord")
-    blank = F.trim("s") == ""
+    w = _in_row()
+    blank = is_blank(F.col("s"))
     wide = F.col("has_width") & (F.col("x") - F.lag(F.col("x") + F.col("w")).over(w) > gap)
-    x = rows.withColumn("pending", F.coalesce(F.lag(blank).over(w) | wide, F.lit(False))).where(~blank)
+    x = rows.withColumns({"pending": F.coalesce(F.lag(blank).over(w) | wide, F.lit(False)), "row_y": F.first("y").over(w)}).where(~blank)
     changed = F.lit(False)
-    for c in ("bold", "italic", "color", "highlight"):
+    for c in FORMATS:
         changed = changed | (F.col(c) != F.lag(c).over(w))
     new = F.col("pending") | F.coalesce(changed, F.lit(False))
     first = F.row_number().over(w) == 1
@@ -128,15 +158,15 @@ def glyph_runs(rows: DataFrame, gap: float = GAP) -> DataFrame:
 
 
 def run_merge(glyphs: DataFrame) -> DataFrame:
-    """doc_id, page, line_no, run_no, text, bold, italic, color, highlight, space_before: one row a run."""
+    """doc_id, page, line_no, run_no, text, bold, italic, color, highlight, space_before, x0, x1, y, size: one row a run."""
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "s"))), lambda g: g["s"]), "")
-    g = glyphs.groupBy(*ROW, "run_no").agg(text.alias("text"), *(F.min_by(c, "ord").alias(c) for c in ("bold", "italic", "color", "highlight")), F.min_by("pending", "ord").alias("space_before"))
-    return g
+    extents = [F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max("row_y").alias("y"), F.max("size").alias("size")]
+    return glyphs.groupBy(*ROW, "run_no").agg(text.alias("text"), *(F.min_by(c, "ord").alias(c) for c in FORMATS), F.min_by("pending", "ord").alias("space_before"), *extents)
 
 
 def line_extents(rows: DataFrame) -> DataFrame:
     """Per row: extent and largest size of its visible glyphs, y of its first glyph even if blank; rows without a visible glyph go."""
-    seen = F.trim("s") != ""
+    seen = ~is_blank(F.col("s"))
     g = rows.groupBy(*ROW).agg(
         F.min(F.when(seen, F.col("x"))).alias("x0"),
         F.max(F.when(seen, F.col("x") + F.col("w"))).alias("x1"),
@@ -147,16 +177,18 @@ def line_extents(rows: DataFrame) -> DataFrame:
 
 
 def line_text(runs: DataFrame) -> DataFrame:
-    """doc_id, page, line_no, text: runs joined, with a space where one stands before (never at the start)."""
-    piece = F.transform(F.sort_array(F.collect_list(F.struct("run_no", "space_before", "text"))), lambda r, i: F.concat(F.when((i > 0) & r["space_before"], " ").otherwise(""), r["text"]))
-    return runs.groupBy(*ROW).agg(F.array_join(piece, "").alias("text"))
-
-
-def lines_of(glyphs: DataFrame, drop_superscripts: bool = True) -> DataFrame:
-    """Glyphs with formats -> (doc_id, page, line_no, text, x0, x1, y, size), in reading order of page and line_no."""
-    ordered = row_order(baseline_rows(glyphs))
-    kept = drop_superscript_digits(ordered) if drop_superscripts else ordered
-    return line_text(run_merge(glyph_runs(kept))).join(line_extents(kept), ROW)
+    """doc_id, page, line_no, text, runs, x0, x1, y, size: runs in order, and joined with a space where one stands before (never at the start)."""
+    item = F.struct("run_no", "text", *FORMATS, "space_before")
+    extents = [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max("y").alias("y"), F.max("size").alias("size")]
+    g = runs.groupBy(*ROW).agg(F.sort_array(F.collect_list(item)).alias("l"), *extents)
+    text = F.array_join(F.transform("l", lambda r, i: F.concat(F.when((i > 0) & r["space_before"], " ").otherwise(""), r["text"])), "")
+    return g.select(*ROW, text.alias("text"), F.transform("l", lambda r: r.dropFields("run_no")).alias("runs"), "x0", "x1", "y", "size")
+
+
+def lines_of(glyphs: DataFrame, drop_superscripts: bool = True, heights: DataFrame | None = None) -> DataFrame:
+    """Glyphs with formats -> line_text's lines, in reading order of page and line_no."""
+    ordered = row_order(baseline_rows(glyphs, heights=heights))
+    return line_text(run_merge(glyph_runs(drop_superscript_digits(ordered) if drop_superscripts else ordered)))
 
 
 def reading_order(glyphs: DataFrame) -> DataFrame:

@@ -44,6 +44,24 @@ def char_units(c: str) -> str:
     return f"CASE {whens} WHEN regexp_matches({c}, '^\\p{{Lu}}') THEN {CAPITAL_WIDTH} ELSE {PLAIN_WIDTH} END"
 
 
+def blank(c: str) -> str:
+    return f"regexp_matches({c}, '^[\\s\\x{{85}}\\p{{Z}}]*$')"
+
+
+SEEN = f"NOT {blank('s')}"
+def wrapped(text: str, room: float, size: float, caps: str = "false") -> str:
+    """Lines that greedy wrapping of a text needs, as one fold over its words."""
+    shown = f"CASE WHEN {caps} THEN replace(upper(replace({text}, 'ß', chr(1))), chr(1), 'ß') ELSE {text} END"
+    words = f"list_filter(regexp_split_to_array({shown}, '[\\s\\x{{85}}\\p{{Z}}]+'), lambda w: w <> '')"
+    steps = f"list_transform({words}, lambda w: {{'own': {units('w')} / 1000.0::double * {size}::double, 'line': 0::bigint, 'at': 0::double}})"
+    space = f"(278 / 1000.0::double * {size}::double)"
+    fits = f"(a.at + {space} + b.own <= {room}::double)"
+    place = f"(CASE WHEN {fits} THEN a.at + ({space} + b.own) ELSE b.own END)"
+    over = f"(CASE WHEN {place} > {room} THEN ceil({place} / {room}::double) - 1 ELSE 0 END)"
+    step = f"{{'own': 0::double, 'line': (a.line + CASE WHEN {fits} THEN 0 ELSE 1 END + {over})::bigint, 'at': {place} - {over} * {room}::double}}"
+    return f"greatest(list_reduce(list_prepend({{'own': 0::double, 'line': 0::bigint, 'at': 1e18::double}}, {steps}), lambda a, b: {step}).line, 1)"
+
+
 CAPS_OK = f"({matches('line', P.CAPS)} AND {group('line', P.CAPS, 1)} NOT IN ('TITLE', 'IMAGE', 'SCRIPTURE'))"
 QUOTES = P.QUOTE_MARKS.replace("'", "''")
 
@@ -80,7 +98,7 @@ TABLES = {
     "outline_lines": """SELECT doc_id, line_no, CASE (line_no * 7 + doc_id) % 13
         WHEN 0 THEN 'Title: ' || line WHEN 1 THEN 'POINT ' || (1 + line_no % 4) || ': ' || line WHEN 2 THEN 'CONDITION ' || (1 + line_no % 4) || ': ' || line
         WHEN 3 THEN 'John ' || (1 + doc_id % 21) || ':' || (1 + line_no) || '-' || (3 + line_no) || ' (NIV)' WHEN 4 THEN 'Back to Point ' || (1 + line_no % 4)
-        WHEN 5 THEN 'Image: “' || line WHEN 6 THEN 'Scripture:' WHEN 7 THEN 'TRUTH: ' || line WHEN 8 THEN (1 + line_no)::varchar WHEN 9 THEN 'Back to Title' ELSE line END AS line FROM doc_lines""",
+        WHEN 5 THEN 'Image: “' || line WHEN 6 THEN 'Scripture:' WHEN 7 THEN 'TRUTH: ' || line WHEN 8 THEN (1 + line_no)::varchar WHEN 9 THEN 'Back to Title' WHEN 10 THEN 'Mary Ann Smith quote: ' || line ELSE line END AS line FROM doc_lines""",
     "clean_lines": "SELECT doc_id, line_no, trim(line) AS line FROM outline_lines WHERE trim(line) <> ''",
     "kinds": f"""SELECT *, CASE WHEN {matches('line', P.TITLE)} THEN 'title' WHEN {matches('line', P.IMAGE)} THEN 'image' WHEN {matches('line', P.QUOTE)} THEN 'quote'
         WHEN {matches('line', P.BACK_TO)} OR {matches('line', P.BACK_TO_SHORT)} THEN 'backto' WHEN {matches('line', P.POINT)} THEN 'point' WHEN {matches('line', P.MARKER)} THEN 'marker'
@@ -118,27 +136,40 @@ TABLES = {
     "blocks": "SELECT *, sum(CASE WHEN p_page IS NULL OR p_page <> page OR p_y - iy > 1.5 * gap OR (heading AND NOT p_heading) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM stepped",
     "stats": "SELECT *, n >= 2 AND has_lower AND 3 * wide >= 2 * (n - 1) AS flowing FROM (SELECT doc_id, block, count(*) AS n, bool_or(regexp_matches(text, '\\p{Ll}')) AS has_lower, coalesce(sum((NOT last AND (57.0 + units * isize / 1000.0) - 57.0 >= 0.75 * col)::int), 0) AS wide, bool_and(heading) AS heading_only FROM (SELECT b.*, col, lead(line_no) OVER (PARTITION BY b.doc_id, block ORDER BY line_no) IS NULL AS last FROM blocks b JOIN columns_of USING (doc_id)) GROUP BY doc_id, block)",
     "chars": f"SELECT doc_id, page, line_no, isize, iy, pos, s, {char_units('s')} AS units FROM (SELECT doc_id, page, line_no, isize, iy, (unnest(range(len(l))))::int AS pos, unnest(l) AS s FROM (SELECT *, string_split(text, '') AS l FROM geo_lines WHERE text <> ''))",
-    "glyphs": """SELECT doc_id, page, ((line_no % 20) * 1000000 + pos)::bigint AS seq, s, CASE (pos // 6 + doc_id) % 7 WHEN 0 THEN 'Avenir-Heavy' WHEN 3 THEN 'Helvetica-Oblique' ELSE 'Avenir-Book' END AS font,
+    "glyphs": """SELECT doc_id, page, ((line_no % 20) * 1000000 + pos)::bigint AS seq,
+        CASE WHEN s = ' ' AND pos % 11 = 3 THEN chr(160) WHEN s = ' ' AND pos % 11 = 5 THEN chr(9) WHEN s = 'f' AND pos % 5 = 0 THEN 'ﬁ' WHEN s = 'q' AND pos % 3 = 0 THEN 'q' || chr(65533) WHEN s = 'z' AND pos % 4 = 0 THEN chr(13) ELSE s END AS s,
+        coalesce(['Avenir-Heavy', 'Avenir-Black', 'Helvetica-Bold', 'Helvetica-Oblique', 'Times-Italic', 'Avenir-HeavyOblique'][(pos // 6 + doc_id) % 7 + 1], 'Avenir-Book') AS font,
         isize * CASE WHEN s BETWEEN '0' AND '9' AND pos % 2 = 0 THEN 0.5 ELSE 1.0 END AS size, 57.0 + before * isize / 1000.0 AS x, (iy - pos % 3)::double AS y, units * isize / 1000.0 AS w, line_no AS src_line, pos
         FROM (SELECT *, sum(units) OVER (PARTITION BY doc_id, line_no ORDER BY pos) - units AS before FROM chars) WHERE NOT (line_no % 4 = 3 AND s = ' ')""",
+    "clean_glyphs": "SELECT * FROM (SELECT * REPLACE (replace(replace(s, 'ﬁ', 'fi'), chr(65533), '') AS s) FROM glyphs WHERE s NOT IN ('', chr(10), chr(13))) WHERE s <> ''",
     "paints": """SELECT doc_id, page, seq, x, y, CASE seq % 3 WHEN 0 THEN [q0] WHEN 1 THEN [q0, q1, q3] ELSE [q0, q2, q1, q4] END AS comps
         FROM (SELECT *, ((seq) % 5) * 0.25::double AS q0, ((seq + 1) % 5) * 0.25::double AS q1, ((seq + 2) % 5) * 0.25::double AS q2, ((seq + 3) % 5) * 0.25::double AS q3, ((seq + 4) % 5) * 0.25::double AS q4 FROM glyphs) WHERE seq % 4 <> 3
         UNION ALL SELECT doc_id, page, seq + 100000000, x, y, [0.5::double] FROM glyphs WHERE seq % 50 = 0""",
     "fresh": "SELECT doc_id, page, seq, (sign(x) * floor(abs(x) * 100 + 0.5))::bigint AS kx, (sign(y) * floor(abs(y) * 100 + 0.5))::bigint AS ky, CASE len(comps) WHEN 4 THEN [(1 - comps[1]) * (1 - comps[4]), (1 - comps[2]) * (1 - comps[4]), (1 - comps[3]) * (1 - comps[4])] WHEN 3 THEN comps ELSE [comps[1], comps[1], comps[1]] END AS c FROM paints",
-    "inked": "SELECT g.*, p.c AS ink, (g.doc_id + g.page) % 2 = 0 AS dark FROM (SELECT *, (sign(x) * floor(abs(x) * 100 + 0.5))::bigint AS kx, (sign(y) * floor(abs(y) * 100 + 0.5))::bigint AS ky FROM glyphs) g LEFT JOIN (SELECT doc_id, page, kx, ky, arg_max(c, seq) AS c FROM fresh GROUP BY ALL) p USING (doc_id, page, kx, ky)",
-    "colored": "SELECT *, CASE WHEN ink IS NULL THEN '' WHEN list_max(ink) >= 0.3 THEN printf('#%02X%02X%02X', floor(ink[1] * 255 + 0.5)::int, floor(ink[2] * 255 + 0.5)::int, floor(ink[3] * 255 + 0.5)::int) WHEN dark THEN '#000000' ELSE '' END AS color, coalesce(list_max(ink) < 0.3 AND dark, false) AS highlight, font LIKE '%Heavy%' AS bold, font LIKE '%Oblique%' AS italic FROM inked",
-    "rows_of": "SELECT *, max(y) OVER (PARTITION BY doc_id, page, src_line) AS anchor, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY src_line) AS line_no, row_number() OVER (PARTITION BY doc_id, page, src_line ORDER BY x, seq) AS ord, max(CASE WHEN trim(s) <> '' THEN size END) OVER (PARTITION BY doc_id, page, src_line) AS largest FROM colored",
+    "inked": "SELECT g.*, p.c AS ink, (g.doc_id + g.page) % 2 = 0 AS dark FROM (SELECT *, (sign(x) * floor(abs(x) * 100 + 0.5))::bigint AS kx, (sign(y) * floor(abs(y) * 100 + 0.5))::bigint AS ky FROM clean_glyphs) g LEFT JOIN (SELECT doc_id, page, kx, ky, arg_max(c, seq) AS c FROM fresh GROUP BY ALL) p USING (doc_id, page, kx, ky)",
+    "colored": "SELECT *, CASE WHEN ink IS NULL THEN '' WHEN list_max(ink) >= 0.3 THEN printf('#%02X%02X%02X', floor(ink[1] * 255 + 0.5)::int, floor(ink[2] * 255 + 0.5)::int, floor(ink[3] * 255 + 0.5)::int) WHEN dark THEN '#000000' ELSE '' END AS color, coalesce(list_max(ink) < 0.3 AND dark, false) AS highlight, font LIKE '%Heavy%' OR font LIKE '%Black%' OR font LIKE '%Bold%' AS bold, font LIKE '%Oblique%' OR font LIKE '%Italic%' AS italic FROM inked",
+    "rows_of": f"SELECT *, max(y) OVER (PARTITION BY doc_id, page, src_line) AS anchor, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY src_line) AS line_no, row_number() OVER (PARTITION BY doc_id, page, src_line ORDER BY x, seq) AS ord, max(CASE WHEN {SEEN} THEN size END) OVER (PARTITION BY doc_id, page, src_line) AS largest FROM colored",
     "kept_rows": "SELECT * FROM rows_of WHERE NOT coalesce(size < 0.8 * largest AND regexp_matches(trim(s), '^[0-9]+$'), false)",
-    "pended": "SELECT *, coalesce(lag(trim(s) = '') OVER r OR x - lag(x + w) OVER r > 3.0, false) AS pending FROM kept_rows WINDOW r AS (PARTITION BY doc_id, page, line_no ORDER BY ord)",
-    "broken": "SELECT *, row_number() OVER r AS rn, coalesce(pending OR bold <> lag(bold) OVER r OR italic <> lag(italic) OVER r OR color <> lag(color) OVER r OR highlight <> lag(highlight) OVER r, false) AS new FROM pended WHERE trim(s) <> '' WINDOW r AS (PARTITION BY doc_id, page, line_no ORDER BY ord)",
+    "pended": f"SELECT *, coalesce(lag({blank('s')}) OVER r OR x - lag(x + w) OVER r > 3.0, false) AS pending FROM kept_rows WINDOW r AS (PARTITION BY doc_id, page, line_no ORDER BY ord)",
+    "broken": f"SELECT *, row_number() OVER r AS rn, coalesce(pending OR bold <> lag(bold) OVER r OR italic <> lag(italic) OVER r OR color <> lag(color) OVER r OR highlight <> lag(highlight) OVER r, false) AS new FROM pended WHERE {SEEN} WINDOW r AS (PARTITION BY doc_id, page, line_no ORDER BY ord)",
     "run_glyphs": "SELECT *, sum(CASE WHEN rn > 1 AND new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, line_no ORDER BY ord) AS run_no, pending AND rn > 1 AS spaced FROM broken",
     "runs": "SELECT doc_id, page, line_no, run_no, string_agg(s, '' ORDER BY ord) AS text, arg_min(bold, ord) AS bold, arg_min(italic, ord) AS italic, arg_min(color, ord) AS color, arg_min(highlight, ord) AS highlight, arg_min(spaced, ord) AS space_before FROM run_glyphs GROUP BY doc_id, page, line_no, run_no",
     "doc_runs": """SELECT doc_id, page, line_no, run_no, text, (run_no + doc_id) % 7 = 0 AND text <> 'SLIDE' AS bold, (run_no + doc_id) % 11 = 0 AS italic, ['', '#FF0000', '#FAE333', '#ff0000', ''][(run_no + doc_id) % 5 + 1] AS color, (run_no + doc_id) % 17 = 0 AS highlight, run_no > 0 AS space_before
-        FROM (SELECT doc_id, (1 + line_no // 20)::int AS page, line_no, (unnest(range(len(l))))::int AS run_no, unnest(l) AS text FROM (SELECT *, CASE WHEN line_no % 9 = 0 THEN ['SLIDE', line_no::varchar] WHEN line_no % 3 = 0 THEN ['SLIDE', line_no || ':'] ELSE []::varchar[] END || list_filter(string_split(line, ' '), lambda w: w <> '') AS l FROM doc_lines))""",
+        FROM (SELECT doc_id, (1 + line_no // 20)::int AS page, line_no, (unnest(range(len(l))))::int AS run_no, unnest(l) AS text FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN []::varchar[] WHEN line_no % 9 = 0 THEN ['SLIDE', line_no::varchar] WHEN line_no % 3 = 0 THEN ['SLIDE', line_no || ':'] ELSE []::varchar[] END || list_filter(string_split(line, ' '), lambda w: w <> '') AS l FROM doc_lines))""",
     "marks": "SELECT *, coalesce(text = 'SLIDE' AND regexp_matches(lead(text) OVER l, '^\\d+:?$'), false) AS m FROM doc_runs WINDOW l AS (PARTITION BY doc_id, page, line_no ORDER BY run_no)",
     "sectioned": "SELECT * FROM (SELECT *, coalesce(lag(m) OVER (PARTITION BY doc_id, page, line_no ORDER BY run_no), false) AS n, sum(m::int) OVER (PARTITION BY doc_id ORDER BY line_no, run_no) AS section FROM marks) WHERE section > 0 AND NOT m AND NOT n",
     "slide_runs": "SELECT doc_id, page, line_no, run_no, text, bold, italic, color, highlight, section, dense_rank() OVER (PARTITION BY doc_id ORDER BY section) AS slide_no, CASE WHEN row_number() OVER (PARTITION BY doc_id, section, line_no ORDER BY run_no) = 1 THEN false ELSE space_before END AS space_before FROM sectioned",
     "slide_lines": "SELECT doc_id, slide_no, line_no, string_agg(CASE WHEN space_before THEN ' ' ELSE '' END || text, '' ORDER BY run_no) AS line FROM slide_runs GROUP BY doc_id, slide_no, line_no",
+    "palette": """SELECT doc_id, slide_no, upper, hex, 1 + row_number() OVER (PARTITION BY doc_id, slide_no ORDER BY first_use) - 1 AS at FROM (
+        SELECT doc_id, slide_no, upper(h) AS upper, arg_min(h, (line_no, run_no, k)) AS hex, min((line_no, run_no, k)) AS first_use FROM (
+        SELECT doc_id, slide_no, line_no, run_no, unnest(range(len(u))) AS k, unnest(u) AS h, CASE WHEN doc_id % 3 = 0 THEN '#FAE333' ELSE '#FFFFFF' END AS regular FROM (
+        SELECT *, CASE WHEN highlight THEN ['#000000', '#FFFFFF'] WHEN color <> '' THEN [color] ELSE []::varchar[] END AS u FROM slide_runs WHERE doc_id % 2 = 0)) WHERE upper(h) <> regular GROUP BY doc_id, slide_no, upper(h))""",
+    "palette_size": "SELECT doc_id, slide_no, count(*) AS n FROM palette GROUP BY doc_id, slide_no",
+    "styled_runs": "SELECT r.*, CASE WHEN r.doc_id % 2 = 0 THEN CASE WHEN highlight THEN '#000000' ELSE upper(color) END WHEN bold THEN '*' ELSE '' END AS want, r.doc_id % 2 = 0 AS keep, r.doc_id % 4 = 1 AS si, CASE WHEN r.doc_id % 3 = 0 THEN '#FAE333' ELSE '#FFFFFF' END AS regular FROM slide_runs r",
+    "colored_runs": """SELECT s.*, CASE WHEN want = '' OR want = regular THEN 0 WHEN want = '*' THEN 1 ELSE p.at END AS color_at, CASE WHEN keep AND highlight THEN 1 + CASE WHEN regular = '#FFFFFF' THEN 0 ELSE w.at END ELSE CASE WHEN keep THEN 2 ELSE 3 END + coalesce(m.n, 0) END AS mark, CASE WHEN keep THEN 2 ELSE 3 END + coalesce(m.n, 0) AS clear, si OR (keep AND italic) AS slant
+        FROM styled_runs s LEFT JOIN palette p ON p.doc_id = s.doc_id AND p.slide_no = s.slide_no AND p.upper = want LEFT JOIN (SELECT * FROM palette WHERE upper = '#FFFFFF') w ON w.doc_id = s.doc_id AND w.slide_no = s.slide_no LEFT JOIN palette_size m ON m.doc_id = s.doc_id AND m.slide_no = s.slide_no""",
+    "verse_words": "SELECT doc_id, line_no, (unnest(range(len(l))))::int AS i, unnest(l) AS w FROM (SELECT doc_id, line_no, list_filter(regexp_split_to_array(line, '[\\s\\x{85}\\p{Z}]+'), lambda w: w <> '') AS l FROM doc_lines)",
+    "verse_sentences": "SELECT doc_id, line_no, unit, string_agg(w, ' ' ORDER BY i) AS text FROM (SELECT *, coalesce(sum(regexp_matches(w, '[.;?!][\"''”’)\\]]*$')::int) OVER (PARTITION BY doc_id, line_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS unit FROM verse_words) GROUP BY doc_id, line_no, unit",
     "styles": """SELECT * FROM (VALUES ('Plain', 'prompts', ['body'], '#FFFFFF', '#FFFF00', true, true, 5), ('Loud', 'prompts', ['body'], '#FAE333', '#FF0000', false, true, 0), ('Quiet', 'prompts', ['body'], '  ', NULL, NULL, NULL, NULL),
         ('Deck', 'slides', ['title', 'point', 'keyword', 'scripture'], '#FFFFFF', '', NULL, false, 4), ('Torn', 'slides', ['title', 'point'], '', '#00FF00', true, true, -1), ('bad/name', 'slides', []::varchar[], NULL, NULL, NULL, NULL, NULL))
         t(name, kind, roles, regular_color, emphasis_color, force_caps_off, highlight_bold, scripture_max_lines)""",

@@ -1,54 +1,108 @@
-"""The three workloads from end to end, as plans over DataFrames without any action.
+"""The three workloads from end to end.
 
-By default Spark chooses all shuffles. ``by_document`` sets up a session so that inputs
+Tables that several later steps read (lines, entries, runs of slides) are written to shared
+storage once instead of being worked out anew for each; all else is left to the plan. By default Spark chooses all shuffles. ``by_document`` sets up a session so that inputs
 dealt out by document keep that partitioning through joins and windows on further keys: two
 exchanges for a corpus without giant documents instead of one for each new key.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import wrap_lines
-from ..operators import cues, freeform, glyphs, outline, sections, styles
+from ..operators import cues, freeform, glyphs, outline, rtf, sections, styles
+from ..sources.shared import dealt, keep_dealt, written
+
+#: Type of slides whose style has no template of its own.
+FONT = {"font_name": "Arial-BoldMT", "size": 90.0, "bold": True, "italic": False, "line_height": 0.9, "spacing": 0.0, "box_width": 1920.0}
 
 
 def by_document(spark: SparkSession, *inputs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> list[DataFrame]:
     """Inputs dealt out by ``keys``; joins on more keys than these need no further shuffle."""
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    return [x.repartition(*keys) for x in inputs]
+    keep_dealt(spark)
+    return [dealt(x, *keys) for x in inputs]
+
+
+def rich_text(runs: DataFrame, font: dict = FONT) -> DataFrame:
+    """Runs of slides with their style (keep_colors, highlight_bold, regular_color, emphasis_color) -> doc_id, slide_no, rtf."""
+    styled = rtf.run_style(written(runs, "runs"))
+    palette = written(rtf.color_palette(styled), "palette")
+    start = F.when(F.col("keep_colors"), F.array("regular_color")).otherwise(F.array("regular_color", "emphasis_color"))
+    first = styled.groupBy(*rtf.SLIDE).agg(F.max(F.struct(start.alias("start"))).alias("s")).select(*rtf.SLIDE, F.col("s.start").alias("start"))
+    more = palette.groupBy(*rtf.SLIDE).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "hex"))), lambda r: r["hex"]).alias("more"))
+    colors = F.concat("start", F.coalesce("more", F.expr("cast(array() as array<string>)")))
+    fonts = first.join(more, rtf.SLIDE, "left").select(*rtf.SLIDE, colors.alias("colors"), *(F.lit(v).alias(k) for k, v in font.items()))
+    colored = rtf.run_colors(styled, palette).join(fonts.select(*rtf.SLIDE, (F.size("colors") + 1).alias("clear")), rtf.SLIDE)
+    return rtf.rtf_build(rtf.rtf_state_diff(colored.withColumn("style_italic", F.lit(font["italic"]))), fonts)
+
 
+class Decks(NamedTuple):
+    """Styled cues; documents that cannot be built, with the reason; warnings per document."""
 
-def outline_decks(lines: DataFrame, jobs: DataFrame, geometry: DataFrame, looks: DataFrame, default_copies: bool = False, disable_copies: bool = False, center_scriptures: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Labelled outlines -> (numbered, styled cues; warnings per document).
+    cues: DataFrame
+    refused: DataFrame
+    warnings: DataFrame
+
+
+def outline_decks(lines: DataFrame, jobs: DataFrame, style_table: DataFrame, geometry: DataFrame, looks: DataFrame, default_copies: bool = False, disable_copies: bool = False, center_scriptures: bool = False) -> Decks:
+    """Labelled outlines -> numbered, styled cues with rich text.
 
     lines(doc_id, line_no, line); jobs(doc_id, style); geometry(style, role, force_caps_off,
     caps, boxes and fonts); looks(style, role, uuid, look_name). Long verses are split to
-    the scripture box of the document's style; back-references copy the first part.
+    the scripture box of the document's style, at most as many lines as the style says;
+    back-references copy the first part. A document with a cue whose role has no template,
+    or asked for copies whose style has no look for them, is refused as a whole.
     """
-    found = outline.entries(lines)
+    found = written(outline.entries(lines), "entries")
+    settings = styles.settings_defaults(style_table).withColumnRenamed("name", "style")
     of = jobs.select("doc_id", "style")
-    boxes = cues.text_box(geometry).where("role = 'scripture'")
-    parts = cues.verse_parts(found.where("kind = 'scripture'").join(of, "doc_id"), boxes, F.lit(5))
-    made = cues.cue_numbering(cues.cue_expand(found, parts, default_copies, disable_copies)).join(of, "doc_id")
-    styled, _ = styles.role_template_join(styles.role_look_join(made, looks), geometry.drop("force_caps_off", "caps"))
+    boxes = cues.text_box(geometry)
+    verses = found.where("kind = 'scripture'").join(of, "doc_id").join(settings.select("style", "scripture_max_lines"), "style", "left")
+    parts = cues.verse_parts(verses, boxes.where("role = 'scripture'"), F.coalesce("scripture_max_lines", F.lit(5)))
+    made = written(cues.cue_numbering(cues.cue_expand(found, parts, default_copies, disable_copies)).join(of, "doc_id"), "cues")
+    styled, bare = styles.role_template_join(styles.role_look_join(made, looks), geometry.drop("force_caps_off", "caps"))
+    refused = bare.groupBy("doc_id").agg(F.concat(F.lit("no template for: "), F.array_join(F.sort_array(F.collect_set("role")), ", ")).alias("reason"))
+    if default_copies:
+        with_copies = looks.where(f"role = '{styles.BACKTO}' and uuid <> ''").select("style").distinct()
+        refused = refused.unionByName(of.join(with_copies, "style", "left_anti").select("doc_id", F.lit("no look for copies").alias("reason")))
+    styled = styled.join(refused.select("doc_id").distinct(), "doc_id", "left_anti").join(boxes.select("style", "role", "all_caps"), ["style", "role"], "left")
     if center_scriptures:
-        known = {"verse_lines": wrap_lines("text", F.col("box_w") - F.col("margin_l") - F.col("margin_r"), "font_size", F.lit(False)), "ref_y0": F.col("box_y") - 100, "ref_h": F.lit(90.0)}
-        styled = cues.center_vertically(styled.withColumns(known))
-    return styled, outline.doc_warnings(lines, found)
+        known = {"verse_lines": wrap_lines("text", F.col("box_w") - F.col("margin_l") - F.col("margin_r"), "font_size", "all_caps")}
+        placed = cues.center_vertically(styled.withColumns(known))
+        own = {c: F.when(F.col("role") == "scripture", F.col(c)) for c in ("verse_y", "verse_h", "ref_y")}
+        styled = placed.withColumns(own)
+    said = styled.join(settings.select("style", "regular_color", "emphasis_color"), "style", "left").where("text is not null")
+    runs = said.select("doc_id", F.col("cue_no").alias("slide_no"), F.lit(1).alias("page"), F.lit(0).alias("line_no"), F.lit(0).alias("run_no"), "text", F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.lit("").alias("color"), F.lit(False).alias("highlight"), F.lit(False).alias("space_before"), F.lit(False).alias("keep_colors"), F.lit(False).alias("highlight_bold"), "regular_color", "emphasis_color")
+    text = rich_text(runs).withColumnRenamed("slide_no", "cue_no")
+    return Decks(styled.join(text, ["doc_id", "cue_no"], "left"), refused, outline.doc_warnings(lines, found))
 
 
-def marker_slides(page_glyphs: DataFrame, paints: DataFrame, fills: DataFrame, boxes: DataFrame, marker: str = sections.MARKER) -> DataFrame:
-    """Coloured glyphs -> runs of the slides of a marker script."""
-    inked = glyphs.glyph_color_join(glyphs.font_flags(glyphs.glyph_clean(page_glyphs)), paints)
-    classed = glyphs.ink_class(glyphs.page_background_join(inked, glyphs.page_background(fills, boxes)))
-    runs = glyphs.run_merge(glyphs.glyph_runs(glyphs.row_order(glyphs.baseline_rows(classed))))
-    return sections.slides(runs, marker)
+def inked(page_glyphs: DataFrame, paints: DataFrame, fills: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Glyphs with their formats: weight and slant by font, colour and highlight by ink and page."""
+    x = glyphs.glyph_color_join(glyphs.font_flags(glyphs.glyph_clean(page_glyphs)), paints)
+    return glyphs.ink_class(glyphs.page_background_join(x, glyphs.page_background(fills, boxes)))
 
 
-def freeform_decks(page_glyphs: DataFrame, marked: DataFrame, width: float = freeform.BOX_WIDTH, size: float = freeform.BOX_SIZE, most: int = freeform.MAX_LINES) -> DataFrame:
-    """Glyphs of the documents without marker slides -> slides by layout."""
-    rest = page_glyphs.join(marked.select("doc_id").distinct(), "doc_id", "left_anti")
-    plain = rest.withColumns({"color": F.lit(""), "highlight": F.lit(False)})
-    return freeform.freeform_slides(glyphs.lines_of(glyphs.font_flags(glyphs.glyph_clean(plain)), drop_superscripts=False), width, size, most)
+def prompt_decks(page_glyphs: DataFrame, paints: DataFrame, fills: DataFrame, boxes: DataFrame, docs: DataFrame, jobs: DataFrame, style_table: DataFrame, marker: str = sections.MARKER) -> DataFrame:
+    """Glyphs -> doc_id, slide_no, way, rtf: by markers where a document has any, else by layout.
+
+    jobs(doc_id, style, colors, max_lines, box_width, box_size) says whose style and which
+    colours: those of the source by default for free-form documents alone. Free-form slides
+    are cut for the standard box.
+    """
+    lines = glyphs.lines_of(inked(page_glyphs, paints, fills, boxes), drop_superscripts=False, heights=glyphs.glyph_clean(page_glyphs))
+    lines = written(lines, "lines")
+    runs = lines.select("doc_id", "page", "line_no", F.posexplode("runs").alias("run_no", "r")).select("doc_id", "page", "line_no", "run_no", "r.*")
+    scripted = sections.slides(runs, marker)
+    rest = sections.marker_fallback(docs, scripted)
+    free = freeform.slide_runs(freeform.freeform_slides(lines.join(rest, "doc_id", "left_semi")))
+    both = sections.prompts_union(scripted.select(free.columns), free)
+    settings = styles.settings_defaults(style_table).select(F.col("name").alias("style"), "regular_color", "emphasis_color", "highlight_bold")
+    of = styles.job_defaults(jobs).select("doc_id", "style", "colors").join(settings, "style").drop("style")
+    keep = styles.pdf_colors_policy(F.col("colors"), F.col("way") == "freeform")
+    x = both.join(of, "doc_id").withColumn("keep_colors", keep)
+    return rich_text(x).join(x.select("doc_id", "way").distinct(), "doc_id").select("doc_id", "slide_no", "way", "rtf")

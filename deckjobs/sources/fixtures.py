@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import CAPITAL_WIDTH, PLAIN_WIDTH, text_units, width_classes
+from .shared import dealt
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,7 @@ def outline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         7: F.concat(F.lit("TRUTH: "), line),
         8: (1 + n).cast("string"),
         9: F.lit("Back to Title"),
+        10: F.concat(F.lit("Mary Ann Smith quote: "), line),
     }
     labelled: Column = line
     for i, form in forms.items():
@@ -47,9 +49,9 @@ def outline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words as runs with rule-given formats; every third line begins with a section marker."""
+    """Words as runs with rule-given formats; in two of three documents every third line begins with a section marker."""
     n, d, r = F.col("line_no"), F.col("doc_id"), F.col("run_no")
-    marker = F.when(n % 9 == 0, F.array(F.lit("SLIDE"), n.cast("string"))).when(n % 3 == 0, F.array(F.lit("SLIDE"), F.concat(n.cast("string"), F.lit(":")))).otherwise(F.expr("cast(array() as array<string>)"))
+    marker = F.when(d % 3 == 0, F.expr("cast(array() as array<string>)")).when(n % 9 == 0, F.array(F.lit("SLIDE"), n.cast("string"))).when(n % 3 == 0, F.array(F.lit("SLIDE"), F.concat(n.cast("string"), F.lit(":")))).otherwise(F.expr("cast(array() as array<string>)"))
     words = F.filter(F.split("line", " "), lambda w: w != "")
     x = doc_lines(spark, sf_dir).select("doc_id", (1 + F.floor(n / 20)).cast("int").alias("page"), "line_no", F.posexplode(F.concat(marker, words)).alias("run_no", "text"))
     bold = ((r + d) % 7 == 0) & (F.col("text") != "SLIDE")
@@ -60,43 +62,54 @@ def doc_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def geo_lines(spark: SparkSession, sf_dir: str, marked: bool = False) -> DataFrame:
     """Lines with page, size, y, x0 and x1 (points) and their width in thousandths of a point.
 
-    ``marked``: every third line of a page begins with a slide marker.
+    ``marked``: in two of three documents every third line of a page begins with a slide marker.
     """
     n = F.col("line_no")
     at = n % 20
     size = F.when(n % 10 == 0, 28).when(n % 17 == 16, 12).otherwise(20)
     y = 800 - 27 * at - 27 * F.floor(at / 4)
-    line = F.when(at % 3 == 0, F.concat(F.lit("SLIDE "), n.cast("string"), F.lit(": "), "line")).otherwise(F.col("line")) if marked else F.col("line")
+    line = F.when((at % 3 == 0) & (F.col("doc_id") % 3 != 0), F.concat(F.lit("SLIDE "), n.cast("string"), F.lit(": "), "line")).otherwise(F.col("line")) if marked else F.col("line")
     x = doc_lines(spark, sf_dir).select("doc_id", (1 + F.floor(n / 20)).cast("int").alias("page"), "line_no", line.alias("text"), size.alias("size"), y.cast("double").alias("y"))
     x = x.withColumn("width_milli", text_units(F.col("text")) * F.col("size")).withColumn("size", F.col("size").cast("double"))
     return x.withColumns({"x0": F.lit(57.0), "x1": 57.0 + F.col("width_milli") / 1000.0})
 
 
 def char_units(c: Column) -> Column:
-    """Width of one character in 1/1000 em."""
-    out = F.when(c.rlike(r"^\p{Lu}"), CAPITAL_WIDTH).otherwise(PLAIN_WIDTH)
-    for w, chars in width_classes().items():
-        out = F.when(F.instr(F.lit(chars), c) > 0, w).otherwise(out)
-    return out
+    """Width of one character in 1/1000 em: its class by one translation, the class's width from a list."""
+    classes = width_classes()
+    named = "".join(chr(0xE000 + i) * len(chars) for i, chars in enumerate(classes.values()))
+    at = F.ascii(F.translate(c, "".join(classes.values()), named)) - 0xE000
+    plain = F.when(c.rlike(r"^\p{Lu}"), CAPITAL_WIDTH).otherwise(PLAIN_WIDTH)
+    return F.when(at.between(0, len(classes) - 1), F.get(F.array(*map(F.lit, classes)), at)).otherwise(plain)
 
 
 def doc_glyphs(spark: SparkSession, sf_dir: str, marked: bool = False) -> DataFrame:
-    """One row for each character: doc_id, page, seq, s, font, size, x, y, w; ``src_line`` says where it is from."""
+    """One row for each character: doc_id, page, seq, s, font, size, x, y, w; ``src_line`` says where it is from.
+
+    Lines are dealt out by page before they become characters. Some spaces are no-break
+    spaces, tabs or gone; ``fi`` is a ligature on some lines; a replacement character and a
+    line end stand behind some words.
+    """
     from pyspark.sql import Window as W
 
-    n, pos = F.col("line_no"), F.col("pos")
-    x = geo_lines(spark, sf_dir, marked).select("doc_id", "page", "line_no", "size", "y", F.posexplode(F.split("text", "")).alias("pos", "s")).where("s <> ''")
+    n, pos, d = F.col("line_no"), F.col("pos"), F.col("doc_id")
+    x = dealt(geo_lines(spark, sf_dir, marked).select("doc_id", "page", "line_no", "size", "y", "text"), "doc_id", "page")
+    x = x.select("doc_id", "page", "line_no", "size", "y", F.posexplode(F.split("text", "")).alias("pos", "s")).where("s <> ''")
     x = x.withColumn("units", char_units(F.col("s")))
-    before = F.sum("units").over(W.partitionBy("doc_id", "line_no").orderBy("pos")) - F.col("units")
+    before = F.sum("units").over(W.partitionBy("doc_id", "page", "line_no").orderBy("pos")) - F.col("units")
     x = x.withColumn("before", before).where(~((n % 4 == 3) & (F.col("s") == " ")))
-    k = (F.floor(pos / 6) + F.col("doc_id")) % 7
-    font = F.when(k == 0, "Avenir-Heavy").when(k == 3, "Helvetica-Oblique").otherwise("Avenir-Book")
+    k = (F.floor(pos / 6) + d) % 7
+    fonts = {0: "Avenir-Heavy", 1: "Avenir-Black", 2: "Helvetica-Bold", 3: "Helvetica-Oblique", 4: "Times-Italic", 5: "Avenir-HeavyOblique"}
+    font = F.lit("Avenir-Book")
+    for i, name in fonts.items():
+        font = F.when(k == i, name).otherwise(font)
     small = F.col("s").between("0", "9") & (pos % 2 == 0)
+    odd = F.when((F.col("s") == " ") & (pos % 11 == 3), "\u00a0").when((F.col("s") == " ") & (pos % 11 == 5), "\t").when((F.col("s") == "f") & (pos % 5 == 0), "ﬁ").when((F.col("s") == "q") & (pos % 3 == 0), "q\ufffd").when((F.col("s") == "z") & (pos % 4 == 0), "\r").otherwise(F.col("s"))
     return x.select(
         "doc_id",
         "page",
         ((n % 20) * 1000000 + pos).cast("long").alias("seq"),
-        "s",
+        odd.alias("s"),
         font.alias("font"),
         F.when(small, F.col("size") * 0.5).otherwise(F.col("size")).alias("size"),
         (57.0 + F.col("before") * F.col("size") / 1000.0).alias("x"),
@@ -106,28 +119,37 @@ def doc_glyphs(spark: SparkSession, sf_dir: str, marked: bool = False) -> DataFr
     )
 
 
-def paints(glyphs: DataFrame) -> DataFrame:
-    """A fill of 1, 3 or 4 components at three of four glyphs; every fiftieth is painted again."""
+def paints(glyphs: DataFrame, marked: bool = False) -> DataFrame:
+    """A fill of 1, 3 or 4 components at three of four glyphs; every fiftieth is painted again.
+
+    ``marked``: slide markers are of one grey.
+    """
     s = F.col("seq")
+    marker = (F.floor(s / 1000000) % 3 == 0) & (s % 1000000 < 12) & (F.col("doc_id") % 3 != 0) & F.lit(marked)
     quarter = lambda k: ((s + k) % 5).cast("double") * 0.25
     comps = F.when(s % 3 == 0, F.array(quarter(0))).when(s % 3 == 1, F.array(quarter(0), quarter(1), quarter(3))).otherwise(F.array(quarter(0), quarter(2), quarter(1), quarter(4)))
     # exploded as one value, so that its expression is evaluated once and not wherever it is used
-    first = glyphs.where(s % 4 != 3).select("doc_id", "page", "seq", "x", "y", F.explode(F.array(comps)).alias("comps"))
+    painted = F.when(marker, F.array(F.lit(0.5))).otherwise(comps)
+    first = glyphs.where(marker | (s % 4 != 3)).select("doc_id", "page", "seq", "x", "y", F.explode(F.array(painted)).alias("comps"))
     again = glyphs.where(s % 50 == 0).select("doc_id", "page", (s + 100000000).alias("seq"), "x", "y", F.array(F.lit(0.5)).alias("comps"))
     return first.unionByName(again)
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page of every page that has a line."""
+    last = F.floor((F.size(F.split("text", "\n", -1)) - 1) / 20).cast("int") + 1
+    return documents(spark, sf_dir).where("text is not null").select("doc_id", F.explode(F.sequence(F.lit(1), last)).alias("page")).distinct()
+
+
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two filled boxes a page: one that covers it, dark on every second page, and a small one after it."""
-    pages = geo_lines(spark, sf_dir).select("doc_id", "page").distinct()
     grey = F.when((F.col("doc_id") + F.col("page")) % 2 == 0, 0.25).otherwise(1.0)
     box = lambda seq, w, c: F.struct(F.lit(seq).alias("seq"), F.lit(0.0).alias("min_x"), F.lit(0.0).alias("min_y"), F.lit(w).alias("max_x"), F.lit(842.0).alias("max_y"), F.array(c).alias("comps"))
-    return pages.select("doc_id", "page", F.explode(F.array(box(1, 595.0, grey), box(2, 100.0, F.lit(0.75)))).alias("f")).select("doc_id", "page", "f.*")
+    return _pages(spark, sf_dir).select("doc_id", "page", F.explode(F.array(box(1, 595.0, grey), box(2, 100.0, F.lit(0.75)))).alias("f")).select("doc_id", "page", "f.*")
 
 
 def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = geo_lines(spark, sf_dir).select("doc_id", "page").distinct()
-    return pages.select("doc_id", "page", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(595.0).alias("x1"), F.lit(842.0).alias("y1"))
+    return _pages(spark, sf_dir).select("doc_id", "page", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(595.0).alias("x1"), F.lit(842.0).alias("y1"))
 
 
 def touches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by keys into as many partitions as the session shuffles to.
+
+    The number is given, so that it is not reduced by the rows' size where each of them
+    becomes many, or much work.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def keep_dealt(spark: SparkSession) -> None:
+    """From now on inputs that are dealt out by some of a join's keys are not dealt out again by all of them."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``; under a temporary one only if a session has no such setting."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="deckjobs-")
     return f"{root.rstrip('/')}/deckjobs-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table that several later steps read, written to shared storage once; cuts the lineage."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

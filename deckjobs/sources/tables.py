@@ -27,10 +27,13 @@ def src_styles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sink_styles(styles: DataFrame, path: str, order: str = "name") -> None:
-    """One folder for each name; of several rows of one name the last by ``order`` is written; absent fields are left out."""
+    """One folder for each name; of several rows of one name the last by ``order`` is written; absent fields are left out.
+
+    A style of the same name is replaced; the other styles of the store stay.
+    """
     last = styles.withColumn("_n", F.row_number().over(W.partitionBy("name").orderBy(F.desc(order)))).where("_n = 1").drop("_n")
     out = last.withColumn("templates", F.transform_values("templates", lambda k, v: F.base64(v))).withColumn("file", F.col("name"))
-    out.repartition("name").write.mode("overwrite").partitionBy("file").option("ignoreNullFields", True).json(path)
+    out.repartition("name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").option("ignoreNullFields", True).json(path)
 
 
 def sink_presentations(decks: DataFrame, path: str) -> None:

@@ -72,6 +72,9 @@ def test_style_files(spark, tmp_path):
     (tmp_path / "s" / "file=S" / "broken.json").write_text("{")
     got = tables.src_styles(spark, str(tmp_path / "s")).collect()
     assert [(r.name, bytes(r.templates["title"])) for r in got] == [("S", b"new")]
+    tables.sink_styles(full.where("at = 1").withColumn("name", F.concat(F.lit("New "), "name")), str(tmp_path / "s"), "at")
+    tables.sink_styles(full.where("at = 1 and kind = 'slides'"), str(tmp_path / "s"), "at")
+    assert sorted((r.name, bytes(r.templates["title"])) for r in tables.src_styles(spark, str(tmp_path / "s")).collect()) == [("New S", b"old"), ("S", b"old")]
 
 
 def test_sessions(spark):
