@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,18 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2_000) -> Iterator[None]:
+    """What is run inside sends rows to Python workers in smaller batches, so that these stay small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -84,34 +97,51 @@ class Words:
 
     @staticmethod
     def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Polynomial hash of data[start:end] for every pair, from prefix sums modulo 2**64."""
-        if not len(start):
-            return np.zeros(0, np.uint64)
-        powers = powers_of(len(data) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1])])
-        inverse = inverse_powers_of(len(data) + 1)
-        return mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * _MIX)
+        """Hash of data[start:end] for every pair, by its bytes and length only."""
+        return mixed(span_sums(data, start, end) + (end - start).astype(np.uint64) * _MIX)
 
 
+#: Values whose powers are looked at at once.
+_STRETCH = 1 << 16
 _P = pow(0x9E3779B97F4A7C15, 1, 2**64)
 _P_INVERSE = pow(_P, -1, 2**64)
-_tables: dict[int, np.ndarray] = {}
 
 
-def _table(base: int, n: int) -> np.ndarray:
-    if len(_tables.get(base, ())) < n:
-        t = np.full(1 << max(16, (n - 1).bit_length()), base, np.uint64)
-        t[0] = 1
-        _tables[base] = np.cumprod(t)
-    return _tables[base][:n]
+def _powers(base: int) -> np.ndarray:
+    t = np.full(_STRETCH + 1, base, np.uint64)
+    t[0] = 1
+    return np.cumprod(t)
 
 
-def powers_of(n: int) -> np.ndarray:
-    return _table(_P, n)
+_POWERS, _INVERSE = _powers(_P), _powers(_P_INVERSE)
 
 
-def inverse_powers_of(n: int) -> np.ndarray:
-    return _table(_P_INVERSE, n)
+def _prefix_sums(values: np.ndarray, at: np.ndarray, inverse: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Polynomial sums modulo 2**64 of values[:i] for each i in ``at`` (ascending), and (``inverse``) the power -i.
+
+    The values are taken in stretches, so that a long text costs no table of its own length.
+    """
+    sums, powers = np.zeros(len(at), np.uint64), np.ones(len(at) if inverse else 0, np.uint64)
+    total = 0
+    for a in range(0, len(values) + 1, _STRETCH):
+        some = values[a : a + _STRETCH]
+        local = np.concatenate([np.zeros(1, np.uint64), np.cumsum((some.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(some)])])
+        ahead = pow(_P, a, 2**64)
+        i, j = np.searchsorted(at, [a, a + _STRETCH])
+        if j > i:
+            sums[i:j] = local[at[i:j] - a] * np.uint64(ahead) + np.uint64(total)
+            if inverse:
+                powers[i:j] = _INVERSE[at[i:j] - a] * np.uint64(pow(_P_INVERSE, a, 2**64))
+        total = (total + ahead * int(local[-1])) % 2**64
+    return sums, powers
+
+
+def span_sums(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hash of values[start:end] for every pair; starts and ends are ascending."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    low, inverse = _prefix_sums(values, start, True)
+    return (_prefix_sums(values, end, False)[0] - low) * inverse
 
 
 def lowered(texts: Iterable[bytes]) -> list[bytes]:
