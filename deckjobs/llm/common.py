@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -22,13 +23,14 @@ _S32 = np.uint64(32)
 def scratch(spark: SparkSession) -> str:
     """A new folder name under the cluster's shared checkpoint folder.
 
-    The folder is the one named in ``spark.checkpoint.dir``; only a session without that
-    setting (a local test) gets a temporary one.
+    The folder is the one named in ``spark.checkpoint.dir``. Without that setting a session
+    of one machine (a local test) gets a temporary one; on a cluster it is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="deckjobs-"))
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="deckjobs-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/deckjobs-{uuid.uuid4().hex}"
 

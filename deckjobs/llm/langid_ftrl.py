@@ -125,7 +125,7 @@ def train(rows: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> dict:
     df = np.zeros(1 << BITS)
     df[counted.loc[counted["at"] >= 0, "at"]] = counted.loc[counted["at"] >= 0, "n"]
     idf = np.log((n_docs + 1) / (df + 1)) + 1
-    sample = rows.select("doc_id", F.xxhash64("doc_id").alias("order")).orderBy("order", "doc_id").limit(max_train_rows)
+    sample = rows.select("doc_id", F.xxhash64("doc_id").alias("order")).distinct().orderBy("order", "doc_id").limit(max_train_rows)
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast(idf)
 
@@ -162,7 +162,8 @@ def train(rows: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> dict:
             yield pa.RecordBatch.from_arrays([pa.array([name] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(w[at, k], t))], ["lang", "at", "w"])
 
     made = rows.select("doc_id", "lang", "text").join(F.broadcast(sample), "doc_id").select("order", "lang", "text").mapInArrow(vectors, "order long, lang string, at array<int>, x array<float>")
-    got = keep(made).repartition(1).mapInArrow(fit, "lang string, at long, w double").toPandas()
+    # repeated ids give more rows than ids: bounded again, by rows
+    got = keep(made).orderBy("order", "lang").limit(max_train_rows).repartition(1).mapInArrow(fit, "lang string, at long, w double").toPandas()
     names = sorted(got["lang"].unique())
     w = np.zeros(((1 << BITS) + 1, len(names)))
     t = 1.0

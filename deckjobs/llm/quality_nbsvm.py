@@ -181,10 +181,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
     Their features are made by all tasks; the descent, which is sequential, runs in one
     task over that bounded sample. The model has at most 2**18 weights.
     """
-    ids = labels.where("label is not null and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("order")).orderBy("order", "doc_id", "label").limit(max_train_rows)
+    ids = labels.where("label is not null and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("order")).distinct().orderBy("order", "doc_id", "label").limit(max_train_rows)
     train_rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     features = train_rows.select("label", "order", "text").mapInArrow(_feature_rows, "label int, order long, features array<int>")
-    model = keep(features).repartition(1).mapInArrow(_fit, "at long, weight double, ratio double")
+    # repeated ids give more rows than ids: bounded again, by rows
+    model = keep(features).orderBy("order", "label").limit(max_train_rows).repartition(1).mapInArrow(_fit, "at long, weight double, ratio double")
     got = model.toPandas()
     weight, ratio = np.zeros((1 << BITS) + 3), np.zeros((1 << BITS) + 3)
     weight[got["at"]], ratio[got["at"]] = got["weight"], got["ratio"]
