@@ -189,3 +189,21 @@ def ranked(ids: DataFrame, key: str) -> DataFrame:
         .withColumn("rank", F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
         .drop("_at", "_part", "_first")
     )
+
+
+def placed(rows: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """Rows with their place (from 0) in an order of several columns, which may go either way.
+
+    As ``ranked``: ranges are sorted locally and written once, and a range begins where the
+    sizes of those before it end. ``rows`` should be a kept table; ranges are sampled from it.
+    """
+    spark = rows.sparkSession
+    there = keep(rows.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    first, starts = 0, []
+    for r in there.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).orderBy("_part").collect():
+        starts.append((r["_part"], first))
+        first += r["_n"]
+    begins = spark.createDataFrame(starts, "_part long, _first long")
+    place = F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return there.withColumn("_part", part).join(F.broadcast(begins), "_part").withColumn(name, place).drop("_at", "_part", "_first")

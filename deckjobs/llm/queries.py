@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, chat_windows, decontam_edit, fingerprint_cws, langid_ftrl, quality_nbsvm, simhash_cover, spm_codec, token_store, toxicity_gbt
+from . import bwt_dedup, chat_windows, decontam_edit, fingerprint_cws, importance_draw, langid_ftrl, quality_nbsvm, simhash_cover, source_audit, spm_codec, token_store, toxicity_gbt, window_packing
 from .common import fold
 
 
@@ -89,6 +89,24 @@ def op4_spm_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm_codec.round_trip(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of every document for the benchmark's language, and the ranks of those drawn."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = importance_draw.drawn(docs, table(spark, sf_dir, "benchmark").select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, with their sequence and place there."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return window_packing.digests(window_packing.packed(docs, tokenizer_path("word_bpe_49k.json")))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each source of a language differs from the others, and the terms that are typical of it."""
+    return source_audit.report(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 OP7_SQL = r"""
 WITH all_turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -127,5 +145,64 @@ SELECT conv_id, count(*) AS n_turns,
 FROM ended GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_nbsvm, op2_fingerprint_cws, op3_simhash_cover, op4_spm_codec, op5_langid_ftrl, op6_bwt_dedup, op7_chat_windows, op8_token_store, op9_toxicity_gbt, op10_decontam_edit)}
-ORACLE_SQL: dict[str, str] = {"op7_chat_windows": OP7_SQL}
+OP11_SQL = r"""
+WITH byte_crc AS (
+  SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c FROM range(256) r(b))
+), texts AS (
+  SELECT 'd' AS side, row_number() OVER () AS row, doc_id, text FROM documents UNION ALL SELECT 't', row_number() OVER (), NULL, text FROM benchmark
+), worded AS (
+  SELECT side, row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), runs AS (
+  SELECT side, row, unnest(w) AS feature FROM worded
+  UNION ALL SELECT side, row, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM worded
+), hashed AS (
+  SELECT feature, xor(list_reduce(list_transform(range(octet_length(encode(feature))), lambda i: ('0x' || substr(hex(encode(feature)), 2 * i + 1, 2))::bigint), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT feature FROM runs), byte_crc
+), counted AS (
+  SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 't') AS t FROM runs JOIN hashed USING (feature) GROUP BY bucket
+), gained AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::double * (sum(s) OVER () + 10000)::double / ((s + 1)::double * (sum(t) OVER () + 10000)::double)))::bigint AS gain FROM counted
+), weighed AS (
+  SELECT row, count(*) AS n_features, floor(sum(gain) / count(*))::bigint AS weight FROM runs JOIN hashed USING (feature) JOIN gained USING (bucket) WHERE side = 'd' GROUP BY row
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS long,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint AS score
+  FROM worded LEFT JOIN weighed USING (row) WHERE side = 'd'
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY long ORDER BY score DESC, doc_id, n_features, weight) AS place, count(*) FILTER (long) OVER () AS n FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN long AND place <= 25 * n // 100 THEN place END AS rank FROM placed
+"""
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), terms AS (
+  SELECT row, lang, source, term, count(*) AS n FROM (SELECT row, lang, source, unnest(w) AS term FROM docs) GROUP BY ALL
+), kept AS (
+  SELECT lang, term FROM terms GROUP BY lang, term HAVING count(*) >= 30
+), sizes AS (
+  SELECT lang, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang FROM docs) LEFT JOIN (SELECT lang, count(*) AS v FROM kept GROUP BY lang) USING (lang)
+), counts AS (
+  SELECT lang, source, term, sum(n)::hugeint AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), groups AS (
+  SELECT d.lang, d.source, v, coalesce(sum(c.n), 0)::hugeint AS total FROM (SELECT DISTINCT lang, source FROM docs) d JOIN sizes USING (lang) LEFT JOIN counts c ON c.lang = d.lang AND c.source = d.source GROUP BY d.lang, d.source, v
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::hugeint * (coalesce(c.n, 0) + 5) // (g.total + 5 * g.v) AS p
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), langs AS (
+  SELECT lang, term, 1 + 1000000000::hugeint * (sum(c.n) + 5) // (any_value(t.total) + 5 * any_value(t.v)) AS q
+  FROM counts c JOIN (SELECT lang, any_value(v) AS v, sum(total) AS total FROM groups GROUP BY lang) t USING (lang) GROUP BY lang, term
+), summed AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::bigint AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::bigint FROM shares JOIN langs USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT * FROM (SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::int AS rank FROM found) WHERE part = 'pair' OR rank <= 50
+"""
+
+QUERIES = {f.__name__: f for f in (op1_quality_nbsvm, op2_fingerprint_cws, op3_simhash_cover, op4_spm_codec, op5_langid_ftrl, op6_bwt_dedup, op7_chat_windows, op8_token_store, op9_toxicity_gbt, op10_decontam_edit, op11_importance_draw, op12_window_packing, op13_source_audit)}
+ORACLE_SQL: dict[str, str] = {"op7_chat_windows": OP7_SQL, "op11_importance_draw": OP11_SQL, "op13_source_audit": OP13_SQL}
