@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from .functions import metrics, text
 from .functions import patterns as P
 from .operators import cues, freeform, glyphs, outline, rtf, sections, styles
-from .oracle import CAPS_OK, SEEN, both, capitalized, cut, group, lit, matches, reference, sql, units, verse, wrapped
+from .oracle import CAPS_OK, SEEN, both, capitalized, cut, escaped, group, lit, matches, reference, sql, units, verse, wrapped
 from .sources import fixtures as fx
-from .sources.shared import keep_dealt, shared_folder
+from .sources.shared import shared_folder
 from .streaming.jobs import session_expiry as sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +43,6 @@ def _clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _inked(spark: SparkSession, sf: str) -> DataFrame:
-    keep_dealt(spark)
     g = glyphs.font_flags(_clean(spark, sf))
     x = glyphs.glyph_color_join(g, fx.paints(fx.doc_glyphs(spark, sf)))
     return glyphs.ink_class(glyphs.page_background_join(x, glyphs.page_background(fx.fills(spark, sf), fx.page_boxes(spark, sf))))
@@ -53,6 +52,12 @@ def _rows(spark: SparkSession, sf: str) -> DataFrame:
     return glyphs.row_order(glyphs.baseline_rows(_inked(spark, sf), heights=_clean(spark, sf)))
 
 
+def _page_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Glyphs to lines in one pass by page."""
+    g = fx.doc_glyphs(spark, sf)
+    return glyphs.page_lines(glyphs.font_flags(glyphs.glyph_clean(g)), fx.paints(g), glyphs.page_background(fx.fills(spark, sf), fx.page_boxes(spark, sf)))
+
+
 def _plain_rows(spark: SparkSession, sf: str) -> DataFrame:
     return glyphs.row_order(glyphs.baseline_rows(_clean(spark, sf)))
 
@@ -264,7 +269,10 @@ def page_background(spark, sf):
 def _geometry(spark):
     s = styles.settings_defaults(fx.styles(spark)).select(F.col("name").alias("style"), "force_caps_off", F.explode("roles").alias("role"))
     width = F.when(F.col("role") == "scripture", 1440.0).otherwise(1800.0)
-    return s.select("style", "role", "force_caps_off", F.lit("ALL_CAPS").alias("caps"), width.alias("box_w"), F.lit(300.0).alias("box_h"), F.lit(600.0).alias("box_y"), F.lit(20.0).alias("margin_l"), F.lit(20.0).alias("margin_r"), F.lit(8.0).alias("margin_t"), F.lit(8.0).alias("margin_b"), F.lit(50.0).alias("font_size"), F.lit(0.0).alias("line_height_multiple"), F.lit(1080.0).alias("slide_h"), F.lit(500.0).alias("ref_y0"), F.lit(90.0).alias("ref_h"))
+    loud = F.col("style").isin("Loud", "Deck") & ~F.col("role").isin("keyword")
+    named = {"font_name": F.when(loud, "Avenir-Heavy").otherwise("Arial-BoldMT"), "bold": loud, "italic": F.col("role") == "keyword", "paragraph_spacing": F.when(loud, 6.0).otherwise(0.0), "ref_font_name": F.lit("Georgia"), "ref_font_size": F.lit(33.0), "ref_box_w": F.lit(900.0)}
+    s = s.withColumns(named)
+    return s.select(*named, "style", "role", "force_caps_off", F.lit("ALL_CAPS").alias("caps"), width.alias("box_w"), F.lit(300.0).alias("box_h"), F.lit(600.0).alias("box_y"), F.lit(20.0).alias("margin_l"), F.lit(20.0).alias("margin_r"), F.lit(8.0).alias("margin_t"), F.lit(8.0).alias("margin_b"), F.lit(50.0).alias("font_size"), F.lit(0.0).alias("line_height_multiple"), F.lit(1080.0).alias("slide_h"), F.lit(500.0).alias("ref_y0"), F.lit(90.0).alias("ref_h"))
 
 
 @query("SELECT count(*) AS n, role, width FROM (SELECT n.role, CASE n.role WHEN 'scripture' THEN 1400.0 ELSE 1760.0 END::double AS width FROM numbered n JOIN jobs j USING (doc_id) JOIN (SELECT name, unnest(roles) AS role FROM styles) s ON s.name = CASE WHEN j.doc_id % 2 = 0 THEN 'Torn' ELSE 'Deck' END AND s.role = n.role) GROUP BY role, width")
@@ -352,7 +360,7 @@ def block_stats(spark, sf):
 
 @query("SELECT doc_id, page, line_no, string_agg(CASE WHEN run_no > 0 AND space_before THEN ' ' ELSE '' END || text, '' ORDER BY run_no) AS text FROM runs GROUP BY doc_id, page, line_no")
 def line_text(spark, sf):
-    return glyphs.lines_of(_inked(spark, sf), heights=_clean(spark, sf)).select("doc_id", "page", "line_no", "text")
+    return _page_lines(spark, sf).select("doc_id", "page", "line_no", "text")
 
 
 @query("SELECT doc_id, slide_no, string_agg(line, ' ' ORDER BY line_no) AS text FROM slide_lines GROUP BY doc_id, slide_no")
@@ -362,7 +370,8 @@ def slide_text(spark, sf):
 
 @query("SELECT * FROM runs")
 def run_merge(spark, sf):
-    return glyphs.run_merge(glyphs.glyph_runs(_kept(spark, sf))).drop("x0", "x1", "y", "size")
+    runs = _page_lines(spark, sf).select("doc_id", "page", "line_no", F.posexplode("runs").alias("run_no", "r"))
+    return runs.select("doc_id", "page", "line_no", F.col("run_no").cast("long").alias("run_no"), "r.*")
 
 
 @query(f"SELECT doc_id, page, sum({wrapped('text', 1920.0, 135.0)})::bigint AS wrapped FROM geo_lines GROUP BY doc_id, page")
@@ -370,14 +379,19 @@ def measure_lines(spark, sf):
     return freeform.measure_lines(fx.geo_lines(spark, sf))
 
 
-def _styled(spark, sf, keep=True):
-    s = _slides(spark, sf).withColumns({"keep_colors": F.lit(keep) & (F.col("doc_id") % 2 == 0), "highlight_bold": F.lit(True), "regular_color": F.when(F.col("doc_id") % 3 == 0, "#fae333").otherwise("#FFFFFF"), "emphasis_color": F.lit("#FFFF00")})
-    return rtf.run_style(s)
+def _styled(spark, sf):
+    """One row a slide, with its palette; the styles and types go by document."""
+    d = F.col("doc_id")
+    style = {"keep_colors": d % 2 == 0, "highlight_bold": d % 5 != 0, "regular_color": F.when(d % 3 == 0, "#fae333").otherwise("#FFFFFF"), "emphasis_color": F.lit("#FFFF00")}
+    slides = rtf.gathered(_slides(spark, sf).withColumns(style))
+    font = {"font_name": F.lit("Arial-BoldMT"), "size": F.lit(90.0), "bold": F.lit(True), "italic": d % 4 == 1, "line_height": F.lit(0.9), "spacing": F.lit(0.0), "box_width": F.lit(1920.0)}
+    return rtf.color_palette(slides).withColumns(font)
 
 
 @query("SELECT doc_id, slide_no, upper AS upper_, hex, \"at\" FROM palette")
 def color_palette(spark, sf):
-    return rtf.color_palette(_styled(spark, sf)).withColumnRenamed("upper", "upper_")
+    x = _styled(spark, sf).select("doc_id", "slide_no", "base", F.posexplode(F.slice("colors", F.col("base") + 1, F.size("colors"))).alias("i", "hex"))
+    return x.select("doc_id", "slide_no", F.upper("hex").alias("upper_"), "hex", (F.col("base") + F.col("i")).cast("long").alias("at"))
 
 
 @query("""SELECT doc_id, u.unrecognized, b.unresolved, i.skipped_images FROM (SELECT doc_id, string_agg(line, '; ' ORDER BY line_no) AS unrecognized FROM taken WHERE NOT taken GROUP BY doc_id) u
@@ -464,11 +478,13 @@ def cue_numbering(spark, sf):
 
 
 def _changes(spark, sf):
-    s = _styled(spark, sf)
-    c = rtf.run_colors(s, rtf.color_palette(s))
-    n = rtf.color_palette(s).groupBy("doc_id", "slide_no").agg(F.count("*").alias("more"))
-    x = c.join(n, ["doc_id", "slide_no"], "left").withColumn("clear", F.when(F.col("keep_colors"), 2).otherwise(3) + F.coalesce("more", F.lit(0)))
-    return rtf.rtf_state_diff(x.withColumn("style_italic", F.col("doc_id") % 4 == 1))
+    return rtf.rtf_state_diff(rtf.run_colors(_styled(spark, sf)))
+
+
+def _exploded(slides: DataFrame, *fields: str) -> DataFrame:
+    """Some fields of the runs, as rows; narrowed before, so that the plan does not work out the runs once for each field."""
+    narrow = F.transform("runs", lambda r: F.struct(*(r[f].alias(f) for f in fields)))
+    return slides.select("doc_id", "slide_no", F.explode(narrow).alias("r")).select("doc_id", "slide_no", "r.*")
 
 
 _CONTROL = f"""SELECT *, CASE WHEN coalesce(lag(color_at) OVER l, -1) <> color_at THEN '\\cf' || (color_at + 1) ELSE '' END || CASE WHEN coalesce(lag(slant) OVER l, si) <> slant THEN CASE WHEN slant THEN '\\i' ELSE '\\i0' END ELSE '' END || CASE WHEN coalesce(lag(mark) OVER l, clear) <> mark THEN '\\highlight' || mark || '\\cb' || mark ELSE '' END AS control FROM colored_runs WINDOW l AS (PARTITION BY doc_id, slide_no, line_no ORDER BY run_no)"""
@@ -476,7 +492,7 @@ _CONTROL = f"""SELECT *, CASE WHEN coalesce(lag(color_at) OVER l, -1) <> color_a
 
 @query(f"SELECT doc_id, slide_no, line_no, run_no, control FROM ({_CONTROL})")
 def rtf_state_diff(spark, sf):
-    return _changes(spark, sf).select("doc_id", "slide_no", "line_no", "run_no", "control")
+    return _exploded(_changes(spark, sf), "line_no", "run_no", "control")
 
 
 # ---- sorts, limits ----
@@ -541,7 +557,7 @@ def offered_union(spark, sf):
 
 @query("SELECT doc_id, pos, part_no, copy_no, role, look_role, name, text, source_pos, enabled FROM cues")
 def cue_expand(spark, sf):
-    return cues.cue_expand(_entries(spark, sf), default_copies=True, disable_copies=True)
+    return cues.cue_expand(_entries(spark, sf), default_copies=True, disable_copies=True).drop("reference")
 
 
 # ---- scalar functions ----
@@ -700,21 +716,27 @@ def hex_to_rgb(spark, sf):
     return fx.doc_runs(spark, sf).select(F.col("color").alias("hex")).distinct().select("hex", (v["r"] * 65536 + v["g"] * 256 + v["b"]).alias("rgb"))
 
 
-@query("SELECT doc_id, line_no, array_to_string(list_transform(string_split(replace(replace(replace(line, '\\', '\\\\'), '{', '\\{'), '}', '\\}'), ''), lambda c: CASE WHEN unicode(c) < 128 THEN c ELSE '\\u' || (CASE WHEN unicode(c) >= 32768 THEN unicode(c) - 65536 ELSE unicode(c) END) || ' ?' END), '') AS rtf FROM doc_lines WHERE line <> ''")
+@query(f"SELECT doc_id, line_no, {escaped('line')} AS rtf FROM doc_lines WHERE line <> ''")
 def rtf_escape(spark, sf):
     return fx.doc_lines(spark, sf).where("line <> ''").select("doc_id", "line_no", text.rtf_escape(F.col("line")).alias("rtf"))
 
 
 def _built(spark, sf):
-    s = _styled(spark, sf)
-    first = s.groupBy("doc_id", "slide_no").agg(F.max(F.struct("keep_colors", "regular_color", "emphasis_color")).alias("c"))
-    more = rtf.color_palette(s).groupBy("doc_id", "slide_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "hex"))), lambda r: r["hex"]).alias("more"))
-    start = F.when(F.col("c.keep_colors"), F.array(F.col("c.regular_color"))).otherwise(F.array("c.regular_color", "c.emphasis_color"))
-    fonts = first.join(more, ["doc_id", "slide_no"], "left").select("doc_id", "slide_no", F.concat(start, F.coalesce("more", F.expr("cast(array() as array<string>)"))).alias("colors"), F.lit("Arial-BoldMT").alias("font_name"), F.lit(90.0).alias("size"), F.lit(True).alias("bold"), (F.col("doc_id") % 4 == 1).alias("italic"), F.lit(0.9).alias("line_height"), F.lit(0.0).alias("spacing"), F.lit(1920.0).alias("box_width"))
-    return rtf.rtf_build(_changes(spark, sf), fonts)
+    return rtf.rtf_build(_changes(spark, sf))
 
 
-@query()
+_HEX = "('0x' || substr(h, {0}, 2))::int"
+_NAMED = " || ".join(f"'\\{n}' || {_HEX.format(i)}" for n, i in (("red", 2), ("green", 4), ("blue", 6)))
+_WIDE = "'\\csgenericrgb' || " + " || ".join(f"'\\c' || round_even({_HEX.format(i)} / 255.0::double * 100000, 0)::int" for i in (2, 4, 6)) + " || '\\c100000'"
+_RTF = f"""SELECT b.doc_id, b.slide_no, '{{\\rtf0\\ansi\\ansicpg1252{{\\fonttbl\\f0\\fnil Arial-BoldMT;}}{{\\colortbl;' || array_to_string(list_append(list_transform(hexes, lambda h: {_NAMED}), '\\red255\\green255\\blue255'), ';')
+    || ';}}{{\\*\\expandedcolortbl;' || array_to_string(list_append(list_transform(hexes, lambda h: {_WIDE}), '\\csgenericrgb\\c100000\\c100000\\c100000\\c0'), ';') || ';}}{{\\*\\listtable}}{{\\*\\listoverridetable}}\\uc1\\paperw38400\\margl0\\margr0\\margt0\\margb0' || body || '}}' AS rtf
+FROM (SELECT doc_id, slide_no, string_agg('\\pard\\li0\\fi0\\ri0\\qc\\sb0\\sa0\\sl216\\slmult1\\slleading0\\f0\\b' || CASE WHEN si THEN '\\i' ELSE '\\i0' END || '\\ul0\\strike0\\fs180\\expnd0\\expndtw0\\CocoaLigature1\\cf1\\strokewidth0\\strokec1\\nosupersub\\ulc0\\highlight' || clear || '\\cb' || clear || ' ' || said, '\\par' ORDER BY line_no) AS body
+    FROM (SELECT doc_id, slide_no, line_no, any_value(si) AS si, any_value(clear) AS clear, string_agg(CASE WHEN space_before THEN ' ' ELSE '' END || CASE WHEN control <> '' THEN control || ' ' ELSE '' END || {escaped('text')}, '' ORDER BY run_no) AS said FROM ({_CONTROL}) GROUP BY doc_id, slide_no, line_no) GROUP BY doc_id, slide_no) b
+JOIN (SELECT s.doc_id, s.slide_no, list_concat(any_value(begin), coalesce(list(p.hex ORDER BY p.at) FILTER (p.hex IS NOT NULL), []::varchar[])) AS hexes FROM (SELECT DISTINCT doc_id, slide_no, CASE WHEN doc_id % 2 = 0 OR doc_id % 5 = 0 THEN [CASE WHEN doc_id % 3 = 0 THEN '#fae333' ELSE '#FFFFFF' END] ELSE [CASE WHEN doc_id % 3 = 0 THEN '#fae333' ELSE '#FFFFFF' END, '#FFFF00'] END AS begin FROM slide_runs) s
+    LEFT JOIN palette p ON p.doc_id = s.doc_id AND p.slide_no = s.slide_no GROUP BY s.doc_id, s.slide_no) c ON c.doc_id = b.doc_id AND c.slide_no = b.slide_no"""
+
+
+@query(_RTF)
 def rtf_build(spark, sf):
     return _built(spark, sf)
 
@@ -726,8 +748,7 @@ def rtf_plain(spark, sf):
 
 @query(f"SELECT doc_id, slide_no, line_no, run_no, color_at::int AS color_at, CASE WHEN keep AND highlight THEN mark ELSE 0 END::int AS highlight_at FROM colored_runs")
 def run_style(spark, sf):
-    s = _styled(spark, sf)
-    return rtf.run_colors(s, rtf.color_palette(s)).select("doc_id", "slide_no", "line_no", "run_no", "color_at", "highlight_at")
+    return _exploded(rtf.run_colors(_styled(spark, sf)), "line_no", "run_no", "color_at", "highlight_at")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Presentation' ELSE source || '-' || lang || '-x' END || '.pro' AS file FROM documents")
@@ -796,40 +817,75 @@ def scripture_box(spark, sf):
     return fx.jobs(spark, sf).join(cues.text_box(_geometry(spark)).where("role = 'scripture'"), "style").select("doc_id", "role", "width")
 
 
-_WORK_CUES = """SELECT n.doc_id, count(*) FILTER (part_no = 0) AS n_first_parts, string_agg(n.name, '|' ORDER BY cue_no) FILTER (part_no = 0) AS names FROM numbered n GROUP BY n.doc_id"""
+_PLAIN = f"""'{{\\rtf0\\ansi\\ansicpg1252{{\\fonttbl\\f0\\fnil ' || font || ';}}{{\\colortbl;\\red255\\green255\\blue255;\\red255\\green255\\blue255;}}{{\\*\\expandedcolortbl;\\csgenericrgb\\c100000\\c100000\\c100000\\c100000;\\csgenericrgb\\c100000\\c100000\\c100000\\c0;}}{{\\*\\listtable}}{{\\*\\listoverridetable}}\\uc1\\paperw' || (width * 20)::int || '\\margl0\\margr0\\margt0\\margb0\\pard\\li0\\fi0\\ri0\\qc\\sb0\\sa' || (spacing * 20)::int || '\\sl240\\slmult1\\slleading0\\f0' || CASE WHEN bold THEN '\\b' ELSE '\\b0' END || CASE WHEN italic THEN '\\i' ELSE '\\i0' END || '\\ul0\\strike0\\fs' || (size * 2)::int || '\\expnd0\\expndtw0\\CocoaLigature1\\cf1\\strokewidth0\\strokec1\\nosupersub\\ulc0\\highlight2\\cb2 \\cf1 ' || {escaped('said')} || '}}'"""
+_WORK_JOBS = "SELECT j.doc_id, CASE WHEN j.doc_id % 11 = 7 THEN 'None' WHEN j.doc_id % 11 = 8 THEN 'Torn' WHEN j.doc_id % 11 = 9 THEN 'Plain' ELSE 'Deck' END AS style FROM jobs j WHERE j.doc_id % 11 <> 10"
+_WORK_OUTLINE = f"""SELECT doc_id, count(*) AS n_cues, string_agg(name || ':' || role || ':' || look || ':' || color, '|' ORDER BY cue_no) AS names, sha256(string_agg(coalesce(over, '') || coalesce(said, ''), '|' ORDER BY cue_no)) AS digest, NULL AS reason
+FROM (SELECT doc_id, cue_no, name, role, look, color, rtf AS said, CASE WHEN role = 'scripture' THEN over_rtf END AS over FROM (
+    SELECT *, {_PLAIN} AS rtf FROM (
+    SELECT *, {_PLAIN.replace("said", "reference").replace("(width", "(900.0").replace("spacing", "0.0").replace("|| font ||", "|| 'Georgia' ||").replace("(size * 2)", "(66.0)").replace("WHEN bold", "WHEN true").replace("WHEN italic", "WHEN false")} AS over_rtf FROM (
+    SELECT n.doc_id, n.cue_no, n.name, n.role, n.reference, n.text AS said, coalesce(l.uuid, '-') AS look, CASE WHEN n.role = 'scripture' THEN '#FFFFFF' ELSE '#FF0000' END AS color, n.role <> 'keyword' AS bold, n.role = 'keyword' AS italic, CASE WHEN n.role <> 'keyword' THEN 'Avenir-Heavy' ELSE 'Arial-BoldMT' END AS font, CASE WHEN n.role <> 'keyword' THEN 6.0 ELSE 0.0 END AS spacing, 50.0 AS size, CASE WHEN n.role = 'scripture' THEN 1440.0 ELSE 1800.0 END AS width
+    FROM numbered n JOIN ({_WORK_JOBS}) j ON j.doc_id = n.doc_id AND j.style = 'Deck' LEFT JOIN (SELECT * FROM looks WHERE uuid <> '' AND style = 'Deck') l ON l.role = n.look_role))))
+GROUP BY doc_id
+UNION ALL SELECT d.doc_id, NULL, NULL, NULL, CASE WHEN j.doc_id IS NULL THEN 'no job' WHEN j.style = 'None' THEN 'no such style' WHEN j.style = 'Torn' THEN 'missing templates: keyword, scripture' WHEN j.style = 'Plain' THEN 'style is of kind prompts' ELSE 'no labels found' END
+FROM documents d LEFT JOIN ({_WORK_JOBS}) j ON j.doc_id = d.doc_id WHERE j.doc_id IS NULL OR j.style <> 'Deck' OR d.doc_id NOT IN (SELECT doc_id FROM entries)"""
 
 
-@query(_WORK_CUES)
+@query(_WORK_OUTLINE)
 def workload_outline(spark, sf):
-    """Outlines to styled cues with rich text; verses split to the limit of their style. Names and order of the cues."""
+    """Outlines to styled cues with the rich text of their boxes, in one piece each; refused documents with the reason."""
     from .plans import pipelines
 
-    made = pipelines.outline_decks(fx.outline_lines(spark, sf), _jobs_of_deck(spark, sf), fx.styles(spark), _geometry(spark), fx.looks(spark), default_copies=True, center_scriptures=True)
-    first = made.cues.where("part_no = 0 and rtf like '{%'")
-    names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cue_no", "name"))), lambda r: r["name"]), "|")
-    return first.groupBy("doc_id").agg(F.count("*").alias("n_first_parts"), names.alias("names"))
+    d = F.col("doc_id")
+    style = F.when(d % 11 == 7, "None").when(d % 11 == 8, "Torn").when(d % 11 == 9, "Plain").otherwise("Deck")
+    jobs = fx.jobs(spark, sf).where(d % 11 != 10).select("doc_id", "name", style.alias("style"))
+    # a limit that no verse reaches: split verses are compared on their own
+    calm = fx.styles(spark).withColumn("scripture_max_lines", F.lit(1_000_000))
+    made = pipelines.outline_decks(fx.outline_lines(spark, sf), jobs, calm, _geometry(spark), fx.looks(spark), default_copies=True, center_scriptures=True, docs=fx.documents(spark, sf))
+    return _deck_rows(made)
 
 
-def _jobs_of_deck(spark, sf):
-    return fx.jobs(spark, sf).select("doc_id", F.lit("Deck").alias("style"))
+def _deck_rows(made) -> DataFrame:
+    """A row for each document: its cues by name, role, look and label colour, a digest of their rich text; or why it was refused."""
+    said = F.concat_ws(":", "name", "role", F.coalesce("look_uuid", F.lit("-")), "label_color")
+    ordered = F.sort_array(F.collect_list(F.struct("cue_no", said.alias("said"), F.array_join("rtf", "").alias("rtf"))))
+    joined = lambda c: F.array_join(F.transform("l", lambda r: r[c]), "|")
+    good = made.cues.groupBy("doc_id").agg(F.count("*").alias("n_cues"), ordered.alias("l"))
+    good = good.select("doc_id", "n_cues", joined("said").alias("names"), F.sha2(joined("rtf"), 256).alias("digest"), F.lit(None).cast("string").alias("reason"))
+    none = lambda t: F.lit(None).cast(t)
+    return good.unionByName(made.refused.select("doc_id", none("bigint").alias("n_cues"), none("string").alias("names"), none("string").alias("digest"), "reason"))
 
 
 def _prompts(spark, sf):
     from .plans import pipelines
 
-    keep_dealt(spark)
     g = fx.doc_glyphs(spark, sf, marked=True)
-    jobs = fx.jobs(spark, sf).withColumns({"style": F.when(F.col("doc_id") % 2 == 0, "Plain").otherwise("Loud"), "colors": F.when(F.col("doc_id") % 4 == 0, "style").otherwise("")})
-    return pipelines.prompt_decks(g, fx.paints(g, marked=True), fx.fills(spark, sf), fx.page_boxes(spark, sf), fx.documents(spark, sf), jobs, fx.styles(spark))
+    d = F.col("doc_id")
+    style = F.when(d % 11 == 7, "None").when(d % 11 == 9, "Deck").when(d % 3 == 0, "Plain").when(d % 3 == 1, "Loud").otherwise("Quiet")
+    jobs = fx.jobs(spark, sf).where(d % 11 != 10).select("doc_id", "name", "max_lines", "box_width", "box_size", style.alias("style"), F.when(d % 4 == 0, "style").otherwise("").alias("colors"))
+    return pipelines.prompt_decks(g, fx.paints(g, marked=True), fx.fills(spark, sf), fx.page_boxes(spark, sf), fx.documents(spark, sf), jobs, fx.styles(spark), _geometry(spark))
 
 
-@query()
+_PROMPT_JOBS = "SELECT doc_id FROM documents WHERE doc_id % 11 NOT IN (7, 9, 10)"
+
+
+@query(f"SELECT s.doc_id, s.slide_no::bigint AS slide_no, 'Slide ' || slide_no AS name, trim(regexp_replace(string_agg(line, ' ' ORDER BY page, line_no), '[\\s\\x{{85}}\\p{{Z}}]+', ' ', 'g')) AS text FROM marked_slide_lines s WHERE s.doc_id IN ({_PROMPT_JOBS}) GROUP BY s.doc_id, s.slide_no")
 def workload_marker(spark, sf):
-    """Documents with slide markers, glyphs to rich text."""
-    return _prompts(spark, sf).where("way = 'marker'").select("doc_id", "slide_no", rtf.rtf_plain("rtf").alias("text"), F.sha2("rtf", 256).alias("digest"))
+    """Documents with slide markers, glyphs to cues; the text is read back from their rich text."""
+    x = _prompts(spark, sf).cues.where("way = 'marker'")
+    return x.select("doc_id", F.col("cue_no").cast("long").alias("slide_no"), "name", rtf.rtf_plain(F.col("rtf")[0]).alias("text"))
 
 
-@query()
+_FREE = f"SELECT doc_id FROM documents WHERE doc_id IN ({_PROMPT_JOBS}) AND doc_id NOT IN (SELECT doc_id FROM marked_slide_lines)"
+
+
+@query(f"""SELECT doc_id, sha256(trim(regexp_replace(string_agg(text, ' ' ORDER BY page, line_no), '[\\s\\x{{85}}\\p{{Z}}]+', ' ', 'g'))) AS digest, NULL AS reason
+FROM (SELECT l.*, b.body FROM marked_lines_of l JOIN (SELECT doc_id, arg_max(half, (bytes, -half)) AS body FROM (SELECT doc_id, floor(size * 2 + 0.5) / 2 AS half, sum(strlen(text)) AS bytes FROM marked_lines_of GROUP BY 1, 2) GROUP BY doc_id) b USING (doc_id) WHERE doc_id IN ({_FREE})) WHERE size >= 0.8 * body GROUP BY doc_id
+UNION ALL SELECT doc_id, NULL, CASE doc_id % 11 WHEN 7 THEN 'no such style' WHEN 9 THEN 'style is of kind slides' ELSE 'no job' END FROM documents WHERE doc_id % 11 IN (7, 9, 10)
+UNION ALL SELECT doc_id, NULL, 'no text found' FROM documents WHERE doc_id IN ({_FREE}) AND doc_id NOT IN (SELECT doc_id FROM marked_lines_of)""")
 def workload_freeform(spark, sf):
-    """Documents without slide markers, glyphs to rich text that keeps the source's colours."""
-    return _prompts(spark, sf).where("way = 'freeform'").select("doc_id", "slide_no", rtf.rtf_plain("rtf").alias("text"), F.sha2("rtf", 256).alias("digest"))
+    """Documents without slide markers, glyphs to cues cut by layout to their job's box; all that their slides say, in order, or why they were refused."""
+    made = _prompts(spark, sf)
+    said = made.cues.where("way = 'freeform'").select("doc_id", "cue_no", rtf.rtf_plain(F.col("rtf")[0]).alias("text"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cue_no", "text"))), lambda r: r["text"]), " ")
+    good = said.groupBy("doc_id").agg(F.sha2(whole, 256).alias("digest"), F.lit(None).cast("string").alias("reason"))
+    return good.unionByName(made.refused.select("doc_id", F.lit(None).cast("string").alias("digest"), "reason"))

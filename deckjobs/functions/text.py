@@ -49,7 +49,7 @@ def capitalize_label(c: Column) -> Column:
 
 
 def clean_verse(c: Column) -> Column:
-    c = F.trim(F.regexp_replace(c, r"\s+", " "))
+    c = trim_spaces(F.regexp_replace(c, r"\s+", " "))
     c = F.regexp_replace(c, LEADING_VERSE_NUMBER, "")
     return trim_spaces(F.regexp_replace(c, "^[-–]+", ""))
 

@@ -12,6 +12,23 @@ from .outline import backto_asof, role_for_point
 from .styles import BACKTO
 
 LINE_HEIGHT, PADDING = 1.15, 15.0
+# fixed values: label colours of cues whose template has none
+TEXT_LABEL, OTHER_LABEL = "#FF0000", "#FFFFFF"
+#: What geometry may leave out of a text box, with what is then meant; the reference box of scriptures has the same with ``ref_`` before.
+TYPE = {"font_name": "'Arial-BoldMT'", "font_size": "90.0D", "bold": "true", "italic": "false", "line_height_multiple": "0.0D", "paragraph_spacing": "0.0D", "box_w": "1920.0D"}
+ATTRIBUTES = "array<struct<start: int, end: int, capitalization: string>>"
+
+
+def with_types(geometry: DataFrame) -> DataFrame:
+    """Geometry with every column of a type, of the reference box, of the label and of ranged attributes, absent ones by default."""
+    rest = {**TYPE, **{f"ref_{c}": d for c, d in TYPE.items()}, "label_alpha": "0.0D", "label_rgb": "cast(null as string)", "attributes": f"cast(array() as {ATTRIBUTES})"}
+    return geometry.withColumns({c: F.expr(d) for c, d in rest.items() if c not in geometry.columns})
+
+
+def type_columns(prefix: str = "") -> dict[str, Column]:
+    """A text box's columns by the names that rich text has for them."""
+    names = {"font_name": "font_name", "size": "font_size", "bold": "bold", "italic": "italic", "line_height": "line_height_multiple", "spacing": "paragraph_spacing", "box_width": "box_w"}
+    return {k: F.col(prefix + c) for k, c in names.items()}
 
 
 def text_box(geometry: DataFrame) -> DataFrame:
@@ -33,7 +50,7 @@ def verse_parts(found: DataFrame, boxes: DataFrame, most: Column) -> DataFrame:
 
 
 def cue_expand(found: DataFrame, parts: DataFrame | None = None, default_copies: bool = False, disable_copies: bool = False) -> DataFrame:
-    """Entries -> doc_id, pos, part_no, copy_no, role, look_role, name, text, source_pos, enabled.
+    """Entries -> doc_id, pos, part_no, copy_no, role, look_role, name, reference, text, source_pos, enabled.
 
     Titles and points give a cue (and a copy after it, if asked for), scriptures one for
     each part, images none, back-references a copy of the first cue of what they name.
@@ -42,17 +59,17 @@ def cue_expand(found: DataFrame, parts: DataFrame | None = None, default_copies:
     x = backto_asof(found)
     role = F.when(F.col("kind") == "title", "title").when(F.col("kind") == "scripture", "scripture").otherwise(role_for_point(F.col("label")))
     name = F.when(F.col("kind") == "title", "Title").when(F.col("kind") == "scripture", F.col("reference")).otherwise(F.col("label"))
-    own = x.where("kind in ('title', 'point', 'scripture')").select("doc_id", "pos", "kind", role.alias("role"), name.alias("name"), F.col("text").alias("t"), "verse")
+    own = x.where("kind in ('title', 'point', 'scripture')").select("doc_id", "pos", "kind", role.alias("role"), name.alias("name"), F.when(F.col("kind") == "scripture", F.col("reference")).alias("reference"), F.col("text").alias("t"), "verse")
     if parts is None:
         whole = own.withColumn("part_no", F.lit(0)).withColumn("body", F.coalesce("t", "verse"))
     else:
         whole = own.join(parts.withColumnRenamed("verse", "part_text"), ["doc_id", "pos"], "left").withColumn("part_no", F.coalesce("part_no", F.lit(0))).withColumn("body", F.coalesce("t", "part_text", "verse"))
     copies = F.when(F.lit(default_copies) & (F.col("kind") != "scripture"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     made = whole.withColumn("copy_no", F.explode(copies))
-    made = made.select("doc_id", "pos", "part_no", "copy_no", "role", F.when(F.col("copy_no") == 1, BACKTO).otherwise(F.col("role")).alias("look_role"), "name", F.col("body").alias("text"), F.lit(None).cast("int").alias("source_pos"), ((F.col("copy_no") == 0) | F.lit(not disable_copies)).alias("enabled"))
+    made = made.select("doc_id", "pos", "part_no", "copy_no", "role", F.when(F.col("copy_no") == 1, BACKTO).otherwise(F.col("role")).alias("look_role"), "name", "reference", F.col("body").alias("text"), F.lit(None).cast("int").alias("source_pos"), ((F.col("copy_no") == 0) | F.lit(not disable_copies)).alias("enabled"))
     back = x.where("kind = 'backto' and source_pos is not null").select("doc_id", "pos", "source_pos", "trigger", "ref")
-    first = whole.where("part_no = 0").select("doc_id", F.col("pos").alias("source_pos"), "role", "name", "body")
-    again = back.join(first, ["doc_id", "source_pos"]).select("doc_id", "pos", F.lit(0).alias("part_no"), F.lit(0).alias("copy_no"), "role", F.lit(BACKTO).alias("look_role"), F.when(F.col("trigger") != "", F.col("trigger")).otherwise(F.concat(F.lit("Back to "), F.col("ref"))).alias("name"), F.col("body").alias("text"), "source_pos", F.lit(True).alias("enabled"))
+    first = whole.where("part_no = 0").select("doc_id", F.col("pos").alias("source_pos"), "role", "reference", "body")
+    again = back.join(first, ["doc_id", "source_pos"]).select("doc_id", "pos", F.lit(0).alias("part_no"), F.lit(0).alias("copy_no"), "role", F.lit(BACKTO).alias("look_role"), F.when(F.col("trigger") != "", F.col("trigger")).otherwise(F.concat(F.lit("Back to "), F.col("ref"))).alias("name"), "reference", F.col("body").alias("text"), "source_pos", F.lit(True).alias("enabled"))
     return made.unionByName(again)
 
 
@@ -93,9 +110,13 @@ def center_vertically(cues: DataFrame) -> DataFrame:
     return x.withColumns({"verse_y": F.col("new_y") + F.col("dy"), "verse_h": F.col("new_h"), "ref_y": F.col("ref_y0") + F.col("dy")}).drop("new_h", "new_y", "dy")
 
 
+#: Columns of a cue in a presentation, those that there are.
+CUE = ("cue_no", "cue_id", "pos", "part_no", "copy_no", "role", "look_role", "name", "label", "label_color", "text", "texts", "rtf", "attributes", "look_uuid", "look_name", "n_actions", "enabled", "verse_y", "verse_h", "ref_y")
+
+
 def presentations(cues: DataFrame, names: DataFrame) -> DataFrame:
     """One row per document: name and its cues in order (ids, and the cues themselves)."""
-    item = F.struct("cue_no", "cue_id", "role", "look_role", "name", "text", "enabled")
+    item = F.struct(*(c for c in CUE if c in cues.columns))
     g = cues.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("cues"))
     return g.join(names, "doc_id", "left").select("doc_id", "name", F.transform("cues", lambda c: c["cue_id"]).alias("cue_ids"), "cues")
 

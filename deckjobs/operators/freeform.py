@@ -19,6 +19,8 @@ from ..sources.shared import dealt
 SMALL_PRINT, HEADING, BLOCK_GAP, WIDE = 0.8, 1.2, 1.5, 0.75
 MAX_LINES = 7
 BOX_WIDTH, BOX_SIZE = 1920.0, 135.0
+#: Columns that lines may have, the same for all of a document: its box and its limit.
+JOB = ("box_width", "box_size", "all_caps", "max_lines")
 FORMATS = {"bold": "boolean", "italic": "boolean", "color": "string", "highlight": "boolean"}
 
 
@@ -100,13 +102,15 @@ def gathered(blocks: DataFrame) -> DataFrame:
     """
     x = blocks.withColumn("_column", F.max(F.col("x1") - F.col("x0")).over(_whole()))
     item = F.struct("page", "line_no", runs_of(blocks).alias("runs"), (F.col("x1") - F.col("x0") >= WIDE * F.col("_column")).alias("wide"), F.col("text").rlike(r"\p{Ll}").alias("lower"), "heading")
-    g = x.groupBy("doc_id", "block").agg(F.sort_array(F.collect_list(item)).alias("l"))
+    job = [c for c in JOB if c in blocks.columns]
+    g = x.groupBy("doc_id", "block").agg(F.sort_array(F.collect_list(item)).alias("l"), *(F.first(c).alias(c) for c in job))
     of = lambda name: F.transform("l", lambda x: x[name])
     size = F.size("l")
     ends = F.aggregate(of("runs"), F.expr("cast(array() as array<int>)"), lambda acc, r: F.array_append(acc, F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + F.size(r)))
     y = g.select(
         "doc_id",
         "block",
+        *job,
         F.flatten(of("runs")).alias("runs"),
         F.when(size > 0, ends).alias("ends"),
         size.cast("long").alias("n"),
@@ -119,7 +123,7 @@ def gathered(blocks: DataFrame) -> DataFrame:
 
 def block_stats(blocks: DataFrame) -> DataFrame:
     """doc_id, block, n, has_lower, wide, heading_only, flowing."""
-    return gathered(blocks).drop("runs", "ends")
+    return gathered(blocks).drop("runs", "ends", *JOB)
 
 
 def measure_lines(lines: DataFrame, width: float = BOX_WIDTH, size: float = BOX_SIZE) -> DataFrame:
@@ -140,33 +144,35 @@ CUT = "struct<slides: array<array<struct<first: int, end: int>>>, need: int>"
 
 
 def split_blocks(blocks: DataFrame, width: float = BOX_WIDTH, size: float = BOX_SIZE, most: int = MAX_LINES) -> DataFrame:
-    """doc_id, block, flowing, heading_only, need, slides (array of slides of lines of runs): blocks cut to at most ``most`` lines.
+    """doc_id, block, flowing, heading_only, need, max_lines, slides (array of slides of lines of runs): blocks cut to at most ``most`` lines.
 
     A block is one row, so the cutting needs no grouping. Only texts go to Python, and ranges
     of runs come back; formats stay where they are. Blocks that are headings stay whole.
-    ``need`` is the number of lines that the first slide takes.
+    ``need`` is the number of lines that the first slide takes. Box and limit are those of
+    the document where ``blocks`` has them (``JOB``), else the ones given.
     """
-    box = metrics.Box(width, size)
     span = pa.list_(pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))
 
     @F.arrow_udf(CUT)
-    def cut(texts: pa.Array, spaced: pa.Array, ends: pa.Array, flowing: pa.Array, whole: pa.Array) -> pa.Array:
+    def cut(texts: pa.Array, spaced: pa.Array, ends: pa.Array, flowing: pa.Array, whole: pa.Array, width: pa.Array, size: pa.Array, caps: pa.Array, most: pa.Array) -> pa.Array:
         slides, need = [], []
-        for t, s, e, f, h in zip(*(x.to_pylist() for x in (texts, spaced, ends, flowing, whole)), strict=True):
-            words = metrics.Words(t, s, e, box)
-            made = [words.lines] if h else metrics.split_block(words, f, most)
+        for t, s, e, f, h, w, z, c, m in zip(*(x.to_pylist() for x in (texts, spaced, ends, flowing, whole, width, size, caps, most)), strict=True):
+            words = metrics.Words(t, s, e, metrics.Box.of(w, z, c))
+            made = [words.lines] if h else metrics.split_block(words, f, m)
             slides.append([[dict(zip(("first", "end"), words.runs(*line), strict=True)) for line in slide] for slide in made])
             need.append(sum(words.count(*line) for line in made[0]))
         return pa.StructArray.from_arrays([pa.array(slides, span), pa.array(need, pa.int32())], ["slides", "need"])
 
+    given = dict(zip(JOB, (F.lit(width), F.lit(size), F.lit(False), F.lit(most)), strict=True))
+    box = [F.coalesce(F.col(c), given[c]) if c in blocks.columns else given[c] for c in JOB]
     of = lambda name: F.transform("runs", lambda r: r[name])
-    x = gathered(blocks).withColumn("_cut", cut(of("text"), of("space_before"), "ends", "flowing", F.col("heading_only") & ~F.col("flowing")))
+    x = gathered(blocks).withColumn("_cut", cut(of("text"), of("space_before"), "ends", "flowing", F.col("heading_only") & ~F.col("flowing"), *box)).withColumn("_most", box[3])
     line = lambda at: F.transform(F.slice("runs", at["first"] + 1, at["end"] - at["first"]), lambda r, i: r.withField("space_before", (i > 0) & r["space_before"]))
     slides = F.transform(F.col("_cut.slides"), lambda slide: F.transform(slide, line))
-    return x.select("doc_id", "block", "flowing", "heading_only", F.col("_cut.need").alias("need"), slides.alias("slides"))
+    return x.select("doc_id", "block", "flowing", "heading_only", F.col("_cut.need").alias("need"), F.col("_most").alias("max_lines"), slides.alias("slides"))
 
 
-def heading_attach(cut: DataFrame, most: int = MAX_LINES) -> DataFrame:
+def heading_attach(cut: DataFrame) -> DataFrame:
     """doc_id, slide_no, lines: blocks' slides in order, a lone heading set above the next block's first slide if it fits.
 
     A heading waits only for the next block: followed by another heading, or by nothing, it
@@ -175,7 +181,7 @@ def heading_attach(cut: DataFrame, most: int = MAX_LINES) -> DataFrame:
     w = W.partitionBy("doc_id").orderBy("block")
     x = cut.withColumn("lone", F.col("heading_only") & ~F.col("flowing"))
     before = F.lag(F.struct("lone", "need", F.element_at("slides", 1).alias("lines"))).over(w)
-    x = x.withColumn("_b", before).withColumn("takes", F.coalesce(F.col("_b.lone") & ~F.col("lone") & (F.col("_b.need") + F.col("need") <= most), F.lit(False)))
+    x = x.withColumn("_b", before).withColumn("takes", F.coalesce(F.col("_b.lone") & ~F.col("lone") & (F.col("_b.need") + F.col("need") <= F.col("max_lines")), F.lit(False)))
     x = x.withColumn("given", F.coalesce(F.lead("takes").over(w), F.lit(False)) & F.col("lone"))
     first = F.when(F.col("takes"), F.concat(F.col("_b.lines"), F.element_at("slides", 1))).otherwise(F.element_at("slides", 1))
     all_slides = F.concat(F.array(first), F.slice("slides", 2, F.greatest(F.size("slides") - 1, F.lit(0))))
@@ -184,7 +190,7 @@ def heading_attach(cut: DataFrame, most: int = MAX_LINES) -> DataFrame:
 
 
 def freeform_slides(lines: DataFrame, width: float = BOX_WIDTH, size: float = BOX_SIZE, most: int = MAX_LINES) -> DataFrame:
-    return heading_attach(split_blocks(layout_blocks(drop_small_print(lines)), width, size, most), most)
+    return heading_attach(split_blocks(layout_blocks(drop_small_print(lines)), width, size, most))
 
 
 def slide_runs(slides: DataFrame) -> DataFrame:

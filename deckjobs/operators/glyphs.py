@@ -1,21 +1,26 @@
 """Positioned glyphs -> rows of a page -> runs of one format -> lines.
 
-Input rows are (doc_id, page, seq, s, font, size, x, y, w). All windows, aggregates and joins
-are by page or by what lies within one, so glyphs dealt out by (doc_id, page) are not dealt
-out again; the rows of a page come as one small map for each page. Only the fold over a page's distinct heights is
-sequential, and it runs over tens of values.
-
-A glyph is blank if it is white space of any kind, a no-break space or tab included.
+Input rows are (doc_id, page, seq, s, font, size, x, y, w). Each step is there on its own, as
+windows, aggregates and joins by page or by what lies within one. ``page_lines`` takes glyphs,
+paints and backgrounds to lines in one pass instead: both sides are dealt out and sorted by
+page once, and a page is worked through as arrays (``page_pass``), colours found by place
+included. ``lines_of`` does the same for glyphs that have their formats.
+
+A glyph is blank if it is white space of any kind, a no-break space or tab included; one
+without a height is on no row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACES, brightness, expand_ligatures, hex_color, is_blank, rgb
-from ..sources.shared import dealt, keep_dealt
 
 Y_TOLERANCE = 3.0
 GAP = 3.0
@@ -45,17 +50,11 @@ def quantised(c: Column) -> Column:
     return (F.signum(c) * F.floor(F.abs(c) * 100 + 0.5)).cast("long")
 
 
-def by_page(spark: SparkSession, *inputs: DataFrame) -> list[DataFrame]:
-    """Inputs dealt out by page; the session is told to keep to that in joins on further keys."""
-    keep_dealt(spark)
-    return [dealt(x, *PAGE) for x in inputs]
-
-
 def glyph_color_join(glyphs: DataFrame, paints: DataFrame) -> DataFrame:
     """Glyphs with ``ink``, the colour painted last at their place, or null.
 
     One row for each place before the join, which is hinted to merge: there are as many
-    places as glyphs. With both sides dealt by page neither is dealt again (``by_page``).
+    places as glyphs.
     """
     place = {"_kx": quantised(F.col("x")), "_ky": quantised(F.col("y"))}
     color = rgb(F.col("comps"))
@@ -185,10 +184,200 @@ def line_text(runs: DataFrame) -> DataFrame:
     return g.select(*ROW, text.alias("text"), F.transform("l", lambda r: r.dropFields("run_no")).alias("runs"), "x0", "x1", "y", "size")
 
 
-def lines_of(glyphs: DataFrame, drop_superscripts: bool = True, heights: DataFrame | None = None) -> DataFrame:
-    """Glyphs with formats -> line_text's lines, in reading order of page and line_no."""
-    ordered = row_order(baseline_rows(glyphs, heights=heights))
-    return line_text(run_merge(glyph_runs(drop_superscript_digits(ordered) if drop_superscripts else ordered)))
+# ---- one pass over a page ----
+
+
+class Page(NamedTuple):
+    """Columns of a page's glyphs, in any order; ``formats`` are whole numbers that stand for formats."""
+
+    seq: np.ndarray
+    s: pa.Array
+    size: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+    w: np.ndarray
+    blank: np.ndarray
+    digits: np.ndarray
+    formats: list[np.ndarray]
+
+
+class Lines(NamedTuple):
+    """Lines of a page, and its runs: ``first_run`` of each line (and the number of runs); ``formats`` at the start of each run."""
+
+    line_no: np.ndarray
+    x0: np.ndarray
+    x1: np.ndarray
+    y: np.ndarray
+    size: np.ndarray
+    first_run: np.ndarray
+    run_text: pa.Array
+    space_before: np.ndarray
+    formats: list[np.ndarray]
+
+
+def row_numbers(y: np.ndarray, tolerance: float) -> np.ndarray:
+    """Row (from 0, top to bottom) of each height: one is in the current row if within the tolerance of the row's first."""
+    heights, at = np.unique(-y, return_inverse=True)
+    row = np.zeros(len(heights), np.int64)
+    i, n = 0, 0
+    while i < len(heights):
+        below = np.flatnonzero(heights[i:] - heights[i] > tolerance)
+        j = i + int(below[0]) if len(below) else len(heights)
+        row[i:j] = n
+        i, n = j, n + 1
+    return row[at]
+
+
+def joined_texts(s: pa.Array, start: np.ndarray) -> pa.Array:
+    """Neighbouring strings joined, from each start to the next: the same bytes under fewer offsets."""
+    s = pa.concat_arrays([s])
+    edges = np.frombuffer(s.buffers()[1], np.int32, len(s) + 1)
+    offsets = np.ascontiguousarray(edges[np.append(start, len(s))])
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), s.buffers()[2] or pa.py_buffer(b""))
+
+
+def page_pass(g: Page, drop_superscripts: bool, tolerance: float = Y_TOLERANCE, gap: float = GAP, ratio: float = SUPERSCRIPT) -> Lines:
+    """What ``baseline_rows``, ``row_order``, ``drop_superscript_digits``, ``glyph_runs``, ``run_merge`` and ``line_text`` make of a page, by whole-array steps."""
+    row = row_numbers(g.y, tolerance)
+    n_rows = int(row.max(initial=-1)) + 1
+    wide = np.bincount(row[~g.blank & (g.w > 0)], minlength=n_rows) > 0
+    order = np.lexsort((g.seq, np.where(wide[row], g.x, 0.0), row))
+    if drop_superscripts:
+        largest = np.full(n_rows, -np.inf)
+        np.fmax.at(largest, row[~g.blank], g.size[~g.blank])
+        order = order[~(g.digits & (g.size < ratio * largest[row]))[order]]
+    row, x, y, end, blank = row[order], g.x[order], g.y[order], (g.x + g.w)[order], g.blank[order]
+    first = np.diff(row, prepend=-1) != 0
+    pending = np.zeros(len(order), bool)
+    pending[1:] = ~first[1:] & (blank[:-1] | (wide[row[1:]] & (x[1:] - end[:-1] > gap)))
+    top = np.zeros(n_rows)
+    top[row[first]] = y[first]
+    seen = np.flatnonzero(~blank)
+    order, row, pending = order[seen], row[seen], pending[seen]
+    starts_line = np.diff(row, prepend=-1) != 0
+    formats = [f[order] for f in g.formats]
+    new = starts_line | pending
+    for f in formats:
+        new[1:] |= f[1:] != f[:-1]
+    run = np.flatnonzero(new)
+    line = np.flatnonzero(starts_line)
+    edge = lambda how, values: how.reduceat(values, line) if len(line) else values[:0]
+    return Lines(
+        row[line] + 1,
+        edge(np.fmin, x[seen]),
+        edge(np.fmax, end[seen]),
+        top[row[line]],
+        edge(np.fmax, g.size[order]),
+        np.append(np.searchsorted(run, line), len(run)),
+        joined_texts(g.s.take(pa.array(order)), run),
+        (pending & ~starts_line)[run],
+        [f[run] for f in formats],
+    )
+
+
+LINES = "doc_id long, page int, line_no int, text string, runs array<struct<text: string, bold: boolean, italic: boolean, color: string, highlight: boolean, space_before: boolean>>, x0 double, x1 double, y double, size double"
+
+
+def _page_of(t: pa.Table, formats: list[np.ndarray]) -> Page:
+    c = {name: t.column(name).combine_chunks() for name in ("seq", "s", "size", "x", "y", "w", "_blank", "_digits")}
+    number = {k: c[k].to_numpy(zero_copy_only=False).astype(np.float64) for k in ("size", "x", "y", "w")}
+    flag = {k: c[k].to_numpy(zero_copy_only=False).astype(bool) for k in ("_blank", "_digits")}
+    return Page(c["seq"].to_numpy(zero_copy_only=False), c["s"], *(number[k] for k in ("size", "x", "y", "w")), flag["_blank"], flag["_digits"], formats)
+
+
+def _table_of(doc_id: pa.Scalar, page: pa.Scalar, found: Lines, colors: pa.Array) -> pa.Table:
+    bold, italic, _, highlight = (pa.array(f.astype(bool)) for f in found.formats)
+    spaced = found.space_before.tolist()
+    said = found.run_text.to_pylist()
+    edges = found.first_run.tolist()
+    text = ["".join(f" {t}" if p else t for t, p in zip(said[a:b], spaced[a:b], strict=True)) for a, b in zip(edges, edges[1:], strict=False)]
+    runs = pa.StructArray.from_arrays([found.run_text, bold, italic, colors, highlight, pa.array(found.space_before)], ["text", "bold", "italic", "color", "highlight", "space_before"])
+    n = len(text)
+    columns = [pa.repeat(doc_id, n), pa.repeat(page, n), pa.array(found.line_no, pa.int32()), pa.array(text, pa.string()), pa.ListArray.from_arrays(pa.array(found.first_run, pa.int32()), runs), *(pa.array(v, pa.float64(), from_pandas=True) for v in (found.x0, found.x1, found.y, found.size))]
+    return pa.table(columns, ["doc_id", "page", "line_no", "text", "runs", "x0", "x1", "y", "size"])
+
+
+def _marked(glyphs: DataFrame) -> DataFrame:
+    """Glyphs that have a height, with the tests that the pass needs of their text."""
+    digits = F.translate("s", SPACES, "").rlike(r"(?d)^[0-9]+\z")
+    return glyphs.where("y is not null").withColumns({"_blank": is_blank(F.col("s")), "_digits": digits})
+
+
+_OWN = ("doc_id", "page", "seq", "s", "size", "x", "y", "w", "_blank", "_digits", "bold", "italic")
+
+
+def lines_of(glyphs: DataFrame, drop_superscripts: bool = True) -> DataFrame:
+    """Glyphs with formats -> line_text's lines, in reading order of page and line_no: one pass by page."""
+
+    def run(t: pa.Table) -> pa.Table:
+        color = t.column("color").combine_chunks().dictionary_encode()
+        flags = {k: t.column(k).combine_chunks().to_numpy(zero_copy_only=False).astype(bool) for k in ("bold", "italic", "highlight")}
+        found = page_pass(_page_of(t, [flags["bold"], flags["italic"], color.indices.to_numpy(zero_copy_only=False), flags["highlight"]]), drop_superscripts)
+        return _table_of(t.column("doc_id")[0], t.column("page")[0], found, color.dictionary.take(pa.array(found.formats[2])))
+
+    return _marked(glyphs).select(*_OWN, "color", "highlight").groupBy(*PAGE).applyInArrow(run, LINES)
+
+
+def _last_colors(gx: np.ndarray, gy: np.ndarray, paints: pa.Table) -> np.ndarray:
+    """Red, green and blue of the paint of greatest seq at each glyph's place; NaN where nothing was painted."""
+    px, py, seq = (paints.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("_kx", "_ky", "seq"))
+    out = np.full((len(gx), 3), np.nan)
+    if not len(px):
+        return out
+    if max(np.abs(v).max(initial=0) for v in (gx, gy, px, py)) < 1 << 31:
+        key = lambda a, b: a.astype(np.int64) * (1 << 32) + b.astype(np.int64)
+        glyph, paint = key(gx, gy), key(px, py)
+    else:
+        x, ix = np.unique(np.concatenate([gx, px]), return_inverse=True)
+        y, iy = np.unique(np.concatenate([gy, py]), return_inverse=True)
+        glyph, paint = np.split(ix * len(y) + iy, [len(gx)])
+    order = np.lexsort((seq, paint))
+    last = order[np.append(np.diff(paint[order]) != 0, True)]
+    at = np.minimum(np.searchsorted(paint[last], glyph), len(last) - 1)
+    hit = paint[last][at] == glyph
+    rgb_of = np.stack([paints.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("r", "g", "b")], 1)
+    out[hit] = rgb_of[last[at[hit]]]
+    return out
+
+
+def page_lines(glyphs: DataFrame, paints: DataFrame, backgrounds: DataFrame, drop_superscripts: bool = True) -> DataFrame:
+    """Glyphs with bold and italic (``font_flags``), paints and backgrounds of pages -> line_text's lines.
+
+    The same as ``glyph_color_join``, ``page_background_join``, ``ink_class`` and the row
+    operators one after the other. Glyphs are dealt out and sorted by page once, and so are
+    paints together with the backgrounds; all else happens within a page.
+    """
+    color = rgb(F.col("comps"))
+    nothing = lambda t: F.lit(None).cast(t)
+    place = {"_kx": quantised(F.col("x")), "_ky": quantised(F.col("y"))}
+    left = _marked(glyphs).withColumns(place).select(*_OWN, *place)
+    key = [F.col(c).alias(f"_{c}") for c in PAGE]  # names of their own, for paints often come of the glyphs
+    painted = paints.select(*key, *(c.alias(k) for k, c in place.items()), F.col("seq").cast("long").alias("seq"), color.alias("c")).where("c is not null").select("_doc_id", "_page", *place, "seq", "c.*", nothing("boolean").alias("dark"))
+    grounds = backgrounds.select(*key, *(nothing("long").alias(k) for k in (*place, "seq")), *(nothing("double").alias(k) for k in "rgb"), (brightness(F.col("background")) < DARK_PAGE).alias("dark"))
+
+    def run(t: pa.Table, other: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return _EMPTY
+        dark = any(other.column("dark").drop_null().to_pylist())
+        ink = _last_colors(*(t.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in ("_kx", "_ky")), other.filter(other.column("dark").is_null()))
+        bright = ink.max(1)
+        none = np.isnan(bright)
+        known = ~none & (bright >= DARK_INK)
+        code = np.full(len(bright), -1, np.int64)
+        byte = np.floor(np.clip(ink[known], 0.0, 1.0) * 255 + 0.5).astype(np.int64)
+        code[known] = byte[:, 0] << 16 | byte[:, 1] << 8 | byte[:, 2]
+        on_dark = ~none & ~known & dark
+        code[on_dark] = 0
+        flags = [t.column(k).combine_chunks().to_numpy(zero_copy_only=False).astype(bool) for k in ("bold", "italic")]
+        found = page_pass(_page_of(t, [*flags, code, on_dark]), drop_superscripts)
+        colors = pa.array(["" if v < 0 else f"#{v:06X}" for v in found.formats[2].tolist()], pa.string())
+        return _table_of(t.column("doc_id")[0], t.column("page")[0], found, colors)
+
+    return left.groupBy(*PAGE).cogroup(painted.unionByName(grounds).groupBy("_doc_id", "_page")).applyInArrow(run, LINES)
+
+
+_RUN = pa.struct([("text", pa.string()), ("bold", pa.bool_()), ("italic", pa.bool_()), ("color", pa.string()), ("highlight", pa.bool_()), ("space_before", pa.bool_())])
+_EMPTY = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("line_no", pa.int32()), ("text", pa.string()), ("runs", pa.list_(_RUN)), *((c, pa.float64()) for c in ("x0", "x1", "y", "size"))]).empty_table()
 
 
 def reading_order(glyphs: DataFrame) -> DataFrame:

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.text import capitalize_label, clean_verse, trim_spaces, truncate_text, unquote
 
+
+
 def _doc():
     return W.partitionBy("doc_id").orderBy("line_no")
 
 
-
 def trim_blank_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("line", trim_spaces(F.col("line"))).where("line <> ''")
 
@@ -150,6 +151,18 @@ def review_rows(found: DataFrame) -> DataFrame:
     return found.select("doc_id", idx.alias("idx"), shown.alias("kind"), text.alias("text"), (k == "image").alias("image"))
 
 
+def prompt_review_rows(slides: DataFrame) -> DataFrame:
+    """slides(doc_id, slide_no, text) -> doc_id, idx (from 0), kind ('Slide N'), text (its first 160 characters), image."""
+    kind = F.concat(F.lit("Slide "), F.col("slide_no").cast("string"))
+    return slides.select("doc_id", (F.col("slide_no") - 1).cast("int").alias("idx"), kind.alias("kind"), truncate_text(F.col("text"), 160).alias("text"), F.lit(False).alias("image"))
+
+
+def remove_slides(slides: DataFrame, removals: DataFrame) -> DataFrame:
+    """Slides (or runs of slides) without those whose (doc_id, idx) is asked to go, numbered anew; idx counts from 0."""
+    left = slides.join(removals.select("doc_id", (F.col("idx") + 1).alias("slide_no")).distinct(), ["doc_id", "slide_no"], "left_anti")
+    return left.withColumn("slide_no", F.dense_rank().over(W.partitionBy("doc_id").orderBy("slide_no")))
+
+
 def remove_rows(rows: DataFrame, removals: DataFrame) -> DataFrame:
     """Rows whose (doc_id, idx) is not asked to go, numbered anew; indexes that do not exist are ignored."""
     left = rows.join(removals.select("doc_id", "idx").distinct(), ["doc_id", "idx"], "left_anti")
@@ -162,16 +175,26 @@ def corpus_profile(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count("*").alias("n_entries"), *(count(k) for k in ("title", "point", "scripture", "image", "backto")))
 
 
-def doc_warnings(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """Per document: unrecognised lines and unresolved back-references, each joined by ``; `` (null if none), and skipped images."""
+def freeform_note(max_lines: Column) -> Column:
+    """What a document is told whose slides were found by layout."""
+    return F.format_string("no slide markers: split by layout, to about %d lines a slide", max_lines)
+
+
+def doc_warnings(lines: DataFrame, found: DataFrame, freeform: DataFrame | None = None) -> DataFrame:
+    """Per document: unrecognised lines and unresolved back-references, each joined by ``; `` (null if none), and skipped images.
+
+    ``freeform`` (doc_id, max_lines) are documents cut by layout; with it there is a column ``note``.
+    """
     def joined(df: DataFrame, c: str, name: str) -> DataFrame:
         ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", c))), lambda r: r[c])
         return df.groupBy("doc_id").agg(F.array_join(ordered, "; ").alias(name))
 
     images = found.where("kind = 'image'")
-    parts = [joined(unrecognized(lines), "line", "unrecognized"), joined(backto_unresolved(found), "warning", "unresolved"), joined(images, "text", "skipped_images")]
-    out = parts[0]
-    for p in parts[1:]:
+    out = joined(unrecognized(lines), "line", "unrecognized")
+    more = [joined(backto_unresolved(found), "warning", "unresolved"), joined(images, "text", "skipped_images")]
+    if freeform is not None:
+        more.append(freeform.select("doc_id", freeform_note(F.col("max_lines")).alias("note")))
+    for p in more:
         out = out.join(p, "doc_id", "full")
     return out
 

@@ -93,6 +93,22 @@ def style_job_join(jobs: DataFrame, styles: DataFrame) -> DataFrame:
     return x.select("doc_id", "mode", "style", reason.alias("reason"))
 
 
+def checked_jobs(docs: DataFrame, jobs: DataFrame, styles: DataFrame, mode: str) -> DataFrame:
+    """Every document with its job, defaults filled in, and the ``reason`` why it cannot run, null if it can.
+
+    jobs(doc_id, style, and optionally mode, name, colors, max_lines, box_width, box_size);
+    a job without a mode has the one asked for. A document without a job is refused.
+    """
+    known = {"mode": "string", "name": "string", "colors": "string", "max_lines": "int", "box_width": "double", "box_size": "double"}
+    full = jobs.withColumns({c: F.lit(None).cast(t) for c, t in known.items() if c not in jobs.columns})
+    full = full.withColumn("mode", F.coalesce("mode", F.lit(mode))).select("doc_id", "style", *known)
+    x = docs.select("doc_id").distinct().join(full.withColumn("_job", F.lit(True)), "doc_id", "left")
+    reasons = style_job_join(x.select("doc_id", "mode", "style"), styles)
+    reason = F.when(F.col("_job").isNull(), "no job").when(F.col("mode") != mode, F.concat(F.lit("job is for "), F.col("mode"))).otherwise(F.col("_why"))
+    y = x.join(reasons.select("doc_id", F.col("reason").alias("_why")), "doc_id", "left")
+    return y.withColumn("reason", reason).drop("_job", "_why")
+
+
 def role_template_join(cues: DataFrame, geometry: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cues with their role's geometry, cues whose role the style lacks)."""
     known = geometry.select("style", "role").distinct()

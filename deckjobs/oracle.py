@@ -80,6 +80,13 @@ def reference(c: str) -> str:
     return f"trim({group(c, P.SCRIPTURE, 1)}) || ' ' || regexp_replace({group(c, P.SCRIPTURE, 2)}, '\\s+', '', 'g') || CASE WHEN {version} <> '' THEN ' ' || upper({version}) ELSE '' END"
 
 
+def escaped(c: str) -> str:
+    """Backslash and braces escaped, characters outside ASCII (of one UTF-16 unit) as signed numbers."""
+    signed = "CASE WHEN unicode(c) >= 32768 THEN unicode(c) - 65536 ELSE unicode(c) END"
+    marks = f"replace(replace(replace({c}, '\\', '\\\\'), '{{', '\\{{'), '}}', '\\}}')"
+    return f"array_to_string(list_transform(string_split({marks}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN c ELSE '\\u' || ({signed}) || ' ?' END), '')"
+
+
 def cut(c: str, n: int) -> str:
     return f"CASE WHEN length({c}) > {n} THEN substr({c}, 1, {n}) || '…' ELSE {c} END"
 
@@ -121,10 +128,10 @@ TABLES = {
     "keyed": "SELECT *, CASE WHEN kind = 'title' THEN 'title' WHEN kind = 'point' THEN lower(label) WHEN kind = 'scripture' THEN lower(reference) WHEN kind = 'backto' THEN lower(ref) END AS key FROM entries",
     "asof_entries": "SELECT b.*, (SELECT max(e.pos) FROM keyed e WHERE e.doc_id = b.doc_id AND e.key = b.key AND e.pos < b.pos AND e.kind NOT IN ('backto', 'image') AND b.kind = 'backto') AS source_pos FROM keyed b",
     "expanded": """SELECT doc_id, pos, 0 AS part_no, c AS copy_no, CASE WHEN kind = 'title' THEN 'title' WHEN kind = 'scripture' THEN 'scripture' WHEN lower(label) LIKE 'point%' OR lower(label) LIKE 'subpoint%' THEN 'point' ELSE 'keyword' END AS role,
-        CASE WHEN kind = 'title' THEN 'Title' WHEN kind = 'scripture' THEN reference ELSE label END AS name, coalesce(text, verse) AS text, NULL AS source_pos, c = 0 AS enabled
+        CASE WHEN kind = 'title' THEN 'Title' WHEN kind = 'scripture' THEN reference ELSE label END AS name, CASE WHEN kind = 'scripture' THEN reference END AS reference, coalesce(text, verse) AS text, NULL AS source_pos, c = 0 AS enabled
         FROM entries, (VALUES (0), (1)) v(c) WHERE kind IN ('title', 'point', 'scripture') AND (c = 0 OR kind <> 'scripture')""",
-    "cues": """SELECT doc_id, pos, part_no, copy_no, role, CASE WHEN copy_no = 1 THEN 'backto' ELSE role END AS look_role, name, text, source_pos, enabled FROM expanded
-        UNION ALL SELECT b.doc_id, b.pos, 0, 0, e.role, 'backto', CASE WHEN b.trigger <> '' THEN b.trigger ELSE 'Back to ' || b.ref END, e.text, b.source_pos, true FROM asof_entries b JOIN expanded e ON e.doc_id = b.doc_id AND e.pos = b.source_pos AND e.copy_no = 0""",
+    "cues": """SELECT doc_id, pos, part_no, copy_no, role, CASE WHEN copy_no = 1 THEN 'backto' ELSE role END AS look_role, name, reference, text, source_pos, enabled FROM expanded
+        UNION ALL SELECT b.doc_id, b.pos, 0, 0, e.role, 'backto', CASE WHEN b.trigger <> '' THEN b.trigger ELSE 'Back to ' || b.ref END, e.reference, e.text, b.source_pos, true FROM asof_entries b JOIN expanded e ON e.doc_id = b.doc_id AND e.pos = b.source_pos AND e.copy_no = 0""",
     "numbered": "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, part_no, copy_no) AS cue_no FROM cues",
     "geo_lines": f"SELECT doc_id, (1 + line_no // 20)::int AS page, line_no, line AS text, CASE WHEN line_no % 10 = 0 THEN 28 WHEN line_no % 17 = 16 THEN 12 ELSE 20 END AS isize, 800 - 27 * (line_no % 20) - 27 * ((line_no % 20) // 4) AS iy, {units('line')} AS units FROM doc_lines",
     "kept_lines": "SELECT g.*, body FROM geo_lines g JOIN bodies USING (doc_id) WHERE isize >= 0.8 * body",
@@ -165,8 +172,8 @@ TABLES = {
         SELECT doc_id, slide_no, line_no, run_no, unnest(range(len(u))) AS k, unnest(u) AS h, CASE WHEN doc_id % 3 = 0 THEN '#FAE333' ELSE '#FFFFFF' END AS regular FROM (
         SELECT *, CASE WHEN highlight THEN ['#000000', '#FFFFFF'] WHEN color <> '' THEN [color] ELSE []::varchar[] END AS u FROM slide_runs WHERE doc_id % 2 = 0)) WHERE upper(h) <> regular GROUP BY doc_id, slide_no, upper(h))""",
     "palette_size": "SELECT doc_id, slide_no, count(*) AS n FROM palette GROUP BY doc_id, slide_no",
-    "styled_runs": "SELECT r.*, CASE WHEN r.doc_id % 2 = 0 THEN CASE WHEN highlight THEN '#000000' ELSE upper(color) END WHEN bold THEN '*' ELSE '' END AS want, r.doc_id % 2 = 0 AS keep, r.doc_id % 4 = 1 AS si, CASE WHEN r.doc_id % 3 = 0 THEN '#FAE333' ELSE '#FFFFFF' END AS regular FROM slide_runs r",
-    "colored_runs": """SELECT s.*, CASE WHEN want = '' OR want = regular THEN 0 WHEN want = '*' THEN 1 ELSE p.at END AS color_at, CASE WHEN keep AND highlight THEN 1 + CASE WHEN regular = '#FFFFFF' THEN 0 ELSE w.at END ELSE CASE WHEN keep THEN 2 ELSE 3 END + coalesce(m.n, 0) END AS mark, CASE WHEN keep THEN 2 ELSE 3 END + coalesce(m.n, 0) AS clear, si OR (keep AND italic) AS slant
+    "styled_runs": "SELECT r.*, CASE WHEN r.doc_id % 2 = 0 THEN CASE WHEN highlight THEN '#000000' ELSE upper(color) END WHEN bold AND r.doc_id % 5 <> 0 THEN '*' ELSE '' END AS want, r.doc_id % 2 = 0 AS keep, r.doc_id % 4 = 1 AS si, CASE WHEN r.doc_id % 3 = 0 THEN '#FAE333' ELSE '#FFFFFF' END AS regular FROM slide_runs r",
+    "colored_runs": """SELECT s.*, CASE WHEN want = '' OR want = regular THEN 0 WHEN want = '*' THEN 1 ELSE p.at END AS color_at, CASE WHEN keep AND highlight THEN 1 + CASE WHEN regular = '#FFFFFF' THEN 0 ELSE w.at END ELSE CASE WHEN keep OR s.doc_id % 5 = 0 THEN 2 ELSE 3 END + coalesce(m.n, 0) END AS mark, CASE WHEN keep OR s.doc_id % 5 = 0 THEN 2 ELSE 3 END + coalesce(m.n, 0) AS clear, si OR (keep AND italic) AS slant
         FROM styled_runs s LEFT JOIN palette p ON p.doc_id = s.doc_id AND p.slide_no = s.slide_no AND p.upper = want LEFT JOIN (SELECT * FROM palette WHERE upper = '#FFFFFF') w ON w.doc_id = s.doc_id AND w.slide_no = s.slide_no LEFT JOIN palette_size m ON m.doc_id = s.doc_id AND m.slide_no = s.slide_no""",
     "verse_words": "SELECT doc_id, line_no, (unnest(range(len(l))))::int AS i, unnest(l) AS w FROM (SELECT doc_id, line_no, list_filter(regexp_split_to_array(line, '[\\s\\x{85}\\p{Z}]+'), lambda w: w <> '') AS l FROM doc_lines)",
     "verse_sentences": "SELECT doc_id, line_no, unit, string_agg(w, ' ' ORDER BY i) AS text FROM (SELECT *, coalesce(sum(regexp_matches(w, '[.;?!][\"''”’)\\]]*$')::int) OVER (PARTITION BY doc_id, line_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS unit FROM verse_words) GROUP BY doc_id, line_no, unit",
@@ -179,6 +186,25 @@ TABLES = {
 }
 
 
+def _marked_tables() -> dict[str, str]:
+    """The glyph chain once more over lines of which some begin with a slide marker, raised digits kept."""
+    names = ("geo_lines", "chars", "glyphs", "clean_glyphs", "paints", "fresh", "inked", "colored", "rows_of", "kept_rows", "pended", "broken", "run_glyphs", "runs")
+    out = {f"marked_{n}": re.sub(rf"\b(FROM|JOIN) (\(?)({'|'.join(names)})\b", r"\1 \2marked_\3", TABLES[n]) for n in names}
+    line = "CASE WHEN (line_no % 20) % 3 = 0 AND doc_id % 3 <> 0 THEN 'SLIDE ' || line_no || ': ' || line ELSE line END"
+    out["marked_geo_lines"] = f"SELECT doc_id, page, line_no, text, isize, iy, {units('text')} AS units FROM (SELECT * REPLACE ({line} AS text) FROM ({TABLES['geo_lines'].replace('SELECT doc_id', 'SELECT line, doc_id', 1)}))"
+    at = "(seq // 1000000) % 3 = 0 AND seq % 1000000 < 12 AND doc_id % 3 <> 0"
+    out["marked_paints"] = out["marked_paints"].replace("SELECT doc_id, page, seq, x, y, CASE seq % 3", f"SELECT doc_id, page, seq, x, y, CASE WHEN {at} THEN [0.5::double] ELSE CASE seq % 3", 1).replace(" END AS comps", " END END AS comps", 1).replace("WHERE seq % 4 <> 3", f"WHERE seq % 4 <> 3 OR ({at})", 1)
+    out["marked_kept_rows"] = "SELECT * FROM marked_rows_of"
+    out["marked_lines_of"] = "SELECT r.doc_id, r.page, r.line_no, r.text, e.size FROM (SELECT doc_id, page, line_no, string_agg(CASE WHEN run_no > 0 AND space_before THEN ' ' ELSE '' END || text, '' ORDER BY run_no) AS text FROM marked_runs GROUP BY doc_id, page, line_no) r JOIN (SELECT doc_id, page, line_no, max(size) AS size FROM marked_run_glyphs GROUP BY doc_id, page, line_no) e USING (doc_id, page, line_no)"
+    out["marked_marks"] = "SELECT *, coalesce(text = 'SLIDE' AND regexp_matches(lead(text) OVER l, '^\\d+:?$'), false) AS m FROM marked_runs WINDOW l AS (PARTITION BY doc_id, page, line_no ORDER BY run_no)"
+    out["marked_sections"] = "SELECT * FROM (SELECT *, coalesce(lag(m) OVER (PARTITION BY doc_id, page, line_no ORDER BY run_no), false) AS n, sum(m::int) OVER (PARTITION BY doc_id ORDER BY page, line_no, run_no) AS section FROM marked_marks) WHERE section > 0 AND NOT m AND NOT n"
+    out["marked_slide_lines"] = "SELECT doc_id, slide_no, page, line_no, string_agg(CASE WHEN first OR NOT space_before THEN '' ELSE ' ' END || text, '' ORDER BY run_no) AS line FROM (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY section) AS slide_no, row_number() OVER (PARTITION BY doc_id, section, page, line_no ORDER BY run_no) = 1 AS first FROM marked_sections) GROUP BY doc_id, slide_no, page, line_no"
+    return out
+
+
+TABLES |= _marked_tables()
+
+
 def sql(body: str) -> str:
     """``body`` after a WITH clause of the tables above that it needs."""
     needed: dict[str, None] = {}

@@ -1,108 +1,173 @@
-"""The three workloads from end to end.
+"""The three workloads from end to end: glyphs or lines to presentations.
 
-Tables that several later steps read (lines, entries, runs of slides) are written to shared
-storage once instead of being worked out anew for each; all else is left to the plan. By default Spark chooses all shuffles. ``by_document`` sets up a session so that inputs
-dealt out by document keep that partitioning through joins and windows on further keys: two
-exchanges for a corpus without giant documents instead of one for each new key.
+Tables that several later steps read (jobs, lines, entries, cues) are written to shared
+storage once instead of being worked out anew for each; all else is left to the plan. Every
+document of a corpus comes out once: with its cues, or among the refused with the reason.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.metrics import wrap_lines
+from ..functions.text import collapse_ws
 from ..operators import cues, freeform, glyphs, outline, rtf, sections, styles
-from ..sources.shared import dealt, keep_dealt, written
+from ..sources.shared import written
 
-#: Type of slides whose style has no template of its own.
-FONT = {"font_name": "Arial-BoldMT", "size": 90.0, "bold": True, "italic": False, "line_height": 0.9, "spacing": 0.0, "box_width": 1920.0}
 
+class Decks(NamedTuple):
+    """Styled cues; documents that cannot be built, with the reason; warnings per document; names of the presentations."""
 
-def by_document(spark: SparkSession, *inputs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> list[DataFrame]:
-    """Inputs dealt out by ``keys``; joins on more keys than these need no further shuffle."""
-    keep_dealt(spark)
-    return [dealt(x, *keys) for x in inputs]
+    cues: DataFrame
+    refused: DataFrame
+    warnings: DataFrame
+    names: DataFrame
 
+    def presentations(self) -> DataFrame:
+        """One row a document that was made: its name, and its cues in order, none if it had only images."""
+        made = cues.presentations(self.cues, self.names.limit(0)).drop("name")
+        none = {f.name: F.coalesce(f.name, F.array().cast(f.dataType)) for f in made.schema.fields if f.name != "doc_id"}
+        return self.names.join(made, "doc_id", "left").withColumns(none)
 
-def rich_text(runs: DataFrame, font: dict = FONT) -> DataFrame:
-    """Runs of slides with their style (keep_colors, highlight_bold, regular_color, emphasis_color) -> doc_id, slide_no, rtf."""
-    styled = rtf.run_style(written(runs, "runs"))
-    palette = written(rtf.color_palette(styled), "palette")
-    start = F.when(F.col("keep_colors"), F.array("regular_color")).otherwise(F.array("regular_color", "emphasis_color"))
-    first = styled.groupBy(*rtf.SLIDE).agg(F.max(F.struct(start.alias("start"))).alias("s")).select(*rtf.SLIDE, F.col("s.start").alias("start"))
-    more = palette.groupBy(*rtf.SLIDE).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "hex"))), lambda r: r["hex"]).alias("more"))
-    colors = F.concat("start", F.coalesce("more", F.expr("cast(array() as array<string>)")))
-    fonts = first.join(more, rtf.SLIDE, "left").select(*rtf.SLIDE, colors.alias("colors"), *(F.lit(v).alias(k) for k, v in font.items()))
-    colored = rtf.run_colors(styled, palette).join(fonts.select(*rtf.SLIDE, (F.size("colors") + 1).alias("clear")), rtf.SLIDE)
-    return rtf.rtf_build(rtf.rtf_state_diff(colored.withColumn("style_italic", F.lit(font["italic"]))), fonts)
 
+def _each_once(reasons: DataFrame) -> DataFrame:
+    """One reason for a document: the first by ``step``."""
+    return reasons.groupBy("doc_id").agg(F.min_by("reason", "step").alias("reason"))
 
-class Decks(NamedTuple):
-    """Styled cues; documents that cannot be built, with the reason; warnings per document."""
 
-    cues: DataFrame
-    refused: DataFrame
-    warnings: DataFrame
+def _reason(df: DataFrame, step: int, reason: Column | str) -> DataFrame:
+    return df.select("doc_id", F.lit(step).alias("step"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"))
+
+
+def _names(job: DataFrame, refused: DataFrame) -> DataFrame:
+    return styles.job_defaults(job).join(refused.select("doc_id"), "doc_id", "left_anti").select("doc_id", "name")
 
 
-def outline_decks(lines: DataFrame, jobs: DataFrame, style_table: DataFrame, geometry: DataFrame, looks: DataFrame, default_copies: bool = False, disable_copies: bool = False, center_scriptures: bool = False) -> Decks:
-    """Labelled outlines -> numbered, styled cues with rich text.
+def prompt_lines(page_glyphs: DataFrame, paints: DataFrame, fills: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Glyphs -> lines of formatted runs: weight and slant by font, colour and highlight by ink and page; raised digits stay."""
+    clean = glyphs.font_flags(glyphs.glyph_clean(page_glyphs))
+    return glyphs.page_lines(clean, paints, glyphs.page_background(fills, boxes), drop_superscripts=False)
 
-    lines(doc_id, line_no, line); jobs(doc_id, style); geometry(style, role, force_caps_off,
-    caps, boxes and fonts); looks(style, role, uuid, look_name). Long verses are split to
-    the scripture box of the document's style, at most as many lines as the style says;
-    back-references copy the first part. A document with a cue whose role has no template,
-    or asked for copies whose style has no look for them, is refused as a whole.
+
+def outline_lines(page_glyphs: DataFrame) -> DataFrame:
+    """Glyphs -> doc_id, line_no (from 0, over all pages), line: an outline's lines, raised digits dropped, formats ignored."""
+    plain = glyphs.glyph_clean(page_glyphs).withColumns({"bold": F.lit(False), "italic": F.lit(False), "color": F.lit(""), "highlight": F.lit(False)})
+    lines = glyphs.lines_of(plain)
+    at = F.row_number().over(W.partitionBy("doc_id").orderBy("page", "line_no")) - 1
+    return lines.select("doc_id", at.alias("line_no"), F.col("text").alias("line"))
+
+
+def outline_decks(lines: DataFrame, jobs: DataFrame, style_table: DataFrame, geometry: DataFrame, looks: DataFrame, default_copies: bool = False, disable_copies: bool = False, center_scriptures: bool = False, docs: DataFrame | None = None, removals: DataFrame | None = None) -> Decks:
+    """Labelled outlines -> numbered, styled cues with the rich text of each of their text boxes.
+
+    lines(doc_id, line_no, line), of glyphs by ``outline_lines``; jobs as in
+    ``styles.checked_jobs``; geometry(style, role, force_caps_off, caps, boxes, and what
+    ``cues.with_types`` fills in); looks(style, role, uuid, look_name); docs are all documents
+    (those that have lines by default). Long verses are split to the scripture box of the
+    style, at most as many lines as the style says; back-references copy the first part. A
+    scripture has two texts, its reference and its verse. ``removals`` (doc_id, idx) are
+    entries that a reviewer took out. A document whose job does not fit its style, that has
+    no entry, a cue whose role has no template, or was asked for copies whose style has no
+    look for them, is refused as a whole.
     """
-    found = written(outline.entries(lines), "entries")
+    job = written(styles.checked_jobs(docs if docs is not None else lines, jobs, style_table, "slides"), "jobs")
+    of = job.where("reason is null").select("doc_id", "style")
+    read = lines.join(of.select("doc_id"), "doc_id", "left_semi")
+    found = outline.entries(read)
+    if removals is not None:
+        idx = F.row_number().over(W.partitionBy("doc_id").orderBy("pos")) - 1
+        found = found.withColumn("idx", idx).join(removals.select("doc_id", "idx").distinct(), ["doc_id", "idx"], "left_anti").drop("idx")
+    found = written(found, "entries")
     settings = styles.settings_defaults(style_table).withColumnRenamed("name", "style")
-    of = jobs.select("doc_id", "style")
     boxes = cues.text_box(geometry)
+    full = cues.with_types(geometry)
     verses = found.where("kind = 'scripture'").join(of, "doc_id").join(settings.select("style", "scripture_max_lines"), "style", "left")
     parts = cues.verse_parts(verses, boxes.where("role = 'scripture'"), F.coalesce("scripture_max_lines", F.lit(5)))
-    made = written(cues.cue_numbering(cues.cue_expand(found, parts, default_copies, disable_copies)).join(of, "doc_id"), "cues")
-    styled, bare = styles.role_template_join(styles.role_look_join(made, looks), geometry.drop("force_caps_off", "caps"))
-    refused = bare.groupBy("doc_id").agg(F.concat(F.lit("no template for: "), F.array_join(F.sort_array(F.collect_set("role")), ", ")).alias("reason"))
-    if default_copies:
-        with_copies = looks.where(f"role = '{styles.BACKTO}' and uuid <> ''").select("style").distinct()
-        refused = refused.unionByName(of.join(with_copies, "style", "left_anti").select("doc_id", F.lit("no look for copies").alias("reason")))
-    styled = styled.join(refused.select("doc_id").distinct(), "doc_id", "left_anti").join(boxes.select("style", "role", "all_caps"), ["style", "role"], "left")
+    made = cues.cue_numbering(cues.cue_expand(found, parts, default_copies, disable_copies)).join(of, "doc_id")
+    shown = styles.role_look_join(made, looks).join(boxes.select("style", "role", "all_caps", F.lit(True).alias("_known")), ["style", "role"], "left")
+    shown = shown.join(full.drop("force_caps_off", "caps"), ["style", "role"], "left").join(settings.select("style", "regular_color"), "style", "left")
+    scripture = F.col("role") == "scripture"
+    font, over = cues.type_columns(), cues.type_columns("ref_")
+    own, reference = rtf.plain_rtf(F.col("text"), F.col("regular_color"), font), rtf.plain_rtf(F.col("reference"), F.col("regular_color"), over)
+    fit = lambda c: cues.fit_custom_attributes(F.col("attributes"), F.col(c))
+    label = cues.label_color(F.col("label_alpha"), F.col("label_rgb"), cues.TEXT_LABEL)
+    other = cues.label_color(F.col("label_alpha"), F.col("label_rgb"), cues.OTHER_LABEL)
     if center_scriptures:
+        fits = (F.col("slide_h") > 0) & (F.col("box_w") - F.col("margin_l") - F.col("margin_r") > 0) & (F.col("font_size") > 0)
         known = {"verse_lines": wrap_lines("text", F.col("box_w") - F.col("margin_l") - F.col("margin_r"), "font_size", "all_caps")}
-        placed = cues.center_vertically(styled.withColumns(known))
-        own = {c: F.when(F.col("role") == "scripture", F.col(c)) for c in ("verse_y", "verse_h", "ref_y")}
-        styled = placed.withColumns(own)
-    said = styled.join(settings.select("style", "regular_color", "emphasis_color"), "style", "left").where("text is not null")
-    runs = said.select("doc_id", F.col("cue_no").alias("slide_no"), F.lit(1).alias("page"), F.lit(0).alias("line_no"), F.lit(0).alias("run_no"), "text", F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.lit("").alias("color"), F.lit(False).alias("highlight"), F.lit(False).alias("space_before"), F.lit(False).alias("keep_colors"), F.lit(False).alias("highlight_bold"), "regular_color", "emphasis_color")
-    text = rich_text(runs).withColumnRenamed("slide_no", "cue_no")
-    return Decks(styled.join(text, ["doc_id", "cue_no"], "left"), refused, outline.doc_warnings(lines, found))
-
-
-def inked(page_glyphs: DataFrame, paints: DataFrame, fills: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Glyphs with their formats: weight and slant by font, colour and highlight by ink and page."""
-    x = glyphs.glyph_color_join(glyphs.font_flags(glyphs.glyph_clean(page_glyphs)), paints)
-    return glyphs.ink_class(glyphs.page_background_join(x, glyphs.page_background(fills, boxes)))
+        placed = cues.center_vertically(shown.withColumns(known))
+        shown = placed.withColumns({c: F.when(scripture & fits, F.col(c)) for c in ("verse_y", "verse_h", "ref_y")})
+    both = {
+        "texts": F.when(scripture, F.array("reference", "text")).otherwise(F.array("text")),
+        "rtf": F.when(scripture, F.array(reference, own)).otherwise(F.array(own)),
+        "attributes": F.when(scripture, F.array(fit("reference"), fit("text"))).otherwise(F.array(fit("text"))),
+        "label": F.col("name"),
+        "label_color": F.when(scripture, other).otherwise(label),
+    }
+    kept = [c for c in cues.CUE if c in {*shown.columns, *both}]
+    styled = written(shown.withColumns(both).select("doc_id", "style", "source_pos", "_known", *kept), "cues")
+    bare = styled.where("_known is null").groupBy("doc_id").agg(F.concat(F.lit("no template for: "), F.array_join(F.sort_array(F.collect_set("role")), ", ")).alias("why"))
+    bad = styled.where(F.exists("rtf", lambda t: t.isNull()) & F.col("_known")).select("doc_id").distinct()
+    empty = of.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    reasons = _reason(job.where("reason is not null"), 0, F.col("reason")).unionByName(_reason(empty, 1, "no labels found")).unionByName(_reason(bare, 3, F.col("why"))).unionByName(_reason(bad, 4, "a colour of the style is none"))
+    if default_copies:
+        with_copies = looks.where(f"role = '{styles.BACKTO}' and uuid <> ''").select("style").distinct()
+        reasons = reasons.unionByName(_reason(of.join(with_copies, "style", "left_anti"), 2, "no look for copies"))
+    refused = written(_each_once(reasons), "refused")
+    good = styled.join(refused.select("doc_id"), "doc_id", "left_anti").drop("_known")
+    return Decks(good, refused, outline.doc_warnings(read, found), _names(job, refused))
 
 
-def prompt_decks(page_glyphs: DataFrame, paints: DataFrame, fills: DataFrame, boxes: DataFrame, docs: DataFrame, jobs: DataFrame, style_table: DataFrame, marker: str = sections.MARKER) -> DataFrame:
-    """Glyphs -> doc_id, slide_no, way, rtf: by markers where a document has any, else by layout.
+def prompt_decks(page_glyphs: DataFrame, paints: DataFrame, fills: DataFrame, boxes: DataFrame, docs: DataFrame, jobs: DataFrame, style_table: DataFrame, geometry: DataFrame, marker: str = sections.MARKER, removals: DataFrame | None = None) -> Decks:
+    """Glyphs -> a cue for each slide, found by markers where a document has any, else by layout (``way``).
 
-    jobs(doc_id, style, colors, max_lines, box_width, box_size) says whose style and which
-    colours: those of the source by default for free-form documents alone. Free-form slides
-    are cut for the standard box.
+    jobs as in ``styles.checked_jobs``: whose style, which colours (those of the source by
+    default for free-form documents alone), the limit of lines, and a box. The box that text
+    is cut for is the job's, else that of the style's body, else the standard one; type is
+    that of the style's body. ``removals`` (doc_id, idx) are slides that a reviewer took
+    out. A document without text, or whose job does not fit its style, is refused.
     """
-    lines = glyphs.lines_of(inked(page_glyphs, paints, fills, boxes), drop_superscripts=False, heights=glyphs.glyph_clean(page_glyphs))
-    lines = written(lines, "lines")
+    full = cues.with_types(geometry).where("role = 'body'")
+    body = full.join(cues.text_box(geometry).select("style", "role", F.col("width").alias("_w"), "all_caps"), ["style", "role"])
+    body = body.select("style", "_w", F.col("font_size").alias("_s"), "all_caps", "attributes", *(c.alias(f"type_{k}") for k, c in cues.type_columns().items()))
+    settings = styles.settings_defaults(style_table).select(F.col("name").alias("style"), "regular_color", "emphasis_color", "highlight_bold", "force_caps_off")
+    checked = styles.checked_jobs(docs, jobs, style_table, "prompts").join(settings, "style", "left").join(body, "style", "left")
+    own = (F.col("box_width") > 0) & (F.col("box_size") > 0)
+    boxed = checked.withColumns({"box_width": F.when(own, F.col("box_width")).otherwise(F.col("_w")), "box_size": F.when(own, F.col("box_size")).otherwise(F.col("_s"))})
+    reason = F.coalesce("reason", F.when(F.col("type_font_name").isNull(), "no template for: body"))
+    job = written(styles.job_defaults(boxed).withColumns({"reason": reason, "all_caps": F.coalesce("all_caps", F.lit(False))}).drop("_w", "_s"), "jobs")
+    of = job.where("reason is null").drop("reason", "mode", "name")
+    lines = written(prompt_lines(page_glyphs, paints, fills, boxes).join(of.select("doc_id"), "doc_id", "left_semi"), "lines")
     runs = lines.select("doc_id", "page", "line_no", F.posexplode("runs").alias("run_no", "r")).select("doc_id", "page", "line_no", "run_no", "r.*")
     scripted = sections.slides(runs, marker)
-    rest = sections.marker_fallback(docs, scripted)
-    free = freeform.slide_runs(freeform.freeform_slides(lines.join(rest, "doc_id", "left_semi")))
-    both = sections.prompts_union(scripted.select(free.columns), free)
-    settings = styles.settings_defaults(style_table).select(F.col("name").alias("style"), "regular_color", "emphasis_color", "highlight_bold")
-    of = styles.job_defaults(jobs).select("doc_id", "style", "colors").join(settings, "style").drop("style")
-    keep = styles.pdf_colors_policy(F.col("colors"), F.col("way") == "freeform")
-    x = both.join(of, "doc_id").withColumn("keep_colors", keep)
-    return rich_text(x).join(x.select("doc_id", "way").distinct(), "doc_id").select("doc_id", "slide_no", "way", "rtf")
+    rest = sections.marker_fallback(of, scripted)
+    free = lines.join(of.select("doc_id", *freeform.JOB), "doc_id").join(rest, "doc_id", "left_semi")
+    both = sections.prompts_union(scripted.drop("section"), freeform.slide_runs(freeform.freeform_slides(free)))
+    if removals is not None:
+        both = outline.remove_slides(both, removals)
+    x = both.join(of.drop(*freeform.JOB), "doc_id").withColumn("keep_colors", styles.pdf_colors_policy(F.col("colors"), F.col("way") == "freeform"))
+    made = written(rtf.rich_text(x, ("way", "style", "force_caps_off", "attributes")), "slides")
+    bad = made.where("rtf is null").select("doc_id").distinct()
+    empty = of.join(made.select("doc_id").distinct(), "doc_id", "left_anti")
+    reasons = _reason(job.where("reason is not null"), 0, F.col("reason")).unionByName(_reason(empty, 1, "no text found")).unionByName(_reason(bad, 2, "a colour of the style or page is none"))
+    refused = written(_each_once(reasons), "refused")
+    fit = F.when(F.col("force_caps_off"), F.expr(f"cast(array() as {cues.ATTRIBUTES})")).otherwise(cues.fit_custom_attributes(F.col("attributes"), collapse_ws(F.col("text"))))
+    numbered = made.join(refused.select("doc_id"), "doc_id", "left_anti").select(
+        "doc_id",
+        "way",
+        "style",
+        F.col("slide_no").alias("cue_no"),
+        F.sha2(F.concat_ws("|", F.col("doc_id"), F.col("slide_no")), 256).alias("cue_id"),
+        F.lit("body").alias("role"),
+        F.concat(F.lit("Slide "), F.col("slide_no").cast("string")).alias("name"),
+        F.array("text").alias("texts"),
+        F.array("rtf").alias("rtf"),
+        F.array(fit).alias("attributes"),
+        F.lit(True).alias("enabled"),
+    )
+    by_layout = made.where("way = 'freeform'").select("doc_id").distinct().join(of.select("doc_id", "max_lines"), "doc_id")
+    return Decks(numbered, refused, by_layout.select("doc_id", outline.freeform_note(F.col("max_lines")).alias("note")), _names(job, refused))

@@ -18,11 +18,6 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def keep_dealt(spark: SparkSession) -> None:
-    """From now on inputs that are dealt out by some of a join's keys are not dealt out again by all of them."""
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``; a session of one machine may do without that setting."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

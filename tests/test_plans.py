@@ -9,8 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deckjobs import schemas
-from deckjobs.operators import glyphs, outline, sections
-from deckjobs.plans import pipelines
+from deckjobs.operators import freeform, glyphs, outline, rtf, sections
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,15 +44,30 @@ def test_sections_need_one_line_and_one_document_shuffle(static):
     assert shuffles(sections.slides(static.createDataFrame([], schemas.RUNS))) <= 2
 
 
-def test_colour_join_with_inputs_dealt_by_document(static):
-    g, p = static.createDataFrame([], schemas.GLYPHS), static.createDataFrame([], schemas.PAINTS)
+def scans(df):
+    return len(re.findall(r"Scan ExistingRDD", plan(df)))
 
-    def rows(g, p):
-        x = glyphs.glyph_color_join(glyphs.glyph_clean(g), p)
-        return glyphs.row_order(x.withColumn("line_no", F.lit(1)))
 
-    plain = shuffles(rows(g, p))
-    assert shuffles(rows(*pipelines.by_document(static, g, p))) == 2 < plain
+def test_rich_text_is_one_aggregate_by_slide(static):
+    """From runs of a page to rich text: the shuffles of the sections, one scan, no palette joined back."""
+    style = {"keep_colors": F.lit(True), "highlight_bold": F.lit(True), "regular_color": F.lit("#FFFFFF"), "emphasis_color": F.lit("#FFFF00")}
+    font = {"type_font_name": F.lit("A"), "type_size": F.lit(9.0), "type_bold": F.lit(True), "type_italic": F.lit(False), "type_line_height": F.lit(0.0), "type_spacing": F.lit(0.0), "type_box_width": F.lit(9.0)}
+    made = rtf.rich_text(sections.slides(static.createDataFrame([], schemas.RUNS)).withColumns({**style, **font}))
+    assert shuffles(made) <= 2 and scans(made) == 1 and not re.search("Join|Python", plan(made))
+
+
+def test_a_page_is_dealt_and_sorted_once_on_each_side(static):
+    g, p, f, b = (static.createDataFrame([], x) for x in (schemas.GLYPHS, schemas.PAINTS, schemas.FILLS, schemas.PAGE_BOXES))
+    lines = glyphs.page_lines(glyphs.font_flags(glyphs.glyph_clean(g)), p, glyphs.page_background(f, b))
+    text = plan(lines)
+    assert text.count("FlatMapCoGroupsInArrow") == 1 and "Window" not in text
+    cogroup = text.split("SortMergeJoin")[0]  # what stands below is the small join of fills and boxes
+    assert cogroup.count("Sort [") <= 3 and scans(lines) == 4
+
+
+def test_freeform_slides_are_dealt_out_once(static):
+    slides = freeform.freeform_slides(static.createDataFrame([], schemas.LINES))
+    assert shuffles(slides) <= 2 and scans(slides) == 1
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")

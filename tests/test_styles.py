@@ -53,16 +53,46 @@ def test_attributes_stretch(spark):
     assert [tuple(x) for x in df.select(cues.fit_custom_attributes(F.col("a"), F.col("t"))).first()[0]] == [(0, 3, "ALL_CAPS")]
 
 
+RUNS = "doc_id bigint, slide_no int, page int, line_no int, run_no int, text string, bold boolean, italic boolean, color string, highlight boolean, space_before boolean"
+
+
+def styled(spark, runs, **style):
+    given = {"keep_colors": True, "highlight_bold": True, "regular_color": "#FFFFFF", "emphasis_color": "#FFFF00", **style}
+    return spark.createDataFrame(runs, RUNS).withColumns({k: F.lit(v) for k, v in given.items()})
+
+
+def folded(df, italic=False):
+    slides = rtf.color_palette(rtf.gathered(df)).withColumn("italic", F.lit(italic))
+    return rtf.rtf_state_diff(rtf.run_colors(slides)).first()
+
+
 def test_palette_order_and_case(spark):
     runs = [(1, 1, 1, 1, i, w, False, False, c, h, i > 0) for i, (w, c, h) in enumerate([("a", "#ff0000", False), ("b", "#FF0000", False), ("c", "#ffffff", False), ("d", "", True)])]
-    s = spark.createDataFrame(runs, "doc_id bigint, slide_no int, page int, line_no int, run_no int, text string, bold boolean, italic boolean, color string, highlight boolean, space_before boolean")
-    s = rtf.run_style(s.withColumns({"keep_colors": F.lit(True), "highlight_bold": F.lit(True), "regular_color": F.lit("#FFFFFF"), "emphasis_color": F.lit("#FFFF00")}))
-    p = rtf.color_palette(s)
-    assert [(r.hex, r["at"]) for r in p.orderBy("at").collect()] == [("#ff0000", 1), ("#000000", 2)]
-    c = rtf.run_colors(s, p)
-    assert [(r.color_at, r.highlight_at) for r in c.orderBy("run_no").collect()] == [(1, 0), (1, 0), (0, 0), (2, 1)]
-    d = rtf.rtf_state_diff(c.withColumns({"clear": F.lit(4), "style_italic": F.lit(False)})).orderBy("run_no")
-    assert [r.control for r in d.collect()] == ["\\cf2", "", "\\cf1", "\\cf3\\highlight1\\cb1"]
+    got = folded(styled(spark, runs))
+    assert got.colors == ["#FFFFFF", "#ff0000", "#000000"] and got.base == 1
+    assert [(r.color_at, r.highlight_at) for r in got.runs] == [(1, 0), (1, 0), (0, 0), (2, 1)]
+    assert [r.control for r in got.runs] == ["\\cf2", "", "\\cf1", "\\cf3\\highlight1\\cb1"]
+
+
+def test_emphasis_is_in_the_palette_only_if_bold_text_has_it(spark):
+    runs = [(1, 1, 1, n, 0, "a", True, True, "#123456", True, False) for n in (1, 2)]
+    on = folded(styled(spark, runs, keep_colors=False, emphasis_color="#ffffff"))
+    assert on.colors == ["#FFFFFF", "#ffffff"] and [r.control for r in on.runs] == ["\\cf2", "\\cf2"]
+    off = folded(styled(spark, runs, keep_colors=False, highlight_bold=False), italic=True)
+    assert off.colors == ["#FFFFFF"] and [(r.control, r.first) for r in off.runs] == [("\\cf1", True), ("\\cf1", True)]
+
+
+def test_rich_text_of_a_slide(spark):
+    runs = [(1, 1, 1, 2, 0, "b{", False, False, "", False, False), (1, 1, 1, 1, 1, "SAVED", True, False, "#FF0000", False, True), (1, 1, 1, 1, 0, "We’re", False, True, "", False, False)]
+    font = {"font_name": "Avenir", "size": 33.0, "bold": False, "italic": False, "line_height": 0.0, "spacing": 1.5, "box_width": 600.0}
+    df = styled(spark, runs).withColumns({f"type_{k}": F.lit(v) for k, v in font.items()})
+    r = rtf.rich_text(df.withColumn("way", F.lit("x")), ("way",)).first()
+    start = "\\pard\\li0\\fi0\\ri0\\qc\\sb0\\sa30\\sl240\\slmult1\\slleading0\\f0\\b0\\i0\\ul0\\strike0\\fs66\\expnd0\\expndtw0\\CocoaLigature1\\cf1\\strokewidth0\\strokec1\\nosupersub\\ulc0\\highlight3\\cb3 "
+    assert (r.way, r.text) == ("x", "We’re SAVED b{") and "\\paperw12000\\" in r.rtf and r.rtf.startswith("{\\rtf0\\ansi\\ansicpg1252{\\fonttbl\\f0\\fnil Avenir;}{\\colortbl;\\red255\\green255\\blue255;\\red255\\green0\\blue0;\\red255\\green255\\blue255;}")
+    assert r.rtf.endswith(start + "\\cf1\\i We\\u8217 ?re \\cf2\\i0 SAVED\\par" + start + "\\cf1 b\\{}")
+    assert rtf.rich_text(df.withColumn("regular_color", F.lit("red"))).first().rtf is None
+    plain = df.limit(1).select(rtf.plain_rtf(F.lit("a\\b"), F.lit("#FFFFFF"), rtf.type_of("type_")).alias("t")).first().t
+    assert rtf.visible_text(plain) == "a\\b" and plain.endswith("\\cb2 \\cf1 a\\\\b}")
 
 
 def test_style_files(spark, tmp_path):
