@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..functions.text import collapse_ws, truncate_text, utf16_length
 from .outline import backto_asof, role_for_point
+from .scans import running
 from .styles import BACKTO
 
 LINE_HEIGHT, PADDING = 1.15, 15.0
@@ -73,10 +73,10 @@ def cue_expand(found: DataFrame, parts: DataFrame | None = None, default_copies:
     return made.unionByName(again)
 
 
-def cue_numbering(cues: DataFrame) -> DataFrame:
-    """Adds ``cue_no`` (from 1) and a stable ``cue_id``."""
-    n = F.row_number().over(W.partitionBy("doc_id").orderBy("pos", "part_no", "copy_no"))
-    return cues.withColumn("cue_no", n).withColumn("cue_id", F.sha2(F.concat_ws("|", F.col("doc_id"), F.col("cue_no")), 256))
+def cue_numbering(cues: DataFrame, block: int | None = None) -> DataFrame:
+    """Adds ``cue_no`` (from 1) and a stable ``cue_id``; ``block`` (positions) spreads a document over tasks, see ``scans``."""
+    n = running(cues, ["pos", "part_no", "copy_no"], {"cue_no": F.lit(1)}, block)
+    return n.withColumn("cue_no", F.col("cue_no").cast("int")).withColumn("cue_id", F.sha2(F.concat_ws("|", F.col("doc_id"), F.col("cue_no")), 256))
 
 
 def label_color(alpha: Column, color: Column, fallback: str) -> Column:

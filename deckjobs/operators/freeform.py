@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..sources.shared import dealt
+from .scans import preceding, running
 
 SMALL_PRINT, HEADING, BLOCK_GAP, WIDE = 0.8, 1.2, 1.5, 0.75
 MAX_LINES = 7
@@ -24,10 +25,6 @@ JOB = ("box_width", "box_size", "all_caps", "max_lines")
 FORMATS = {"bold": "boolean", "italic": "boolean", "color": "string", "highlight": "boolean"}
 
 
-def _doc():
-    return W.partitionBy("doc_id").orderBy("page", "line_no")
-
-
 def _whole():
     return W.partitionBy("doc_id")
 
@@ -48,38 +45,62 @@ def mode_top1(lines: DataFrame) -> DataFrame:
     return weight.groupBy("doc_id").agg(best).select("doc_id", (-F.col("b.minus")).alias("body"), F.col("b.bytes").alias("bytes"))
 
 
-def drop_small_print(lines: DataFrame) -> DataFrame:
-    """Lines of at least 0.8 of the body size, with ``body``; dealt out by document."""
+def drop_small_print(lines: DataFrame, spread: bool = False) -> DataFrame:
+    """Lines of at least 0.8 of the body size, with ``body``; dealt out by document.
+
+    ``spread``: the body comes of partial counts by size and is joined back, so that no
+    task holds a whole document.
+    """
+    if spread:
+        x = lines.join(body_size(lines), "doc_id")
+        return x.where(F.col("size") >= SMALL_PRINT * F.col("body"))
     x = dealt(lines, "doc_id").withColumn("_half", _half())
     x = x.withColumn("_bytes", F.sum(F.octet_length("text")).over(W.partitionBy("doc_id", "_half")))
     x = x.withColumn("body", F.max_by("_half", F.struct("_bytes", -F.col("_half"))).over(_whole()))
     return x.where(F.col("size") >= SMALL_PRINT * F.col("body")).drop("_half", "_bytes")
 
 
-def with_gap(kept: DataFrame) -> DataFrame:
+#: Just above a quarter: the value at this share of n sorted ones is element n div 4 (from 0), for any n a document can have.
+_QUARTER = "0.2500000000001D"
+
+
+def lower_quartile(c: str) -> Column:
+    """Element n div 4 (from 0) of the sorted values, as an aggregate: values are counted, in part before any shuffle, and only distinct ones are sorted."""
+    return F.expr(f"percentile_disc({_QUARTER}) WITHIN GROUP (ORDER BY {c})")
+
+
+def with_gap(kept: DataFrame, spread: bool = False) -> DataFrame:
     """Adds ``gap``: lower quartile (element n div 4) of the positive distances between lines of a page, else 1.2 sizes of the first line."""
-    x = kept.withColumn("_g", F.lag("y").over(W.partitionBy("doc_id", "page").orderBy("line_no")) - F.col("y"))
-    x = x.withColumn("_g", F.when(F.col("_g") > 0, F.col("_g")))
-    x = x.withColumn("_r", F.row_number().over(_whole().orderBy(F.col("_g").asc_nulls_last())) - 1)
-    at = F.max(F.when(F.col("_r") == F.col("_n"), F.col("_g"))).over(_whole())
-    first = F.min_by("size", F.struct("page", "line_no")).over(_whole())
-    x = x.withColumn("_n", F.floor(F.count("_g").over(_whole()) / 4))
-    return x.withColumn("gap", F.coalesce(at, 1.2 * first)).drop("_g", "_r", "_n")
+    above = F.lag("y").over(W.partitionBy("doc_id", "page").orderBy("line_no")) - F.col("y")
+    x = kept.withColumn("_g", F.when(above > 0, above))
+    first = F.min_by("size", F.struct("page", "line_no"))
+    if spread:
+        of = x.groupBy("doc_id").agg(F.coalesce(lower_quartile("_g"), 1.2 * first).alias("gap"))
+        return kept.join(of, "doc_id")
+    return x.withColumn("gap", F.coalesce(F.expr(f"percentile_disc({_QUARTER}) WITHIN GROUP (ORDER BY _g) OVER (PARTITION BY doc_id)"), 1.2 * first.over(_whole()))).drop("_g")
 
 
 def line_gap(kept: DataFrame) -> DataFrame:
-    return with_gap(kept).groupBy("doc_id").agg(F.max("gap").alias("gap"))
+    """doc_id, gap."""
+    above = F.lag("y").over(W.partitionBy("doc_id", "page").orderBy("line_no")) - F.col("y")
+    x = kept.withColumn("_g", F.when(above > 0, above))
+    return x.groupBy("doc_id").agg(F.coalesce(lower_quartile("_g"), 1.2 * F.min_by("size", F.struct("page", "line_no"))).alias("gap"))
 
 
 def column_width(kept: DataFrame) -> DataFrame:
     return kept.groupBy("doc_id").agg(F.max(F.col("x1") - F.col("x0")).alias("column"))
 
 
-def layout_blocks(kept: DataFrame) -> DataFrame:
-    """Kept lines with ``block`` (from 1): a new page, a wide gap, or a heading after other text begins one."""
-    x = with_gap(kept).withColumn("heading", F.col("size") > HEADING * F.col("body"))
-    new = (F.col("page") != F.lag("page").over(_doc())) | (F.lag("y").over(_doc()) - F.col("y") > BLOCK_GAP * F.col("gap")) | (F.col("heading") & ~F.lag("heading").over(_doc()))
-    return x.withColumn("block", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(_doc().rowsBetween(W.unboundedPreceding, 0)))
+def layout_blocks(kept: DataFrame, block: int | None = None) -> DataFrame:
+    """Kept lines with ``block`` (from 1): a new page, a wide gap, or a heading after other text begins one.
+
+    ``block`` (pages) spreads a document over tasks, see ``scans``.
+    """
+    order = ["page", "line_no"]
+    x = with_gap(kept, block is not None).withColumn("heading", F.col("size") > HEADING * F.col("body"))
+    x = preceding(x, order, {"_page": "page", "_y": "y", "_heading": "heading"}, block)
+    new = (F.col("page") != F.col("_page")) | (F.col("_y") - F.col("y") > BLOCK_GAP * F.col("gap")) | (F.col("heading") & ~F.col("_heading"))
+    return running(x, order, {"block": F.coalesce(new, F.lit(True)).cast("int")}, block).drop("_page", "_y", "_heading")
 
 
 def runs_of(lines: DataFrame) -> Column:

@@ -13,13 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import capitalize_label, clean_verse, trim_spaces, truncate_text, unquote
+from .scans import preceding, running
 
 
 
-def _doc():
-    return W.partitionBy("doc_id").orderBy("line_no")
-
-
 def trim_blank_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("line", trim_spaces(F.col("line"))).where("line <> ''")
 
@@ -44,18 +41,20 @@ def scripture_ref(line: Column) -> Column:
     return F.concat(F.trim(book), F.lit(" "), F.regexp_replace(verses, r"\s+", ""), F.when(version != "", F.concat(F.lit(" "), F.upper(version))).otherwise(""))
 
 
-def scripture_marker(lines: DataFrame) -> DataFrame:
+def scripture_marker(lines: DataFrame, block: int | None = None) -> DataFrame:
     """Kinds of lines; the line after a bare ``Scripture:`` is ``forced``, a reference whatever it looks like, and bare lines go."""
-    x = lines.withColumn("kind", line_kind(F.col("line")))
     marker = F.coalesce(F.col("kind") == "marker", F.lit(False))
-    x = x.withColumn("forced", F.coalesce(F.lag(marker).over(_doc()), F.lit(False)) & ~marker)
+    x = preceding(lines.withColumn("kind", line_kind(F.col("line"))), ["line_no"], {"_m": marker}, block)
+    x = x.withColumn("forced", F.coalesce("_m", F.lit(False)) & ~marker).drop("_m")
     return x.withColumn("starts", (F.col("kind").isNotNull() & ~marker) | F.col("forced"))
 
 
-def outline_islands(lines: DataFrame) -> DataFrame:
-    """Lines with the label they belong to (``island``, from 1); lines before the first label and bare markers are gone."""
-    x = scripture_marker(trim_blank_lines(lines))
-    x = x.withColumn("island", F.sum(F.col("starts").cast("int")).over(_doc().rowsBetween(W.unboundedPreceding, 0)))
+def outline_islands(lines: DataFrame, block: int | None = None) -> DataFrame:
+    """Lines with the label they belong to (``island``, from 1); lines before the first label and bare markers are gone.
+
+    ``block`` (lines) spreads a document over tasks, see ``scans``.
+    """
+    x = running(scripture_marker(trim_blank_lines(lines), block), ["line_no"], {"island": F.col("starts").cast("int")}, block)
     return x.where((F.col("island") > 0) & (F.coalesce(F.col("kind"), F.lit("")) != "marker"))
 
 
@@ -70,9 +69,9 @@ def image_island(islands: DataFrame) -> DataFrame:
     return x.withColumn("island_kind", first).withColumn("taken", F.col("starts") | (F.col("island_kind") != "image") | (least > 0)).drop("_open")
 
 
-def entries(lines: DataFrame) -> DataFrame:
+def entries(lines: DataFrame, block: int | None = None) -> DataFrame:
     """doc_id, pos, kind, text, label, reference, verse, ref, trigger: one row for each label, in order of ``pos``."""
-    x = image_island(outline_islands(lines))
+    x = image_island(outline_islands(lines, block))
     follows = ~F.col("starts") & F.col("taken") & ((F.col("island_kind") == "image") | ~F.col("line").rlike(P.VERSE_NUMBER))
     g = x.groupBy("doc_id", "island").agg(
         F.min("line_no").alias("pos"),

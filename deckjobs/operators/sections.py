@@ -11,21 +11,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.patterns import SLIDE_NUMBER
+from .scans import running
 
 MARKER = "SLIDE"
 
 
-def marker_sections(runs: DataFrame, marker: str = MARKER) -> DataFrame:
+def marker_sections(runs: DataFrame, marker: str = MARKER, block: int | None = None) -> DataFrame:
     """Runs with ``section`` (from 1); markers, their numbers and what comes before the first are gone.
 
     A marker and its number are two runs of one line; a section without text leaves a gap
-    in the numbers.
+    in the numbers. ``block`` (pages) spreads a document over tasks, see ``scans``.
     """
     line = W.partitionBy("doc_id", "page", "line_no").orderBy("run_no")
-    doc = W.partitionBy("doc_id").orderBy("page", "line_no", "run_no").rowsBetween(W.unboundedPreceding, 0)
     x = runs.withColumn("_m", F.coalesce((F.col("text") == marker) & F.lead("text").over(line).rlike(SLIDE_NUMBER), F.lit(False)))
     x = x.withColumn("_n", F.coalesce(F.lag("_m").over(line), F.lit(False)))
-    x = x.withColumn("section", F.sum(F.col("_m").cast("int")).over(doc))
+    x = running(x, ["page", "line_no", "run_no"], {"section": F.col("_m").cast("int")}, block)
     return x.where("section > 0 and not _m and not _n").drop("_m", "_n")
 
 

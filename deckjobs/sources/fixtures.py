@@ -18,8 +18,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, line_no (from 0), line."""
-    d = documents(spark, sf_dir).where("text is not null")
+    """doc_id, line_no (from 0), line; texts are dealt out by document before they become lines, so that one large file is many tasks."""
+    d = dealt(documents(spark, sf_dir).where("text is not null").select("doc_id", "text"), "doc_id")
     return d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
