@@ -99,27 +99,45 @@ def src_glyphs(spark, sf):
 
 @query("SELECT d.doc_id, CASE WHEN regexp_matches(coalesce(d.text, ''), '^\\s*$') THEN 'no text found' ELSE 'no labels found' END AS reason FROM documents d WHERE NOT EXISTS (SELECT 1 FROM entries e WHERE e.doc_id = d.doc_id)")
 def quarantine(spark, sf):
-    return outline.quarantine(fx.documents(spark, sf), _entries(spark, sf))[1]
+    return outline.quarantine(fx.documents(spark, sf).select("doc_id", "text"), _entries(spark, sf))[1]
+
+
+@query("SELECT d.doc_id, d.page, 'no text on this page' AS reason FROM (SELECT DISTINCT doc_id, (1 + line_no // 20)::int AS page FROM doc_lines UNION SELECT doc_id, (2 + max(line_no) // 20)::int FROM doc_lines GROUP BY doc_id) d WHERE NOT EXISTS (SELECT 1 FROM run_glyphs g WHERE g.doc_id = d.doc_id AND g.page = d.page)")
+def page_quarantine(spark, sf):
+    """Pages without a line: one is put behind the last of each document."""
+    pages = fx.page_boxes(spark, sf).select("doc_id", "page")
+    blank = pages.groupBy("doc_id").agg((F.max("page") + 1).alias("page"))
+    return outline.page_quarantine(pages.unionByName(blank), _page_lines(spark, sf))[1]
 
 
 _DECK = "SELECT doc_id, count(*) AS n_cues, string_agg(name, '|' ORDER BY cue_no) AS names, string_agg(sha256(doc_id || '|' || cue_no), '' ORDER BY cue_no) AS ids FROM numbered GROUP BY doc_id"
 
 
-@query(_DECK)
-def sink_presentations(spark, sf):
-    """Presentations written, and read again from their files."""
+def _deck_files(spark, sf) -> DataFrame:
+    """Presentations written as files, and read again from them."""
     from .sources.tables import sink_presentations as write
+    from .sources.tables import src_presentations as read
 
     path = shared_folder(spark, "decks")
-    write(cues.presentations(_cues(spark, sf), fx.jobs(spark, sf).select("doc_id", "name")), path)
-    d = spark.read.parquet(path)
+    decks = cues.presentations(_cues(spark, sf), fx.jobs(spark, sf).select("doc_id", "name"))
+    write(decks, path)
+    return read(spark, path, decks.schema)
+
+
+@query(_DECK)
+def sink_presentations(spark, sf):
+    d = _deck_files(spark, sf)
     return d.select("doc_id", F.size("cues").cast("long").alias("n_cues"), F.array_join(F.transform("cues", lambda c: c["name"]), "|").alias("names"), F.array_join("cue_ids", "").alias("ids"))
 
 
 @query("SELECT doc_id, (cue_no - 1)::int AS idx, name, role, enabled FROM numbered")
 def src_cues(spark, sf):
-    d = cues.presentations(_cues(spark, sf), fx.jobs(spark, sf).select("doc_id", "name"))
-    return cues.src_cues(d).select("doc_id", "idx", "name", "role", "enabled")
+    return cues.src_cues(_deck_files(spark, sf)).select("doc_id", "idx", "name", "role", "enabled")
+
+
+def _style_rows(spark, sf) -> DataFrame:
+    of = fx.documents(spark, sf).select(F.concat_ws("-", "source", "lang").alias("name"), F.when(F.col("lang") == "en", "prompts").when(F.col("lang") == "fr", "other").otherwise("slides").alias("kind"), "doc_id")
+    return of.select("name", "kind", F.create_map(F.lit("body"), F.encode(F.concat(F.lit("cue "), F.col("doc_id")), "UTF-8")).alias("templates"), F.struct(F.lit("#FFFFFF").alias("regular_color"), F.lit(None).cast("string").alias("emphasis_color"), (F.col("doc_id") % 2 == 0).alias("force_caps_off"), F.lit(None).cast("boolean").alias("highlight_bold"), F.lit(None).cast("int").alias("scripture_max_lines")).alias("settings"), "doc_id")
 
 
 def _style_store(spark, sf):
@@ -128,9 +146,7 @@ def _style_store(spark, sf):
     from .sources.tables import src_styles as read
 
     path = shared_folder(spark, "styles")
-    of = fx.documents(spark, sf).select(F.concat_ws("-", "source", "lang").alias("name"), F.when(F.col("lang") == "en", "prompts").when(F.col("lang") == "fr", "other").otherwise("slides").alias("kind"), "doc_id")
-    rows = of.select("name", "kind", F.create_map(F.lit("body"), F.encode(F.concat(F.lit("cue "), F.col("doc_id")), "UTF-8")).alias("templates"), F.struct(F.lit("#FFFFFF").alias("regular_color"), F.lit(None).cast("string").alias("emphasis_color"), (F.col("doc_id") % 2 == 0).alias("force_caps_off"), F.lit(None).cast("boolean").alias("highlight_bold"), F.lit(None).cast("int").alias("scripture_max_lines")).alias("settings"), "doc_id")
-    write(rows, path, "doc_id")
+    write(_style_rows(spark, sf), path, "doc_id")
     return read(spark, path)
 
 
@@ -142,9 +158,16 @@ def src_styles(spark, sf):
     return _style_store(spark, sf).select("name", "kind", F.decode(F.col("templates")["body"], "UTF-8").alias("body"), F.col("settings.force_caps_off").alias("caps_off"))
 
 
-@query("SELECT kind, count(*) AS n FROM (" + _STORE + ") GROUP BY kind")
+@query(_STORE.replace("'cue ' || max(doc_id)", "'cue ' || coalesce(max(doc_id) FILTER (doc_id % 2 = 0), max(doc_id))").replace("max(doc_id) % 2 = 0", "coalesce(max(doc_id) FILTER (doc_id % 2 = 0), max(doc_id)) % 2 = 0"))
 def sink_styles(spark, sf):
-    return _style_store(spark, sf).groupBy("kind").agg(F.count("*").alias("n"))
+    """Two saves to one store, the second of the styles of even documents; the latest generation."""
+    from .sources.store import StyleStore
+
+    store = StyleStore(spark, shared_folder(spark, "store"))
+    rows = _style_rows(spark, sf)
+    store.save(rows, "doc_id")
+    store.save(rows.where("doc_id % 2 = 0"), "doc_id")
+    return store.load().select("name", "kind", F.decode(F.col("templates")["body"], "UTF-8").alias("body"), F.col("settings.force_caps_off").alias("caps_off"))
 
 
 # ---- projections, filters, predicates ----
@@ -394,11 +417,13 @@ def color_palette(spark, sf):
     return x.select("doc_id", "slide_no", F.upper("hex").alias("upper_"), "hex", (F.col("base") + F.col("i")).cast("long").alias("at"))
 
 
-@query("""SELECT doc_id, u.unrecognized, b.unresolved, i.skipped_images FROM (SELECT doc_id, string_agg(line, '; ' ORDER BY line_no) AS unrecognized FROM taken WHERE NOT taken GROUP BY doc_id) u
+@query("""SELECT doc_id, u.unrecognized, b.unresolved, i.skipped_images, n.note FROM (SELECT doc_id, string_agg(line, '; ' ORDER BY line_no) AS unrecognized FROM taken WHERE NOT taken GROUP BY doc_id) u
 FULL JOIN (SELECT doc_id, string_agg('Back to ' || ref, '; ' ORDER BY pos) AS unresolved FROM asof_entries WHERE kind = 'backto' AND source_pos IS NULL GROUP BY doc_id) b USING (doc_id)
-FULL JOIN (SELECT doc_id, string_agg(text, '; ' ORDER BY pos) AS skipped_images FROM entries WHERE kind = 'image' GROUP BY doc_id) i USING (doc_id)""")
+FULL JOIN (SELECT doc_id, string_agg(text, '; ' ORDER BY pos) AS skipped_images FROM entries WHERE kind = 'image' GROUP BY doc_id) i USING (doc_id)
+FULL JOIN (SELECT doc_id, 'no slide markers: split by layout, to about ' || CASE WHEN max_lines <= 0 THEN 7 ELSE max_lines END || ' lines a slide' AS note FROM jobs WHERE doc_id NOT IN (SELECT doc_id FROM slide_runs)) n USING (doc_id)""")
 def doc_warnings(spark, sf):
-    return outline.doc_warnings(fx.outline_lines(spark, sf), _entries(spark, sf))
+    free = styles.job_defaults(fx.jobs(spark, sf)).join(sections.marker_fallback(fx.documents(spark, sf), _slides(spark, sf)), "doc_id").select("doc_id", "max_lines")
+    return outline.doc_warnings(fx.outline_lines(spark, sf), _entries(spark, sf), free)
 
 
 @query("SELECT doc_id, count(*) AS n_entries, count(*) FILTER (kind = 'title') AS n_title, count(*) FILTER (kind = 'point') AS n_point, count(*) FILTER (kind = 'scripture') AS n_scripture, count(*) FILTER (kind = 'image') AS n_image, count(*) FILTER (kind = 'backto') AS n_backto FROM entries GROUP BY doc_id")
@@ -530,11 +555,31 @@ def first_per_group(spark, sf):
 # ---- set operations ----
 
 
-@query("SELECT way, count(*) AS n FROM (SELECT 'marker' AS way, doc_id FROM slide_runs UNION ALL SELECT 'freeform', doc_id FROM doc_runs WHERE doc_id NOT IN (SELECT doc_id FROM slide_runs)) GROUP BY way")
-def prompts_union(spark, sf):
+def _both_ways(spark, sf):
+    """Slides of marked documents, and of the others by layout, as runs."""
     s = _slides(spark, sf)
-    rest = fx.doc_runs(spark, sf).join(sections.marker_fallback(fx.documents(spark, sf), s), "doc_id", "left_semi")
-    return sections.prompts_union(s.select("doc_id"), rest.select("doc_id")).groupBy("way").agg(F.count("*").alias("n"))
+    rest = sections.marker_fallback(fx.documents(spark, sf), s)
+    free = freeform.slide_runs(freeform.freeform_slides(fx.geo_lines(spark, sf).join(rest, "doc_id", "left_semi")))
+    return sections.prompts_union(s.drop("section"), free)
+
+
+@query("""SELECT doc_id, 'marker' AS way, sha256(string_agg(text, ' ' ORDER BY line_no, run_no)) AS digest FROM slide_runs GROUP BY doc_id
+UNION ALL SELECT doc_id, 'freeform', sha256(string_agg(w, ' ' ORDER BY line_no, i)) FROM (SELECT doc_id, line_no, unnest(range(len(l))) AS i, unnest(l) AS w FROM (SELECT doc_id, line_no, list_filter(regexp_split_to_array(text, '[\\s\\x{85}\\p{Z}]+'), lambda w: w <> '') AS l FROM kept_lines WHERE doc_id NOT IN (SELECT doc_id FROM slide_runs))) GROUP BY doc_id""")
+def prompts_union(spark, sf):
+    """All words of a document's slides in order, and the way they were found."""
+    at = F.struct("slide_no", "page", "line_no", "run_no", "text")
+    words = F.array_join(F.transform(F.sort_array(F.collect_list(at)), lambda r: r["text"]), " ")
+    return _both_ways(spark, sf).groupBy("doc_id", "way").agg(F.sha2(words, 256).alias("digest"))
+
+
+@query(f"SELECT doc_id, (slide_no - 1)::int AS idx, 'Slide ' || slide_no AS kind, {cut('text', 160)} AS text, false AS image FROM (SELECT doc_id, slide_no, string_agg(line, ' ' ORDER BY line_no) AS text FROM slide_lines GROUP BY doc_id, slide_no)")
+def prompt_review_rows(spark, sf):
+    return outline.prompt_review_rows(sections.slide_text(_slides(spark, sf)))
+
+
+@query("SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY slide_no) AS slide_no, text FROM (SELECT doc_id, slide_no, string_agg(line, ' ' ORDER BY line_no) AS text FROM slide_lines GROUP BY doc_id, slide_no) WHERE NOT (doc_id % 5 = 0 AND slide_no IN (2, 4))")
+def remove_slides(spark, sf):
+    return outline.remove_slides(sections.slide_text(_slides(spark, sf)), fx.removals(spark, sf)).select("doc_id", F.col("slide_no").cast("long").alias("slide_no"), "text")
 
 
 @query("SELECT doc_id, CASE style WHEN 'Torn' THEN 'keyword,scripture' ELSE '' END AS missing FROM jobs WHERE style <> 'None'")
@@ -760,28 +805,39 @@ def safe_file_name(spark, sf):
 # ---- style learning ----
 
 
-def _captured(spark, sf):
-    d = fx.documents(spark, sf).select("doc_id", "source", "lang")
-    role = F.element_at(F.array(*map(F.lit, ("title", "point", "keyword", "scripture", "backto"))), (F.col("doc_id") % 5 + 1).cast("int"))
-    picks = d.select(F.col("source").alias("style"), role.alias("role"), "doc_id", (F.col("doc_id") % 3).cast("int").alias("idx"), F.col("doc_id").alias("pick_seq"))
-    c = _cues(spark, sf).select("doc_id", (F.col("cue_no") - 1).alias("idx"), "name", (F.col("role") != "keyword").alias("has_slide"), F.when(F.col("look_role") == "backto", "Default").alias("look_name"))
-    return styles.capture_roles(picks, c)
+def _picks(spark, sf):
+    """Three picks of each document for roles of its source's style, some of cues that do not exist; and what the cues hold."""
+    d = fx.documents(spark, sf).select("doc_id", "source")
+    role = F.element_at(F.array(*map(F.lit, ("title", "point", "keyword", "scripture", "backto"))), ((F.col("doc_id") + F.col("k")) % 5 + 1).cast("int"))
+    picks = d.select(F.col("source").alias("style"), "doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).withColumn("role", role)
+    picks = picks.select("style", "role", "doc_id", ((F.col("doc_id") + F.col("k") * 2) % 7).cast("int").alias("idx"), (F.col("doc_id") * 4 + F.col("k")).alias("pick_seq"))
+    c = _cues(spark, sf).select("doc_id", (F.col("cue_no") - 1).alias("idx"), "name", (F.col("role") != "keyword").alias("has_slide"), F.when(F.col("look_role") == "backto", F.concat(F.lit("L"), (F.col("cue_no") % 3).cast("string"))).alias("look_name"))
+    return picks, c
 
 
-_CAPTURED = "SELECT style, role, arg_max(doc_id, doc_id) AS doc_id, arg_max(idx, doc_id) AS idx, arg_max(name, doc_id) AS cue, arg_max(CASE WHEN look_role = 'backto' THEN 'Default' ELSE '' END, doc_id) AS look FROM (SELECT d.source AS style, ['title', 'point', 'keyword', 'scripture', 'backto'][d.doc_id % 5 + 1] AS role, d.doc_id, (d.doc_id % 3)::int AS idx, n.name, n.look_role, n.role AS cue_role FROM documents d JOIN numbered n ON n.doc_id = d.doc_id AND n.cue_no - 1 = d.doc_id % 3) WHERE role = 'backto' OR cue_role <> 'keyword' GROUP BY style, role"
+_PICKED = """SELECT p.*, n.name AS cue, n.cue_no IS NOT NULL AS there, coalesce(n.role <> 'keyword', false) AS has_slide, CASE WHEN n.look_role = 'backto' THEN 'L' || (n.cue_no % 3) END AS look
+FROM (SELECT source AS style, ['title', 'point', 'keyword', 'scripture', 'backto'][(doc_id + k) % 5 + 1] AS role, doc_id, ((doc_id + 2 * k) % 7)::int AS idx, doc_id * 4 + k AS pick_seq FROM documents, (VALUES (0), (1), (2)) v(k)) p LEFT JOIN numbered n ON n.doc_id = p.doc_id AND n.cue_no - 1 = p.idx"""
+_CAPTURED = f"""SELECT * FROM (SELECT r.style, r.role, t.doc_id, t.idx, t.cue, l.look FROM (SELECT DISTINCT style, role FROM ({_PICKED}) WHERE there) r
+LEFT JOIN (SELECT * FROM ({_PICKED}) WHERE there AND (has_slide OR role = 'backto') QUALIFY row_number() OVER (PARTITION BY style, role ORDER BY pick_seq DESC) = 1) t ON t.style = r.style AND t.role = r.role
+LEFT JOIN (SELECT * FROM ({_PICKED}) WHERE there QUALIFY row_number() OVER (PARTITION BY style, role ORDER BY pick_seq DESC) = 1) l ON l.style = r.style AND l.role = r.role) WHERE CASE WHEN role = 'backto' THEN look IS NOT NULL ELSE cue IS NOT NULL OR look IS NOT NULL END"""
 
 
 @query(_CAPTURED)
 def capture_roles(spark, sf):
-    return _captured(spark, sf).select("style", "role", "doc_id", "idx", "cue", F.coalesce("look_name", F.lit("")).alias("look"))
+    return styles.capture_roles(*_picks(spark, sf)).withColumnRenamed("look_name", "look")
 
 
-@query(f"""SELECT f.style, 'slides' AS kind, coalesce(array_to_string(c.roles, ','), '') AS roles, CASE WHEN len(m) > 0 THEN 'missing templates: ' || array_to_string(m, ', ') WHEN f.n % 2 = 0 THEN 'name exists' END AS reason FROM (SELECT source AS style, substr(source, 4)::int AS n FROM documents GROUP BY source) f
-LEFT JOIN (SELECT style, list_sort(list(role)) AS roles, list_filter(['title', 'point', 'keyword', 'scripture'], lambda r: NOT list_contains(list(role), r)) AS m FROM ({_CAPTURED}) GROUP BY style) c ON c.style = f.style""")
+@query(f"SELECT style, role, doc_id, idx, pick_seq, CASE WHEN NOT there THEN 'no such slide' WHEN role = 'backto' THEN 'slide ' || (idx + 1) || ' has no look' ELSE 'slide ' || (idx + 1) || ' has nothing to copy' END AS refused FROM ({_PICKED}) WHERE NOT there OR (role = 'backto' AND look IS NULL) OR (role <> 'backto' AND NOT has_slide)")
+def refused_picks(spark, sf):
+    return styles.refused_picks(*_picks(spark, sf))
+
+
+@query(f"""SELECT f.style, 'slides' AS kind, coalesce(array_to_string(c.roles, ','), '') AS roles, CASE WHEN len(coalesce(m, ['title', 'point', 'keyword', 'scripture'])) > 0 THEN 'missing templates: ' || array_to_string(coalesce(m, ['title', 'point', 'keyword', 'scripture']), ', ') WHEN f.n % 2 = 0 THEN 'name exists' END AS reason FROM (SELECT source AS style, substr(source, 4)::int AS n FROM documents GROUP BY source) f
+LEFT JOIN (SELECT style, list_sort(list(role)) AS roles, list_filter(['title', 'point', 'keyword', 'scripture'], lambda r: NOT list_contains(list(role), r)) AS m FROM ({_CAPTURED}) WHERE cue IS NOT NULL AND role <> 'backto' GROUP BY style) c ON c.style = f.style""")
 def style_assemble(spark, sf):
     forms = fx.documents(spark, sf).select(F.col("source").alias("style")).distinct().select("style", F.lit("slides").alias("kind"), F.lit(False).alias("overwrite"))
     existing = forms.where("cast(substr(style, 4) as int) % 2 = 0").select(F.col("style").alias("name"))
-    return styles.style_assemble(_captured(spark, sf), forms, existing).select("style", "kind", F.array_join("roles", ",").alias("roles"), "reason")
+    return styles.style_assemble(styles.capture_roles(*_picks(spark, sf)), forms, existing).select("style", "kind", F.array_join("roles", ",").alias("roles"), "reason")
 
 
 # ---- streams ----
@@ -792,6 +848,47 @@ def session_expiry(spark, sf):
     return sessions(fx.touches(spark, sf))
 
 
+_REVIEWS = """WITH e AS (SELECT event_id, user_id::varchar AS token, ts FROM events), t AS (
+  SELECT token, ts, event_id % 5 = 0 OR row_number() OVER (PARTITION BY token ORDER BY ts, event_id) = 1 AS opens FROM e UNION ALL SELECT token, ts + INTERVAL 7 HOUR, false FROM e WHERE event_id % 3 = 0
+), n AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY ts, opens DESC) AS i, make_timestamp(((floor((epoch(ts) + 21600) / 600) + 1) * 600000000)::bigint) AS swept FROM t),
+walk AS (
+  WITH RECURSIVE r AS (
+    SELECT token, i, ts, swept, opens AS alive, CASE WHEN opens THEN 1 ELSE 0 END AS session FROM n WHERE i = 1
+    UNION ALL SELECT n.token, n.i, n.ts, n.swept, n.opens OR (r.alive AND n.ts < r.swept), CASE WHEN n.opens AND NOT (r.alive AND n.ts < r.swept) THEN r.session + 1 ELSE r.session END FROM r JOIN n ON n.token = r.token AND n.i = r.i + 1
+  ) SELECT * FROM r
+), found AS (
+  SELECT token, 'session' AS kind, min(ts) AS first_touch, max(ts) AS last_touch, count(*) AS n_touches, max(swept) AS expired_at FROM walk WHERE alive GROUP BY token, session
+  UNION ALL SELECT token, 'refused', ts, ts, 1, NULL FROM walk WHERE NOT alive
+) SELECT * FROM found"""
+
+
+@query(_REVIEWS)
+def review_sessions(spark, sf):
+    from .streaming.jobs import review_sessions as review
+
+    return _without_zone(review(fx.reviews(spark, sf)))
+
+
+def _without_zone(df: DataFrame) -> DataFrame:
+    """Times as the tables have them."""
+    return df.select(*(F.col(n).cast("timestamp_ntz").alias(n) if t == "timestamp" else n for n, t in df.dtypes))
+
+
+@query(_REVIEWS + " WHERE kind = 'refused' OR expired_at < (SELECT max(ts) - INTERVAL 10 MINUTE FROM t)")
+def review_stream(spark, sf):
+    """The same as a stream with keyed state, taken up from its checkpoint as touches arrive in three parts; sessions that the watermark has passed."""
+    from .streaming.jobs import review_sessions as review
+
+    at = shared_folder(spark, "reviews")
+    touches = fx.reviews(spark, sf)
+    third = F.least(F.floor((F.dayofyear("ts") - 1) / 10), F.lit(2))
+    for k in range(3):
+        touches.where(third == k).write.mode("append").parquet(f"{at}/in")
+        stream = review(spark.readStream.schema(touches.schema).parquet(f"{at}/in"))
+        stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return _without_zone(spark.read.schema(stream.schema).parquet(f"{at}/out"))
+
+
 @query("SELECT doc_id, count(*) AS n_entries FROM entries GROUP BY doc_id")
 def incremental_convert(spark, sf):
     """The stream job run over the documents now there, its output read back."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import capitalize_label, clean_verse, trim_spaces, truncate_text, unquote
+from ..sources.shared import divided
 from .scans import preceding, running
 
 
@@ -198,11 +199,21 @@ def doc_warnings(lines: DataFrame, found: DataFrame, freeform: DataFrame | None
     return out
 
 
+def tagged(docs: DataFrame, found: DataFrame, keys: tuple[str, ...] = ("doc_id",), reason: Column | None = None) -> DataFrame:
+    """Rows with ``reason``: null where ``found`` has a row of the same keys, else why there is none; one join, each input read once."""
+    have = found.select(*keys).distinct().withColumn("_there", F.lit(True))
+    empty = F.coalesce(F.col("text"), F.lit("")).rlike(r"^\s*$") if reason is None else None
+    why = reason if reason is not None else F.when(empty, "no text found").otherwise("no labels found")
+    return docs.join(have, list(keys), "left").withColumn("reason", F.when(F.col("_there").isNull(), why)).drop("_there")
+
+
 def quarantine(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good, rejected): documents with entries, and the others with the reason."""
-    have = found.select("doc_id").distinct()
-    empty = F.coalesce(F.col("text"), F.lit("")).rlike(r"^\s*$")
-    bad = docs.join(have, "doc_id", "left_anti").select("doc_id", F.when(empty, "no text found").otherwise("no labels found").alias("reason"))
-    return docs.join(have, "doc_id", "left_semi"), bad
+    """(good, rejected): documents with entries, and the others with the reason; parted as they are written, in one run."""
+    good, bad = divided(tagged(docs, found), "quarantine")
+    return good, bad.select("doc_id", "reason")
 
 
+def page_quarantine(pages: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good, rejected): pages (doc_id, page, ...) that have a line, and the others with the reason; parted as they are written."""
+    good, bad = divided(tagged(pages, lines, ("doc_id", "page"), F.lit("no text on this page")), "pages")
+    return good, bad.select("doc_id", "page", "reason")

@@ -139,19 +139,50 @@ def offered_union(defaults: DataFrame, offered: DataFrame) -> DataFrame:
     return defaults.select("name").union(offered.select("name")).distinct().orderBy("name")
 
 
+def pick_log(picks: DataFrame, cues: DataFrame) -> DataFrame:
+    """picks(style, role, doc_id, idx, pick_seq) with what each does: ``cue``, ``look`` and the ``refused`` reason, null if it is taken.
+
+    A pick of no cue does nothing. One of a cue without a slide gives no template, but still
+    sets the role's look, or takes it away if the cue has none; one for back-references is
+    about the look alone, and without one is withdrawn.
+    """
+    known = cues.select("doc_id", "idx", F.col("name").alias("cue"), "has_slide", F.col("look_name").alias("look"), F.lit(True).alias("_there"))
+    x = picks.join(known, ["doc_id", "idx"], "left")
+    back = F.col("role") == BACKTO
+    said = F.concat(F.lit("slide "), (F.col("idx") + 1).cast("string"))
+    reason = (
+        F.when(F.col("_there").isNull(), "no such slide")
+        .when(back & F.col("look").isNull(), F.concat(said, F.lit(" has no look")))
+        .when(~back & ~F.col("has_slide"), F.concat(said, F.lit(" has nothing to copy")))
+    )
+    return x.withColumn("refused", reason)
+
+
 def capture_roles(picks: DataFrame, cues: DataFrame) -> DataFrame:
-    """picks(style, role, doc_id, idx, pick_seq) x cues(doc_id, idx, name, has_slide, look_name) -> one row for each style and role.
+    """picks(style, role, doc_id, idx, pick_seq) x cues(doc_id, idx, name, has_slide, look_name) -> style, role, doc_id, idx, cue, look_name.
 
-    The last pick of a role that names a cue with a slide counts; picks of no cue are left out.
+    Two folds over the log of picks, each with its own last word: the template is that of
+    the last pick with a slide (``doc_id``, ``idx``, ``cue``, null if there is none), the look
+    that of the last pick of any cue, and gone if that cue has none. Both are greatest
+    values by ``pick_seq``, so they are made up of parts. A role without a template and
+    without a look is left out, as is a back-reference whose last pick was withdrawn.
     """
-    x = picks.join(cues, ["doc_id", "idx"]).where((F.col("role") == BACKTO) | F.col("has_slide"))
-    last = F.max_by(F.struct("doc_id", "idx", F.col("name").alias("cue"), "look_name"), "pick_seq").alias("p")
-    return x.groupBy("style", "role").agg(last).select("style", "role", "p.*")
+    x = pick_log(picks, cues).where("_there")
+    back = F.col("role") == BACKTO
+    template = F.max_by(F.when(back | F.col("has_slide"), F.struct("doc_id", "idx", "cue")), F.when(back | F.col("has_slide"), F.col("pick_seq")))
+    folded = x.groupBy("style", "role").agg(template.alias("t"), F.max_by(F.struct("look"), "pick_seq").alias("l"))
+    out = folded.select("style", "role", "t.*", F.col("l.look").alias("look_name"))
+    return out.where(F.when(back, F.col("look_name").isNotNull()).otherwise(F.col("cue").isNotNull() | F.col("look_name").isNotNull()))
+
+
+def refused_picks(picks: DataFrame, cues: DataFrame) -> DataFrame:
+    """style, role, doc_id, idx, pick_seq, refused: picks that gave no template or were withdrawn, with the reason."""
+    return pick_log(picks, cues).where("refused is not null").select("style", "role", "doc_id", "idx", "pick_seq", "refused")
 
 
 def style_assemble(captured: DataFrame, forms: DataFrame, existing: DataFrame) -> DataFrame:
     """forms(style, kind, overwrite) with captured templates as a map; ``reason`` says why one is refused."""
-    roles = captured.groupBy("style").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("role", "cue")))).alias("templates"))
+    roles = captured.where(f"cue is not null and role <> '{BACKTO}'").groupBy("style").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("role", "cue")))).alias("templates"))
     x = forms.join(roles, "style", "left").join(existing.select(F.col("name").alias("style"), F.lit(True).alias("there")), "style", "left")
     have = F.coalesce(F.map_keys("templates"), F.expr("cast(array() as array<string>)"))
     missing = F.array_except(required_roles(F.col("kind")), have)

@@ -156,6 +156,17 @@ def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("token"), "ts")
 
 
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Touches of review sessions: each event twice, the second seven hours later for every third; every fifth opens, and so does every token's first."""
+    from pyspark.sql import Window as W
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("user_id").cast("string").alias("token"), F.col("ts").cast("timestamp").alias("ts"))
+    w = W.partitionBy("token").orderBy("ts", "event_id")
+    once = e.select("token", "ts", ((F.col("event_id") % 5 == 0) | (F.row_number().over(w) == 1)).alias("opens"))
+    again = e.where("event_id % 3 = 0").select("token", (F.col("ts") + F.expr("interval 7 hours")).alias("ts"), F.lit(False).alias("opens"))
+    return once.unionByName(again)
+
+
 def removals(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir).where("doc_id % 5 = 0")
     return d.select("doc_id", F.explode(F.array(F.lit(1), F.lit(3), F.lit(100000))).alias("idx"))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
@@ -33,3 +34,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def divided(tagged: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(good, rejected) rows of a table with ``reason``: written once, parted at the write, and read as two tables."""
+    path = shared_folder(tagged.sparkSession, name)
+    tagged.withColumn("rejected", F.col("reason").isNotNull()).write.partitionBy("rejected").parquet(path)
+    both = tagged.sparkSession.read.schema(f"{tagged.schema.toDDL()}, rejected boolean").parquet(path)
+    return both.where("not rejected").drop("reason", "rejected"), both.where("rejected").drop("rejected")

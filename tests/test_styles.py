@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from deckjobs.operators import cues, rtf, styles
 from deckjobs.sources import fixtures, tables
-from deckjobs.streaming.jobs import incremental_convert, session_expiry
+from deckjobs.streaming.jobs import SESSIONS, incremental_convert, session_expiry
+from deckjobs.streaming.jobs import review_sessions as session_reviews
 
 
 def test_defaults_fill_gaps_only(spark):
@@ -32,13 +33,32 @@ def test_seeding(spark):
     assert [r.name for r in styles.offered_union(names("B", "A"), names("A", "C")).collect()] == ["A", "B", "C"]
 
 
-def test_last_pick_counts_and_assembly(spark):
-    picks = spark.createDataFrame([("S", "title", 1, 0, 1), ("S", "title", 1, 1, 2), ("S", "point", 1, 9, 3), ("S", "point", 1, 2, 4)], "style string, role string, doc_id bigint, idx int, pick_seq int")
-    c = spark.createDataFrame([(1, 0, "a", True, None), (1, 1, "b", True, "L"), (1, 2, "c", False, None)], "doc_id bigint, idx int, name string, has_slide boolean, look_name string")
-    got = styles.capture_roles(picks, c)
-    assert [(r.role, r.cue, r.look_name) for r in got.collect()] == [("title", "b", "L")]
+PICKS, CUES = "style string, role string, doc_id bigint, idx int, pick_seq int", "doc_id bigint, idx int, name string, has_slide boolean, look_name string"
+
+
+def test_template_and_look_have_each_their_last_pick(spark):
+    c = spark.createDataFrame([(1, 0, "a", True, None), (1, 1, "b", True, "L"), (1, 2, "c", False, None), (1, 3, "d", False, "M")], CUES)
+
+    def captured(*picks):
+        df = spark.createDataFrame([("S", role, 1, idx, k) for k, (role, idx) in enumerate(picks)], PICKS)
+        return {r.role: (r.cue, r.look_name) for r in styles.capture_roles(df, c).collect()}, [(r.pick_seq, r.refused) for r in styles.refused_picks(df, c).orderBy("pick_seq").collect()]
+
+    assert captured(("title", 0), ("title", 1)) == ({"title": ("b", "L")}, [])
+    # a cue without a slide gives no template, but its look, or that it has none, counts
+    assert captured(("title", 1), ("title", 3)) == ({"title": ("b", "M")}, [(1, "slide 4 has nothing to copy")])
+    assert captured(("title", 1), ("title", 2)) == ({"title": ("b", None)}, [(1, "slide 3 has nothing to copy")])
+    assert captured(("point", 9), ("point", 3)) == ({"point": (None, "M")}, [(0, "no such slide"), (1, "slide 4 has nothing to copy")])
+    # for back-references the look is all; without one the earlier pick goes too
+    assert captured(("backto", 3)) == ({"backto": ("d", "M")}, [])
+    assert captured(("backto", 1), ("backto", 0)) == ({}, [(1, "slide 1 has no look")])
+    assert captured(("backto", 1), ("backto", 7)) == ({"backto": ("b", "L")}, [(1, "no such slide")])
+
+
+def test_assembly_needs_every_template(spark):
+    picks = spark.createDataFrame([("S", "title", 1, 0, 1), ("S", "point", 1, 1, 2), ("S", "backto", 1, 1, 3)], PICKS)
+    c = spark.createDataFrame([(1, 0, "a", True, None), (1, 1, "b", False, "L")], CUES)
     forms = spark.createDataFrame([("S", "slides", False), ("T", "prompts", False)], "style string, kind string, overwrite boolean")
-    out = {r.style: r.reason for r in styles.style_assemble(got, forms, spark.createDataFrame([("T",)], "name string")).collect()}
+    out = {r.style: r.reason for r in styles.style_assemble(styles.capture_roles(picks, c), forms, spark.createDataFrame([("T",)], "name string")).collect()}
     assert out == {"S": "missing templates: point, keyword, scripture", "T": "missing templates: body"}
 
 
@@ -113,6 +133,45 @@ def test_sessions(spark):
     assert sorted((r.token, r.n_touches) for r in session_expiry(df).collect()) == [("a", 2), ("b", 1), ("b", 1)]
 
 
+H = dt.timedelta(hours=1)
+T0 = dt.datetime(2024, 1, 1)
+TOUCHES = "token string, ts timestamp, opens boolean"
+
+
+def reviewed(df):
+    return sorted(((r.token, r.kind, (r.first_touch - T0) / H, (r.last_touch - T0) / H, r.n_touches, r.expired_at and (r.expired_at - T0) / H) for r in df.collect()), key=repr)
+
+
+def test_touches_of_swept_sessions_are_refused(spark):
+    rows = [("a", 0, True), ("a", 6, False), ("a", 12 + 1 / 12, False), ("a", 18.25, False), ("a", 20, False), ("a", 30, True), ("b", 0, False), ("c", 1, True), ("c", 1, True)]
+    df = spark.createDataFrame([(t, T0 + h * H, o) for t, h, o in rows], TOUCHES)
+    # a touch after six hours counts until the next sweep, at a multiple of ten minutes, has gone by
+    sweep = lambda h: h + 6 + 1 / 6
+    assert reviewed(session_reviews(df)) == sorted([("a", "session", 0.0, 12 + 1 / 12, 3, 18 + 1 / 6), ("a", "refused", 18.25, 18.25, 1, None), ("a", "refused", 20.0, 20.0, 1, None), ("a", "session", 30.0, 30.0, 1, sweep(30)), ("b", "refused", 0.0, 0.0, 1, None), ("c", "session", 1.0, 1.0, 2, sweep(1))], key=repr)
+
+
+def test_review_stream_over_batches_and_a_restart(spark, tmp_path):
+    at = {k: str(tmp_path / k) for k in ("in", "out", "state")}
+
+    def put(*rows):
+        spark.createDataFrame([(t, T0 + h * H, o) for t, h, o in rows], TOUCHES).coalesce(1).write.mode("append").parquet(at["in"])
+
+    def run():
+        out = session_reviews(spark.readStream.schema(TOUCHES).parquet(at["in"]))
+        out.writeStream.format("parquet").option("path", at["out"]).option("checkpointLocation", at["state"]).trigger(availableNow=True).start().awaitTermination()
+        return reviewed(spark.read.schema(SESSIONS).parquet(at["out"]))
+
+    put(("a", 0, True), ("b", 1, True), ("b", 0.5, False))
+    first = run()
+    assert first == [("b", "refused", 0.5, 0.5, 1, None)]
+    put(("a", 5, False), ("c", 9, True))  # from the checkpoint: a lives on, b is swept when the watermark has passed
+    second = run()
+    assert ("b", "session", 1.0, 1.0, 1, 7 + 1 / 6) in second and len(second) == 2
+    put(("a", 11.5, False), ("b", 12, False), ("c", 30, True))  # both come after their sweep
+    third = run()
+    assert third == sorted([*second, ("a", "session", 0.0, 5.0, 2, 11 + 1 / 6), ("a", "refused", 11.5, 11.5, 1, None), ("b", "refused", 12.0, 12.0, 1, None), ("c", "session", 9.0, 9.0, 1, 15 + 1 / 6)], key=repr)
+
+
 def test_incremental_conversion_takes_new_files_only(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     put = lambda i: spark.createDataFrame([(i, f"Title: {i}")], "doc_id bigint, text string").coalesce(1).write.mode("append").parquet(src)
