@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import metrics, text
 from .functions import patterns as P
 from .operators import cues, freeform, glyphs, outline, rtf, sections, styles
-from .oracle import CAPS_OK, SEEN, both, capitalized, cut, escaped, group, lit, matches, reference, sql, units, verse, wrapped
+from .oracle import CAPS_OK, SEEN, both, capitalized, cut, escaped, group, lit, matches, packed_verses, reference, sql, units, verse, wrapped
 from .sources import fixtures as fx
 from .sources.shared import shared_folder
 from .streaming.jobs import session_expiry as sessions
@@ -686,7 +686,7 @@ def _split(spark, sf):
     return cues.verse_parts(found, boxes, F.lit(5))
 
 
-@query()
+@query(packed_verses("SELECT doc_id, pos, verse FROM entries WHERE kind = 'scripture'", 5, 1400.0, 50.0))
 def split_verse(spark, sf):
     return _split(spark, sf)
 
@@ -716,7 +716,7 @@ def split_words(spark, sf):
     return _parts(freeform.split_blocks(lone, width=900.0, most=2))
 
 
-@query()
+@query(packed_verses("SELECT doc_id, 0 AS pos, string_agg(verse, ' ' ORDER BY pos) AS verse FROM entries WHERE kind = 'scripture' GROUP BY doc_id", 4, 1400.0, 50.0))
 def pack_balanced(spark, sf):
     """Verses of a document together, as text in the scripture box."""
     boxes = cues.text_box(_geometry(spark)).where("style = 'Deck' and role = 'scripture'")

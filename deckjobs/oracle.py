@@ -186,6 +186,29 @@ TABLES = {
 }
 
 
+def packed_verses(source: str, most: int, room: float, size: float) -> str:
+    """doc_id, pos, part_no, verse: verses of ``source`` (doc_id, pos, verse) cut at sentence ends into as few parts of ``most`` lines as filling gives, under the least cap that gives no more.
+
+    Only stretches of sentences whose words are not too wide for the limit are measured. For
+    each cap a walk over the sentences takes as many as fit, one at least.
+    """
+    ws = "'[\\s\\x{85}\\p{Z}]+'"
+    ends = "'[.;?!][\"''”’)\\]]*$'"
+    return f"""SELECT doc_id, pos, part_no, verse FROM (WITH
+said AS (SELECT row_number() OVER () AS id, doc_id, pos, list_filter(regexp_split_to_array(coalesce(verse, ''), {ws}), lambda w: w <> '') AS w FROM ({source})),
+sized AS (SELECT *, {wrapped("array_to_string(w, ' ')", room, size)} AS whole FROM said),
+word AS (SELECT id, unnest(range(len(w))) AS i, unnest(w) AS w FROM sized WHERE whole > {most}),
+sentence AS (SELECT id, u::int AS u, string_agg(w, ' ' ORDER BY i) AS text FROM (SELECT *, coalesce(sum(regexp_matches(w, {ends})::int) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM word) GROUP BY id, u),
+placed AS (SELECT *, sum({units('text')}) OVER (PARTITION BY id ORDER BY u) AS upto, {units('text')} AS own FROM sentence),
+texts AS (SELECT id, list(text ORDER BY u) AS l FROM sentence GROUP BY id),
+pair AS (SELECT id, u AS a, last + 1 AS b, {wrapped("array_to_string(l[u + 1:last + 1], ' ')", room, size)} AS n FROM (SELECT x.id, x.u, y.u AS last, l FROM placed x JOIN placed y ON y.id = x.id AND y.u >= x.u AND y.upto - x.upto + x.own <= {most * room * 1000 / size} JOIN texts t ON t.id = x.id)),
+step AS (SELECT s.id, c AS cap, s.u AS a, coalesce(max(p.b) FILTER (p.n <= c), s.u + 1) AS b FROM sentence s CROSS JOIN range(1, {most + 1}) r(c) LEFT JOIN pair p ON p.id = s.id AND p.a = s.u GROUP BY s.id, c, s.u),
+walk AS (WITH RECURSIVE v AS (SELECT id, cap, 0 AS k, a, b FROM step WHERE a = 0 UNION ALL SELECT s.id, s.cap, v.k + 1, s.a, s.b FROM v JOIN step s ON s.id = v.id AND s.cap = v.cap AND s.a = v.b) SELECT * FROM v),
+best AS (SELECT id, min(cap) AS cap FROM (SELECT *, max(n) FILTER (cap = {most}) OVER (PARTITION BY id) AS fewest FROM (SELECT id, cap, count(*) AS n FROM walk GROUP BY id, cap)) WHERE n <= fewest GROUP BY id)
+SELECT s.doc_id, s.pos, k AS part_no, array_to_string(l[a + 1:b], ' ') AS verse FROM walk JOIN best USING (id, cap) JOIN texts USING (id) JOIN sized s USING (id)
+UNION ALL SELECT doc_id, pos, 0, array_to_string(w, ' ') FROM sized WHERE whole <= {most})"""
+
+
 def _marked_tables() -> dict[str, str]:
     """The glyph chain once more over lines of which some begin with a slide marker, raised digits kept."""
     names = ("geo_lines", "chars", "glyphs", "clean_glyphs", "paints", "fresh", "inked", "colored", "rows_of", "kept_rows", "pended", "broken", "run_glyphs", "runs")
