@@ -767,7 +767,7 @@ def rtf_escape(spark, sf):
 
 
 def _built(spark, sf):
-    return rtf.rtf_build(_changes(spark, sf))
+    return rtf.rtf_build(_changes(spark, sf)).drop("text")
 
 
 _HEX = "('0x' || substr(h, {0}, 2))::int"
