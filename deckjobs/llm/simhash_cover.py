@@ -161,13 +161,13 @@ def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
     return found.union(through)
 
 
-def near_duplicates(docs: DataFrame, dense: int = DENSE) -> DataFrame:
+def near_duplicates(docs: DataFrame, dense: int = DENSE, shingle: int = SHINGLE) -> DataFrame:
     """docs(doc_id, text) -> doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable).
 
     Fingerprints are computed once and written; links and components are of distinct
     fingerprints, and only those that have a link take part in the last join by value.
     """
-    fps = keep(fingerprints(docs))
+    fps = keep(fingerprints(docs, shingle))
     distinct = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     rooted = components(links(distinct, dense))
     named = rooted.join(distinct.withColumnRenamed("fp", "node"), "node")
