@@ -77,3 +77,20 @@ def test_scan_reads_only_the_columns_used(static):
 
     read = re.search(r"ReadSchema: struct<([^>]*)>", plan(src_lines(docs)))[1]
     assert read == "doc_id:bigint,text:string" and "IsNotNull(text)" in plan(src_lines(docs))
+
+
+def test_blocks_are_cut_once_and_not_flattened_again_for_each_line(static):
+    """A row generated from the slides asks for ``size(slides) > 0``; that must not be moved below the cutting."""
+    blocks = freeform.layout_blocks(freeform.drop_small_print(static.createDataFrame([], schemas.LINES)))
+    made = plan(freeform.split_blocks(blocks, only="flowing").select("doc_id", F.posexplode("slides")))
+    assert made.count("ArrowEvalPython") == 1 and not re.search(r"slice\(flatten", made)
+    assert plan(freeform.heading_attach(freeform.split_blocks(blocks))).count("ArrowEvalPython") == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_texts_are_parsed_once_for_cues_and_verses(spark):
+    from deckjobs import catalog
+
+    for name in ("cue_numbering", "split_verse", "pack_balanced"):
+        made = plan(catalog.QUERIES[name](spark, SF))
+        assert "documents.parquet" not in made and "posexplode(split" not in made, name
