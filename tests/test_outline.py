@@ -53,3 +53,10 @@ def test_back_reference_takes_the_latest_before_it(spark):
 
 def test_empty_table(spark):
     assert parse(spark) == ([], [])
+
+
+def test_visible_text_takes_stretches_of_characters():
+    from deckjobs.operators.rtf import _TOKEN, visible_text
+
+    assert visible_text(r"{BSrtf0{BSfonttblBSf0 x;}BSu8217 ?re BS'e9tBS'e9 aBS{bBS}BSBSc".replace("BS", "\\") + "\\par next{\\*\\x hidden}  end\\u233 }") == "’re été a{b}\\c next endé"
+    assert len(_TOKEN.findall("\\b " + "word " * 1000)) == 2
