@@ -44,6 +44,8 @@ LENGTH = 50
 GRAM = 16
 #: Suffixes of a shard, and symbols of all shards that are merged at once.
 SHARD, MERGED = 1 << 14, 1 << 22
+#: Places that are hashed at once.
+STRETCH = 1 << 16
 #: Distinct segments of one key that a task holds.
 CROWD = 20_000
 #: Most bits of the set of shared keys: 64 MB.
@@ -248,10 +250,13 @@ def merged_order(shards: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """
     rows = np.concatenate(shards)
     order = np.argsort(rows, kind="stable")
-    symbols = rows.view(np.uint8).reshape(len(rows), -1)[order]
-    differ = symbols[1:] != symbols[:-1]
-    common = np.where(differ.any(1), differ.argmax(1), symbols.shape[1])
-    return order, np.append(0, common)
+    symbols = rows.view(np.uint8).reshape(len(rows), -1)
+    common = np.zeros(len(rows), np.int64)
+    for a in range(1, len(rows), SHARD):
+        some = symbols[order[a - 1 : a + SHARD]]
+        differ = some[1:] != some[:-1]
+        common[a : a + SHARD] = np.where(differ.any(1), differ.argmax(1), symbols.shape[1])
+    return order, common
 
 
 def refined(order: np.ndarray, block: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -274,6 +279,22 @@ def without_single(order: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.n
     return order[~alone], np.cumsum(new, dtype=np.int32)[~alone]
 
 
+def _anchors(joined: bytes, size: np.ndarray, begin: np.ndarray, keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place in ``joined`` of every gram that has its segment's key, that segment, and the place in it.
+
+    Places are looked at in stretches, so that no array is as long as all segments.
+    """
+    found = []
+    for a in range(0, len(joined) - length, STRETCH):
+        b = min(a + STRETCH, len(joined) - length)
+        eight = np.ndarray((b - a + 8,), "<u8", joined, offset=a, strides=(1,))
+        where = np.arange(a, b)
+        owner = np.searchsorted(begin, where, "right") - 1
+        at = np.flatnonzero((mixed(gram_hash(eight)) == keys[owner]) & (where - begin[owner] + GRAM <= size[owner]))
+        found.append((at + a, owner[at], at + a - begin[owner[at]]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+
 def first_ids(segments: list[bytes], keys: np.ndarray, ids: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For every string of ``length`` bytes in each segment, the least id of a segment that has it.
 
@@ -286,12 +307,7 @@ def first_ids(segments: list[bytes], keys: np.ndarray, ids: np.ndarray, length:
     begin = np.cumsum(size) - size
     joined = b"".join(segments) + bytes(length)
     text = np.frombuffer(joined, np.uint8)
-    eight = np.ndarray((len(joined) - 7,), "<u8", joined, strides=(1,))
-    h = mixed(gram_hash(eight))[: len(text) - length]
-    owner = np.repeat(np.arange(len(segments)), size)
-    inside = np.arange(len(owner)) - begin[owner]
-    at = np.flatnonzero((h == keys[owner]) & (inside + GRAM <= size[owner]))
-    seg, place = owner[at], inside[at]
+    at, seg, place = _anchors(joined, size, begin, keys, length)
     starts = size[seg] - length + 1
     before = np.where(np.append(False, seg[1:] == seg[:-1]), np.append(0, place[:-1]) + 1, 0)
     far = np.minimum(place - before, length - GRAM)
@@ -305,11 +321,10 @@ def first_ids(segments: list[bytes], keys: np.ndarray, ids: np.ndarray, length:
         order = sorted_shard(rows)
         shards.append(rows[order])
         orders.append(order + a)
-    first = [np.full(max(n - length + 1, 0), i, np.int64) for n, i in zip(size, ids, strict=True)]
+    room = np.maximum(size - length + 1, 0)
+    flat, flat_begin = np.repeat(ids, room), np.cumsum(room) - room
     if not shards:
-        return first
-    flat = np.concatenate(first)
-    flat_begin = np.cumsum(np.maximum(size - length + 1, 0)) - np.maximum(size - length + 1, 0)
+        return np.split(flat, flat_begin[1:])
     joint, common = merged_order(shards)
     joint = np.concatenate(orders)[joint]
     # a suffix near the end of its segment goes on in the next one: too short for any deeper order

@@ -68,6 +68,25 @@ def test_bwt_dedup_of_nothing(spark):
     assert bwt_dedup.deduplicate(table(spark, [(1, None), (2, "short")])).count() == 2
 
 
+def test_first_ids_holds_little_beside_its_segments():
+    import tracemalloc
+
+    passage = bytes(range(33, 93))
+    docs = [b"%034d" % (7919 * i) + passage + b"%034d" % (104729 * i) for i in range(6000)]
+    flat = sorted((int(k), docs[d][s : s + c + 49], d) for d, s, c, k in ((d, s, c, k) for x in bwt_dedup.key_runs(docs) for d, s, c, k in zip(*(y.tolist() for y in x), strict=True)))
+    segments, keys, ids = [s for _, s, _ in flat], np.array([k for k, _, _ in flat], np.uint64), np.array([i for _, _, i in flat], np.int64)
+    tracemalloc.start()
+    first = bwt_dedup.first_ids(segments, keys, ids)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    seen: dict[bytes, int] = {}
+    for i, d in enumerate(docs):
+        for a in range(len(d) - 49):
+            seen.setdefault(d[a : a + 50], i)
+    assert all(f.tolist() == [seen[s[a : a + 50]] for a in range(len(s) - 49)] for f, s in zip(first, segments, strict=True))
+    assert most < 24 * sum(map(len, segments))
+
+
 def test_first_ids_of_periodic_and_small_alphabets():
     rng = random.Random(1)
     for trial in range(30):
