@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, keep, mixed, pieces_of, shuffle_width, text_bytes
+from .common import LAST_ID, keep, lean, mixed, pieces_of, shuffle_width, text_bytes
 
 LENGTH = 50
 GRAM = 16
@@ -163,7 +163,7 @@ def shared_keys(docs: DataFrame, length: int = LENGTH) -> tuple[np.ndarray, int]
         on[keys[at][several] >> np.uint32(32 - (bits - low))] = True
         return pa.table({"slice": [table["slice"][0].as_py()], "on": [np.packbits(on).tobytes()]}, pa.schema([("slice", pa.int32()), ("on", pa.binary())]))
 
-    blobs = docs.select("id", "text").mapInArrow(_key_blobs(slices, length), "slice int, keys binary, docs binary")
+    blobs = docs.select("id", "text").mapInArrow(lean(_key_blobs(slices, length)), "slice int, keys binary, docs binary")
     out = np.zeros(1 << (bits - 3), np.uint8)
     width = 1 << (bits - low - 3)
     for r in blobs.groupBy("slice").applyInArrow(marked, "slice int, on binary").toLocalIterator():
@@ -437,20 +437,20 @@ def first_occurrences(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD)
     spark = docs.sparkSession
     on, bits = shared_keys(docs, length)
     shared = spark.sparkContext.broadcast(on)
-    segments = docs.select("id", "text").mapInArrow(_occurrences(shared, bits, length, True), "key long, segment binary, low long, high long")
+    segments = docs.select("id", "text").mapInArrow(lean(_occurrences(shared, bits, length, True)), "key long, segment binary, low long, high long")
     by_key = segments.repartition(4 * shuffle_width(spark), "key")
     by_key = by_key.groupBy("key", "segment").agg(F.min("low").alias("low"), F.max("high").alias("high")).sortWithinPartitions("key")
-    solved = by_key.mapInArrow(_solved(length, crowd), "segment_id binary, froms array<int>, tos array<int>, firsts array<long>, segment binary, id long, last long")
+    solved = by_key.mapInArrow(lean(_solved(length, crowd)), "segment_id binary, froms array<int>, tos array<int>, firsts array<long>, segment binary, id long, last long")
     solved = keep(solved)
     known = solved.where("segment is null").select("segment_id", "froms", "tos", "firsts")
     if solved.where("segment is not null").limit(1).count():
-        single = solved.where("segment is not null").select("segment", "id", "last").mapInArrow(_single_strings(length), "segment_id binary, at int, string binary, id long, last long")
+        single = solved.where("segment is not null").select("segment", "id", "last").mapInArrow(lean(_single_strings(length)), "segment_id binary, at int, string binary, id long, last long")
         first = single.groupBy("string").agg(F.min("id").alias("first"))
         found = single.join(first, "string").where("first < last").groupBy("segment_id").agg(F.sort_array(F.collect_list(F.struct("at", "first"))).alias("x"))
         known = known.unionByName(found.select("segment_id", F.expr("transform(x, y -> y.at) froms"), F.expr("transform(x, y -> y.at + 1) tos"), F.expr("transform(x, y -> y.first) firsts")))
     named, named_bits = known_segments(known)
     wanted = spark.sparkContext.broadcast(named)
-    runs = docs.select("id", "text").mapInArrow(_occurrences(shared, bits, length, False, wanted, named_bits), "segment_id binary, id long, tag long, start int")
+    runs = docs.select("id", "text").mapInArrow(lean(_occurrences(shared, bits, length, False, wanted, named_bits)), "segment_id binary, id long, tag long, start int")
     spans = F.expr(f"filter(transform(arrays_zip(froms, tos, firsts), x -> struct(x.firsts as first, start + x.froms as a, start + x.tos + {length - 1} as b)), x -> x.first < id)")
     return runs.join(known, "segment_id").select("id", "tag", F.transform(spans, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))).alias("spans")).where("size(spans) > 0")
 
@@ -511,4 +511,4 @@ def deduplicate(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), length:
                 out.append(pa.array([x.decode() for x in cols[4]], pa.string()))
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), *out], schema.fieldNames())
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
+import time
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -54,6 +56,38 @@ def small_batches(spark: SparkSession, rows: int = 2_000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+#: Asks the C library to give freed memory back; there is none such outside glibc.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Memory that Arrow and the C library hold though it is free goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same task, which gives freed memory back at its end and about once a second.
+
+    A Python worker lives on for later tasks and stages; without this it keeps the most that any of them needed.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = time.monotonic()
+        try:
+            for made in run(batches):
+                yield made
+                del made
+                if time.monotonic() - last > 1:
+                    give_back()
+                    last = time.monotonic()
+        finally:
+            give_back()
+
+    return task
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep
+from .common import keep, lean
 
 ERROR_RATE = 0.05
 BLOCK_CHARS = 4_000_000
@@ -174,7 +174,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 4, strict=True)], ["doc_id", "item_id", "distance", "budget", "match_end", "pieces_hit"])
 
-        found = keep(docs.select("doc_id", "text").mapInArrow(run, schema))
+        found = keep(docs.select("doc_id", "text").mapInArrow(lean(run), schema))
         sent.destroy()
         return found
 
@@ -213,13 +213,13 @@ def marked(docs: DataFrame, benchmark: DataFrame, columns: tuple[str, ...] = ("d
     elif following is None:
         sent = spark.sparkContext.broadcast(block)
         schema = docs.select(*names).schema.add("items", T.ArrayType(T.LongType()))
-        out = docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(_found_in(sent, error_rate, names, False), schema)
+        out = docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(lean(_found_in(sent, error_rate, names, False)), schema)
     else:
         rows = keep(docs.select(*dict.fromkeys([*names, "text"])).withColumn("_row", F.monotonically_increasing_id()))
         hits = None
         while block is not None:
             sent = spark.sparkContext.broadcast(block)
-            found = keep(rows.select("_row", "text").mapInArrow(_found_in(sent, error_rate, ["_row"], True), "_row long, items array<long>"))
+            found = keep(rows.select("_row", "text").mapInArrow(lean(_found_in(sent, error_rate, ["_row"], True)), "_row long, items array<long>"))
             sent.destroy()
             hits = found if hits is None else hits.union(found)
             block, following = following, next(blocks, None)

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, lean
 
 BITS = 14
 #: Most labelled rows that the fit looks at, in the order of a hash of their id.
@@ -120,7 +120,7 @@ def train(rows: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> dict:
     The model has 2**14 weights for each language.
     """
     rows = rows.where("lang is not null")
-    counted = rows.select("text").mapInArrow(_document_frequency, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    counted = rows.select("text").mapInArrow(lean(_document_frequency), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     n_docs = int(counted.loc[counted["at"] == -1, "n"].sum())
     df = np.zeros(1 << BITS)
     df[counted.loc[counted["at"] >= 0, "at"]] = counted.loc[counted["at"] >= 0, "n"]
@@ -161,9 +161,9 @@ def train(rows: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> dict:
             at = np.flatnonzero(w[:, k])
             yield pa.RecordBatch.from_arrays([pa.array([name] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(w[at, k], t))], ["lang", "at", "w"])
 
-    made = rows.select("doc_id", "lang", "text").join(F.broadcast(sample), "doc_id").select("order", "lang", "text").mapInArrow(vectors, "order long, lang string, at array<int>, x array<float>")
+    made = rows.select("doc_id", "lang", "text").join(F.broadcast(sample), "doc_id").select("order", "lang", "text").mapInArrow(lean(vectors), "order long, lang string, at array<int>, x array<float>")
     # repeated ids give more rows than ids: bounded again, by rows
-    got = keep(made).orderBy("order", "lang").limit(max_train_rows).repartition(1).mapInArrow(fit, "lang string, at long, w double").toPandas()
+    got = keep(made).orderBy("order", "lang").limit(max_train_rows).repartition(1).mapInArrow(lean(fit), "lang string, at long, w double").toPandas()
     names = sorted(got["lang"].unique())
     w = np.zeros(((1 << BITS) + 1, len(names)))
     t = 1.0
@@ -197,4 +197,4 @@ def predict(docs: DataFrame, model: dict, columns: tuple[str, ...] = ("doc_id",)
                 p.append(float(e[best] / e.sum()))
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(lang, pa.string()), pa.array(p, pa.float64())], [*columns, "lang_pred", "score"])
 
-    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(predicted, schema)
+    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(lean(predicted), schema)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, text_bytes
+from .common import keep, lean, text_bytes
 from .graph import components
 
 SHINGLE = 3
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = np.fromiter((fingerprint(t, shingle) for t in text_bytes(batch["text"])), np.uint64, len(batch))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def _syndrome(half: np.ndarray) -> np.ndarray:
@@ -143,8 +143,8 @@ def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
     Every pair within three bits whose anchors are not dense is in the result itself;
     around dense anchors the pairs in it connect exactly what all pairs would.
     """
-    home = distinct.select("fp").mapInArrow(_keyed(False), "anchor long, fp long")
-    visit = distinct.select("fp").mapInArrow(_keyed(True), "anchor long, fp long")
+    home = distinct.select("fp").mapInArrow(lean(_keyed(False)), "anchor long, fp long")
+    visit = distinct.select("fp").mapInArrow(lean(_keyed(True)), "anchor long, fp long")
     crowd = keep(home.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > dense).select("anchor"))
     crowded = crowd.limit(1).count() > 0
     residents = home.join(crowd, "anchor", "left_anti") if crowded else home
@@ -155,7 +155,7 @@ def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
     if not crowded:
         return found
     around = visit.join(crowd, "anchor", "left_semi").select("fp").distinct()
-    points = around.mapInArrow(_points, "point long, fp long, near long")
+    points = around.mapInArrow(lean(_points), "point long, fp long, near long")
     hub = points.groupBy("point").agg(F.min("near").alias("least")).where("least is not null")
     through = points.join(hub, "point").where("fp <> least").select(F.greatest("fp", "least").alias("a"), F.least("fp", "least").alias("b")).distinct()
     return found.union(through)

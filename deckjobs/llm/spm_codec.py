@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunk_coder import ChunkCoder, binary_array
-from .common import pieces_of, text_bytes
+from .common import lean, pieces_of, text_bytes
 
 MARK = "▁".encode()
 # fixed values: kinds of pieces in the model file
@@ -282,7 +282,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             kinds = [pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, pa.list_(k)) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "ids", "begins", "ends"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, begins array<long>, ends array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, ids array<int>, begins array<long>, ends array<long>")
 
 
 def round_trip(docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
@@ -302,14 +302,14 @@ def round_trip(docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id",
         decoder = _decoder(path)
         for batch in batches:
             texts = list(text_bytes(batch["text"]))
-            rows: list[tuple] = []
             for a, b in pieces_of(texts, 1 << 20):
+                rows: list[tuple] = []
                 for x, spans in zip(*encode_batch(texts[a:b], path), strict=True):
                     ids = x.tolist()
                     text = decoder.decode(ids) if ids else ""
                     rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), int((spans[:, 1] - spans[:, 0]).sum()), hashlib.sha256(spans.astype("<i8").tobytes()).hexdigest(), text))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            out = [pa.array(c, k) for c, k in zip(cols[: 5 + with_text], [*added.values(), pa.string()], strict=False)]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), *out], schema.fieldNames())
+                cols = list(zip(*rows, strict=True))
+                out = [pa.array(c, k) for c, k in zip(cols[: 5 + with_text], [*added.values(), pa.string()], strict=False)]
+                yield pa.RecordBatch.from_arrays([*(batch[c].slice(a, b - a) for c in columns), *out], schema.fieldNames())
 
-    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(lean(run), schema)

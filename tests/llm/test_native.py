@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from deckjobs.llm import chat_windows, fingerprint_cws
+from deckjobs.llm import chat_windows, common, fingerprint_cws
 
 
 def plan(df):
@@ -25,3 +25,21 @@ def test_one_sample_is_shared_as_often_as_weights_agree(spark):
     f = {r.k: r.fingerprint for r in fingerprint_cws.signatures(df, ["k"], samples=256).collect()}
     equal = sum(f[0][8 * j : 8 * j + 8] == f[1][8 * j : 8 * j + 8] for j in range(256)) / 256
     assert abs(equal - 4 / 11) < 0.1
+
+
+def test_a_task_gives_freed_memory_back():
+    def anonymous():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(line.split()[1]) for line in f if line.startswith("Anonymous:")) / 1024
+
+    def run(batches):
+        for batch in batches:
+            blocks = [bytes(60_000) for _ in range(4_000)]  # 240 MB, then freed but for some in between
+            left.extend(blocks[::200])
+            del blocks
+            yield batch
+
+    left = []
+    before = anonymous()
+    assert list(common.lean(run)(iter([1]))) == [1]
+    assert anonymous() - before < 60 and len(left) == 20
