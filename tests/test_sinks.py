@@ -40,6 +40,21 @@ def test_files_are_named_apart_and_read_back(spark, tmp_path):
     assert files(path) == [] and tables.src_presentations(spark, path, DECKS).collect() == []
 
 
+def test_decks_are_read_by_folders_not_from_a_list_of_files(spark, tmp_path):
+    path = tmp_path / "out"
+    given = decks(spark, "a", "_b", ".c", "d")
+    tables.sink_presentations(given.repartition(3), str(path))
+    back = tables.src_presentations(spark, str(path), DECKS)
+    assert back.inputFiles() == [] and back.rdd.getNumPartitions() <= 4
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, given.collect()))
+    for at in ("by hand", "part-x/deeper", "part-x/_job-y"):
+        (path / at).mkdir(parents=True)
+        (path / at / "e.pro").write_text('{"doc_id": 9, "name": "e"}\r\n\n{"doc_id": 10}\n')
+    (path / "f.pro").write_text('{"doc_id": 11}')
+    (path / "g.txt").write_text('{"doc_id": 12}')
+    assert sorted(r.doc_id for r in tables.src_presentations(spark, str(path), DECKS).collect()) == [0, 1, 2, 3, 9, 9, 10, 10, 11]
+
+
 def test_a_task_that_dies_half_way_leaves_nothing(spark, tmp_path):
     path = str(tmp_path / "out")
     tables.sink_presentations(decks(spark, "old"), path)
