@@ -37,10 +37,14 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/deckjobs-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Write a table to shared storage and read it again: cuts the lineage, survives lost executors."""
+def keep(df: DataFrame, wide: bool = False) -> DataFrame:
+    """Write a table to shared storage and read it again: cuts the lineage, survives lost executors.
+
+    ``wide``: rows of megabytes each, of which neither writer nor reader holds more than a few.
+    """
     path = scratch(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    few = {"parquet.block.row.count.limit": "2", "parquet.page.size.row.check.min": "1"} if wide else {}
+    df.write.options(compression="zstd", **few).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

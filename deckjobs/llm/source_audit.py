@@ -10,7 +10,8 @@ So the rare words of a corpus, most of its vocabulary, are never counted in full
 shuffled.
 
 Texts are read once: each task writes blocks of one language, with the block's distinct
-terms and the count of each document and term. Prefix counts of a block are whole-array
+terms and the count of each document and term. A block is megabytes in one row, so blocks are
+written, read and sent to Python workers one or two at a time, however many a task has. Prefix counts of a block are whole-array
 steps; blocks add up, for a document lies in one block. Survivors of a level reach the tasks
 as a bit set of fixed size: two that fall together let a prefix through that is counted once
 more and discarded then, none is lost.
@@ -39,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chunk_coder import binary_array
-from .common import Words, keep, mixed, text_bytes
+from .common import Words, keep, lean, mixed, small_batches, text_bytes
 
 LEAST_DOCS = 30
 FIRST_LEVEL = 4
@@ -125,7 +126,7 @@ def profile(docs: DataFrame, block: int = BLOCK) -> DataFrame:
             yield row(lang, sources, distinct_terms(texts))
 
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    return docs.select(empty("lang"), empty("source"), empty("text")).mapInArrow(run, BLOCKS)
+    return docs.select(empty("lang"), empty("source"), empty("text")).mapInArrow(lean(run), BLOCKS)
 
 
 def _spans(terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +173,7 @@ def prefix_counts(blocks: DataFrame, length: int, before: int, survivors: np.nda
                 at = np.flatnonzero(count)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), prefix.dictionary.take(pa.array(at)), pa.array(count[at])], ["lang", "prefix", "n_docs"])
 
-    partial = blocks.select("lang", "sources", "terms", "doc_source", "pair_doc", "pair_term", "pair_n").mapInArrow(run, "lang string, prefix binary, n_docs long")
+    partial = blocks.select("lang", "sources", "terms", "doc_source", "pair_doc", "pair_term", "pair_n").mapInArrow(lean(run), "lang string, prefix binary, n_docs long")
     return partial.groupBy("lang", "prefix").agg(F.sum("n_docs").alias("n_docs"))
 
 
@@ -191,7 +192,7 @@ def bit_set(prefixes: DataFrame, length: int, bits: int = BITS) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(mask.view(np.int64))], ["word", "mask"])
 
     out = np.zeros(bits // 64, np.uint64)
-    rows = prefixes.select("lang", "prefix").mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    rows = prefixes.select("lang", "prefix").mapInArrow(lean(run), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
     out[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
     return out
 
@@ -205,7 +206,8 @@ def kept_terms(blocks: DataFrame, least_docs: int = LEAST_DOCS, first_level: int
     """lang, term, n_docs: the terms of at least ``least_docs`` documents of their language."""
     found, survivors, before, length = [], None, 0, first_level
     while True:
-        level = keep(prefix_counts(blocks, length, before, survivors).where(F.col("n_docs") >= least_docs))
+        with small_batches(blocks.sparkSession, 1):
+            level = keep(prefix_counts(blocks, length, before, survivors).where(F.col("n_docs") >= least_docs))
         found.append(level.where(whole(F.col("prefix"))))
         rest = level.where(~whole(F.col("prefix")))
         if rest.isEmpty():
@@ -234,7 +236,7 @@ def term_counts(blocks: DataFrame, kept: DataFrame, bits: int = BITS) -> DataFra
                 names = pa.array(sources, pa.string()).take(pa.array(key // n))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), names, terms.take(pa.array(key % n)), pa.array(total)], ["lang", "source", "prefix", "n"])
 
-    partial = blocks.mapInArrow(run, "lang string, source string, prefix binary, n long")
+    partial = blocks.mapInArrow(lean(run), "lang string, source string, prefix binary, n long")
     total = partial.groupBy("lang", "source", "prefix").agg(F.sum("n").alias("n"))
     return total.join(ended, ["lang", "prefix"], "left_semi").select("lang", "source", F.decode(F.expr("unhex(left(hex(prefix), length(hex(prefix)) - 2))"), "UTF-8").alias("term"), "n")
 
@@ -256,9 +258,12 @@ class Audit(NamedTuple):
 
 def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, block: int = BLOCK, first_level: int = FIRST_LEVEL, bits: int = BITS) -> Audit:
     """The counts that all reports rest on; each is written to shared storage."""
-    blocks = keep(profile(docs, block))
+    with small_batches(docs.sparkSession):
+        blocks = keep(profile(docs, block), wide=True)
     kept = keep(kept_terms(blocks, least_docs, first_level, bits))
-    counts = keep(term_counts(blocks, kept, bits))
+    counts = term_counts(blocks, kept, bits)
+    with small_batches(docs.sparkSession, 1):
+        counts = keep(counts)
     sizes = kept.groupBy("lang").agg(F.count("*").alias("n_terms"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     groups = blocks.select("lang", F.explode("sources").alias("source")).distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")

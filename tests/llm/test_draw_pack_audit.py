@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from deckjobs.llm import importance_draw, source_audit, window_packing
+from deckjobs.llm import common, importance_draw, source_audit, window_packing
 from deckjobs.llm.queries import tokenizer_path
 
 ODD = [None, "", " \t\n", "é😀 日本 ÀB c3-D4", "word", "x" * 5000, "A b\0C  d_e", "don't stop. Don't!"]
@@ -249,3 +249,21 @@ def test_shares_are_exact_however_large(spark):
     df = spark.sql("SELECT 999999999999999L AS n, 1000000000000007L AS total, 3L AS v")
     got = df.select(source_audit.share(*(df[c] for c in ("n", "total", "v")))).first()[0]
     assert got == 1 + 1_000_000_000 * (999999999999999 + 5) // (1000000000000007 + 15)
+
+
+def test_blocks_are_held_one_or_two_at_a_time(spark, tmp_path, monkeypatch):
+    """A block is megabytes in one row, and a task may have a hundred."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    paths, sizes = [], []
+    scratch, small = common.scratch, source_audit.small_batches
+    monkeypatch.setattr(common, "scratch", lambda s: paths.append(scratch(s)) or paths[-1])
+    monkeypatch.setattr(source_audit, "small_batches", lambda s, rows=2000: sizes.append(rows) or small(s, rows))
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in audit_rows()], AUDIT_SCHEMA)
+    source_audit.audit(docs.coalesce(1), 5, block=100)
+    found = [pq.ParquetFile(f).metadata for f in glob.glob(f"{paths[0].removeprefix('file:')}/*.parquet")]
+    groups = [m.row_group(i).num_rows for m in found for i in range(m.num_row_groups)]
+    assert sum(groups) > 10 and max(groups) <= 2
+    assert sizes.count(1) >= 2
